@@ -55,35 +55,52 @@ def luhn_ok(c) -> Column:
     return d.rlike("^[0-9]{13,19}$") & F.call_function("luhn_check", d)
 
 
-def _replacer(ph: str):
-    return lambda acc, m: F.replace(acc, m, F.lit(ph))
+def let(value: Column, body) -> Column:
+    """``let v = value in body(v)``: binds an expression once through a lambda
+    variable, so a value used twice is neither duplicated in the plan nor
+    evaluated twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def redact_steps(df: DataFrame, text_col: str, rules: list[Rule], out_col: str = "message",
-                 report_col: str = "redaction") -> DataFrame:
-    """Apply the rules as one projection per rule (keeps regex work linear: each
-    step reads the previous step's text once) and attach the report struct
-    ``{applied, rules, count}``."""
+def barrier(c: Column) -> Column:
+    """Always-true nondeterministic guard around an expensive expression.
+
+    Catalyst pushes filters through projections by substituting aliases; for
+    the redaction fold that would copy the whole fold into the filter and run
+    it twice per row. A nondeterministic projection is never inlined into
+    another operator, so the fold runs exactly once per row."""
+    return F.when(F.rand(0) >= F.lit(0.0), c)
+
+
+def redact(text, rules: list[Rule]) -> Column:
+    """R1-R4 as one expression -> struct<text, applied, rules, count>."""
     validate_rules(rules)
-    cur = "__rtext0"
-    df = df.withColumn(cur, F.col(text_col))
-    match_cols = []
-    for i, r in enumerate(rules):
-        mcol = f"__rm{i}"
-        found = F.regexp_extract_all(F.col(cur), F.lit(P.to_java(r.pattern)), 0)
+
+    def step(i: int, t: Column, found: list[Column]) -> Column:
+        if i == len(rules):
+            names = F.array_compact(F.array(*[
+                F.when(F.size(m) > 0, F.lit(r.name)) for r, m in zip(rules, found)]))
+            total = sum((F.size(m) for m in found), F.lit(0))
+            return F.struct(t.alias("text"), (total > 0).alias("applied"), names.alias("rules"),
+                            total.cast("int").alias("count"))
+        r = rules[i]
+        matches = F.regexp_extract_all(t, F.lit(P.to_java(r.pattern)), 0)
         if r.luhn:
-            found = F.filter(found, lambda m: luhn_ok(m))
-        nxt = f"__rtext{i + 1}"
-        df = df.withColumn(mcol, found)
-        df = df.withColumn(nxt, F.aggregate(F.col(mcol), F.col(cur), _replacer(r.placeholder)))
-        match_cols.append((r.name, mcol))
-        df = df.drop(cur)
-        cur = nxt
-    applied_names = F.array_compact(F.array(*[
-        F.when(F.size(F.col(m)) > 0, F.lit(name)) for name, m in match_cols]))
-    total = sum((F.size(F.col(m)) for _, m in match_cols), F.lit(0))
-    df = df.withColumn(report_col, F.struct(
-        (total > 0).alias("applied"), applied_names.alias("rules"), total.cast("int").alias("count")))
-    df = df.withColumn(out_col, F.col(cur))
-    return df.drop(cur, *[m for _, m in match_cols])
+            matches = F.filter(matches, lambda m: luhn_ok(m))
+        ph = r.placeholder
+        return let(matches, lambda m: let(
+            F.aggregate(m, t, lambda acc, x: F.replace(acc, x, F.lit(ph))),
+            lambda t2: step(i + 1, t2, found + [m])))
+
+    return let(col_(text), lambda t0: step(0, t0, []))
+
 
+def redact_steps(df: DataFrame, text_col: str, rules: list[Rule], out_col: str = "message",
+                 report_col: str = "redaction") -> DataFrame:
+    """Apply the rules and attach ``out_col`` and the report struct
+    ``{applied, rules, count}``."""
+    df = df.withColumn("__red", barrier(redact(F.col(text_col), rules)))
+    df = df.withColumn(report_col, F.struct(F.col("__red.applied").alias("applied"),
+                                            F.col("__red.rules").alias("rules"),
+                                            F.col("__red.count").alias("count")))
+    return df.withColumn(out_col, F.col("__red.text")).drop("__red")

@@ -132,3 +132,101 @@ def signature_expr(x: str) -> str:
     toks = f"list_filter(string_split_regex(trim({x}), '[\\t\\n\\f\\r \\x0B]+'), lambda t: length(t) > 0)"
     case = "CASE " + " ".join(f"WHEN regexp_matches(t, {q(p)}) THEN '{n}'" for n, p in P.SIGNATURE_RULES) + " ELSE 'w' END"
     return f"array_to_string(list_transform({toks}[1:{P.SIGNATURE_MAX_TOKENS}], lambda t: {case}), ' ')"
+
+
+def token_seq_expr(x: str) -> str:
+    cur = x
+    parts = []
+    for pat, ph in P.MASK_RULES_BASIC:
+        parts.append(f"list_transform(range(len(regexp_extract_all({cur}, {q(pat)}))), lambda i: '{ph}')")
+        cur = f"regexp_replace({cur}, {q(pat)}, '{ph}', 'g')"
+    return f"'token_seq:' || array_to_string(list_concat({', '.join(parts)})[1:{P.TOKEN_SEQ_MAX}], ',')"
+
+
+def mined_ctes(view: str) -> list[str]:
+    """``mined`` CTE: normalized + template columns + provenance/confidence."""
+    blank = f"length(regexp_replace(message, '^{UNI_WS}+|{UNI_WS}+$', '', 'g')) = 0"
+    return normalized_ctes(view) + [
+        f"tm AS (SELECT *, CASE WHEN {blank} THEN NULL ELSE {mask_expr('message')} END AS template FROM norm)",
+        f"""tm2 AS (SELECT *, template IS NULL AS from_fallback,
+       CASE WHEN template IS NULL THEN 'missing' ELSE {template_id_expr('template')} END AS template_id,
+       CASE WHEN template IS NULL THEN '.*' ELSE {template_regex_expr('template')} END AS regex,
+       {signature_expr('message')} AS group_signature, {token_seq_expr('message')} AS token_seq FROM tm)""",
+        """mined AS (SELECT *,
+       CASE WHEN from_fallback THEN 'FALLBACK'
+            WHEN row_number() OVER (PARTITION BY template_id ORDER BY ts, log_id) = 1 THEN 'HEURISTIC'
+            ELSE 'CACHE' END AS provenance FROM tm2)"""]
+
+
+KEYS = "key_tenant, template_id, key_service, key_env, severity"
+
+
+def counter_ctes(view: str, inclusive: bool = True) -> list[str]:
+    """``cnt`` CTE: mined rows + sampler key + seq, cur_min, windows, first_seen."""
+    outs = ",\n       ".join(
+        f"count(*) OVER (PARTITION BY {KEYS} ORDER BY cur_minute RANGE BETWEEN UNBOUNDED PRECEDING "
+        f"AND {n + 1 if inclusive else n} PRECEDING) AS o_{name}" for n, name in
+        [(10, "count_10m"), (60, "count_1h"), (1440, "count_24h")])
+    return mined_ctes(view) + [
+        """sk AS (SELECT *, coalesce(nullif(trim(tenant), ''), 'default') AS key_tenant,
+       coalesce(nullif(trim(service), ''), '-') AS key_service,
+       coalesce(nullif(trim(env), ''), '-') AS key_env,
+       epoch_us(ts) // 60000000 AS cur_minute FROM mined)""",
+        f"""c0 AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY ts, log_id) AS seq,
+       row_number() OVER (PARTITION BY {KEYS}, cur_minute ORDER BY ts, log_id) AS cur_min,
+       min(ts) OVER (PARTITION BY {KEYS}) AS key_first_seen,
+       {outs} FROM sk)""",
+        """cnt AS (SELECT *, seq - o_count_10m AS count_10m, seq - o_count_1h AS count_1h,
+       seq - o_count_24h AS count_24h FROM c0)"""]
+
+
+def ema_ctes(view: str, alpha: float) -> list[str]:
+    """``em`` CTE (recursive): per-record EMA in arrival order per key."""
+    r = 1.0 - alpha
+    keq = " AND ".join(f"b.{k} = e.{k}" for k in KEYS.split(", "))
+    return counter_ctes(view) + [
+        f"""e AS (SELECT {KEYS}, seq, log_id, {alpha!r} * cur_min AS ema FROM cnt WHERE seq = 1
+  UNION ALL
+  SELECT b.key_tenant, b.template_id, b.key_service, b.key_env, b.severity, b.seq, b.log_id,
+         {alpha!r} * b.cur_min + {r!r} * e.ema
+  FROM e JOIN cnt b ON {keq} AND b.seq = e.seq + 1)""",
+        "em AS (SELECT c.*, e.ema FROM cnt c JOIN e USING (log_id))"]
+
+
+def ladder_sql(policy) -> str:
+    """CASE ladder -> rung number; ``decided`` columns derive from it."""
+    ks = " ".join(f"WHEN severity = '{s}' THEN {k or policy.steady_k_other}" for s, k in policy.steady_k.items())
+    k = f"(CASE {ks} ELSE {policy.steady_k_other} END)"
+    keep = ", ".join(f"'{s}'" for s in policy.severity_keep)
+    over = (f"(count_10m > {policy.budget_10m} AND severity IN ('DEBUG', 'INFO'))"
+            if policy.budget_10m > 0 else "FALSE")
+    nov = "seq <= 1" if policy.novelty else "FALSE"
+    log2 = "seq > 0 AND (seq & (seq - 1)) = 0" if policy.log2 else "FALSE"
+    return f"""rung AS (SELECT *, {k} AS k, CASE
+         WHEN severity IN ({keep}) THEN 1
+         WHEN {nov} THEN 2
+         WHEN ema > 0 AND cur_min >= {policy.spike_factor!r} * ema AND cur_min >= {policy.min_spike} THEN 3
+         WHEN seq <= {policy.warmup_n} THEN 4
+         WHEN {log2} THEN 5
+         WHEN {over} AND seq % {k} = 0 THEN 6
+         WHEN {over} THEN 7
+         WHEN seq % {k} = 0 THEN 8
+         ELSE 9 END AS rung FROM em),
+decided AS (SELECT *,
+  CASE WHEN rung IN (7, 9) THEN 'SUPPRESS' ELSE 'KEEP' END AS action,
+  CASE rung WHEN 1 THEN 'SEVERITY' WHEN 2 THEN 'NOVEL' WHEN 3 THEN 'SPIKE' WHEN 4 THEN 'WARMUP'
+            WHEN 5 THEN 'LOG2' WHEN 6 THEN 'BUDGET' WHEN 7 THEN 'BUDGET' ELSE 'STEADYK' END AS keep_reason,
+  CAST(CASE WHEN rung >= 6 THEN k ELSE 1 END AS BIGINT) AS sample_rate,
+  CASE rung WHEN 2 THEN 'first-occurrence'
+            WHEN 3 THEN printf('cur=%d ema=%.2f', cur_min, ema)
+            WHEN 4 THEN printf('n=%d/{policy.warmup_n}', seq)
+            WHEN 5 THEN printf('n=%d', seq)
+            WHEN 6 THEN printf('budget>10m: %d>{policy.budget_10m}', count_10m)
+            WHEN 7 THEN printf('budget>10m: %d>{policy.budget_10m}', count_10m)
+            ELSE '' END AS note,
+  '{policy.version}' AS policy_version FROM rung)"""
+
+
+def decided_ctes(view: str, policy) -> list[str]:
+    from .operators.sampling import ema_alpha
+    return ema_ctes(view, ema_alpha(policy.half_life)) + [ladder_sql(policy)]

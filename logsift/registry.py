@@ -68,3 +68,98 @@ def q_luhn_cards(spark, sf):
     x = d.select("log_id", F.posexplode(F.regexp_extract_all("payload", F.lit(cc), 0)).alias("pos", "candidate"))
     return x.select("log_id", F.col("pos").cast("bigint").alias("pos"), "candidate",
                     luhn_ok(F.col("candidate")).alias("luhn_ok"))
+
+
+# ------------------------------------------------------------ job 3
+from .operators.templates import mine, template_memory, with_templates  # noqa: E402
+
+
+def mined_docs(spark, sf):
+    return mine(normalized_docs(spark, sf))
+
+
+def mined_events(spark, sf):
+    return mine(normalized_events(spark, sf))
+
+
+@register
+def q_mask_templates(spark, sf):
+    m = with_templates(normalized_docs(spark, sf))
+    return m.select("log_id", "template", "template_id", "group_signature", "token_seq", "from_fallback")
+
+
+@register
+def q_template_regex(spark, sf):
+    m = with_templates(normalized_docs(spark, sf)).filter(~F.col("from_fallback"))
+    return m.select("template_id", "template", "regex").distinct()
+
+
+@register
+def q_template_memory(spark, sf):
+    mem = template_memory(with_templates(normalized_docs(spark, sf)))
+    return mem.select("template_id", "template", "first_seen", "last_seen", "n",
+                      F.array_join("examples", "\n").alias("examples"))
+
+
+@register
+def q_provenance(spark, sf):
+    m = mined_events(spark, sf)
+    return m.select("log_id", "template_id", "provenance",
+                    F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
+
+
+# ------------------------------------------------------------ job 4
+from .operators.sampling import Policy, decide, enforce, minute_rollup, route, with_counters, with_key  # noqa: E402
+
+TUNED = Policy(spike_factor=1.5, min_spike=2, warmup_n=4, budget_10m=3,
+               steady_k={"DEBUG": 5, "INFO": 7, "WARN": 3})
+
+
+@register
+def q_minute_rollup(spark, sf):
+    r = minute_rollup(with_key(mined_events(spark, sf)))
+    return r.select("key_tenant", "template_id", "key_service", "key_env", "severity",
+                    F.col("minute").cast("bigint").alias("minute"), "n")
+
+
+@register
+def q_window_counts(spark, sf):
+    c = with_counters(with_key(mined_events(spark, sf)), ema=False)
+    return c.select("log_id", "seq", "cur_min", "count_10m", "count_1h", "count_24h", "key_first_seen")
+
+
+@register
+def q_ema_per_record(spark, sf):
+    c = with_counters(with_key(mined_events(spark, sf)))
+    return c.select("log_id", "seq", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
+
+
+def _decisions(d):
+    return d.select("log_id", "action", "keep_reason", "sample_rate", "note", "policy_version")
+
+
+@register
+def q_ladder_decisions(spark, sf):
+    return _decisions(decide(mined_events(spark, sf)))
+
+
+@register
+def q_ladder_decisions_tuned(spark, sf):
+    return _decisions(decide(mined_events(spark, sf), TUNED))
+
+
+@register
+def q_decisions_by_reason(spark, sf):
+    d = decide(mined_events(spark, sf))
+    return d.groupBy("action", "keep_reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_enforcement_split(spark, sf):
+    d = enforce(decide(mined_events(spark, sf)))
+    kept, sup = route(d)
+    k = kept.groupBy("severity", "shadow").agg(F.count(F.lit(1)).alias("records")) \
+        .withColumn("route", F.lit("kept"))
+    s = sup.groupBy("severity").agg(F.count(F.lit(1)).alias("records")) \
+        .withColumn("route", F.lit("suppressed")).withColumn("shadow", F.lit(False))
+    return k.unionByName(s)

@@ -48,3 +48,90 @@ def _():
 x AS (SELECT log_id, CAST(unnest(generate_series(0, len(cands) - 1)) AS BIGINT) AS pos,
              unnest(cands) AS candidate FROM c WHERE len(cands) > 0)""") + \
         f"SELECT log_id, pos, candidate, {luhn('candidate')} AS luhn_ok FROM x"
+
+
+# ------------------------------------------------------------ job 3
+from .oracle_sql import counter_ctes, decided_ctes, ema_ctes, mined_ctes  # noqa: E402
+from .operators.sampling import Policy, ema_alpha  # noqa: E402
+
+
+@oracle("mask_templates")
+def _():
+    return with_(*mined_ctes("log_docs")) + \
+        "SELECT log_id, template, template_id, group_signature, token_seq, from_fallback FROM tm2"
+
+
+@oracle("template_regex")
+def _():
+    return with_(*mined_ctes("log_docs")) + \
+        "SELECT DISTINCT template_id, template, regex FROM tm2 WHERE NOT from_fallback"
+
+
+@oracle("template_memory")
+def _():
+    return with_(*mined_ctes("log_docs"), """ex AS (
+  SELECT template_id, string_agg(message, chr(10) ORDER BY ts DESC, log_id DESC) AS examples
+  FROM (SELECT template_id, message, ts, log_id,
+               row_number() OVER (PARTITION BY template_id ORDER BY ts DESC, log_id DESC) AS rn
+        FROM tm2 WHERE NOT from_fallback) WHERE rn <= 3 GROUP BY template_id)""") + """
+SELECT t.template_id, any_value(t.template) AS template, min(ts) AS first_seen, max(ts) AS last_seen,
+       count(*) AS n, any_value(ex.examples) AS examples
+FROM tm2 t JOIN ex USING (template_id) WHERE NOT from_fallback GROUP BY t.template_id"""
+
+
+@oracle("provenance")
+def _():
+    return with_(*mined_ctes("log_events")) + """SELECT log_id, template_id, provenance,
+  round(CAST(CAST(CASE provenance WHEN 'FALLBACK' THEN 0.0 WHEN 'HEURISTIC' THEN 0.5 ELSE 0.9 END AS FLOAT) AS DOUBLE), 6)
+  AS confidence FROM mined"""
+
+
+# ------------------------------------------------------------ job 4
+TUNED = Policy(spike_factor=1.5, min_spike=2, warmup_n=4, budget_10m=3,
+               steady_k={"DEBUG": 5, "INFO": 7, "WARN": 3})
+
+
+@oracle("minute_rollup")
+def _():
+    return with_(*counter_ctes("log_events")) + """SELECT key_tenant, template_id, key_service, key_env,
+  severity, cur_minute AS minute, count(*) AS n FROM sk GROUP BY ALL"""
+
+
+@oracle("window_counts")
+def _():
+    return with_(*counter_ctes("log_events")) + \
+        "SELECT log_id, seq, cur_min, count_10m, count_1h, count_24h, key_first_seen FROM cnt"
+
+
+@oracle("ema_per_record")
+def _():
+    return "WITH RECURSIVE " + with_(*ema_ctes("log_events", ema_alpha(10.0)))[5:] + \
+        "SELECT log_id, seq, round(ema + 1e-9, 6) AS ema FROM em"
+
+
+def _decided(policy):
+    return "WITH RECURSIVE " + with_(*decided_ctes("log_events", policy))[5:]
+
+
+@oracle("ladder_decisions")
+def _():
+    return _decided(Policy()) + "SELECT log_id, action, keep_reason, sample_rate, note, policy_version FROM decided"
+
+
+@oracle("ladder_decisions_tuned")
+def _():
+    return _decided(TUNED) + "SELECT log_id, action, keep_reason, sample_rate, note, policy_version FROM decided"
+
+
+@oracle("decisions_by_reason")
+def _():
+    return _decided(Policy()) + "SELECT action, keep_reason, count(*) AS records FROM decided GROUP BY ALL"
+
+
+@oracle("enforcement_split")
+def _():
+    return _decided(Policy()) + """, en AS (SELECT *, severity IN ('FATAL', 'DEBUG') AS enforced FROM decided)
+SELECT severity, NOT enforced AS shadow, count(*) AS records, 'kept' AS route
+FROM en WHERE NOT (enforced AND action = 'SUPPRESS') GROUP BY ALL
+UNION ALL
+SELECT severity, FALSE, count(*), 'suppressed' FROM en WHERE enforced AND action = 'SUPPRESS' GROUP BY ALL"""
