@@ -163,3 +163,69 @@ def q_enforcement_split(spark, sf):
     s = sup.groupBy("severity").agg(F.count(F.lit(1)).alias("records")) \
         .withColumn("route", F.lit("suppressed")).withColumn("shadow", F.lit(False))
     return k.unionByName(s)
+
+
+# ------------------------------------------------------------ job 6
+from .operators import catalog as C  # noqa: E402
+
+SPLIT = "2024-01-16 00:00:00"      # period boundary for change analysis
+AS_OF = "2024-01-30 12:00:00"      # reference time for rolling windows
+
+
+def _ntz(s):
+    return F.lit(s).cast("timestamp_ntz")
+
+
+def _catalog_out(cat):
+    return cat.select("tenant", "template_id", "template_text", "regex",
+                      F.col("labels")["service"].alias("label_service"),
+                      F.col("labels")["env"].alias("label_env"),
+                      F.col("labels")["severity"].alias("label_severity"),
+                      "first_seen", "last_seen", "template_version")
+
+
+def events_catalog(spark, sf):
+    m = mined_events(spark, sf)
+    prior = C.fold_catalog(C.to_candidates(m.filter(F.col("ts") < _ntz(SPLIT))))
+    return C.fold_catalog(C.to_candidates(m.filter(F.col("ts") >= _ntz(SPLIT))), prior)
+
+
+@register
+def q_catalog_fold(spark, sf):
+    return _catalog_out(events_catalog(spark, sf))
+
+
+@register
+def q_template_stats_long(spark, sf):
+    s = C.rolling_stats(mined_events(spark, sf), _ntz(AS_OF))
+    return s.select("tenant", "template_id", "window", "count", "updated_at")
+
+
+@register
+def q_catalog_by_dimension(spark, sf):
+    return C.catalog_stats(events_catalog(spark, sf), _ntz(AS_OF)).select(
+        "service", "severity", F.col("gid").cast("bigint").alias("gid"), "templates", "new_24h", "updated_24h")
+
+
+@register
+def q_template_detail(spark, sf):
+    d = C.template_detail(mined_events(spark, sf))
+    return d.select("template_id", "occurrences", "active_minutes", "peak_per_min",
+                    F.round("mean_per_min", 6).alias("mean_per_min"), "spike_minutes",
+                    F.array_join("examples", "\n").alias("examples"))
+
+
+@register
+def q_new_templates(spark, sf):
+    return C.template_changes(mined_events(spark, sf), _ntz(SPLIT))
+
+
+@register
+def q_rate_delta(spark, sf):
+    d = C.rate_delta(mined_events(spark, sf), _ntz(SPLIT))
+    return d.select("tenant", "template_id", "n_before", "n_after", "delta", F.round("ratio", 6).alias("ratio"))
+
+
+@register
+def q_template_events(spark, sf):
+    return C.template_events(mined_events(spark, sf), _ntz(SPLIT))

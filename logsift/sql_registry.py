@@ -135,3 +135,107 @@ SELECT severity, NOT enforced AS shadow, count(*) AS records, 'kept' AS route
 FROM en WHERE NOT (enforced AND action = 'SUPPRESS') GROUP BY ALL
 UNION ALL
 SELECT severity, FALSE, count(*), 'suppressed' FROM en WHERE enforced AND action = 'SUPPRESS' GROUP BY ALL"""
+
+
+# ------------------------------------------------------------ job 6
+SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
+AS_OF = "TIMESTAMP '2024-01-30 12:00:00'"
+
+
+def _cand(where: str, name: str) -> str:
+    return f"""{name} AS (SELECT tenant, template_id,
+  arg_max(template, (ts, log_id)) AS template_text, arg_max(regex, (ts, log_id)) AS regex,
+  arg_max(service, (ts, log_id)) AS label_service, arg_max(env, (ts, log_id)) AS label_env,
+  arg_max(lower(severity), (ts, log_id)) AS label_severity,
+  min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n
+  FROM mined WHERE NOT from_fallback AND {where} GROUP BY tenant, template_id)"""
+
+
+def _catalog_ctes() -> list[str]:
+    return mined_ctes("log_events") + [
+        _cand(f"ts < {SPLIT}", "c_before"), _cand(f"ts >= {SPLIT}", "c_after"),
+        """u AS (SELECT *, 0 AS src FROM c_before UNION ALL SELECT *, 1 AS src FROM c_after)""",
+        """cat AS (SELECT tenant, template_id,
+  arg_max(template_text, (last_seen, src)) AS template_text, arg_max(regex, (last_seen, src)) AS regex,
+  arg_max(label_service, (last_seen, src)) AS label_service, arg_max(label_env, (last_seen, src)) AS label_env,
+  arg_max(label_severity, (last_seen, src)) AS label_severity,
+  min(first_seen) AS first_seen, max(last_seen) AS last_seen
+  FROM u GROUP BY tenant, template_id)"""]
+
+
+@oracle("catalog_fold")
+def _():
+    return with_(*_catalog_ctes()) + """SELECT tenant, template_id, template_text, regex, label_service,
+  label_env, label_severity, first_seen, last_seen,
+  substr(sha1(template_text || chr(10) || regex), 1, 16) AS template_version FROM cat"""
+
+
+@oracle("template_stats_long")
+def _():
+    return with_(*mined_ctes("log_events"), f"""g AS (SELECT tenant, template_id,
+  count(*) FILTER (WHERE ts > {AS_OF} - INTERVAL 10 MINUTES AND ts <= {AS_OF}) AS c10,
+  count(*) FILTER (WHERE ts > {AS_OF} - INTERVAL 60 MINUTES AND ts <= {AS_OF}) AS c60,
+  count(*) FILTER (WHERE ts > {AS_OF} - INTERVAL 1440 MINUTES AND ts <= {AS_OF}) AS c1440
+  FROM mined WHERE NOT from_fallback GROUP BY tenant, template_id)""") + f"""
+SELECT * FROM (
+  SELECT tenant, template_id, '10m' AS window, c10 AS count, {AS_OF} AS updated_at FROM g
+  UNION ALL SELECT tenant, template_id, '1h', c60, {AS_OF} FROM g
+  UNION ALL SELECT tenant, template_id, '24h', c1440, {AS_OF} FROM g) WHERE count > 0"""
+
+
+@oracle("catalog_by_dimension")
+def _():
+    day = f"({AS_OF} - INTERVAL 24 HOURS)"
+    return with_(*_catalog_ctes()) + f"""SELECT label_service AS service, label_severity AS severity,
+  CAST(grouping(label_service, label_severity) AS BIGINT) AS gid, count(*) AS templates,
+  count(*) FILTER (WHERE first_seen > {day}) AS new_24h,
+  count(*) FILTER (WHERE first_seen <= {day} AND last_seen > {day}) AS updated_24h
+FROM cat GROUP BY GROUPING SETS ((label_service), (label_severity), ())"""
+
+
+@oracle("template_detail")
+def _():
+    return with_(*mined_ctes("log_events"), """pm AS (SELECT template_id, epoch_us(ts) // 60000000 AS minute,
+  count(*) AS n FROM mined WHERE NOT from_fallback GROUP BY ALL)""",
+                 """d AS (SELECT template_id, sum(n) AS occurrences, count(*) AS active_minutes,
+  max(n) AS peak_per_min, avg(n) AS mean_per_min FROM pm GROUP BY template_id)""",
+                 """sp AS (SELECT pm.template_id, count(*) AS spike_minutes FROM pm JOIN d USING (template_id)
+  WHERE pm.n > 2 * d.mean_per_min GROUP BY pm.template_id)""",
+                 """ex AS (SELECT template_id, string_agg(message, chr(10) ORDER BY ts DESC, log_id DESC) AS examples
+  FROM (SELECT template_id, message, ts, log_id, row_number() OVER (PARTITION BY template_id
+        ORDER BY ts DESC, log_id DESC) AS rn FROM mined WHERE NOT from_fallback) WHERE rn <= 3
+  GROUP BY template_id)""") + """SELECT d.template_id, CAST(occurrences AS BIGINT) AS occurrences,
+  active_minutes, peak_per_min, round(mean_per_min, 6) AS mean_per_min,
+  coalesce(spike_minutes, 0) AS spike_minutes, examples
+FROM d LEFT JOIN sp USING (template_id) LEFT JOIN ex USING (template_id)"""
+
+
+@oracle("new_templates")
+def _():
+    return with_(*mined_ctes("log_events"),
+                 f"b AS (SELECT DISTINCT tenant, template_id FROM mined WHERE NOT from_fallback AND ts < {SPLIT})",
+                 f"a AS (SELECT DISTINCT tenant, template_id FROM mined WHERE NOT from_fallback AND ts >= {SPLIT})") + \
+        """SELECT tenant, template_id, 'new' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT tenant, template_id, 'vanished' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+
+
+@oracle("rate_delta")
+def _():
+    return with_(*mined_ctes("log_events"), f"""c AS (SELECT tenant, template_id,
+  count(*) FILTER (WHERE ts < {SPLIT}) AS n_before, count(*) FILTER (WHERE ts >= {SPLIT}) AS n_after
+  FROM mined WHERE NOT from_fallback GROUP BY tenant, template_id)""") + """SELECT tenant, template_id,
+  n_before, n_after, n_after - n_before AS delta,
+  CASE WHEN n_before > 0 THEN round(n_after / n_before, 6) END AS ratio FROM c"""
+
+
+@oracle("template_events")
+def _():
+    return with_(*mined_ctes("log_events"), _cand(f"ts < {SPLIT}", "p"), _cand(f"ts >= {SPLIT}", "c")) + """,
+j AS (SELECT c.tenant, c.template_id, c.n AS n_after, p.n AS n_before,
+  CASE WHEN p.template_id IS NULL THEN 'NEW'
+       WHEN substr(sha1(p.template_text || chr(10) || p.regex), 1, 16)
+            <> substr(sha1(c.template_text || chr(10) || c.regex), 1, 16) THEN 'UPDATE'
+       WHEN c.n >= 2.0 * p.n THEN 'SPIKE' END AS event_type
+  FROM c LEFT JOIN p USING (tenant, template_id))
+SELECT tenant, template_id, event_type, n_after, n_before, tenant || ':' || template_id AS partition_key
+FROM j WHERE event_type IS NOT NULL"""
