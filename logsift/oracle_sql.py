@@ -230,3 +230,41 @@ decided AS (SELECT *,
 def decided_ctes(view: str, policy) -> list[str]:
     from .operators.sampling import ema_alpha
     return ema_ctes(view, ema_alpha(policy.half_life)) + [ladder_sql(policy)]
+
+
+def _hu(x: str) -> str:
+    return f"(('0x' || left(sha256({x}), 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+
+
+def embed_ctes(src: str, id_col: str, text_col: str, name: str, dim: int = P.VECTOR_DIM) -> list[str]:
+    """CTE ``name(id, vec FLOAT[])``: the same embedding as functions.embed."""
+    qd = dim // 4
+    p = name
+    gram_n = f"CASE WHEN k < c2 THEN 2 WHEN k < c2 + c3 THEN 3 ELSE 4 END"
+    gram_i = f"CASE WHEN k < c2 THEN k WHEN k < c2 + c3 THEN k - c2 ELSE k - c2 - c3 END"
+
+    def pad(x):
+        return f"list_concat(({x})[1:{qd}], list_transform(range(greatest({qd} - len({x}), 0)), lambda z: 0::FLOAT))"
+    return [
+        f"""{p}_a AS (SELECT {id_col} AS id, lower(regexp_replace({text_col}, '^{UNI_WS}+|{UNI_WS}+$', '', 'g')) AS t
+  FROM {src})""",
+        f"""{p}_b AS (SELECT id, t, hex(encode(t)) AS hx, octet_length(encode(t)) AS L,
+  regexp_extract_all(t, '[\\p{{L}}\\p{{Nd}}_-]+') AS words FROM {p}_a)""",
+        f"""{p}_w AS (SELECT id, list(c ORDER BY c DESC) AS counts FROM (
+  SELECT id, w, count(*) AS c FROM (SELECT id, unnest(words) AS w FROM {p}_b) GROUP BY id, w) GROUP BY id)""",
+        f"""{p}_c AS (SELECT b.*, coalesce(w.counts, []) AS counts, len(words) AS n,
+  greatest(L - 1, 0) AS c2, greatest(L - 2, 0) AS c3, greatest(L - 3, 0) AS c4
+  FROM {p}_b b LEFT JOIN {p}_w w USING (id))""",
+        f"""{p}_d AS (SELECT id,
+  list_transform(range(least(c2 + c3 + c4, {qd})),
+    lambda k: {_hu(f"unhex(substr(hx, 2 * ({gram_i}) + 1, 2 * ({gram_n})))")}::FLOAT) AS p1,
+  CASE WHEN n > 0 THEN list_concat([((list_sum(list_transform(words, lambda w: octet_length(encode(w))))::DOUBLE / n)
+      / 20.0)::FLOAT], list_transform(counts[1:10], lambda c: (c / n)::FLOAT)) ELSE []::FLOAT[] END AS p2,
+  list_concat(list_transform(counts, lambda c: (c / n)::FLOAT), [(ln(n + 1.0) / 10.0)::FLOAT]) AS p3,
+  {_hu("encode(t)")} AS h FROM {p}_c)""",
+        f"""{p}_e AS (SELECT id, list_concat({pad('p1')}, {pad('p2')}, {pad('p3')},
+  list_transform(range({qd}), lambda i: (h * (i + 1) / {float(qd)})::FLOAT)) AS v FROM {p}_d)""",
+        f"""{p}_f AS (SELECT id, v, list_reduce(list_prepend(0.0::DOUBLE, list_transform(v, lambda x: (x * x)::DOUBLE)),
+  lambda a, b: a + b) AS ss FROM {p}_e)""",
+        f"""{p} AS (SELECT id, CASE WHEN ss > 0 THEN list_transform(v, lambda x: x * (1.0 / sqrt(ss))::FLOAT)
+  ELSE v END AS vec FROM {p}_f)"""]

@@ -229,3 +229,84 @@ def q_rate_delta(spark, sf):
 @register
 def q_template_events(spark, sf):
     return C.template_events(mined_events(spark, sf), _ntz(SPLIT))
+
+
+# ------------------------------------------------------------ jobs 7-8
+from .functions.embed import embed  # noqa: E402
+from .operators import search as S  # noqa: E402
+
+DOCS_END = "2024-01-01 12:00:00"   # reference "end" time for recency boosts over docs
+
+
+def label_centroids(spark, sf):
+    """Per label, the mean embedding (column-wise, partial-aggregated)."""
+    e = read_table(spark, sf, "embeddings")
+    x = e.select("label", F.posexplode("embedding").alias("pos", "v"))
+    c = x.groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return c.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))),
+                                              lambda s: s["v"]).alias("qvec")) \
+        .select(F.col("label").cast("string").alias("query_id"), "qvec")
+
+
+@register
+def q_knn_cosine(spark, sf):
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    hits = S.knn(label_centroids(spark, sf), e, 10, "id")
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+def docs_catalog(spark, sf):
+    from .operators.catalog import to_candidates
+    return to_candidates(mined_docs(spark, sf))
+
+
+def docs_vectors(spark, sf):
+    return S.template_vectors(docs_catalog(spark, sf))
+
+
+@register
+def q_embed_templates(spark, sf):
+    v = docs_vectors(spark, sf)
+    q = [F.aggregate(F.slice("embedding", 1 + 96 * i, 96), F.lit(0.0),
+                     lambda a, x: a + x.cast("double")) for i in range(4)]
+    return v.select("tenant", "template_id", F.size("embedding").cast("bigint").alias("dims"),
+                    *[F.round(c, 5).alias(f"q{i + 1}_sum") for i, c in enumerate(q)])
+
+
+def benchmark_queries(spark, sf):
+    b = read_table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+
+
+def _hits_out(h):
+    return h.select("query_id", "tenant", "template_id", F.round("score", 6).alias("score"),
+                    F.col("rank").cast("bigint"))
+
+
+@register
+def q_knn_templates(spark, sf):
+    return _hits_out(S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10))
+
+
+@register
+def q_knn_filtered(spark, sf):
+    q = benchmark_queries(spark, sf).withColumn("label_filter", F.create_map(
+        F.lit("service"), F.lit("en"), F.lit("pod"), F.lit("ignored-key")))
+    return _hits_out(S.search(q, docs_vectors(spark, sf), k=5))
+
+
+@register
+def q_recency_rerank(spark, sf):
+    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
+    cat = docs_catalog(spark, sf)
+    r = S.rerank_recent(S.attach_catalog(hits, cat), _ntz(DOCS_END))
+    return r.select("query_id", "tenant", "template_id", F.col("rank").cast("bigint"),
+                    F.col("rerank").cast("bigint"), F.round("boosted", 6).alias("boosted"))
+
+
+@register
+def q_matched_tokens(spark, sf):
+    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
+    h = S.attach_catalog(hits, docs_catalog(spark, sf)).join(benchmark_queries(spark, sf), "query_id")
+    e = S.explain_hits(h)
+    return e.select("query_id", "tenant", "template_id", F.array_join("matched_tokens", " ").alias("matched_tokens"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import patterns as P
 from .functions.patterns import sql_str as q
-from .oracle_sql import (LOG_DOCS, LOG_EVENTS, luhn, normalized_ctes, with_)
+from .oracle_sql import (LOG_DOCS, LOG_EVENTS, UNI_WS, luhn, normalized_ctes, with_)
 
 ORACLE: dict[str, str] = {}
 
@@ -239,3 +239,82 @@ j AS (SELECT c.tenant, c.template_id, c.n AS n_after, p.n AS n_before,
   FROM c LEFT JOIN p USING (tenant, template_id))
 SELECT tenant, template_id, event_type, n_after, n_before, tenant || ':' || template_id AS partition_key
 FROM j WHERE event_type IS NOT NULL"""
+
+
+# ------------------------------------------------------------ jobs 7-8
+from .oracle_sql import embed_ctes  # noqa: E402
+
+CENTROIDS = """cen AS (SELECT CAST(label AS VARCHAR) AS query_id, list(v ORDER BY pos) AS qvec FROM (
+  SELECT label, pos, avg(CAST(x AS DOUBLE)) AS v FROM (
+    SELECT label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)
+  GROUP BY label, pos) GROUP BY label)"""
+
+
+@oracle("knn_cosine")
+def _():
+    return with_(CENTROIDS, """sc AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS id,
+  list_cosine_similarity(qvec, CAST(embedding AS DOUBLE[])) AS score FROM cen, embeddings)""") + """
+SELECT query_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10"""
+
+
+def _docs_cand():
+    return mined_ctes("log_docs") + [_cand("TRUE", "dc")]
+
+
+def _docs_vec_ctes():
+    return _docs_cand() + ["dcs AS (SELECT tenant || chr(1) || template_id AS tid, * FROM dc)"] + \
+        embed_ctes("dcs", "tid", "template_text", "tv")
+
+
+@oracle("embed_templates")
+def _():
+    sums = ", ".join(f"round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(vec[{1 + 96 * i}:{96 * (i + 1)}], "
+                     f"lambda x: x::DOUBLE)), lambda a, b: a + b), 5) AS q{i + 1}_sum" for i in range(4))
+    return with_(*_docs_vec_ctes()) + f"""SELECT split_part(id, chr(1), 1) AS tenant,
+  split_part(id, chr(1), 2) AS template_id, CAST(len(vec) AS BIGINT) AS dims, {sums} FROM tv"""
+
+
+def _search_ctes(k: int, where: str = "TRUE") -> list[str]:
+    return _docs_vec_ctes() + [
+        "bq AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark WHERE length(trim(query)) > 0)"
+    ] + embed_ctes("bq", "query_id", "query", "qv") + [
+        f"""sc AS (SELECT qv.id AS query_id, tv.id AS id, split_part(tv.id, chr(1), 1) AS tenant,
+  split_part(tv.id, chr(1), 2) AS template_id,
+  list_cosine_similarity(CAST(qv.vec AS DOUBLE[]), CAST(tv.vec AS DOUBLE[])) AS score
+  FROM qv, tv JOIN dcs ON dcs.tid = tv.id WHERE {where})""",
+        f"""hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM sc) WHERE rank <= {k})"""]
+
+
+@oracle("knn_templates")
+def _():
+    return with_(*_search_ctes(10)) + \
+        "SELECT query_id, tenant, template_id, round(score, 6) AS score, rank FROM hits"
+
+
+@oracle("knn_filtered")
+def _():
+    return with_(*_search_ctes(5, "dcs.label_service = 'en'")) + \
+        "SELECT query_id, tenant, template_id, round(score, 6) AS score, rank FROM hits"
+
+
+@oracle("recency_rerank")
+def _():
+    end = "TIMESTAMP '2024-01-01 12:00:00'"
+    return with_(*_search_ctes(10), f"""b AS (SELECT h.*, h.score + 0.05 / (1 + abs(epoch_us({end}) - epoch_us(dc.last_seen))
+  / 3.6e9) AS boosted FROM hits h JOIN dc USING (tenant, template_id))""") + """SELECT query_id, tenant, template_id,
+  rank, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank) AS rerank,
+  round(boosted, 6) AS boosted FROM b"""
+
+
+@oracle("matched_tokens")
+def _():
+    tok = "'[\\p{L}\\p{Nd}_-]+'"
+    uw = "'^" + UNI_WS + "+|" + UNI_WS + "+$'"
+    return with_(*_search_ctes(10)) + f"""SELECT h.query_id, h.tenant, h.template_id,
+  array_to_string(list_sort(list_intersect(
+     list_distinct(regexp_extract_all(lower(regexp_replace(bq.query, {uw}, '', 'g')), {tok})),
+     list_distinct(regexp_extract_all(lower(regexp_replace(dc.template_text, {uw}, '', 'g')), {tok})))), ' ')
+  AS matched_tokens
+FROM hits h JOIN dc USING (tenant, template_id) JOIN bq USING (query_id)"""
