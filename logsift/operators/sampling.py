@@ -104,6 +104,9 @@ def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = Tr
     """Seq (running total), cur_min, count_10m/1h/24h, key_first_seen, ema."""
     us = epoch_us()
     df = df.withColumn("__sec", F.floor(us / 1_000_000)).withColumn("cur_minute", F.floor(us / 60_000_000))
+    # One shuffle of the rows by (key, second): the rollup below and the
+    # join-back + in-second rank all reuse this partitioning.
+    df = df.repartition(*key, "__sec")
     roll = df.groupBy(*key, "__sec").agg(F.count(F.lit(1)).alias("__c"), F.min("ts").alias("__mints"))
     roll = roll.withColumn("cur_minute", F.floor(F.col("__sec") / 60))
     wk = Window.partitionBy(*key).orderBy("__sec")

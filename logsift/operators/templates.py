@@ -69,10 +69,19 @@ def with_provenance(df: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     return out.drop("__fts", "__fid", "__known")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist a per-row intermediate that several branches consume (aggregate
+    + join-back), so its regex work runs once. MEMORY_AND_DISK: partitions
+    lost with an executor are recomputed from lineage."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def mine(df: DataFrame, preset: str = "basic", regex_profile: str = "code",
-         prior: DataFrame | None = None) -> DataFrame:
+         prior: DataFrame | None = None, persist: bool = True) -> DataFrame:
     """Job 3 in mask mode: templates + provenance + confidence per row."""
-    return with_provenance(with_templates(df, preset, regex_profile), prior)
+    t = with_templates(df, preset, regex_profile)
+    return with_provenance(materialize(t) if persist else t, prior)
 
 
 def exemplars(df: DataFrame, n: int = P.EXEMPLARS_MAX, key: str = "template_id",

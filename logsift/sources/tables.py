@@ -23,6 +23,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when the scan has fewer splits than the
+    cluster's parallelism (e.g. one large row group). The downstream stages
+    are CPU-bound regex/hash work, so one round-robin shuffle of the raw rows
+    is cheaper than running them on a few cores; round-robin repartitioning
+    sorts first, so a retried task sees the same rows. Inputs that already
+    have enough splits (the normal case on a cluster) are left untouched."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def _labels(tenant, service, env, severity):
     return F.create_map(F.lit("tenant"), tenant, F.lit("service"), service,
                         F.lit("env"), env, F.lit("severity"), F.lower(severity))
@@ -42,7 +55,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     msg = F.concat_ws(" ", F.lit("user"), F.col("user_id").cast("string"), F.col("event_type"),
                       F.concat(F.lit("value="), F.round(F.col("value") * 100).cast("bigint").cast("string")),
                       F.concat(F.lit("props="), F.col("props")))
-    return e.select(
+    return balanced(e).select(
         F.col("event_id").alias("log_id"), F.col("ts"),
         tenant.alias("tenant"), F.col("event_type").alias("service"), env.alias("env"),
         sev.alias("severity"),
@@ -54,6 +67,7 @@ def log_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per document line (whole texts, every line)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     d = d.select("doc_id", "lang", "source", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line_no", "line"))
+    d = balanced(d)
     ts = F.expr(f"timestampadd(SECOND, doc_id * 60 + line_no, {EPOCH_NTZ})")
     return d.select(
         (F.col("doc_id") * DOC_LINE_STRIDE + F.col("line_no")).alias("log_id"),
@@ -71,7 +85,7 @@ def log_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.expr(f"timestampadd(MINUTE, page_id, {EPOCH_NTZ})")
     msg = F.concat(F.lit("fetch "), F.col("url"), F.lit(" status=200 bytes="),
                    F.octet_length("html").cast("string"))
-    return p.select(
+    return balanced(p).select(
         F.col("page_id").alias("log_id"), ts.alias("ts"),
         F.lit("web").alias("tenant"), F.lit("crawler").alias("service"), F.lit("prod").alias("env"),
         F.lit("INFO").alias("severity"),
