@@ -310,3 +310,43 @@ def q_matched_tokens(spark, sf):
     h = S.attach_catalog(hits, docs_catalog(spark, sf)).join(benchmark_queries(spark, sf), "query_id")
     e = S.explain_hits(h)
     return e.select("query_id", "tenant", "template_id", F.array_join("matched_tokens", " ").alias("matched_tokens"))
+
+
+# ------------------------------------------------------------ job 9
+from .plans import logql as L  # noqa: E402
+
+
+def docs_plans(spark, sf):
+    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
+    sel = S.attach_catalog(hits, docs_catalog(spark, sf))
+    return L.plan(sel).withColumn("plan_id", F.concat_ws(":", "query_id", F.col("rank").cast("string")))
+
+
+@register
+def q_logql_strings(spark, sf):
+    return docs_plans(spark, sf).select("query_id", F.col("rank").cast("bigint").alias("rank"), "logql")
+
+
+@register
+def q_plan_execute(spark, sf):
+    plans = docs_plans(spark, sf)
+    logs = normalized_docs(spark, sf)
+    m = L.execute_plan(logs, plans)
+    return m.groupBy(F.split("plan_id", ":")[0].alias("query_id"), "service") \
+        .agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("plan_id").alias("plans"))
+
+
+@register
+def q_rate_by_service(spark, sf):
+    r = L.rate(log_events(spark, sf), ["service"])
+    return r.select("window_start", "service", "n", F.round("rate", 6).alias("rate"))
+
+
+@register
+def q_logql_forms(spark, sf):
+    sel = S.attach_catalog(S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=3),
+                           docs_catalog(spark, sf))
+    lit = F.element_at(F.split("template_text", " "), 1)
+    return sel.select("query_id", F.col("rank").cast("bigint").alias("rank"),
+                      L.line_filter_query(F.col("labels"), lit).alias("line_filter"),
+                      L.rate_query(F.col("labels"), lit).alias("rate_query"))

@@ -318,3 +318,49 @@ def _():
      list_distinct(regexp_extract_all(lower(regexp_replace(dc.template_text, {uw}, '', 'g')), {tok})))), ' ')
   AS matched_tokens
 FROM hits h JOIN dc USING (tenant, template_id) JOIN bq USING (query_id)"""
+
+
+# ------------------------------------------------------------ job 9
+def _esc(x: str) -> str:
+    return f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"')"
+
+
+def _selector() -> str:
+    parts = ", ".join(f"CASE WHEN coalesce(length({c}), 0) > 0 THEN '{k}=\"' || {_esc(c)} || '\"' END"
+                      for k, c in (("service", "label_service"), ("env", "label_env")))
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ', ') || '}}'"
+
+
+def _plan_ctes(k: int = 10) -> list[str]:
+    return _search_ctes(k) + [f"""pl AS (SELECT h.query_id, h.rank, h.query_id || ':' || CAST(h.rank AS VARCHAR) AS plan_id,
+  dc.label_service, dc.label_env, dc.regex, dc.template_text,
+  {_selector()} || ' |~ "' || {_esc("CASE WHEN length(trim(dc.regex)) > 0 THEN trim(dc.regex) ELSE regexp_replace(dc.template_text, '[\\\\.+*?()|\\[\\]{{}}^$]', '\\\\\\0', 'g') END")} || '"' AS logql
+  FROM hits h JOIN dc USING (tenant, template_id) WHERE h.rank <= 8)"""]
+
+
+@oracle("logql_strings")
+def _():
+    return with_(*_plan_ctes()) + "SELECT query_id, rank, logql FROM pl"
+
+
+@oracle("plan_execute")
+def _():
+    return with_(*_plan_ctes()) + """SELECT pl.query_id, norm.service, count(*) AS lines,
+  count(DISTINCT plan_id) AS plans
+FROM norm JOIN pl ON norm.service = pl.label_service AND norm.env = pl.label_env
+WHERE regexp_matches(norm.message, pl.regex) GROUP BY ALL"""
+
+
+@oracle("rate_by_service")
+def _():
+    return with_(LOG_EVENTS) + """SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, service,
+  count(*) AS n, round(count(*) / 300.0, 6) AS rate FROM log_events GROUP BY ALL"""
+
+
+@oracle("logql_forms")
+def _():
+    lf = (f"{_selector()} || ' |= \"' || {_esc('split_part(dc.template_text, chr(32), 1)')} || "
+          "'\" | json | line_format \"{{.message}}\"'")
+    return with_(*_search_ctes(3)) + f"""SELECT h.query_id, h.rank, {lf} AS line_filter,
+  'sum(rate(' || {lf} || ' [5m])) by (service, severity)' AS rate_query
+FROM hits h JOIN dc USING (tenant, template_id)"""
