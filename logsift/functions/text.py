@@ -105,7 +105,7 @@ def catalog_labels(labels, allow: list[str] | None = None) -> Column:
     ents = F.filter(F.map_entries(col_(labels)), lambda e: F.array_contains(arr, F.lower(e["key"])))
     ents = F.array_sort(ents, lambda a, b: F.when(a["key"] < b["key"], -1)
                         .when(a["key"] > b["key"], 1).otherwise(0))
-    lowered = F.transform(ents, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    lowered = F.transform(ents, lambda e: F.named_struct(F.lit("key"), F.lower(e["key"]), F.lit("value"), e["value"]))
     # Last occurrence of a lowered key wins: reverse, keep first per key.
     rev = F.reverse(lowered)
     keys = F.transform(rev, lambda e: e["key"])
@@ -134,10 +134,10 @@ def parse_label_string(c) -> Column:
     from the value), skip parts without '=', last duplicate key wins."""
     s = F.regexp_replace(col_(c), "^[{}]+|[{}]+$", "")
     parts = F.filter(F.split(s, ","), lambda p: F.instr(p, "=") > 0)
-    kv = F.transform(parts, lambda p: F.struct(
-        _trim_space(F.substring_index(p, "=", 1)).alias("key"),
-        F.regexp_replace(_trim_space(F.substring(p, F.instr(p, "=") + 1, F.lit(1 << 30))),
-                         '^"+|"+$', "").alias("value")))
+    kv = F.transform(parts, lambda p: F.named_struct(
+        F.lit("key"), _trim_space(F.substring_index(p, "=", 1)),
+        F.lit("value"), F.regexp_replace(_trim_space(F.substring(p, F.instr(p, "=") + 1, F.lit(1 << 30))),
+                                         '^"+|"+$', "")))
     rev = F.reverse(kv)
     keys = F.transform(rev, lambda e: e["key"])
     dedup = F.filter(rev, lambda e, i: F.array_position(keys, e["key"]) == i + 1)

@@ -350,3 +350,202 @@ def q_logql_forms(spark, sf):
     return sel.select("query_id", F.col("rank").cast("bigint").alias("rank"),
                       L.line_filter_query(F.col("labels"), lit).alias("line_filter"),
                       L.rate_query(F.col("labels"), lit).alias("rate_query"))
+
+
+# ------------------------------------------------------------ jobs 1, 5, 10
+from .functions.text import parse_label_string  # noqa: E402
+from .operators import metrics as MX  # noqa: E402
+from .sinks import lines as K  # noqa: E402
+from .sources import payloads as SP  # noqa: E402
+
+
+def _render_map(m):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+
+
+@register
+def q_label_parse(spark, sf):
+    e = log_events(spark, sf)
+    s = F.concat(F.lit('{service="'), F.col("service"), F.lit('", env='), F.col("env"), F.lit(", "),
+                 F.lower("severity"), F.lit(', tenant="'), F.col("tenant"), F.lit('", env="'), F.col("env"),
+                 F.lit('-x"}'))
+    return e.select("log_id", _render_map(parse_label_string(s)).alias("labels"))
+
+
+def _push_docs(spark, sf):
+    e = log_events(spark, sf).withColumn("line", F.col("payload")).withColumn("sink_labels", F.col("labels"))
+    e = e.withColumn("stream_key", K.stream_key(F.col("labels")))
+    return K.push_payloads(K.push_chunks(e), fmt="entries")
+
+
+@register
+def q_push_roundtrip(spark, sf):
+    raw, _ = SP.flatten_push(_push_docs(spark, sf).select(F.col("payload").alias("value")))
+    return raw.select("ts", F.col("labels")["service"].alias("service"), F.col("labels")["env"].alias("env"),
+                      F.col("labels")["severity"].alias("severity"), "payload")
+
+
+SEV_NUM = {"DEBUG": 5, "INFO": 9, "WARN": 13, "ERROR": 17}
+
+
+def _otlp_docs(spark, sf):
+    from .operators.sampling import epoch_us
+    e = log_events(spark, sf).withColumn("minute", F.floor(epoch_us() / 60_000_000))
+    sevn = F.when(F.lit(False), None)
+    for k, v in SEV_NUM.items():
+        sevn = sevn.when(F.col("severity") == k, F.lit(v))
+    rec = F.struct(
+        (epoch_us() * 1000).cast("string").alias("timeUnixNano"), sevn.alias("severityNumber"),
+        F.col("severity").alias("severityText"), F.struct(F.col("payload").alias("stringValue")).alias("body"),
+        F.md5(F.concat(F.lit("u"), F.col("log_id").cast("string"))).alias("traceId"),
+        F.substring(F.md5(F.col("log_id").cast("string")), 1, 16).alias("spanId"))
+    g = e.groupBy("service", "env", "minute").agg(F.sort_array(F.collect_list(F.struct("ts", "log_id", rec.alias("r")))).alias("rs"))
+    at = "struct<key:string,value:struct<stringValue:string,intValue:string>>"
+
+    def attr(k, sv, iv):
+        return F.struct(F.lit(k).alias("key"), F.struct(sv.alias("stringValue"), iv.alias("intValue")).alias("value")).cast(at)
+    none = F.lit(None).cast("string")
+    attrs = F.array(attr("service.name", F.col("service"), none), attr("env", F.col("env"), none),
+                    attr("minute", none, F.col("minute").cast("string")))
+    doc = F.struct(F.array(F.struct(F.struct(attrs.alias("attributes")).alias("resource"), F.array(F.struct(
+        F.struct(F.lit("events").alias("name"), F.lit("1").alias("version")).alias("scope"),
+        F.transform("rs", lambda x: x["r"]).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    return g.select(F.to_json(doc).alias("value"))
+
+
+@register
+def q_otlp_flatten(spark, sf):
+    r = SP.flatten_otlp(_otlp_docs(spark, sf))
+    return r.select("ts", "ts_nanos", _render_map(F.col("labels")).alias("labels"), "payload")
+
+
+def _json_docs(spark, sf):
+    from .operators.sampling import epoch_us
+    e = log_events(spark, sf).withColumn("minute", F.floor(epoch_us() / 60_000_000))
+    rec = F.when(F.col("service") == "error", F.to_json(F.struct(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "labels", "payload",
+        F.lit("error").alias("level")))).otherwise(F.to_json(F.struct(
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "labels", "payload")))
+    g = e.groupBy("tenant", "minute").agg(F.sort_array(F.collect_list(F.struct("ts", "log_id", rec.alias("j")))).alias("rs"))
+    return g.select(F.concat(F.lit('{"records":['), F.array_join(F.transform("rs", lambda x: x["j"]), ","),
+                             F.lit("]}")).alias("value"))
+
+
+@register
+def q_json_batch_rejects(spark, sf):
+    raw, rej = SP.read_json_batches(_json_docs(spark, sf))
+    acc = raw.agg(F.count(F.lit(1)).alias("n")).select(F.lit("accepted_records").alias("reason"), "n")
+    return acc.unionByName(MX.rejects_by_reason(rej).select("reason", F.col("rejected").alias("n")))
+
+
+def kept_entries(spark, sf):
+    d = enforce(decide(mined_events(spark, sf)))
+    kept, _ = route(d)
+    return K.to_sink_entries(kept)
+
+
+@register
+def q_enriched_lines(spark, sf):
+    return kept_entries(spark, sf).select("log_id", "line")
+
+
+@register
+def q_stream_keys(spark, sf):
+    return kept_entries(spark, sf).groupBy("stream_key").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@register
+def q_push_chunks(spark, sf):
+    c = K.push_payloads(K.push_chunks(kept_entries(spark, sf)))
+    return c.select("stream_key", F.col("minute").cast("bigint").alias("minute"),
+                    F.col("entry_chunk").cast("bigint").alias("entry_chunk"),
+                    F.col("byte_chunk").cast("bigint").alias("byte_chunk"), "entries", "bytes")
+
+
+@register
+def q_load_shed(spark, sf):
+    kept, dropped = K.shed(kept_entries(spark, sf), budget_entries=1)
+    return dropped.groupBy(F.col("sink_labels")["severity"].alias("severity"), "reason") \
+        .agg(F.count(F.lit(1)).alias("dropped"))
+
+
+def decided_events(spark, sf):
+    return enforce(decide(mined_events(spark, sf)))
+
+
+@register
+def q_sampling_metrics(spark, sf):
+    m = MX.sampling_metrics(decided_events(spark, sf))
+    return m.withColumn("sample_rate", F.round("sample_rate", 6))
+
+
+@register
+def q_suppressed_rollup(spark, sf):
+    _, sup = route(decided_events(spark, sf))
+    return MX.suppressed_rollup(sup, "1 day")
+
+
+@register
+def q_tenant_volume(spark, sf):
+    return MX.tenant_volume(decided_events(spark, sf)).withColumn("kept_ratio", F.round("kept_ratio", 6))
+
+
+@register
+def q_records_by_schema(spark, sf):
+    u = normalized_docs(spark, sf).select("protocol", "schema").unionByName(
+        normalized_events(spark, sf).select("protocol", "schema"))
+    return MX.records_by_schema(u)
+
+
+@register
+def q_active_streams(spark, sf):
+    return MX.active_streams(kept_entries(spark, sf))
+
+
+@register
+def q_label_cardinality(spark, sf):
+    return MX.label_cardinality(log_events(spark, sf))
+
+
+@register
+def q_message_histogram(spark, sf):
+    n = normalized_docs(spark, sf)
+    return MX.histogram(n, F.octet_length("message"), [64, 256, 1024, 4096, 16384], by=["service"]) \
+        .select("service", F.col("bucket").cast("bigint"), "le", "count")
+
+
+@register
+def q_alerts(spark, sf):
+    m = mined_events(spark, sf)
+    rules = m.select("template_id").distinct().withColumn("min_count", F.lit(3)).withColumn("min_ratio", F.lit(2.0))
+    a = MX.alerts(m, rules)
+    return a.select("template_id", "window_start", "n", "prev_n", F.round("ratio", 6).alias("ratio"))
+
+
+@register
+def q_spike_topk(spark, sf):
+    from .operators.sampling import spike_topk
+    t = spike_topk(with_key(mined_events(spark, sf)), "1 day", 3)
+    return t.select("key_tenant", F.col("win.start").alias("window_start"), "template_id", "n",
+                    F.col("rank").cast("bigint"))
+
+
+@register
+def q_deploy_asof(spark, sf):
+    m = mined_events(spark, sf)
+    tmpl = m.groupBy("service", "template_id").agg(F.min("ts").alias("first_seen"))
+    deploys = m.groupBy("service", F.to_date("ts").alias("d")).agg(F.min("ts").alias("deployed_at")) \
+        .select("service", "deployed_at", F.concat_ws("@", "service", F.col("d").cast("string")).alias("deploy_id"))
+    return MX.correlate_deploys(tmpl, deploys)
+
+
+@register
+def q_incident_keep(spark, sf):
+    from .operators.sampling import keep_incident
+    n = normalized_events(spark, sf).withColumn("correlation_id", F.concat(F.lit("u"),
+                                                                           F.split("payload", " ")[1]))
+    ev = read_table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("value") >= 99))
+    inc = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("trace_id"),
+                    F.expr("timestampadd(HOUR, -1, ts)").alias("start"), F.expr("timestampadd(HOUR, 1, ts)").alias("end"))
+    k = keep_incident(n, inc)
+    return k.groupBy("service", "incident").agg(F.count(F.lit(1)).alias("records"))

@@ -364,3 +364,200 @@ def _():
     return with_(*_search_ctes(3)) + f"""SELECT h.query_id, h.rank, {lf} AS line_filter,
   'sum(rate(' || {lf} || ' [5m])) by (service, severity)' AS rate_query
 FROM hits h JOIN dc USING (tenant, template_id)"""
+
+
+# ------------------------------------------------------------ jobs 1, 5, 10
+TRIMWS = "'^[\\s\\x{85}\\x{A0}]+|[\\s\\x{85}\\x{A0}]+$'"
+
+
+@oracle("label_parse")
+def _():
+    return with_(LOG_EVENTS, """s AS (SELECT log_id, '{service="' || service || '", env=' || env || ', ' || lower(severity)
+  || ', tenant="' || tenant || '", env="' || env || '-x"}' AS s FROM log_events)""",
+                 f"""p AS (SELECT log_id, list_transform(list_filter(string_split(regexp_replace(s, '^[{{}}]+|[{{}}]+$', '', 'g'), ','),
+    lambda x: strpos(x, '=') > 0), lambda x: {{'k': regexp_replace(substr(x, 1, strpos(x, '=') - 1), {TRIMWS}, '', 'g'),
+    'v': regexp_replace(regexp_replace(substr(x, strpos(x, '=') + 1), {TRIMWS}, '', 'g'), '^"+|"+$', '', 'g')}}) AS kv
+  FROM s)""") + """SELECT log_id, array_to_string(list_sort(list_transform(
+  list_filter(kv, lambda e, i: NOT list_contains(list_transform(kv[i + 1:], lambda z: z.k), e.k)),
+  lambda e: e.k || '=' || e.v)), ';') AS labels FROM p"""
+
+
+@oracle("push_roundtrip")
+def _():
+    return with_(LOG_EVENTS) + "SELECT ts, service, env, lower(severity) AS severity, payload FROM log_events"
+
+
+@oracle("otlp_flatten")
+def _():
+    sevn = "CASE severity WHEN 'DEBUG' THEN 5 WHEN 'INFO' THEN 9 WHEN 'WARN' THEN 13 WHEN 'ERROR' THEN 17 END"
+    return with_(LOG_EVENTS) + f"""SELECT ts, epoch_us(ts) * 1000 AS ts_nanos, array_to_string(list_sort([
+  'env=' || env, 'scope.name=events', 'scope.version=1', 'service.name=' || service,
+  'severity_number=' || CAST({sevn} AS VARCHAR), 'severity_text=' || severity,
+  'span_id=' || substr(md5(CAST(log_id AS VARCHAR)), 1, 16), 'trace_id=' || md5('u' || CAST(log_id AS VARCHAR))]), ';')
+  AS labels, payload FROM log_events"""
+
+
+@oracle("json_batch_rejects")
+def _():
+    return with_(LOG_EVENTS, """b AS (SELECT tenant, epoch_us(ts) // 60000000 AS minute, count(*) AS n,
+  bool_or(service = 'error') AS bad FROM log_events GROUP BY ALL)""") + """
+SELECT 'accepted_records' AS reason, CAST(coalesce(sum(n) FILTER (WHERE NOT bad), 0) AS BIGINT) AS n FROM b
+UNION ALL SELECT 'bad_json', count(*) FROM b WHERE bad"""
+
+
+def _rfc3339(ts: str) -> str:
+    return (f"strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({ts}) % 1000000 = 0 THEN '' ELSE '.' || "
+            f"rtrim(lpad(CAST(epoch_us({ts}) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z'")
+
+
+def _kept_ctes():
+    line = f"""'{{' || concat_ws(',',
+    '"action":' || to_json(lower(action)),
+    '"enforced":' || CASE WHEN shadow THEN 'false' ELSE 'true' END,
+    CASE WHEN NOT shadow THEN '"keep_reason":' || to_json(keep_reason) END,
+    CASE WHEN shadow THEN '"keep_reason_shadow":' || to_json(keep_reason) END,
+    '"labels":{{"env":' || to_json(env) || ',"service":' || to_json(service) || ',"severity":'
+      || to_json(lower(severity)) || ',"tenant":' || to_json(tenant) || '}}',
+    '"message":' || to_json(message),
+    '"policy_version":' || to_json(policy_version),
+    CASE WHEN applied THEN '"redaction_applied":true' END,
+    CASE WHEN applied THEN '"redaction_count":' || CAST(redaction_count AS VARCHAR) END,
+    CASE WHEN applied THEN '"redaction_rules":' || to_json(rd_rules) END,
+    '"sample_rate":' || CAST(sample_rate AS VARCHAR),
+    CASE WHEN applied THEN '"sanitized":true' END,
+    '"schema":' || to_json(schema),
+    CASE WHEN shadow THEN '"shadow":true' END,
+    '"template_id":' || to_json(template_id),
+    '"ts":"' || {_rfc3339('ts')} || '"') || '}}'"""
+    return [
+        "en AS (SELECT *, severity IN ('FATAL', 'DEBUG') AS enforced FROM decided)",
+        "kept AS (SELECT *, NOT enforced AS shadow FROM en WHERE NOT (enforced AND action = 'SUPPRESS'))",
+        f"""ent AS (SELECT *, replace(replace(replace({line}, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS line,
+  'env=' || env || ',namespace=default,pod=unknown,service=' || service || ',severity=' || lower(severity) AS stream_key,
+  epoch_us(ts) // 60000000 AS minute FROM kept)"""]
+
+
+def _sink(sql: str) -> str:
+    return _decided(Policy()) + ", " + ",\n".join(_kept_ctes()) + "\n" + sql
+
+
+@oracle("enriched_lines")
+def _():
+    return _sink("SELECT log_id, line FROM ent")
+
+
+@oracle("stream_keys")
+def _():
+    return _sink("SELECT stream_key, count(*) AS entries FROM ent GROUP BY ALL")
+
+
+@oracle("active_streams")
+def _():
+    return _sink("SELECT count(DISTINCT stream_key) AS active_streams FROM ent")
+
+
+@oracle("push_chunks")
+def _():
+    return _sink("""SELECT stream_key, minute, entry_chunk, byte_chunk, count(*) AS entries, sum(b) AS bytes FROM (
+  SELECT *, CAST(floor(coalesce(sum(b) OVER (PARTITION BY stream_key, minute, entry_chunk ORDER BY ts, log_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000000) AS BIGINT) AS byte_chunk FROM (
+    SELECT *, (row_number() OVER (PARTITION BY stream_key, minute ORDER BY ts, log_id) - 1) // 5000 AS entry_chunk,
+      strlen(line) + 32 AS b FROM ent)) GROUP BY ALL""")
+
+
+@oracle("load_shed")
+def _():
+    return _sink("""SELECT lower(severity) AS severity, 'buffer_full' AS reason, count(*) AS dropped FROM (
+  SELECT *, row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts, log_id) AS pos FROM ent)
+WHERE pos > 1 AND lower(severity) = 'debug' GROUP BY ALL""")
+
+
+def _en(sql: str) -> str:
+    return _decided(Policy()) + ", en AS (SELECT *, severity IN ('FATAL', 'DEBUG') AS enforced FROM decided)\n" + sql
+
+
+@oracle("sampling_metrics")
+def _():
+    rs = ", ".join(f"count(*) FILTER (WHERE action = 'KEEP' AND keep_reason = '{r}') AS kept_{r.lower()}"
+                   for r in ["SEVERITY", "NOVEL", "SPIKE", "WARMUP", "LOG2", "BUDGET", "STEADYK"])
+    return _en(f"""SELECT key_tenant, count(*) AS processed, count(*) FILTER (WHERE action = 'KEEP') AS kept,
+  count(*) FILTER (WHERE action = 'SUPPRESS') AS suppressed, {rs},
+  round(count(*) FILTER (WHERE action = 'KEEP') / count(*), 6) AS sample_rate FROM en GROUP BY key_tenant""")
+
+
+@oracle("suppressed_rollup")
+def _():
+    return _en("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, key_tenant, template_id, key_service,
+  key_env, severity, count(*) AS suppressed, sum(strlen(message)) AS bytes
+FROM en WHERE enforced AND action = 'SUPPRESS' GROUP BY ALL""")
+
+
+@oracle("tenant_volume")
+def _():
+    return _en("""SELECT key_tenant, count(*) AS lines, sum(strlen(payload)) AS bytes_in,
+  sum(CASE WHEN action = 'KEEP' THEN strlen(payload) ELSE 0 END) AS bytes_kept,
+  count(*) FILTER (WHERE action = 'KEEP') AS lines_kept,
+  round(count(*) FILTER (WHERE action = 'KEEP') / count(*), 6) AS kept_ratio FROM en GROUP BY key_tenant""")
+
+
+@oracle("records_by_schema")
+def _():
+    logfmt = q(P.LOGFMT_PAIR)
+    cls = f"""CASE WHEN starts_with(trim(payload), '{{') AND json_valid(trim(payload)) THEN 'JSON'
+            WHEN NOT starts_with(trim(payload), '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
+            ELSE 'TEXT' END"""
+    return with_(LOG_DOCS, LOG_EVENTS, "u AS (SELECT payload FROM log_docs UNION ALL SELECT payload FROM log_events)") + \
+        f"SELECT 'table' AS protocol, {cls} AS schema, count(*) AS records FROM u GROUP BY ALL"
+
+
+@oracle("label_cardinality")
+def _():
+    return with_(LOG_EVENTS, """kv AS (SELECT 'tenant' AS k, tenant AS v FROM log_events
+  UNION ALL SELECT 'service', service FROM log_events UNION ALL SELECT 'env', env FROM log_events
+  UNION ALL SELECT 'severity', lower(severity) FROM log_events)""") + \
+        "SELECT k, count(DISTINCT v) AS approx_distinct, count(*) AS rows FROM kv GROUP BY k"
+
+
+@oracle("message_histogram")
+def _():
+    edges = [64, 256, 1024, 4096, 16384]
+    b = "CASE " + " ".join(f"WHEN strlen(message) <= {e} THEN {i}" for i, e in enumerate(edges)) + f" ELSE {len(edges)} END"
+    le = "CASE " + " ".join(f"WHEN strlen(message) <= {e} THEN '{e}'" for e in edges) + " ELSE '+Inf' END"
+    return with_(*normalized_ctes("log_docs")) + \
+        f"SELECT service, CAST({b} AS BIGINT) AS bucket, {le} AS le, count(*) AS count FROM norm GROUP BY ALL"
+
+
+@oracle("alerts")
+def _():
+    return with_(*mined_ctes("log_events"), """r AS (SELECT template_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+  count(*) AS n FROM mined GROUP BY ALL)""", """l AS (SELECT *, lag(n) OVER (PARTITION BY template_id ORDER BY window_start)
+  AS prev_n FROM r)""") + """SELECT template_id, window_start, n, prev_n, round(n / prev_n, 6) AS ratio FROM l
+WHERE n >= 3 AND (prev_n IS NULL OR n / prev_n >= 2.0)"""
+
+
+@oracle("spike_topk")
+def _():
+    return with_(*counter_ctes("log_events")) + """SELECT key_tenant, window_start, template_id, n, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY key_tenant, window_start ORDER BY n DESC, template_id) AS rank FROM (
+    SELECT key_tenant, time_bucket(INTERVAL 1 DAY, ts) AS window_start, template_id, count(*) AS n
+    FROM sk GROUP BY ALL)) WHERE rank <= 3"""
+
+
+@oracle("deploy_asof")
+def _():
+    return with_(*mined_ctes("log_events"),
+                 "t AS (SELECT service, template_id, min(ts) AS first_seen FROM mined GROUP BY ALL)",
+                 """d AS (SELECT service, min(ts) AS deployed_at, service || '@' || CAST(CAST(ts AS DATE) AS VARCHAR) AS deploy_id
+  FROM mined GROUP BY service, CAST(ts AS DATE))""") + """SELECT t.service, t.template_id, t.first_seen,
+  d.deploy_id AS last_deploy, d.deployed_at AS last_deploy_at
+FROM t ASOF LEFT JOIN d ON t.service = d.service AND t.first_seen >= d.deployed_at"""
+
+
+@oracle("incident_keep")
+def _():
+    return with_(LOG_EVENTS, """inc AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS trace_id, ts - INTERVAL 1 HOUR AS s,
+  ts + INTERVAL 1 HOUR AS e FROM events WHERE event_type = 'error' AND value >= 99)""",
+                 """hit AS (SELECT DISTINCT l.log_id FROM log_events l JOIN inc
+  ON inc.trace_id = 'u' || split_part(l.payload, ' ', 2) AND l.ts >= inc.s AND l.ts <= inc.e)""") + """
+SELECT service, hit.log_id IS NOT NULL AS incident, count(*) AS records
+FROM log_events LEFT JOIN hit USING (log_id) GROUP BY ALL"""
