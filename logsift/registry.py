@@ -549,3 +549,21 @@ def q_incident_keep(spark, sf):
                     F.expr("timestampadd(HOUR, -1, ts)").alias("start"), F.expr("timestampadd(HOUR, 1, ts)").alias("end"))
     k = keep_incident(n, inc)
     return k.groupBy("service", "incident").agg(F.count(F.lit(1)).alias("records"))
+
+
+# ------------------------------------------------------------ M1 Drain (rows-only check)
+from .operators.drain import drain  # noqa: E402
+
+
+@register
+def q_drain_templates(spark, sf):
+    d = drain(normalized_events(spark, sf), context=["service"])
+    return d.select("log_id", "template_id", "template", F.round(F.col("confidence").cast("double"), 6).alias("confidence"),
+                    "drain_cluster")
+
+
+@register
+def q_drain_docs(spark, sf):
+    d = drain(normalized_docs(spark, sf))
+    return d.groupBy("tenant", "template_id").agg(F.first("template").alias("template"),
+                                                  F.count(F.lit(1)).alias("lines"))

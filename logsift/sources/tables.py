@@ -30,6 +30,8 @@ def balanced(df: DataFrame) -> DataFrame:
     is cheaper than running them on a few cores; round-robin repartitioning
     sorts first, so a retried task sees the same rows. Inputs that already
     have enough splits (the normal case on a cluster) are left untouched."""
+    if df.isStreaming:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
@@ -48,7 +50,11 @@ def event_severity(event_type):
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event: ``user <id> <type> value=<cents> props=<json>``."""
-    e = read_table(spark, sf_dir, "events")
+    return log_events_from(read_table(spark, sf_dir, "events"))
+
+
+def log_events_from(e: DataFrame) -> DataFrame:
+    """``log_events`` over any events frame (batch or ``readStream``)."""
     tenant = F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))
     env = F.when(F.col("user_id") % 2 == 0, "prod").otherwise("dev")
     sev = event_severity(F.col("event_type"))
