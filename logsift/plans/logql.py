@@ -76,16 +76,32 @@ def alternation_query(selected: DataFrame, group_col: str = "query_id") -> DataF
         F.lit('"')).alias("logql"))
 
 
+def plan_anchor(template: Column) -> Column:
+    """Longest literal *middle* token of a template (no placeholder), or null.
+
+    The plan regex escapes every literal and keeps single spaces, so a middle
+    literal token t only matches as `` t `` - i.e. as a whole space-delimited
+    token of a whitespace-canonical message. Joining on it is an exact
+    prefilter: no matching line is lost."""
+    toks = F.split(template, " ")
+    middle = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
+    lit = F.filter(middle, lambda t: ~t.rlike("<[^<>]+>") & (F.length(t) > 0))
+    ranked = F.array_sort(lit, lambda a, b: F.when(F.length(a) > F.length(b), -1)
+                          .when(F.length(a) < F.length(b), 1)
+                          .when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.element_at(ranked, 1)
+
+
 def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
                  keys: list[str] | None = None) -> DataFrame:
-    """J5 + P5: log lines that satisfy a plan: selector labels equal (for the
-    labels the plan sets) and the message matches the plan regex.
-
-    Plans are bounded (max_templates per query) and broadcast behind a size
-    check; the join is a hash join on the selector labels, then ``rlike``
-    against the plan's regex, so each log line is only tested against plans
-    with its own label values. Without a broadcastable plan set the same join
-    runs as a shuffle join."""
+    """J5 + P5: log lines that satisfy a plan: selector labels equal and the
+    message matches the plan regex (``|~`` = partial match).
+
+    Plans with an anchor token (see ``plan_anchor``) join the lines' distinct
+    tokens on (labels, token), so the regex only runs on candidate pairs;
+    plans without one join on the labels alone. Plans are bounded
+    (max_templates per query) and broadcast behind a size check, else the
+    same joins run as shuffle joins."""
     keys = keys or P.SELECTOR_LABELS
     lg = logs
     if start is not None:
@@ -94,17 +110,19 @@ def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
         lg = lg.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
     lg = lg.select("log_id", "ts", "message", *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__l_{k}")
                                                  for k in keys])
-    pl = plans.select("plan_id", "regex", *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}")
-                                            for k in keys])
+    pl = plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"),
+                      *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}") for k in keys])
     b = checked_broadcast(pl, "plans")
     pl = b if b is not None else pl
-    # Equality on every selector key: a plan's blank label means "any", which
-    # we express by expanding nothing - the selector keys present in this data
-    # are always set (catalog labels come from the same rows).
     cond = [F.col(f"__l_{k}") == F.col(f"__p_{k}") for k in keys]
-    j = lg.join(pl, cond)
-    return j.filter(F.expr("message RLIKE regex")) \
-        .select("plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in keys])
+    anchored = pl.filter(F.col("__anchor").isNotNull())
+    loose = pl.filter(F.col("__anchor").isNull())
+    toks = lg.select("*", F.explode(F.array_distinct(F.split("message", " "))).alias("__tok"))
+    j1 = toks.join(anchored, cond + [F.col("__tok") == F.col("__anchor")]).drop("__tok")
+    j2 = lg.join(loose, cond)
+    cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in keys]]
+    return j1.filter(F.expr("message RLIKE regex")).select(*cols).unionByName(
+        j2.filter(F.expr("message RLIKE regex")).select(*cols))
 
 
 def rate(df: DataFrame, by: list[str], window: str = "5 minutes", seconds: int = 300) -> DataFrame:

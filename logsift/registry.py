@@ -316,9 +316,14 @@ def q_matched_tokens(spark, sf):
 from .plans import logql as L  # noqa: E402
 
 
-def docs_plans(spark, sf):
-    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
-    sel = S.attach_catalog(hits, docs_catalog(spark, sf))
+def docs_plans(spark, sf, normalized=None):
+    if normalized is None:
+        cat = docs_catalog(spark, sf)
+    else:
+        from .operators.catalog import to_candidates
+        cat = to_candidates(mine(normalized))
+    hits = S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=10)
+    sel = S.attach_catalog(hits, cat)
     return L.plan(sel).withColumn("plan_id", F.concat_ws(":", "query_id", F.col("rank").cast("string")))
 
 
@@ -329,8 +334,9 @@ def q_logql_strings(spark, sf):
 
 @register
 def q_plan_execute(spark, sf):
-    plans = docs_plans(spark, sf)
-    logs = normalized_docs(spark, sf)
+    from .operators.templates import materialize
+    logs = materialize(normalized_docs(spark, sf))  # feeds the catalog and the scan
+    plans = docs_plans(spark, sf, logs)
     m = L.execute_plan(logs, plans)
     return m.groupBy(F.split("plan_id", ":")[0].alias("query_id"), "service") \
         .agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("plan_id").alias("plans"))
