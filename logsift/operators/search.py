@@ -58,7 +58,7 @@ def point_id(template_id: Column) -> Column:
     """Optional numeric point id: 31-polynomial hash of the id's UTF-8 bytes
     mod 2^64, as a decimal (exact, no overflow under ANSI mode)."""
     hexs = F.regexp_extract_all(F.hex(template_id.cast("binary")), F.lit("(..)"), 1)
-    mod = F.lit(18446744073709551616).cast("decimal(38,0)")
+    mod = F.lit("18446744073709551616").cast("decimal(38,0)")
     return F.aggregate(hexs, F.lit(0).cast("decimal(38,0)"),
                        lambda acc, h: F.pmod(acc * 31 + F.conv(h, 16, 10).cast("decimal(38,0)"), mod)
                        .cast("decimal(38,0)")).cast("decimal(20,0)")

@@ -573,3 +573,128 @@ def q_drain_docs(spark, sf):
     d = drain(normalized_docs(spark, sf))
     return d.groupBy("tenant", "template_id").agg(F.first("template").alias("template"),
                                                   F.count(F.lit(1)).alias("lines"))
+
+
+# ------------------------------------------------------------ remaining operators
+from .operators import templates as T  # noqa: E402
+
+
+def events_templates(spark, sf):
+    """Distinct (tenant, template) of the event logs (catalog rows)."""
+    c = C.to_candidates(mined_events(spark, sf))
+    return c.select("tenant", "template_id", F.col("template_text").alias("template"), "first_seen")
+
+
+@register
+def q_template_drift(spark, sf):
+    d = T.template_drift(mined_events(spark, sf).filter(~F.col("from_fallback")))
+    return d.select("leaf", "template_id", "first_seen", F.col("version").cast("bigint"))
+
+
+@register
+def q_template_similarity(spark, sf):
+    t = events_templates(spark, sf)
+    pairs = T.hamming_neighbors(t, ["tenant"])
+    a = t.select("tenant", F.col("template_id").alias("id_a"), F.col("template").alias("template_a"))
+    b = t.select("tenant", F.col("template_id").alias("id_b"), F.col("template").alias("template_b"))
+    p = pairs.join(a, ["tenant", "id_a"]).join(b, ["tenant", "id_b"])
+    s = T.template_similarity(p)
+    return s.select("tenant", "id_a", "id_b", F.round("edit_norm", 6).alias("edit_norm"),
+                    F.round("jaccard", 6).alias("jaccard"), F.col("hamming").cast("bigint"))
+
+
+@register
+def q_merge_templates(spark, sf):
+    m = T.merge_templates(events_templates(spark, sf), ["tenant"])
+    return m.select("tenant", "template_id", "canonical_id")
+
+
+@register
+def q_split_candidates(spark, sf):
+    return T.split_candidates(mined_events(spark, sf), limit=50)
+
+
+@register
+def q_grouping_buckets(spark, sf):
+    g = T.grouping_buckets(normalized_events(spark, sf))
+    return g.select("tenant", "masked", "bucket", "size", "first_seen", "last_seen",
+                    F.array_join("exemplars", "\n").alias("exemplars"))
+
+
+@register
+def q_refine_budget(spark, sf):
+    r = T.refine_budget(normalized_docs(spark, sf), qpm=60)
+    return r.groupBy("tenant", "refine_allowed").agg(F.count(F.lit(1)).alias("records"))
+
+
+CUSTOM_RULES = [
+    {"rule_id": "purchase", "priority": 10, "pattern": r"^user \S+ purchase ", "template": "user <*> purchase <*>"},
+    {"rule_id": "error", "priority": 5, "pattern": r" error value=", "template": "user <*> error value=<*>"},
+]
+
+
+@register
+def q_custom_templates(spark, sf):
+    c = T.apply_custom_templates(mined_events(spark, sf), CUSTOM_RULES)
+    return c.groupBy("custom_rule", "template_id", "template").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_p95_spikes(spark, sf):
+    from .operators.sampling import p95_spikes
+    return p95_spikes(mined_events(spark, sf), window_minutes=60, factor=1.0).filter("spike")
+
+
+@register
+def q_budget_k(spark, sf):
+    from .operators.sampling import budget_k
+    b = budget_k(with_key(log_events(spark, sf)), max_qps=0.5)
+    return b.groupBy("key_tenant", "severity", "k_eff").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_template_browse(spark, sf):
+    page, total, more = L.list_templates(events_catalog(spark, sf), filters={"service": "click"}, limit=20, offset=5)
+    return page.select("tenant", "template_id", "last_seen", F.lit(total).cast("bigint").alias("total"),
+                       F.lit(more).alias("has_more"))
+
+
+@register
+def q_retain(spark, sf):
+    pol = spark.createDataFrame([("t0", 7), ("t1", 14)], "tenant string, retention_days int")
+    r = K.retain(log_events(spark, sf), pol, "2024-01-31 00:00:00")
+    return r.groupBy("tenant").agg(F.count(F.lit(1)).alias("records"), F.min("ts").alias("oldest"))
+
+
+@register
+def q_publish_ack(spark, sf):
+    cand = C.candidate_defaults(C.to_candidates(mined_docs(spark, sf)), _ntz(AS_OF))
+    ok, bad = C.validate_candidates(cand)
+    return C.publish_ack(ok, bad)
+
+
+@register
+def q_vector_reembed(spark, sf):
+    m = mined_events(spark, sf)
+    before = C.fold_catalog(C.to_candidates(m.filter(F.col("ts") < _ntz(SPLIT))))
+    after = events_catalog(spark, sf)
+    todo = S.needs_embedding(after, S.template_vectors(before))
+    return todo.select("tenant", "template_id", "template_version",
+                       S.point_id(F.col("template_id")).cast("string").alias("point_id"))
+
+
+@register
+def q_promote_fields(spark, sf):
+    from .operators.normalize import promote_fields
+    f = promote_fields(normalized_events(spark, sf))
+    return f.select(F.explode("fields").alias("k", "v")).groupBy("k").agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("v").alias("values"))
+
+
+@register
+def q_oversize_rejects(spark, sf):
+    from .operators.normalize import reject_oversize
+    p = read_table(spark, sf, "pages").select(F.col("page_id").alias("log_id"), F.col("html").alias("payload"))
+    ok, bad = reject_oversize(p, max_log_size=16384)
+    return MX.rejects_by_reason(bad).unionByName(
+        ok.agg(F.count(F.lit(1)).alias("rejected")).select(F.lit("accepted").alias("reason"), "rejected"))

@@ -561,3 +561,97 @@ def _():
   ON inc.trace_id = 'u' || split_part(l.payload, ' ', 2) AND l.ts >= inc.s AND l.ts <= inc.e)""") + """
 SELECT service, hit.log_id IS NOT NULL AS incident, count(*) AS records
 FROM log_events LEFT JOIN hit USING (log_id) GROUP BY ALL"""
+
+
+# ------------------------------------------------------------ remaining operators
+@oracle("template_drift")
+def _():
+    return with_(*mined_ctes("log_events"), """f AS (SELECT CAST(len(string_split(template, ' ')) AS VARCHAR) || ':'
+  || split_part(template, ' ', 1) AS leaf, template_id, min(ts) AS first_seen FROM mined WHERE NOT from_fallback
+  GROUP BY ALL)""") + """SELECT leaf, template_id, first_seen,
+  row_number() OVER (PARTITION BY leaf ORDER BY first_seen, template_id) AS version FROM f"""
+
+
+@oracle("template_similarity")
+def _():
+    return with_(*mined_ctes("log_events"), _cand("TRUE", "ec"),
+                 "t AS (SELECT tenant, template_id, template_text AS tpl, string_split(template_text, ' ') AS tk FROM ec)",
+                 """p AS (SELECT a.tenant, a.template_id AS id_a, b.template_id AS id_b, a.tpl AS ta, b.tpl AS tb,
+  a.tk AS ka, b.tk AS kb FROM t a JOIN t b ON a.tenant = b.tenant AND len(a.tk) = len(b.tk)
+  AND a.template_id < b.template_id)""",
+                 """h AS (SELECT *, list_sum(list_transform(range(1, len(ka) + 1),
+  lambda i: CASE WHEN ka[i] = kb[i] THEN 0 ELSE 1 END)) AS hamming FROM p)""") + """SELECT tenant, id_a, id_b,
+  round(levenshtein(ta, tb) / greatest(length(ta), length(tb), 1), 6) AS edit_norm,
+  round(len(list_intersect(list_distinct(ka), list_distinct(kb))) / len(list_distinct(list_concat(ka, kb))), 6) AS jaccard,
+  CAST(hamming AS BIGINT) AS hamming FROM h WHERE hamming <= 1"""
+
+
+@oracle("refine_budget")
+def _():
+    return with_(LOG_DOCS) + """SELECT tenant, rn <= 60 AS refine_allowed, count(*) AS records FROM (
+  SELECT tenant, row_number() OVER (PARTITION BY tenant, date_trunc('minute', ts) ORDER BY ts, log_id) AS rn
+  FROM log_docs) GROUP BY ALL"""
+
+
+@oracle("custom_templates")
+def _():
+    return with_(*mined_ctes("log_events")) + r"""SELECT custom_rule, CASE WHEN custom_rule IS NULL THEN template_id
+  ELSE substr(sha1(tpl), 1, 16) END AS template_id, tpl AS template, count(*) AS records FROM (
+  SELECT *, CASE WHEN regexp_matches(message, '^user \S+ purchase ') THEN 'purchase'
+                 WHEN regexp_matches(message, ' error value=') THEN 'error' END AS custom_rule,
+            CASE WHEN regexp_matches(message, '^user \S+ purchase ') THEN 'user <*> purchase <*>'
+                 WHEN regexp_matches(message, ' error value=') THEN 'user <*> error value=<*>'
+                 ELSE template END AS tpl FROM mined) GROUP BY ALL"""
+
+
+@oracle("budget_k")
+def _():
+    return with_(LOG_EVENTS, """q AS (SELECT *, count(*) OVER (PARTITION BY tenant, epoch_us(ts) // 1000000) AS qps,
+  CASE severity WHEN 'DEBUG' THEN 500 WHEN 'INFO' THEN 100 WHEN 'WARN' THEN 10 ELSE 100 END AS k FROM log_events)""") + \
+        """SELECT tenant AS key_tenant, severity, CAST(CASE WHEN severity IN ('DEBUG', 'INFO')
+  THEN k * greatest(1, ceil(qps / 0.5)) ELSE k END AS BIGINT) AS k_eff, count(*) AS records FROM q GROUP BY ALL"""
+
+
+@oracle("template_browse")
+def _():
+    return with_(*_catalog_ctes(), "f AS (SELECT * FROM cat WHERE label_service = 'click')") + """SELECT tenant,
+  template_id, last_seen, (SELECT count(*) FROM f) AS total, 5 + 20 < (SELECT count(*) FROM f) AS has_more
+FROM f ORDER BY last_seen DESC, tenant, template_id LIMIT 20 OFFSET 5"""
+
+
+@oracle("retain")
+def _():
+    return with_(LOG_EVENTS) + """SELECT tenant, count(*) AS records, min(ts) AS oldest FROM log_events
+WHERE CASE tenant WHEN 't0' THEN ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY
+                  WHEN 't1' THEN ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY ELSE TRUE END GROUP BY tenant"""
+
+
+@oracle("publish_ack")
+def _():
+    return with_(*_docs_cand()) + "SELECT count(*) AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(NULL AS VARCHAR) AS note FROM dc"
+
+
+@oracle("vector_reembed")
+def _():
+    pid = ("CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(range(1, length(template_id) + 1), "
+           "lambda i: CAST(ascii(substr(template_id, i, 1)) AS HUGEINT))), "
+           "lambda acc, b: (acc * 31 + b) % 18446744073709551616) AS VARCHAR)")
+    return with_(*_catalog_ctes(), """b AS (SELECT tenant, template_id, substr(sha1(template_text || chr(10) || regex), 1, 16)
+  AS v FROM c_before)""", """a AS (SELECT tenant, template_id, substr(sha1(template_text || chr(10) || regex), 1, 16)
+  AS template_version FROM cat)""") + f"""SELECT tenant, template_id, template_version, {pid} AS point_id
+FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tenant = a.tenant AND b.template_id = a.template_id
+  AND b.v = a.template_version)"""
+
+
+@oracle("promote_fields")
+def _():
+    kv = "'([A-Za-z0-9_.\\-]+)=(\"[^\"]*\"|[^\\t\\n\\f\\r \"]+)'"
+    return with_(*normalized_ctes("log_events"), f"""f AS (SELECT unnest(regexp_extract_all(payload, {kv}, 1)) AS k,
+  regexp_replace(unnest(regexp_extract_all(payload, {kv}, 2)), '^"|"$', '', 'g') AS v FROM norm WHERE schema = 'LOGFMT')""") + \
+        "SELECT k, count(*) AS records, count(DISTINCT v) AS values FROM f GROUP BY k"
+
+
+@oracle("oversize_rejects")
+def _():
+    return """SELECT 'too_large' AS reason, count(*) AS rejected FROM pages WHERE strlen(html) > 16384
+UNION ALL SELECT 'accepted', count(*) FROM pages WHERE strlen(html) <= 16384"""
