@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.templates import (group_signature, mask, template_id, template_regex,
-                                   template_version, token_seq)
+from ..functions.templates import group_signature, mask, template_id, template_regex, token_seq
 from .normalize import unicode_trim
 
 FALLBACK_MISSING = "missing"

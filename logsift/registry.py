@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .functions import patterns as P
 from .functions.redact import luhn_ok
-from .functions.templates import group_signature, mask, template_id, template_regex, token_seq
 from .operators.normalize import normalize
 from .sources.tables import log_docs, log_events, log_pages, read_table
 
@@ -232,7 +231,6 @@ def q_template_events(spark, sf):
 
 
 # ------------------------------------------------------------ jobs 7-8
-from .functions.embed import embed  # noqa: E402
 from .operators import search as S  # noqa: E402
 
 DOCS_END = "2024-01-01 12:00:00"   # reference "end" time for recency boosts over docs
@@ -698,3 +696,10 @@ def q_oversize_rejects(spark, sf):
     ok, bad = reject_oversize(p, max_log_size=16384)
     return MX.rejects_by_reason(bad).unionByName(
         ok.agg(F.count(F.lit(1)).alias("rejected")).select(F.lit("accepted").alias("reason"), "rejected"))
+
+
+@register
+def q_redact_pages(spark, sf):
+    n = normalize(log_pages(spark, sf))
+    return n.select("log_id", "schema", "message", F.array_join("redaction.rules", ",").alias("rules"),
+                    F.col("redaction.count").cast("bigint").alias("redaction_count"))

@@ -655,3 +655,9 @@ def _():
 def _():
     return """SELECT 'too_large' AS reason, count(*) AS rejected FROM pages WHERE strlen(html) > 16384
 UNION ALL SELECT 'accepted', count(*) FROM pages WHERE strlen(html) <= 16384"""
+
+
+@oracle("redact_pages")
+def _():
+    return with_(*normalized_ctes("log_pages")) + \
+        "SELECT log_id, schema, message, rules, redaction_count FROM norm"
