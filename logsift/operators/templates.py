@@ -173,9 +173,9 @@ def grouping_buckets(df: DataFrame, ttl: str = "5 minutes", key: str = "tenant",
 
 def refine_budget(df: DataFrame, qpm: int = 60, key: str = "tenant") -> DataFrame:
     """At most ``qpm`` refinements per tenant per minute (first by ts, log_id)."""
-    minute = F.date_trunc("minute", F.col("ts"))
-    w = Window.partitionBy(key, minute).orderBy("ts", "log_id")
-    return df.withColumn("refine_allowed", F.row_number().over(w) <= qpm)
+    from .ordered import running_sum
+    d = running_sum(df.withColumn("__min", F.date_trunc("minute", F.col("ts"))), [key, "__min"], None, "__pos")
+    return d.withColumn("refine_allowed", F.col("__pos") <= qpm).drop("__min", "__pos")
 
 
 # ---------------------------------------------------------------- M19-M23

@@ -91,6 +91,9 @@ def push_chunks(entries: DataFrame, max_entries: int = P.SINK_MAX_ENTRIES,
     from ..operators.sampling import epoch_us
     e = entries.withColumn("minute", F.floor(epoch_us() / 60_000_000)) \
         .withColumn("entry_bytes", F.octet_length("line") + overhead)
+    # A (stream, minute) group is bounded by one stream's ingest rate for one
+    # minute, so plain windows are used here (global groups use
+    # operators.ordered.running_sum instead).
     w = Window.partitionBy("stream_key", "minute").orderBy("ts", "log_id")
     e = e.withColumn("entry_chunk", F.floor((F.row_number().over(w) - 1) / max_entries))
     wb = Window.partitionBy("stream_key", "minute", "entry_chunk").orderBy("ts", "log_id") \
@@ -126,9 +129,9 @@ def shed(entries: DataFrame, budget_entries: int, debug_first: bool = True, prot
          window: str = "1 minute") -> tuple[DataFrame, DataFrame]:
     """K4: per window, entries beyond the buffer budget (in arrival order) are
     dropped when droppable: debug; info only if not protected; never others."""
+    from ..operators.ordered import running_sum
     minute = F.date_trunc("minute", F.col("ts")) if window == "1 minute" else F.window("ts", window)["start"]
-    w = Window.partitionBy("__win").orderBy("ts", "log_id")
-    e = entries.withColumn("__win", minute).withColumn("__pos", F.row_number().over(w))
+    e = running_sum(entries.withColumn("__win", minute), ["__win"], None, "__pos")
     sev = F.lower(F.coalesce(F.col("sink_labels")["severity"], F.lit("info")))
     droppable = (sev == "debug") if not debug_first else ((sev == "debug") | ((sev == "info") & F.lit(not protect_info)))
     over = F.col("__pos") > budget_entries
