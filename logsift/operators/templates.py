@@ -98,7 +98,9 @@ def template_memory(df: DataFrame, prior: DataFrame | None = None, n_examples: i
     """M12 + M13: per template text, regex, first/last seen, count, exemplars.
     With ``prior`` memory the fold keeps the earliest first_seen, latest
     last_seen, summed counts and the newest exemplars of both."""
-    mined = materialize(df.filter(~F.col("from_fallback")))  # aggregate + exemplar branches
+    # Persist first, then filter: a filter on a column derived from the
+    # redaction output placed below the persist doubled the stage's cost.
+    mined = materialize(df).filter(~F.col("from_fallback"))  # aggregate + exemplar branches
     agg = mined.groupBy("template_id").agg(
         F.first("template", ignorenulls=True).alias("template"),
         F.first("regex", ignorenulls=True).alias("regex"),

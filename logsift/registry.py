@@ -70,6 +70,7 @@ def q_luhn_cards(spark, sf):
 
 
 # ------------------------------------------------------------ job 3
+from .operators import templates as T  # noqa: E402
 from .operators.templates import mine, template_memory, with_templates  # noqa: E402
 
 
@@ -89,7 +90,7 @@ def q_mask_templates(spark, sf):
 
 @register
 def q_template_regex(spark, sf):
-    m = with_templates(normalized_docs(spark, sf)).filter(~F.col("from_fallback"))
+    m = T.materialize(with_templates(normalized_docs(spark, sf))).filter(~F.col("from_fallback"))
     return m.select("template_id", "template", "regex").distinct()
 
 
@@ -574,7 +575,6 @@ def q_drain_docs(spark, sf):
 
 
 # ------------------------------------------------------------ remaining operators
-from .operators import templates as T  # noqa: E402
 
 
 def events_templates(spark, sf):
