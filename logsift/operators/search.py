@@ -70,7 +70,7 @@ def _topk_partition(bq, k, id_col, vec_col, filter_cols):
     matrix arrives through the broadcast ``bq`` (read on the executor)."""
 
     def run(batches):
-        qids, qmat, qfilters = bq.value
+        qids, qmat, qfilters = bq.value if hasattr(bq, "value") else bq
         qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
         heaps = [[] for _ in qids]
         for pdf in batches:
@@ -142,7 +142,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vec_col: st
         for r in chunk:
             f = (r[query_filters] if query_filters else None) or {}
             qf.append({c: np.asarray(v, dtype=object) for c, v in f.items() if c in filter_cols and v})
-        bq = spark.sparkContext.broadcast((qids, qmat, qf))
+        try:
+            bq = spark.sparkContext.broadcast((qids, qmat, qf))
+        except Exception:  # noqa: BLE001 - no SparkContext: ship the bounded query set with the task
+            bq = (qids, qmat, qf)
         part = vec_side.mapInPandas(_topk_partition(bq, k, id_col, vec_col, list(filter_cols)), HIT_SCHEMA)
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))

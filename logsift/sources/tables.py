@@ -32,8 +32,11 @@ def balanced(df: DataFrame) -> DataFrame:
     have enough splits (the normal case on a cluster) are left untouched."""
     if df.isStreaming:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session)
         return df
     return df.repartition(target)
 
