@@ -7,6 +7,7 @@ Cluster jobs must cut lineage into the shared folder the cluster names in
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,19 +43,27 @@ def get_session(master: str | None = None, cpus: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared checkpoint folder the session names.
+
+    Only a local session may go without one: it gets a temporary folder. On a
+    cluster a machine-local folder would be read back empty, so that is an
+    error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="logsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Spark Connect session)
-        pass
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
     """Reliable lineage cut: write to the shared checkpoint folder and read back.
 
@@ -62,7 +71,6 @@ def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
     lives in the cluster's shared folder, not in executor block managers.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name or 'cut'}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    path = scratch_path(spark, name or "cut")
+    df.write.parquet(path)
     return spark.read.parquet(path)
