@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, preference_format, rule_ledger, url_trust
+from . import license_scan, order_minhash, preference_format, rule_ledger, url_trust
 from .common import read
 from .sql import ORACLE as LLM_ORACLE  # noqa: F401
 
 LLM_QUERIES = {
     "op1_url_trust": lambda spark, sf: url_trust.op1(read(spark, sf, "pages")),
+    "op3_order_minhash": lambda spark, sf: order_minhash.op3(read(spark, sf, "documents")),
     "op5_rule_ledger": lambda spark, sf: rule_ledger.op5(read(spark, sf, "documents")),
     "op7_license_scan": lambda spark, sf: license_scan.op7(read(spark, sf, "documents")),
     "op10_preference_format": lambda spark, sf: preference_format.op10(read(spark, sf, "conversations")),
