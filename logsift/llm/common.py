@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def total(values: Column, kind: str = "bigint") -> Column:
     """Sum of an array column."""
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
+
+
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object of this package; its class travels along, as executors may lack the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast) -> Any:
+    return pickle.loads(value.value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, order_minhash, preference_format, rule_ledger, url_trust
+from . import kn_langid, license_scan, order_minhash, position_index, preference_format, rule_ledger, url_trust
 from .common import read
 from .sql import ORACLE as LLM_ORACLE  # noqa: F401
 
@@ -11,5 +11,7 @@ LLM_QUERIES = {
     "op3_order_minhash": lambda spark, sf: order_minhash.op3(read(spark, sf, "documents")),
     "op5_rule_ledger": lambda spark, sf: rule_ledger.op5(read(spark, sf, "documents")),
     "op7_license_scan": lambda spark, sf: license_scan.op7(read(spark, sf, "documents")),
+    "op8_position_index": lambda spark, sf: position_index.op8(read(spark, sf, "documents"), read(spark, sf, "benchmark")),
+    "op9_kn_langid": lambda spark, sf: kn_langid.op9(read(spark, sf, "documents")),
     "op10_preference_format": lambda spark, sf: preference_format.op10(read(spark, sf, "conversations")),
 }
