@@ -15,7 +15,9 @@ A text gets the language of the lowest cross-entropy per character (ties:
 alphabetical order). Rejection is calibrated: on texts that were held back from
 the counts, ``z = (entropy - mean) * sqrt(characters)`` is measured against the
 mean entropy of their language; a text is rejected if its z is more than
-``MARGIN`` times the 99.9th percentile. Texts without letters are rejected.
+``MARGIN`` times the 99.9th percentile and its entropy at least ``GAP`` nats a
+character above that mean, as mixed but readable texts are not. Texts without
+letters are rejected.
 
 Defined results: null, empty and letterless texts get ``und``, score 0 and are
 rejected; a null language is not learned from; without any learned language
@@ -40,7 +42,7 @@ from logsift.session import cut_lineage
 from .common import share, shared
 from .words import text_slices
 
-ORDER, MODEL_BYTES, MARGIN, QUANTILE = 4, 256 << 20, 1.5, 0.999
+ORDER, MODEL_BYTES, MARGIN, QUANTILE, GAP = 4, 256 << 20, 1.5, 0.999, 1.0
 RESULT = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64()), ("entropy", "double", pa.float64()),
           ("n_letters", "long", pa.int64()), ("rejected", "boolean", pa.bool_())]
 
@@ -210,7 +212,8 @@ def _identify(sent, columns: list[str]):
                     share = np.exp((low[:, None] - h) * np.minimum(n, 20)[:, None])
                     score = 1 / share.sum(axis=1)
                     limit = np.array([model.limits.get(x, (0.0, np.inf)) for x in names])
-                    rejected = ~spoken | ((low - limit[best, 0]) * np.sqrt(n) > limit[best, 1])
+                    above = low - limit[best, 0]
+                    rejected = ~spoken | ((above * np.sqrt(n) > limit[best, 1]) & (above > GAP))
                     pred = [names[b] if s else "und" for b, s in zip(best, spoken, strict=True)]
                 else:
                     low, n, score, rejected, pred = np.zeros(rows), np.zeros(rows, int), np.zeros(rows), np.ones(rows, bool), ["und"] * rows
@@ -256,3 +259,12 @@ def op9(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", "text", "lang")
     out = identify(d.withColumn("held_out", F.coalesce(_part("doc_id") == 2, F.lit(False))), fitted(d), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score", "entropy", "n_letters", "rejected")
+
+
+def keep_recognised(docs: DataFrame) -> DataFrame:
+    """The documents the models do not reject, with their own columns. The models are fitted as for ``op9``."""
+    own = docs.columns
+    # Own columns travel under neutral names, so none can clash with a result.
+    d = docs.select(F.col("text").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    kept = identify(d, fitted(docs), [f"c{i}" for i in range(len(own))]).where("not rejected")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
