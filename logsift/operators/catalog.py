@@ -43,7 +43,7 @@ def to_candidates(mined: DataFrame) -> DataFrame:
         F.max_by("__labels", latest).alias("labels"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.count(F.lit(1)).alias("n"),
-        F.max_by("provenance", latest).alias("provenance"))
+        *([F.max_by("provenance", latest).alias("provenance")] if "provenance" in m.columns else []))
         .withColumn("template_version", template_version(F.col("template_text"), F.col("regex"))))
 
 

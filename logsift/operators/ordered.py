@@ -13,6 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of equal names in which null equals null, so that
+    rows with a null key are kept."""
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(right, cond, how).drop(*[f"__r_{c}" for c in on])
+
+
 def running_sum(df: DataFrame, group: list[str], value: str | None, out: str,
                 inclusive: bool = True) -> DataFrame:
     """Adds ``out`` = sum of ``value`` (1 per row when None) over the rows of the
@@ -25,7 +35,7 @@ def running_sum(df: DataFrame, group: list[str], value: str | None, out: str,
     roll = d.groupBy(*group, "__sec").agg(F.sum("__v").alias("__sv"))
     w = Window.partitionBy(*group).orderBy("__sec").rowsBetween(Window.unboundedPreceding, -1)
     roll = roll.withColumn("__before", F.coalesce(F.sum("__sv").over(w), F.lit(0))).drop("__sv")
-    j = d.join(roll, [*group, "__sec"])
+    j = null_safe_join(d, roll, [*group, "__sec"])
     ws = Window.partitionBy(*group, "__sec").orderBy("ts", "log_id")
     frame = ws.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     within = F.coalesce(F.sum("__v").over(frame), F.lit(0))

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from .ordered import null_safe_join
+from .templates import materialize
 
 def epoch_us(c: str = "ts") -> Column:
     """Microseconds since the epoch of a wall-clock (UTC) timestamp; independent
@@ -103,10 +105,11 @@ def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = Tr
                   key: list[str] = KEY, ema: bool = True) -> DataFrame:
     """Seq (running total), cur_min, count_10m/1h/24h, key_first_seen, ema."""
     us = epoch_us()
-    df = df.withColumn("__sec", F.floor(us / 1_000_000)).withColumn("cur_minute", F.floor(us / 60_000_000))
-    # One shuffle of the rows by (key, second): the rollup below and the
-    # join-back + in-second rank all reuse this partitioning.
-    df = df.repartition(*key, "__sec")
+    df = materialize(df.withColumn("__sec", F.floor(us / 1_000_000)).withColumn("cur_minute", F.floor(us / 60_000_000)))
+    # A row without a time has no place in the order: it keeps null counters.
+    untimed, df = df.filter(F.col("ts").isNull()).drop("__sec"), df.filter(F.col("ts").isNotNull())
+    # The rollup is combined before its shuffle; the rows themselves are
+    # shuffled once, by (key, second), for the join-back and the in-second rank.
     roll = df.groupBy(*key, "__sec").agg(F.count(F.lit(1)).alias("__c"), F.min("ts").alias("__mints"))
     roll = roll.withColumn("cur_minute", F.floor(F.col("__sec") / 60))
     wk = Window.partitionBy(*key).orderBy("__sec")
@@ -125,9 +128,9 @@ def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = Tr
         per_min = roll.groupBy(*key, "cur_minute").agg(F.sum("__c").alias("k")) \
             .withColumnRenamed("cur_minute", "minute")
         e0 = ema_entering_minute(per_min, alpha, key).withColumnRenamed("minute", "cur_minute")
-        roll = roll.join(e0, [*key, "cur_minute"], "left")
-    roll = roll.drop("__mints", "__c")
-    rows = df.join(roll, [*key, "__sec", "cur_minute"])
+        roll = null_safe_join(roll, e0, [*key, "cur_minute"], "left")
+    roll = roll.drop("__mints", "__c", "cur_minute")
+    rows = null_safe_join(df, roll, [*key, "__sec"])
     ws = Window.partitionBy(*key, "__sec").orderBy("ts", "log_id")
     rows = rows.withColumn("__rank", F.row_number().over(ws))
     rows = (rows.withColumn("seq", (F.col("__before") + F.col("__rank")).cast("bigint"))
@@ -139,8 +142,9 @@ def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = Tr
         j = F.col("cur_min").cast("double")
         rj = F.pow(F.lit(r), j)
         rows = rows.withColumn("ema", rj * F.col("e0") + j - F.lit(r / alpha) * (F.lit(1.0) - rj))
-    return rows.drop("__sec", "__rank", "__before", "__before_minute", "e0",
+    rows = rows.drop("__sec", "__rank", "__before", "__before_minute", "e0",
                      *[f"__out_{n}" for _, n in WINDOWS])
+    return rows.unionByName(untimed, allowMissingColumns=True)
 
 
 def steady_k(policy: Policy, sev: Column) -> Column:
@@ -177,7 +181,8 @@ def ladder(policy: Policy = Policy()) -> Column:
         e = e.when(over & (F.pmod(total, k) == 0), d("KEEP", "BUDGET", k, note))
         e = e.when(over, d("SUPPRESS", "BUDGET", k, note))
     e = e.when(F.pmod(total, k) == 0, d("KEEP", "STEADYK", k, ""))
-    return e.otherwise(d("SUPPRESS", "STEADYK", k, ""))
+    # No counters (no time): the fallback, as when the sampler cannot be asked.
+    return F.when(total.isNull(), d("KEEP", "WARMUP", 1, "")).otherwise(e.otherwise(d("SUPPRESS", "STEADYK", k, "")))
 
 
 def decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True) -> DataFrame:
@@ -186,7 +191,8 @@ def decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True)
     df = df.withColumn("__d", ladder(policy))
     df = (df.withColumn("action", F.col("__d.action")).withColumn("keep_reason", F.col("__d.keep_reason"))
             .withColumn("sample_rate", F.col("__d.sample_rate")).withColumn("note", F.col("__d.note"))
-            .withColumn("policy_version", F.lit(policy.version)).drop("__d"))
+            .withColumn("policy_version", F.when(F.col("seq").isNull(), F.lit(P.FALLBACK_POLICY_VERSION))
+                        .otherwise(F.lit(policy.version))).drop("__d"))
     return df.withColumn("decision", F.struct(
         "action", "keep_reason",
         F.struct("count_10m", "count_1h", "count_24h").alias("counters"),
@@ -251,10 +257,16 @@ def p95_spikes(df: DataFrame, window_minutes: int = 10, factor: float = 2.0, key
     """Per key and minute, flag minutes whose count exceeds factor x the
     p95 of the preceding ``window_minutes`` minute counts (idle minutes inside
     the key's active range count as 0)."""
-    roll = minute_rollup(with_key(df), key)
-    w = Window.partitionBy(*key).orderBy("minute").rangeBetween(-window_minutes, -1)
-    base = F.percentile_approx("n", 0.95).over(w)
-    return roll.withColumn("p95", base).withColumn(
+    roll = minute_rollup(with_key(df), key).filter(F.col("minute").isNotNull())
+    w = Window.partitionBy(*key).orderBy("minute")
+    # At most one value per minute of the window is gathered.
+    roll = (roll.withColumn("__seen", F.sort_array(F.collect_list("n").over(w.rangeBetween(-window_minutes, -1))))
+                .withColumn("__first", F.min("minute").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    minutes = F.least(F.lit(window_minutes), F.col("minute") - F.col("__first"))
+    # The smallest count that covers 95 % of the minutes; idle minutes come first, as 0.
+    at = F.ceil(minutes * 0.95) - (minutes - F.size("__seen"))
+    p95 = F.when(minutes > 0, F.when(at <= 0, F.lit(0).cast("bigint")).otherwise(F.get("__seen", (at - 1).cast("int"))))
+    return roll.withColumn("p95", p95).drop("__seen", "__first").withColumn(
         "spike", F.col("p95").isNotNull() & (F.col("n") > F.lit(factor) * F.col("p95")))
 
 

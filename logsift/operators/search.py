@@ -1,18 +1,14 @@
 """Jobs 7-8: template vectors and semantic search.
 
-Exact kNN without a cross join: the query side is small and size-checked,
-so it is broadcast to every task; each task scores its slice of the vectors
-with one matrix product (numpy, Arrow batches), applies the per-query filter
-before scoring, and keeps only a running top-k per query for the whole
-partition. Only k rows per (query, partition) are shuffled; the final top-k
-per query is a ``row_number() <= k`` window. Query sets above the broadcast
-bound are processed in bounded chunks (one scan of the vectors per chunk).
+Exact kNN without a cross join: queries are broadcast in blocks of bounded
+size; each task scores the vectors that pass a block's filters with one matrix
+product per filter (numpy, Arrow batches) and keeps a running top-k per query,
+ties by id, for the whole partition. Only k rows per (query, partition) are
+shuffled; the final top-k per query is a ``row_number() <= k`` window.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,87 +61,80 @@ def point_id(template_id: Column) -> Column:
 
 
 # ---------------------------------------------------------------- kNN core
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best: highest score, then smallest id; ties at the edge are compared, not cut."""
+    if len(scores) > k:
+        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
+        at = np.flatnonzero(scores >= edge)
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
 def _topk_partition(bq, k, id_col, vec_col, filter_cols):
-    """mapInPandas body: running top-k per query over one partition. The query
-    matrix arrives through the broadcast ``bq`` (read on the executor)."""
+    """mapInPandas body: running top-k per query over one partition. Queries with
+    equal filters are scored together, against the vectors that pass only."""
 
     def run(batches):
         qids, qmat, qfilters = bq.value if hasattr(bq, "value") else bq
         qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
-        heaps = [[] for _ in qids]
+        groups = {}
+        for i, f in enumerate(qfilters):
+            groups.setdefault(tuple(sorted((c, tuple(v)) for c, v in f.items())), []).append(i)
+        top = [(np.empty(0), np.empty(0, dtype=object)) for _ in qids]
         for pdf in batches:
             if pdf.empty:
                 continue
-            V = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            vn = V / np.maximum(np.linalg.norm(V, axis=1, keepdims=True), 1e-300)
-            S = qn @ vn.T
-            ids = pdf[id_col].astype(str).to_numpy()
-            cols = {c: pdf[c].to_numpy() for c in filter_cols}
-            for qi in range(len(qids)):
+            ids = pdf[id_col].astype(str).to_numpy(dtype=object)
+            for filters, members in groups.items():
                 mask = np.ones(len(pdf), dtype=bool)
-                for c, allowed in qfilters[qi].items():
-                    mask &= np.isin(cols[c], allowed)
+                for c, allowed in filters:
+                    mask &= pdf[c].isin(allowed).to_numpy()
                 if not mask.any():
                     continue
-                sc = S[qi][mask]
-                cid = ids[mask]
-                take = min(k, len(sc))
-                part = np.argpartition(-sc, take - 1)[:take] if take < len(sc) else np.arange(len(sc))
-                h = heaps[qi]
-                for j in part:
-                    item = (float(sc[j]), _neg_key(cid[j]))
-                    if len(h) < k:
-                        heapq.heappush(h, item)
-                    elif item > h[0]:
-                        heapq.heapreplace(h, item)
-        out_q, out_id, out_s = [], [], []
-        for qi, h in enumerate(heaps):
-            for s, nk in h:
-                out_q.append(qids[qi])
-                out_id.append(_unneg_key(nk))
-                out_s.append(s)
-        yield pd.DataFrame({"query_id": out_q, "id": out_id, "score": out_s})
+                v = np.stack(pdf[vec_col].to_numpy()[mask]).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                own = ids[mask]
+                # Rounded so that equal vectors score equally whatever their place in a batch.
+                scores = np.round(qn[members] @ v.T, 12)
+                for row, qi in zip(scores, members, strict=True):
+                    at = _best(row, own, k)
+                    s, i = np.concatenate([top[qi][0], row[at]]), np.concatenate([top[qi][1], own[at]])
+                    at = _best(s, i, k)
+                    top[qi] = s[at], i[at]
+        out = [(q, i, s) for q, (ss, ii) in zip(qids, top, strict=True) for s, i in zip(ss, ii, strict=True)]
+        if out:
+            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
     return run
 
 
-def _neg_key(s: str):
-    # Larger tuple = better: higher score, then smaller id.
-    return tuple(-ord(ch) for ch in s) + (1,)
-
-
-def _unneg_key(t) -> str:
-    return "".join(chr(-x) for x in t[:-1])
-
-
 def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vec_col: str = "embedding",
         query_vec: str = "qvec", filter_cols: tuple = (), query_filters: str | None = None) -> DataFrame:
-    """Exact cosine top-k per query -> (query_id, id, score, rank).
+    """Exact cosine top-k per query -> (query_id, id, score, rank); equal scores by id.
 
-    ``queries``: (query_id, qvec[, filter map col]) - small; bounded by
-    ``MAX_QUERIES_PER_BROADCAST`` per scan, larger sets go in chunks.
+    ``queries``: (query_id, qvec[, filter map col]). They are dealt into blocks
+    of about ``MAX_QUERIES_PER_BROADCAST`` by a hash of the id, and each block
+    is one scan of the vectors, so any number of queries is answered.
     ``filter_cols``: vector columns that query filters may constrain; a query
     filter is a map column -> allowed values (array)."""
+    from ..session import cut_lineage
     spark = vectors.sparkSession
-    from ..plans.guards import bounded_rows
-    n = bounded_rows(queries.select("query_id"), 10 * MAX_QUERIES_PER_BROADCAST)
-    if n is None:
-        raise ValueError("query set too large for exact kNN; split it into batches upstream")
-    cols = ["query_id", query_vec] + ([query_filters] if query_filters else [])
-    rows = queries.select(*cols).orderBy("query_id").collect()  # bounded by the check above
+    cols = [F.col("query_id").cast("string").alias("query_id"), F.col(query_vec).alias("v")]
+    cols.append(F.col(query_filters).alias("f") if query_filters else F.lit(None).alias("f").cast("map<string,array<string>>"))
+    q = cut_lineage(queries.select(*cols), "queries")
+    blocks = -(-q.count() // MAX_QUERIES_PER_BROADCAST) or 1
     vec_side = vectors.select(id_col, vec_col, *filter_cols)
     out = None
-    for start in range(0, len(rows), MAX_QUERIES_PER_BROADCAST):
-        chunk = rows[start:start + MAX_QUERIES_PER_BROADCAST]
-        qids = [str(r["query_id"]) for r in chunk]
-        qmat = np.array([np.asarray(r[query_vec], dtype=np.float64) for r in chunk])
-        qf = []
-        for r in chunk:
-            f = (r[query_filters] if query_filters else None) or {}
-            qf.append({c: np.asarray(v, dtype=object) for c, v in f.items() if c in filter_cols and v})
+    for block in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        qmat = np.array([np.asarray(r["v"], dtype=np.float64) for r in rows]) if rows else np.empty((0, 1))
+        # Blank values ask for nothing.
+        qf = [{c: [x for x in v if x and x.strip()] for c, v in (r["f"] or {}).items() if c in filter_cols} for r in rows]
+        sent = ([r["query_id"] for r in rows], qmat, [{c: v for c, v in f.items() if v} for f in qf])
         try:
-            bq = spark.sparkContext.broadcast((qids, qmat, qf))
+            bq = spark.sparkContext.broadcast(sent)
         except Exception:  # noqa: BLE001 - no SparkContext: ship the bounded query set with the task
-            bq = (qids, qmat, qf)
+            bq = sent
         part = vec_side.mapInPandas(_topk_partition(bq, k, id_col, vec_col, list(filter_cols)), HIT_SCHEMA)
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))

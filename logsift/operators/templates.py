@@ -50,22 +50,20 @@ def with_provenance(df: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     rows (or templates already in ``prior`` memory) -> CACHE, 0.9. Fallback
     rows -> FALLBACK, 0."""
     firsts = first_occurrence(df.filter(~F.col("from_fallback")), ["template_id"])
-    firsts = firsts.select("template_id", F.col("__first.ts").alias("__fts"),
-                           F.col("__first.log_id").alias("__fid"), "first_seen", "last_seen")
+    firsts = firsts.select("template_id", F.col("__first.ts").alias("ts"), F.col("__first.log_id").alias("log_id"))
     if prior is not None:
-        firsts = firsts.join(prior.select("template_id", F.lit(True).alias("__known")),
-                             "template_id", "left")
-    else:
-        firsts = firsts.withColumn("__known", F.lit(False))
-    out = df.join(firsts, "template_id", "left")
-    is_first = (F.col("ts") == F.col("__fts")) & (F.col("log_id") == F.col("__fid")) & \
-        ~F.coalesce(F.col("__known"), F.lit(False))
+        firsts = firsts.join(prior.select("template_id"), "template_id", "left_anti")
+    # Joined on the first row itself, not on the template, so a template with
+    # many rows is spread over all tasks.
+    from .ordered import null_safe_join
+    out = null_safe_join(df, firsts.withColumn("__is_first", F.lit(True)), ["template_id", "ts", "log_id"], "left")
+    is_first = F.coalesce(F.col("__is_first"), F.lit(False)) & ~F.col("from_fallback")
     out = (out.withColumn("provenance", F.when(F.col("from_fallback"), "FALLBACK")
                           .when(is_first, "HEURISTIC").otherwise("CACHE"))
               .withColumn("confidence", F.when(F.col("from_fallback"), F.lit(0.0))
                           .when(is_first, F.lit(P.CONFIDENCE_NEW)).otherwise(F.lit(P.CONFIDENCE_MATCH))
                           .cast("float")))
-    return out.drop("__fts", "__fid", "__known")
+    return out.drop("__is_first")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -155,15 +153,15 @@ def grouping_buckets(df: DataFrame, ttl: str = "5 minutes", key: str = "tenant",
     """
     s = df.withColumn("masked", mask(F.col("message"))).withColumn(
         "__sec", F.date_trunc("second", F.col("ts")))
-    roll = s.groupBy(key, "masked", "__sec").agg(F.count(F.lit(1)).alias("__n"),
+    roll = s.groupBy(key, "masked", "__sec").agg(F.count(F.lit(1)).alias("__n"), F.min("ts").alias("__begin"),
                                                  F.max("ts").alias("__last"))
     gap = F.expr(f"INTERVAL {ttl}")
     w = Window.partitionBy(key, "masked").orderBy("__sec")
-    roll = roll.withColumn("__new", F.coalesce(F.lag("__last").over(w) + gap < F.col("__sec"), F.lit(True)))
+    roll = roll.withColumn("__new", F.coalesce(F.lag("__last").over(w) + gap < F.col("__begin"), F.lit(True)))
     roll = roll.withColumn("bucket", F.sum(F.col("__new").cast("int")).over(
         w.rowsBetween(Window.unboundedPreceding, 0)))
     buckets = roll.groupBy(key, "masked", "bucket").agg(
-        F.sum("__n").alias("size"), F.min("__sec").alias("first_seen"), F.max("__last").alias("last_seen"))
+        F.sum("__n").alias("size"), F.min("__begin").alias("first_seen"), F.max("__last").alias("last_seen"))
     rows = s.join(roll.select(key, "masked", "__sec", "bucket"), [key, "masked", "__sec"])
     wr = Window.partitionBy(key, "masked", "bucket").orderBy("ts", "log_id")
     ex = (rows.withColumn("__rn", F.row_number().over(wr)).filter(F.col("__rn") <= n_examples)
@@ -223,28 +221,35 @@ def hamming_neighbors(templates: DataFrame, context: list[str] = ("tenant",), ma
     return pairs.distinct()
 
 
-def merge_templates(templates: DataFrame, context: list[str] = ("tenant",), max_iter: int = 20) -> DataFrame:
+def _blanked(templates: DataFrame, context: list[str]) -> DataFrame:
+    """One fixed-length key per template and token position: the tokens with that one blanked."""
+    toks = F.split(F.col("template"), " ")
+    t = templates.select(*context, "template_id", toks.alias("__toks"))
+    return t.select(*context, "template_id", F.size("__toks").alias("__n"), F.posexplode(F.transform(
+        "__toks", lambda _, i: F.md5(F.array_join(F.concat(F.slice("__toks", F.lit(1), i), F.array(F.lit("\u0000")), F.slice(
+            "__toks", i + 2, F.size("__toks"))), " ")))).alias("__pos", "__key"))
+
+
+def merge_templates(templates: DataFrame, context: list[str] = ("tenant",)) -> DataFrame:
     """Connected components of the Hamming<=1 graph; canonical id = the
-    smallest template id in the component (iterated min-label propagation;
-    each round is one join + aggregate, and the loop stops when no label
-    changes)."""
-    from ..session import cut_lineage
-    edges = hamming_neighbors(templates, list(context))
-    e = edges.select(*context, F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    e = e.unionByName(e.select(*context, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    labels = templates.select(*context, F.col("template_id").alias("node"), F.col("template_id").alias("label"))
-    for _ in range(max_iter):
-        prop = e.join(labels.withColumnRenamed("node", "src"), [*context, "src"]) \
-            .select(*context, F.col("dst").alias("node"), "label")
-        new = labels.unionByName(prop).groupBy(*context, "node").agg(F.min("label").alias("label"))
-        new = cut_lineage(new, "merge-labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), [*context, "node"]) \
-            .filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    return templates.join(labels.select(*context, F.col("node").alias("template_id"),
-                                        F.col("label").alias("canonical_id")), [*context, "template_id"], "left")
+    smallest template id in the component.
+
+    All templates of a blanked key are linked to the smallest of them, which
+    connects the same templates as all their pairs would with a link per
+    template and key; components are found by star contraction to the end.
+    """
+    from .components import components
+    from .ordered import null_safe_join
+    context = list(context)
+    keys = _blanked(templates, context)
+    group = [*context, "__n", "__pos", "__key"]
+    hub = keys.groupBy(*group).agg(F.min("template_id").alias("hub"))
+    node = lambda c: F.struct(*context, F.col(c).alias("template_id"))
+    edges = null_safe_join(keys, hub, group).where("template_id != hub").select(node("template_id").alias("a"), node("hub").alias("b"))
+    found = components(edges).select(*[F.col(f"node.{c}").alias(c) for c in (*context, "template_id")],
+                                     F.col("component.template_id").alias("canonical_id"))
+    out = null_safe_join(templates, found, [*context, "template_id"], "left")
+    return out.withColumn("canonical_id", F.coalesce("canonical_id", "template_id"))
 
 
 def split_candidates(mined: DataFrame, limit: int = 50) -> DataFrame:
@@ -254,7 +259,8 @@ def split_candidates(mined: DataFrame, limit: int = 50) -> DataFrame:
     t = t.filter(F.size("tt") == F.size("mt"))
     z = t.select("template_id", F.posexplode(F.arrays_zip("tt", "mt")).alias("pos", "z"))
     z = z.filter(F.col("z.tt").rlike("^<[^<>]+>$"))
-    return (z.groupBy("template_id", "pos").agg(F.approx_count_distinct("z.mt").alias("distinct_values"))
+    z = z.groupBy("template_id", "pos", "z.mt").agg(F.count(F.lit(1)).alias("n"))  # a hot position's tokens are counted apart
+    return (z.groupBy("template_id", "pos").agg(F.count(F.lit(1)).alias("distinct_values"))
              .withColumn("split", F.col("distinct_values") > limit))
 
 

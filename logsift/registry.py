@@ -75,11 +75,18 @@ from .operators.templates import mine, template_memory, with_templates  # noqa:
 
 
 def mined_docs(spark, sf):
-    return mine(normalized_docs(spark, sf))
+    return with_templates(normalized_docs(spark, sf))
 
 
-def mined_events(spark, sf):
-    return mine(normalized_events(spark, sf))
+def mined_events(spark, sf, several: bool = False):
+    """``several``: the caller reads the rows in more than one branch."""
+    m = with_templates(normalized_events(spark, sf))
+    return T.materialize(m) if several else m
+
+
+def sampler_rows(spark, sf):
+    """What the sampler reads of a record, without payload and message."""
+    return mined_events(spark, sf).select("log_id", "ts", "tenant", "service", "env", "severity", "template_id", "labels")
 
 
 @register
@@ -103,7 +110,7 @@ def q_template_memory(spark, sf):
 
 @register
 def q_provenance(spark, sf):
-    m = mined_events(spark, sf)
+    m = mine(normalized_events(spark, sf))
     return m.select("log_id", "template_id", "provenance",
                     F.round(F.col("confidence").cast("double"), 6).alias("confidence"))
 
@@ -117,20 +124,20 @@ TUNED = Policy(spike_factor=1.5, min_spike=2, warmup_n=4, budget_10m=3,
 
 @register
 def q_minute_rollup(spark, sf):
-    r = minute_rollup(with_key(mined_events(spark, sf)))
+    r = minute_rollup(with_key(sampler_rows(spark, sf)))
     return r.select("key_tenant", "template_id", "key_service", "key_env", "severity",
                     F.col("minute").cast("bigint").alias("minute"), "n")
 
 
 @register
 def q_window_counts(spark, sf):
-    c = with_counters(with_key(mined_events(spark, sf)), ema=False)
+    c = with_counters(with_key(sampler_rows(spark, sf)), ema=False)
     return c.select("log_id", "seq", "cur_min", "count_10m", "count_1h", "count_24h", "key_first_seen")
 
 
 @register
 def q_ema_per_record(spark, sf):
-    c = with_counters(with_key(mined_events(spark, sf)))
+    c = with_counters(with_key(sampler_rows(spark, sf)))
     return c.select("log_id", "seq", F.round(F.col("ema") + 1e-9, 6).alias("ema"))
 
 
@@ -140,23 +147,23 @@ def _decisions(d):
 
 @register
 def q_ladder_decisions(spark, sf):
-    return _decisions(decide(mined_events(spark, sf)))
+    return _decisions(decide(sampler_rows(spark, sf)))
 
 
 @register
 def q_ladder_decisions_tuned(spark, sf):
-    return _decisions(decide(mined_events(spark, sf), TUNED))
+    return _decisions(decide(sampler_rows(spark, sf), TUNED))
 
 
 @register
 def q_decisions_by_reason(spark, sf):
-    d = decide(mined_events(spark, sf))
+    d = decide(sampler_rows(spark, sf))
     return d.groupBy("action", "keep_reason").agg(F.count(F.lit(1)).alias("records"))
 
 
 @register
 def q_enforcement_split(spark, sf):
-    d = enforce(decide(mined_events(spark, sf)))
+    d = enforce(decide(sampler_rows(spark, sf)))
     kept, sup = route(d)
     k = kept.groupBy("severity", "shadow").agg(F.count(F.lit(1)).alias("records")) \
         .withColumn("route", F.lit("kept"))
@@ -185,7 +192,7 @@ def _catalog_out(cat):
 
 
 def events_catalog(spark, sf):
-    m = mined_events(spark, sf)
+    m = mined_events(spark, sf, several=True)
     prior = C.fold_catalog(C.to_candidates(m.filter(F.col("ts") < _ntz(SPLIT))))
     return C.fold_catalog(C.to_candidates(m.filter(F.col("ts") >= _ntz(SPLIT))), prior)
 
@@ -197,7 +204,9 @@ def q_catalog_fold(spark, sf):
 
 @register
 def q_template_stats_long(spark, sf):
-    s = C.rolling_stats(mined_events(spark, sf), _ntz(AS_OF))
+    # The longest window is 24 hours: older events are left out by the scan.
+    day = log_events(spark, sf).filter((F.col("ts") > _ntz(AS_OF) - F.expr("INTERVAL 24 HOURS")) & (F.col("ts") <= _ntz(AS_OF)))
+    s = C.rolling_stats(with_templates(normalize(day)), _ntz(AS_OF))
     return s.select("tenant", "template_id", "window", "count", "updated_at")
 
 
@@ -209,7 +218,7 @@ def q_catalog_by_dimension(spark, sf):
 
 @register
 def q_template_detail(spark, sf):
-    d = C.template_detail(mined_events(spark, sf))
+    d = C.template_detail(mined_events(spark, sf, several=True))
     return d.select("template_id", "occurrences", "active_minutes", "peak_per_min",
                     F.round("mean_per_min", 6).alias("mean_per_min"), "spike_minutes",
                     F.array_join("examples", "\n").alias("examples"))
@@ -217,7 +226,7 @@ def q_template_detail(spark, sf):
 
 @register
 def q_new_templates(spark, sf):
-    return C.template_changes(mined_events(spark, sf), _ntz(SPLIT))
+    return C.template_changes(mined_events(spark, sf, several=True), _ntz(SPLIT))
 
 
 @register
@@ -228,7 +237,7 @@ def q_rate_delta(spark, sf):
 
 @register
 def q_template_events(spark, sf):
-    return C.template_events(mined_events(spark, sf), _ntz(SPLIT))
+    return C.template_events(mined_events(spark, sf, several=True), _ntz(SPLIT))
 
 
 # ------------------------------------------------------------ jobs 7-8
@@ -320,7 +329,7 @@ def docs_plans(spark, sf, normalized=None):
         cat = docs_catalog(spark, sf)
     else:
         from .operators.catalog import to_candidates
-        cat = to_candidates(mine(normalized))
+        cat = to_candidates(with_templates(normalized))
     hits = S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=10)
     sel = S.attach_catalog(hits, cat)
     return L.plan(sel).withColumn("plan_id", F.concat_ws(":", "query_id", F.col("rank").cast("string")))
@@ -521,7 +530,7 @@ def q_message_histogram(spark, sf):
 
 @register
 def q_alerts(spark, sf):
-    m = mined_events(spark, sf)
+    m = mined_events(spark, sf, several=True)
     rules = m.select("template_id").distinct().withColumn("min_count", F.lit(3)).withColumn("min_ratio", F.lit(2.0))
     a = MX.alerts(m, rules)
     return a.select("template_id", "window_start", "n", "prev_n", F.round("ratio", 6).alias("ratio"))
@@ -537,7 +546,7 @@ def q_spike_topk(spark, sf):
 
 @register
 def q_deploy_asof(spark, sf):
-    m = mined_events(spark, sf)
+    m = mined_events(spark, sf, several=True)
     tmpl = m.groupBy("service", "template_id").agg(F.min("ts").alias("first_seen"))
     deploys = m.groupBy("service", F.to_date("ts").alias("d")).agg(F.min("ts").alias("deployed_at")) \
         .select("service", "deployed_at", F.concat_ws("@", "service", F.col("d").cast("string")).alias("deploy_id"))
@@ -640,7 +649,7 @@ def q_custom_templates(spark, sf):
 @register
 def q_p95_spikes(spark, sf):
     from .operators.sampling import p95_spikes
-    return p95_spikes(mined_events(spark, sf), window_minutes=60, factor=1.0).filter("spike")
+    return p95_spikes(sampler_rows(spark, sf), window_minutes=60, factor=1.0).filter("spike")
 
 
 @register
@@ -673,7 +682,7 @@ def q_publish_ack(spark, sf):
 
 @register
 def q_vector_reembed(spark, sf):
-    m = mined_events(spark, sf)
+    m = mined_events(spark, sf, several=True)
     before = C.fold_catalog(C.to_candidates(m.filter(F.col("ts") < _ntz(SPLIT))))
     after = events_catalog(spark, sf)
     todo = S.needs_embedding(after, S.template_vectors(before))
@@ -703,3 +712,39 @@ def q_redact_pages(spark, sf):
     n = normalize(log_pages(spark, sf))
     return n.select("log_id", "schema", "message", F.array_join("redaction.rules", ",").alias("rules"),
                     F.col("redaction.count").cast("bigint").alias("redaction_count"))
+
+
+# ------------------------------------------------------------ ties, tenants, losses
+@register
+def q_knn_ties(spark, sf):
+    """Every vector under several ids: equal scores are ordered by id."""
+    e = read_table(spark, sf, "embeddings")
+    e = e.select(F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("copy"), "vec_id", "embedding")
+    e = e.select(F.concat_ws("-", "copy", "vec_id").alias("id"), "embedding")
+    hits = S.knn(label_centroids(spark, sf), e, 10, "id")
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+@register
+def q_knn_tenant(spark, sf):
+    """Each query in one tenant, with a label that is blank and so not asked for."""
+    q = benchmark_queries(spark, sf).withColumn("tenant", F.lit("default")).withColumn(
+        "label_filter", F.create_map(F.lit("service"), F.lit("de"), F.lit("env"), F.lit(" ")))
+    return _hits_out(S.search(q, docs_vectors(spark, sf), k=5))
+
+
+@register
+def q_knn_no_match(spark, sf):
+    q = benchmark_queries(spark, sf).withColumn("tenant", F.lit("nobody"))
+    return _hits_out(S.search(q, docs_vectors(spark, sf), k=5))
+
+
+@register
+def q_null_keys_decided(spark, sf):
+    """Records without a time or a severity are decided, too."""
+    r = sampler_rows(spark, sf)
+    r = r.withColumn("ts", F.when(F.pmod("log_id", F.lit(7)) != 0, F.col("ts")))
+    r = r.withColumn("severity", F.when(F.pmod("log_id", F.lit(5)) != 0, F.col("severity")))
+    d = decide(r)
+    return d.groupBy(F.col("ts").isNull().alias("untimed"), F.col("severity").isNull().alias("no_severity"),
+                     "policy_version").agg(F.count(F.lit(1)).alias("records"), F.count("seq").alias("counted"))

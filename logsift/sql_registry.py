@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import patterns as P
 from .functions.patterns import sql_str as q
-from .oracle_sql import (LOG_DOCS, LOG_EVENTS, UNI_WS, luhn, normalized_ctes, with_)
+from .oracle_sql import (KEYS, LOG_DOCS, LOG_EVENTS, UNI_WS, luhn, normalized_ctes, with_)
 
 ORACLE: dict[str, str] = {}
 
@@ -661,3 +661,77 @@ UNION ALL SELECT 'accepted', count(*) FROM pages WHERE strlen(html) <= 16384"""
 def _():
     return with_(*normalized_ctes("log_pages")) + \
         "SELECT log_id, schema, message, rules, redaction_count FROM norm"
+
+
+# ------------------------------------------------------------ ties, tenants, losses
+@oracle("knn_ties")
+def _():
+    return with_(CENTROIDS, """sc AS (SELECT query_id, copy || '-' || vec_id AS id,
+  round(list_cosine_similarity(qvec, CAST(embedding AS DOUBLE[])), 12) AS score
+  FROM cen, embeddings, (VALUES ('a'), ('b'), ('c')) c(copy))""") + """
+SELECT query_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10"""
+
+
+@oracle("knn_tenant")
+def _():
+    return with_(*_search_ctes(5, "dcs.label_service = 'de' AND dcs.tenant = 'default'")) + \
+        "SELECT query_id, tenant, template_id, round(score, 6) AS score, rank FROM hits"
+
+
+@oracle("knn_no_match")
+def _():
+    return with_(*_search_ctes(5, "dcs.tenant = 'nobody'")) + \
+        "SELECT query_id, tenant, template_id, round(score, 6) AS score, rank FROM hits"
+
+
+@oracle("null_keys_decided")
+def _():
+    return with_(LOG_EVENTS) + f"""SELECT log_id % 7 = 0 AS untimed, log_id % 5 = 0 AS no_severity,
+  CASE WHEN log_id % 7 = 0 THEN {q(P.FALLBACK_POLICY_VERSION)} ELSE {q(P.POLICY_VERSION)} END AS policy_version,
+  count(*) AS records, count(*) FILTER (WHERE log_id % 7 <> 0) AS counted FROM log_events GROUP BY ALL"""
+
+
+@oracle("merge_templates")
+def _():
+    return "WITH RECURSIVE " + with_(*mined_ctes("log_events"), _cand("TRUE", "ec"), """tk AS (
+  SELECT tenant, template_id, string_split(template_text, ' ') AS t FROM ec)""", """near AS (
+  SELECT a.tenant, a.template_id AS x, b.template_id AS y FROM tk a JOIN tk b
+    ON a.tenant = b.tenant AND len(a.t) = len(b.t)
+  WHERE list_sum(list_transform(range(1, len(a.t) + 1), lambda i: CASE WHEN a.t[i] = b.t[i] THEN 0 ELSE 1 END)) <= 1)""", """reach AS (
+  SELECT tenant, template_id, template_id AS r FROM tk
+  UNION SELECT reach.tenant, reach.template_id, near.y FROM reach JOIN near
+    ON near.tenant = reach.tenant AND near.x = reach.r)""")[5:] + \
+        "SELECT tenant, template_id, min(r) AS canonical_id FROM reach GROUP BY ALL"
+
+
+@oracle("split_candidates")
+def _():
+    return with_(*mined_ctes("log_events"), """pairs AS (SELECT template_id, unnest(string_split(template, ' ')) AS tt,
+    unnest(string_split(message, ' ')) AS mt, unnest(range(0, len(string_split(template, ' ')))) AS pos FROM mined
+  WHERE len(string_split(template, ' ')) = len(string_split(message, ' ')))""") + """
+SELECT template_id, CAST(pos AS INTEGER) AS pos, count(DISTINCT mt) AS distinct_values, count(DISTINCT mt) > 50 AS split
+FROM pairs WHERE regexp_matches(tt, '^<[^<>]+>$') GROUP BY template_id, pos"""
+
+
+@oracle("grouping_buckets")
+def _():
+    from .oracle_sql import mask_expr
+    return with_(*normalized_ctes("log_events"), f"mk AS (SELECT *, {mask_expr('message')} AS masked FROM norm)", """g AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 5 MINUTES THEN 0 ELSE 1 END AS fresh FROM mk
+  WINDOW w AS (PARTITION BY tenant, masked ORDER BY ts, log_id))""", """b AS (
+  SELECT *, CAST(sum(fresh) OVER (PARTITION BY tenant, masked ORDER BY ts, log_id) AS BIGINT) AS bucket FROM g)""") + """
+SELECT tenant, masked, bucket, count(*) AS size, min(ts) AS first_seen, max(ts) AS last_seen,
+  array_to_string(list(message ORDER BY ts, log_id)[1:3], chr(10)) AS exemplars FROM b GROUP BY tenant, masked, bucket"""
+
+
+@oracle("p95_spikes")
+def _():
+    return with_(*counter_ctes("log_events"), f"""pm AS (SELECT {KEYS}, cur_minute AS minute, count(*) AS n FROM sk GROUP BY ALL)""",
+                 f"""al AS (SELECT *, min(minute) OVER (PARTITION BY {KEYS}) AS born FROM pm)""",
+                 f"""mins AS (SELECT {KEYS}, minute, n, unnest(range(greatest(born, minute - 60), minute)) AS m FROM al)""",
+                 f"""vals AS (SELECT mins.* EXCLUDE (m), coalesce(pm.n, 0) AS v FROM mins LEFT JOIN pm
+   ON {" AND ".join(f"pm.{k} = mins.{k}" for k in KEYS.split(", "))} AND pm.minute = mins.m)""",
+                 f"""pc AS (SELECT {KEYS}, minute, n, list_sort(list(v)) AS vs FROM vals GROUP BY ALL)""") + f"""
+SELECT {KEYS}, minute, n, vs[CAST(ceil(len(vs) * 0.95) AS INTEGER)] AS p95, n > vs[CAST(ceil(len(vs) * 0.95) AS INTEGER)] AS spike
+FROM pc WHERE n > vs[CAST(ceil(len(vs) * 0.95) AS INTEGER)]"""
