@@ -43,9 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsift.operators.components import components
 from logsift.session import cut_lineage
 
-from .components import components
 from .words import Words, mix, occurrences, shingles, text_slices
 
 K, SIMILARITY, BINS, LENGTH = 5, 0.8, 12, 3

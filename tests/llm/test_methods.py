@@ -10,10 +10,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logsift.llm import (best_fit, components, kd_shards, kn_langid, license_rules, license_scan, order_minhash, position_index,
+from logsift.llm import (best_fit, kd_shards, kn_langid, license_rules, license_scan, order_minhash, position_index,
                          rule_ledger, secret_cnn, url_trust)
 from logsift.llm.common import read
 from logsift.llm.words import Words, occurrences, shingles
+from logsift.operators.components import components
 from logsift.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
@@ -172,7 +173,7 @@ def test_near_duplicate_classes(spark):
 
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
