@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from . import patterns as P
 
 _WS = "[\\t\\n\\f\\r ]+"
+# White space that is trimmed from texts, as a class both regex engines know.
+UNI_WS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
 def col_(c) -> Column:
@@ -22,9 +24,11 @@ def detect_schema(payload) -> Column:
     """JSON if trimmed payload starts with '{' and parses, else LOGFMT when it
     has a ``key = value`` pair and does not start with '{', else TEXT."""
     p = col_(payload)
-    t = F.trim(p)
+    t = F.regexp_replace(p, f"^{UNI_WS}+|{UNI_WS}+$", "")
     is_obj = t.startswith("{")
-    return (F.when(is_obj & F.try_parse_json(t).isNotNull(), F.lit("JSON"))
+    # As the one element of an array of raw texts: repeated keys are allowed, anything behind the object is not.
+    one = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    return (F.when(is_obj & (F.size(one) == 1), F.lit("JSON"))
             .when(~is_obj & p.rlike(P.to_java(P.LOGFMT_PAIR)), F.lit("LOGFMT"))
             .otherwise(F.lit("TEXT")))
 

@@ -130,39 +130,34 @@ def fold_stats(stats: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
 
 def _versioned_write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a new immutable table version and atomically repoint ``_CURRENT``."""
-    version = f"v-{uuid.uuid4().hex}"
-    target = os.path.join(path, version)
+    """Write a new immutable version, numbered after the newest complete one.
+
+    A version is complete once Spark's committer has written its ``_SUCCESS``
+    file, and nothing is ever deleted or renamed: a reader sees the newest
+    complete version at any moment. Two writers that fold into the same version
+    want the same number, and the second fails instead of losing the first's rows.
+    """
+    last = _versions(df.sparkSession, path)
+    target = f"{path.rstrip('/')}/v-{(last[-1] + 1 if last else 1):012d}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(target)
-    spark = df.sparkSession
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    fs_path = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_CURRENT"))
-    tmp_path = jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"_CURRENT.{version}"))
-    fs = fs_path.getFileSystem(conf)
-    out = fs.create(tmp_path, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(fs_path, False)
-    fs.rename(tmp_path, fs_path)
     return target
 
 
-def read_current(spark, path: str) -> DataFrame | None:
-    """Read the current version of a table written by ``upsert_*``."""
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the complete versions of a table."""
     jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_CURRENT"))
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    version = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
-    return spark.read.parquet(os.path.join(path, version.strip()))
+    found = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/v-*/_SUCCESS")
+    marks = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
+    return sorted(int(m.getPath().getParent().getName()[2:]) for m in marks)
+
+
+def read_current(spark, path: str) -> DataFrame | None:
+    """Read the newest complete version of a table written by ``upsert_*``."""
+    done = _versions(spark, path)
+    return spark.read.parquet(f"{path.rstrip('/')}/v-{done[-1]:012d}") if done else None
 
 
 def upsert_catalog(path: str, candidates: DataFrame) -> DataFrame:
@@ -170,7 +165,7 @@ def upsert_catalog(path: str, candidates: DataFrame) -> DataFrame:
     partitioned by tenant (pruned by tenant filters in search), repoint."""
     prior = read_current(candidates.sparkSession, path)
     folded = fold_catalog(candidates, prior)
-    _versioned_write(folded.repartition("tenant").sortWithinPartitions("tenant", "last_seen"), path, ["tenant"])
+    _versioned_write(folded.sortWithinPartitions("tenant", "last_seen"), path, ["tenant"])
     return read_current(candidates.sparkSession, path)
 
 

@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.redact import Rule, default_rules, redact_steps
-from ..functions.text import (canonical_ws, detect_schema, nfc, severity_label, tenant_of,
+from ..functions.text import (UNI_WS, canonical_ws, detect_schema, nfc, severity_label, tenant_of,
                               truncate_bytes)
 
-# Unicode White_Space characters (Go's TrimSpace set), valid in Java and RE2.
-UNI_WS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
 def unicode_trim(c: Column) -> Column:

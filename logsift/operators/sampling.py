@@ -20,6 +20,7 @@ per key); the per-record value is then a column expression.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -281,26 +282,102 @@ def budget_k(df: DataFrame, max_qps: float, policy: Policy = Policy(), key: str
     return out.withColumn("k_eff", F.when(F.col("severity").isin("DEBUG", "INFO"), k * mult).otherwise(k))
 
 
-SAFE_CONDITION = r"^[A-Za-z0-9_ .,'=<>!()\[\]-]+$"
+_TOKEN = re.compile(r"\s*(?:(?P<number>-?\d+(?:\.\d+)?)|'(?P<text>[^']*)'|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)"
+                    r"|(?P<op><=|>=|!=|<>|==|=|<|>)|(?P<mark>[(),]))")
+
+
+def parse_condition(text: str) -> Column:
+    """A rule condition as a column. The grammar has comparisons of a column with
+    a literal, ``in`` lists, ``is [not] null``, ``and``, ``or``, ``not`` and brackets;
+    there are no calls, so nothing but columns can be reached."""
+    tokens, at = [], 0
+    while text[at:].strip():
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"rule condition {text!r}: unexpected text at {at}")
+        tokens.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    tokens.append(("end", ""))
+    place = [0]
+
+    def word() -> str:
+        kind, value = tokens[place[0]]
+        return value.lower() if kind == "name" else value if kind in ("op", "mark") else ""
+
+    def take(kind: str | None = None, value: str | None = None) -> str:
+        k, v = tokens[place[0]]
+        if (kind and k != kind) or (value and v.lower() != value):
+            raise ValueError(f"rule condition {text!r}: {value or kind} expected, not {v or 'the end'!r}")
+        place[0] += 1
+        return v
+
+    def literal() -> Column:
+        kind, value = tokens[place[0]]
+        if kind not in ("number", "text"):
+            raise ValueError(f"rule condition {text!r}: a literal expected, not {value or 'the end'!r}")
+        place[0] += 1
+        return F.lit(value if kind == "text" else float(value) if "." in value else int(value))
+
+    def test() -> Column:
+        if word() == "not":
+            take()
+            return ~test()
+        if word() == "(":
+            take()
+            inner = either()
+            take("mark", ")")
+            return inner
+        column = F.col(take("name"))
+        if word() == "is":
+            take()
+            negated = word() == "not" and bool(take())
+            take("name", "null")
+            return column.isNotNull() if negated else column.isNull()
+        if word() == "in":
+            take()
+            take("mark", "(")
+            values = [literal()]
+            while word() == ",":
+                take()
+                values.append(literal())
+            take("mark", ")")
+            return column.isin(*values)
+        op, value = take("op"), literal()
+        return {"=": column == value, "==": column == value, "!=": column != value, "<>": column != value, "<": column < value,
+                "<=": column <= value, ">": column > value, ">=": column >= value}[op]
+
+    def both() -> Column:
+        c = test()
+        while word() == "and":
+            take()
+            c = c & test()
+        return c
+
+    def either() -> Column:
+        c = both()
+        while word() == "or":
+            take()
+            c = c | both()
+        return c
+
+    out = either()
+    take("end")
+    return out
 
 
 def rules_policy(rules: list[dict]) -> Column:
     """Ordered rules ``{condition, action, priority, sample_rate}`` -> the
-    first matching rule by priority as a nested CASE. Conditions are a
-    restricted SQL expression; ``sample_rate`` keeps a deterministic
-    ``sample_rate`` fraction via xxhash64(log_id)."""
-    import re
+    first matching rule by priority as a nested CASE. Conditions follow
+    ``parse_condition``; ``sample_rate`` keeps a deterministic fraction via
+    xxhash64(log_id)."""
     e = F.when(F.lit(False), F.lit(None))
     for r in sorted(rules, key=lambda r: -r.get("priority", 0)):
-        if not re.match(SAFE_CONDITION, r["condition"]):
-            raise ValueError(f"unsafe rule condition: {r['condition']!r}")
-        cond = F.expr(r["condition"])
         rate = r.get("sample_rate")
         act = F.lit(r["action"])
         if rate is not None:
             keep = F.pmod(F.xxhash64("log_id"), F.lit(1000)) < int(rate * 1000)
             act = F.when(keep, F.lit("KEEP")).otherwise(F.lit("SUPPRESS"))
-        e = e.when(cond, act)
+        e = e.when(parse_condition(r["condition"]), act)
     return e
 
 

@@ -92,10 +92,11 @@ def redact_ctes(src: str, text_col: str, prefix: str = "rd") -> tuple[list[str],
 def normalized_ctes(view: str) -> list[str]:
     """``norm`` CTE: the view + schema + normalized, redacted message."""
     logfmt = q(P.LOGFMT_PAIR)
+    bare = f"regexp_replace(payload, '^{UNI_WS}+|{UNI_WS}+$', '', 'g')"
     ctes = [VIEWS[view],
             f"""pre AS (SELECT *,
-       CASE WHEN starts_with(trim(payload), '{{') AND json_valid(trim(payload)) THEN 'JSON'
-            WHEN NOT starts_with(trim(payload), '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
+       CASE WHEN starts_with({bare}, '{{') AND json_valid({bare}) THEN 'JSON'
+            WHEN NOT starts_with({bare}, '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
             ELSE 'TEXT' END AS schema,
        {ws_norm('payload')} AS t0
      FROM {view})"""]

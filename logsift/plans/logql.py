@@ -97,11 +97,12 @@ def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
     """J5 + P5: log lines that satisfy a plan: selector labels equal and the
     message matches the plan regex (``|~`` = partial match).
 
-    Plans with an anchor token (see ``plan_anchor``) join the lines' distinct
-    tokens on (labels, token), so the regex only runs on candidate pairs;
-    plans without one join on the labels alone. Plans are bounded
-    (max_templates per query) and broadcast behind a size check, else the
-    same joins run as shuffle joins."""
+    A label a plan does not name matches anything. Plans are written once
+    (they are bounded: max_templates per query) and broadcast behind a size
+    check, else the same joins run as shuffle joins. Plans with an anchor token
+    (see ``plan_anchor``) meet the lines that hold it; the others meet lines on
+    the labels they name, one join per set of named labels."""
+    from ..session import cut_lineage
     keys = keys or P.SELECTOR_LABELS
     lg = logs
     if start is not None:
@@ -110,19 +111,26 @@ def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
         lg = lg.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
     lg = lg.select("log_id", "ts", "message", *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__l_{k}")
                                                  for k in keys])
-    pl = plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"),
-                      *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}") for k in keys])
-    b = checked_broadcast(pl, "plans")
-    pl = b if b is not None else pl
-    cond = [F.col(f"__l_{k}") == F.col(f"__p_{k}") for k in keys]
-    anchored = pl.filter(F.col("__anchor").isNotNull())
-    loose = pl.filter(F.col("__anchor").isNull())
-    toks = lg.select("*", F.explode(F.array_distinct(F.split("message", " "))).alias("__tok"))
-    j1 = toks.join(anchored, cond + [F.col("__tok") == F.col("__anchor")]).drop("__tok")
-    j2 = lg.join(loose, cond)
+    named = F.concat(*[F.when(F.length(F.trim(F.coalesce(F.col("labels")[k], F.lit("")))) > 0, "1").otherwise("0") for k in keys])
+    plans = cut_lineage(plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"), named.alias("__named"),
+                                     *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}") for k in keys]), "plans")
+
+    def small(p: DataFrame) -> DataFrame:
+        b = checked_broadcast(p, "plans")
+        return b if b is not None else p
+
+    fits = F.rlike(F.col("message"), F.col("regex"))
+    for i, k in enumerate(keys):
+        fits = fits & ((F.substring("__named", i + 1, 1) == "0") | (F.col(f"__l_{k}") == F.col(f"__p_{k}")))
     cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in keys]]
-    return j1.filter(F.expr("message RLIKE regex")).select(*cols).unionByName(
-        j2.filter(F.expr("message RLIKE regex")).select(*cols))
+    toks = lg.select("*", F.explode(F.array_distinct(F.split("message", " "))).alias("__tok"))
+    out = toks.join(small(plans.filter(F.col("__anchor").isNotNull())), F.col("__tok") == F.col("__anchor")).filter(fits).select(*cols)
+    loose = plans.filter(F.col("__anchor").isNull())
+    for row in loose.select("__named").distinct().collect():  # at most 2^labels rows
+        p = small(loose.filter(F.col("__named") == row["__named"]))
+        on = [F.col(f"__l_{k}") == F.col(f"__p_{k}") for i, k in enumerate(keys) if row["__named"][i] == "1"]
+        out = out.unionByName(lg.join(p, on or F.lit(True)).filter(fits).select(*cols))
+    return out
 
 
 def rate(df: DataFrame, by: list[str], window: str = "5 minutes", seconds: int = 300) -> DataFrame:

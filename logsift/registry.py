@@ -728,8 +728,9 @@ def q_knn_ties(spark, sf):
 @register
 def q_knn_tenant(spark, sf):
     """Each query in one tenant, with a label that is blank and so not asked for."""
-    q = benchmark_queries(spark, sf).withColumn("tenant", F.lit("default")).withColumn(
-        "label_filter", F.create_map(F.lit("service"), F.lit("de"), F.lit("env"), F.lit(" ")))
+    q = benchmark_queries(spark, sf)
+    q = q.withColumn("tenant", F.concat(F.lit("src"), F.pmod(F.col("query_id").cast("int"), F.lit(20)).cast("string")))
+    q = q.withColumn("label_filter", F.create_map(F.lit("service"), F.lit("en"), F.lit("env"), F.lit(" ")))
     return _hits_out(S.search(q, docs_vectors(spark, sf), k=5))
 
 
@@ -748,3 +749,80 @@ def q_null_keys_decided(spark, sf):
     d = decide(r)
     return d.groupBy(F.col("ts").isNull().alias("untimed"), F.col("severity").isNull().alias("no_severity"),
                      "policy_version").agg(F.count(F.lit(1)).alias("records"), F.count("seq").alias("counted"))
+
+
+@register
+def q_plan_wildcard(spark, sf):
+    """Plans that name no service match lines of every service."""
+    logs = T.materialize(normalized_docs(spark, sf))
+    plans = docs_plans(spark, sf, logs).withColumn("labels", F.map_filter("labels", lambda k, v: k != "service"))
+    m = L.execute_plan(logs, plans)
+    return m.groupBy(F.split("plan_id", ":")[0].alias("query_id"), "service") \
+        .agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("plan_id").alias("plans"))
+
+
+@register
+def q_schema_edges(spark, sf):
+    """Schema detection of one text per kind and event: the event's JSON with white space, a repeated key, or more behind it."""
+    from .functions.text import detect_schema
+    e, a = read_table(spark, sf, "events").select(F.col("event_id").cast("string").alias("i")), F.lit('{"a":')
+    kinds = {"tab": F.concat(F.lit("\t "), a, "i", F.lit("}\n")), "twice": F.concat(a, "i", F.lit(',"a":2}')),
+             "behind": F.concat(a, "i", F.lit("} x")), "two": F.concat(a, "i", F.lit('},{"b":1}')),
+             "quotes": F.concat(F.lit("{'a':"), "i", F.lit("}")), "pair": F.concat(F.lit("a="), "i"), "plain": F.concat(F.lit("line "), "i")}
+    x = e.select(F.explode(F.array(*[F.struct(F.lit(k).alias("case_id"), v.alias("payload")) for k, v in kinds.items()])).alias("x")).select("x.*")
+    return x.groupBy("case_id", detect_schema(F.col("payload")).alias("schema")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def _one_otlp(body, attrs, ts):
+    doc = F.struct(F.array(F.struct(F.struct(attrs.alias("attributes")).alias("resource"), F.array(F.struct(
+        F.array(F.struct(ts.alias("timeUnixNano"), F.struct(body.alias("stringValue")).alias("body"))).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    return F.to_json(doc)
+
+
+def _attr(k, v):
+    return F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value"))
+
+
+@register
+def q_source_rejects(spark, sf):
+    """Every fourth document does not parse, every fourth holds a record that is not valid UTF-8."""
+    e = read_table(spark, sf, "events")
+    good = _one_otlp(F.lit("x"), F.array(_attr("service", F.col("event_type"))), F.lit("1"))
+    at = F.instr(good, '"stringValue":"x"')
+    broken = F.concat(F.substring(good, F.lit(1), at + 14).cast("binary"), F.unhex(F.lit("FF")),
+                      F.substring(good, at + 15, F.length(good)).cast("binary")).cast("string")
+    value = F.when(F.pmod("event_id", F.lit(4)) == 0, F.lit("{not json")).when(F.pmod("event_id", F.lit(4)) == 1, broken).otherwise(good)
+    return SP.otlp_rejects(e.select(value.alias("value"))).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_otlp_edge(spark, sf):
+    """Push times with an offset; OTLP attributes given twice, of which the last counts."""
+    e = read_table(spark, sf, "events")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))
+    push = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit('{service="'), F.col("event_type"), F.lit('"}')).alias("labels"), F.array(F.struct(
+        stamp.alias("ts"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("line"))).alias("entries"))).alias("streams")))
+    raw, _ = SP.flatten_push(e.select(push.alias("value")))
+    twice = F.array(_attr("service", F.lit("first")), _attr("service", F.col("event_type")))
+    otlp = SP.flatten_otlp(e.select(_one_otlp(F.lit("x"), twice, F.lit("1")).alias("value"))).groupBy(F.col("labels")["service"].alias("service")).agg(F.count(F.lit(1)).alias("n"))
+    known = otlp.filter("service != 'first'").select("service")
+    return raw.select("ts", F.col("labels")["service"].alias("service"), "payload").join(known, "service", "left_semi") \
+        .groupBy("ts", "service", "payload").agg(F.count(F.lit(1)).alias("records")).select("ts", "service", "payload", "records")
+
+
+@register
+def q_rules_policy(spark, sf):
+    from .operators.sampling import rules_policy
+    rules = [{"condition": "severity in ('ERROR', 'FATAL')", "action": "KEEP", "priority": 9},
+             {"condition": "service = 'click' and not env = 'prod'", "action": "SUPPRESS", "priority": 5},
+             {"condition": "tenant >= 't1' and (service = 'view' or service = 'signup')", "action": "KEEP", "priority": 1}]
+    a = F.coalesce(rules_policy(rules), F.lit("none"))
+    return log_events(spark, sf).groupBy(a.alias("action")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_vector_upsert(spark, sf):
+    """Vectors replaced by (tenant, template) where a newer one arrives."""
+    v = S.template_vectors(C.to_candidates(mined_events(spark, sf))).withColumn("origin", F.lit("old"))
+    new = v.filter(F.col("template_id").startswith("0")).withColumn("last_seen", F.expr("last_seen + INTERVAL 1 DAY")).withColumn("origin", F.lit("new"))
+    return S.upsert_vectors(v, new).select("tenant", "template_id", "last_seen", "origin")

@@ -73,4 +73,15 @@ def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name or "cut")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

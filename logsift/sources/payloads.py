@@ -34,8 +34,18 @@ OTLP_SCHEMA = ("struct<resourceLogs:array<struct<"
 
 
 def parse_ts(c: Column) -> Column:
-    """RFC 3339 / ISO timestamp string -> TIMESTAMP_NTZ in UTC wall clock."""
-    return F.to_timestamp_ntz(F.regexp_replace(c, "Z$|[+-]00:?00$", ""))
+    """RFC 3339 / ISO timestamp string -> TIMESTAMP_NTZ in UTC wall clock: the
+    offset is taken off; a text that is no time gives null."""
+    local = F.regexp_replace(c, "(Z|z|[+-][0-9]{2}:?[0-9]{2})$", "").try_cast("timestamp_ntz")
+    part = lambda i: F.coalesce(F.regexp_extract(c, "T.*([+-])([0-9]{2}):?([0-9]{2})$", i), F.lit(""))
+    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
+    minutes = (number(2) * 60 + number(3)) * F.when(part(1) == "-", -1).otherwise(1)
+    return local - F.make_dt_interval(mins=minutes)
+
+
+def bad_times(raw: Column, ts: Column) -> Column:
+    """True where a time was given, but is none."""
+    return (F.length(F.trim(F.coalesce(raw, F.lit("")))) > 0) & ts.isNull()
 
 
 def _unknown_keys(path_arrays: list[tuple[Column, list[str]]]) -> Column:
@@ -48,7 +58,7 @@ def _unknown_keys(path_arrays: list[tuple[Column, list[str]]]) -> Column:
     return bad
 
 
-def read_json_batches(df: DataFrame, col: str = "value", strict: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_json_batches(df: DataFrame, col: str = "value", strict: bool = True, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``{records:[RawLog]}`` documents -> raw_logs; a document with an
     unknown key (top level or record) is rejected whole with reason bad_json,
     an unparsable one with bad_body."""
@@ -69,10 +79,15 @@ def read_json_batches(df: DataFrame, col: str = "value", strict: bool = True) ->
                     F.col("r.payload").alias("payload"),
                     F.coalesce(F.col("r.format_hint"), F.lit("")).alias("format_hint"),
                     F.lit("json").alias("protocol"))
-    return raw, rejects
+    return arrived(raw, now), rejects
+
 
+def arrived(raw: DataFrame, now: Column | None) -> DataFrame:
+    """A missing or unreadable event time becomes the arrival time, if one is given."""
+    return raw if now is None else raw.withColumn("ts", F.coalesce(F.col("ts"), now.cast("timestamp_ntz")))
 
-def flatten_push(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+
+def flatten_push(df: DataFrame, col: str = "value", now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """S2 + N16: streams x entries; labels parsed from the stream's label
     string; hint 'text'. Documents with unknown keys -> rejects(bad_json)."""
     v = F.col(col)
@@ -92,18 +107,36 @@ def flatten_push(df: DataFrame, col: str = "value") -> tuple[DataFrame, DataFram
     e = s.select(parse_label_string(F.col("s.labels")).alias("labels"), F.explode("s.entries").alias("e"))
     out = e.select(parse_ts(F.col("e.ts")).alias("ts"), "labels", F.col("e.line").alias("payload"),
                    F.lit("text").alias("format_hint"), F.lit("push").alias("protocol"))
-    return out, rejects
+    return arrived(out, now), rejects
+
+
+def otlp_rejects(df: DataFrame, col: str = "value") -> DataFrame:
+    """What ``flatten_otlp`` leaves out: documents that are not valid UTF-8
+    (bad_utf8; the parser would hide it) or do not parse (bad_body)."""
+    v = F.col(col)
+    o = F.from_json(v, OTLP_SCHEMA)
+    reason = F.when(~F.is_valid_utf8(v), "bad_utf8").when(v.isNull() | o.isNull() | o["resourceLogs"].isNull(), "bad_body")
+    return df.select(v.alias("source_row"), reason.alias("reason")).filter("reason is not null")
 
 
 def flatten_otlp(df: DataFrame, col: str = "value", max_labels: int = P.MAX_LABELS,
-                 validate_utf8: bool = True) -> DataFrame:
+                 validate_utf8: bool = True, now: Column | None = None) -> DataFrame:
     """S3 + S8: resource -> scope -> record. Labels = string resource attributes
     (first ``max_labels``) + scope.name, scope.version, severity_number,
     severity_text, trace_id, span_id when non-empty; ns timestamps."""
-    d = df.select(F.from_json(F.col(col), OTLP_SCHEMA).alias("o"))
+    v = F.col(col)
+    if validate_utf8:
+        df = df.filter(F.is_valid_utf8(v))
+    else:
+        v = F.replace(F.make_valid_utf8(v), F.lit("\uFFFD"), F.lit(""))
+    d = df.select(F.from_json(v, OTLP_SCHEMA).alias("o"))
     r = d.select(F.explode("o.resourceLogs").alias("r"))
     attrs = F.slice(F.filter("r.resource.attributes", lambda a: a["value"]["stringValue"].isNotNull()),
                     1, max_labels)
+    # Of attributes with one key the last counts.
+    attrs = F.transform(attrs, lambda a, i: F.named_struct(F.lit("key"), a["key"], F.lit("value"), a["value"], F.lit("i"), i))
+    last = lambda xs: F.filter(xs, lambda a: ~F.exists(xs, lambda b: (b["key"] == a["key"]) & (b["i"] > a["i"])))
+    attrs = F.element_at(F.transform(F.array(attrs), last), 1)
     base = F.map_from_entries(F.transform(attrs, lambda a: F.struct(a["key"], a["value"]["stringValue"])))
     s = r.select(base.alias("__base"), F.explode("r.scopeLogs").alias("s"))
     rec = s.select("__base", "s.scope", F.explode("s.logRecords").alias("l"))
@@ -126,9 +159,7 @@ def flatten_otlp(df: DataFrame, col: str = "value", max_labels: int = P.MAX_LABE
     body = F.col("l.body.stringValue")
     out = rec.select(ts.alias("ts"), ns.cast("bigint").alias("ts_nanos"), labels.alias("labels"),
                      body.alias("payload"), F.lit("").alias("format_hint"), F.lit("otlp").alias("protocol"))
-    if validate_utf8:
-        return out.filter(F.is_valid_utf8("payload"))
-    return out.withColumn("payload", F.replace(F.make_valid_utf8("payload"), F.lit("�"), F.lit("")))
+    return arrived(out, now)
 
 
 def from_contract(df: DataFrame, max_batch: int = P.MAX_BATCH, batch_col: str = "batch_id") -> tuple[DataFrame, DataFrame]:
@@ -153,7 +184,8 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 
 def route_protocol(content_type: Column, path: Column) -> Column:
     """Content-type -> otlp; path prefix /loki/ -> push; else json."""
-    return (F.when(F.lower(content_type).contains("protobuf") | F.lower(content_type).contains("otlp"), "otlp")
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return (F.when(kind.contains("protobuf") | kind.contains("otlp") | kind.contains("octet-stream"), "otlp")
             .when(path.startswith("/loki/"), "push").otherwise("json"))
 
 

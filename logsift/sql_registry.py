@@ -19,8 +19,9 @@ def oracle(name: str):
 @oracle("schema_classify")
 def _():
     logfmt = q(P.LOGFMT_PAIR)
-    cls = f"""CASE WHEN starts_with(trim(payload), '{{') AND json_valid(trim(payload)) THEN 'JSON'
-            WHEN NOT starts_with(trim(payload), '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
+    bare = f"regexp_replace(payload, '^{UNI_WS}+|{UNI_WS}+$', '', 'g')"
+    cls = f"""CASE WHEN starts_with({bare}, '{{') AND json_valid({bare}) THEN 'JSON'
+            WHEN NOT starts_with({bare}, '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
             ELSE 'TEXT' END"""
     return with_(LOG_DOCS, LOG_EVENTS, """u AS (
   SELECT 'docs' AS source, payload FROM log_docs
@@ -503,8 +504,9 @@ def _():
 @oracle("records_by_schema")
 def _():
     logfmt = q(P.LOGFMT_PAIR)
-    cls = f"""CASE WHEN starts_with(trim(payload), '{{') AND json_valid(trim(payload)) THEN 'JSON'
-            WHEN NOT starts_with(trim(payload), '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
+    bare = f"regexp_replace(payload, '^{UNI_WS}+|{UNI_WS}+$', '', 'g')"
+    cls = f"""CASE WHEN starts_with({bare}, '{{') AND json_valid({bare}) THEN 'JSON'
+            WHEN NOT starts_with({bare}, '{{') AND regexp_matches(payload, {logfmt}) THEN 'LOGFMT'
             ELSE 'TEXT' END"""
     return with_(LOG_DOCS, LOG_EVENTS, "u AS (SELECT payload FROM log_docs UNION ALL SELECT payload FROM log_events)") + \
         f"SELECT 'table' AS protocol, {cls} AS schema, count(*) AS records FROM u GROUP BY ALL"
@@ -675,7 +677,7 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (
 
 @oracle("knn_tenant")
 def _():
-    return with_(*_search_ctes(5, "dcs.label_service = 'de' AND dcs.tenant = 'default'")) + \
+    return with_(*_search_ctes(5, "dcs.label_service = 'en' AND dcs.tenant = 'src' || CAST(CAST(qv.id AS INTEGER) % 20 AS VARCHAR)")) + \
         "SELECT query_id, tenant, template_id, round(score, 6) AS score, rank FROM hits"
 
 
@@ -735,3 +737,44 @@ def _():
                  f"""pc AS (SELECT {KEYS}, minute, n, list_sort(list(v)) AS vs FROM vals GROUP BY ALL)""") + f"""
 SELECT {KEYS}, minute, n, vs[CAST(ceil(len(vs) * 0.95) AS INTEGER)] AS p95, n > vs[CAST(ceil(len(vs) * 0.95) AS INTEGER)] AS spike
 FROM pc WHERE n > vs[CAST(ceil(len(vs) * 0.95) AS INTEGER)]"""
+
+
+@oracle("plan_wildcard")
+def _():
+    return with_(*_plan_ctes()) + """SELECT pl.query_id, norm.service, count(*) AS lines,
+  count(DISTINCT plan_id) AS plans
+FROM norm JOIN pl ON norm.env = pl.label_env
+WHERE regexp_matches(norm.message, pl.regex) GROUP BY ALL"""
+
+
+@oracle("schema_edges")
+def _():
+    return """SELECT case_id, count(*) AS records, CASE case_id WHEN 'tab' THEN 'JSON' WHEN 'twice' THEN 'JSON' WHEN 'behind' THEN 'TEXT'
+  WHEN 'two' THEN 'TEXT' WHEN 'quotes' THEN 'TEXT' WHEN 'pair' THEN 'LOGFMT' ELSE 'TEXT' END AS schema
+FROM events, (VALUES ('tab'), ('twice'), ('behind'), ('two'), ('quotes'), ('pair'), ('plain')) c(case_id) GROUP BY case_id"""
+
+
+@oracle("source_rejects")
+def _():
+    return """SELECT reason, count(*) AS records FROM (
+  SELECT CASE event_id % 4 WHEN 0 THEN 'bad_body' WHEN 1 THEN 'bad_utf8' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY reason"""
+
+
+@oracle("otlp_edge")
+def _():
+    return """SELECT ts - INTERVAL 2 HOURS AS ts, event_type AS service, 'user ' || CAST(user_id AS VARCHAR) AS payload,
+  count(*) AS records FROM events GROUP BY ALL"""
+
+
+@oracle("rules_policy")
+def _():
+    return with_(LOG_EVENTS) + """SELECT CASE WHEN severity IN ('ERROR', 'FATAL') THEN 'KEEP'
+  WHEN service = 'click' AND NOT env = 'prod' THEN 'SUPPRESS'
+  WHEN tenant >= 't1' AND (service = 'view' OR service = 'signup') THEN 'KEEP' ELSE 'none' END AS action,
+  count(*) AS records FROM log_events GROUP BY ALL"""
+
+
+@oracle("vector_upsert")
+def _():
+    return with_(*mined_ctes("log_events"), _cand("TRUE", "c")) + """SELECT tenant, template_id, last_seen + CASE WHEN starts_with(template_id, '0') THEN
+  INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS last_seen, CASE WHEN starts_with(template_id, '0') THEN 'new' ELSE 'old' END AS origin FROM c"""
