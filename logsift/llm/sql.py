@@ -1,3 +1,75 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+The language models, the network, alignments, trees and packing rounds have
+none; tests hold them against plain versions instead.
+"""
+
+from __future__ import annotations
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(0, 8) AS o(k) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(length(regexp_replace(t, '[^0-9]', '', 'g')) AS BIGINT) AS n_digits,
+  CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+  CAST(length(regexp_replace(t, '[^.!?]', '', 'g')) AS BIGINT) AS n_ends
+  FROM d JOIN w USING (r) LEFT JOIN cov USING (r)),
+f AS (SELECT *, n_words < 20 AS f0, 100 * n_repeat_words > 30 * n_words AS f1, 100 * n_symbols > 50 * n_words AS f2,
+  100 * n_dup_lines > 30 * n_lines AS f3, word_chars < 2 * n_words AS f4, word_chars > 20 * n_words AS f5,
+  100 * n_digits > 30 * word_chars AS f6, 100 * n_capitals > 60 * word_chars AS f7, n_words >= 200 AND n_ends = 0 AS f8,
+  n_words > 10000000 AS f9 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
+  NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7) AS kept,
+  CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT
+       + 256 * f8::INT + 512 * f9::INT AS BIGINT) AS fail_bits, n_lines, n_digits, n_capitals, n_ends FROM f"""
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM q),
+win AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+hits AS (SELECT r, i, q.n AS n, item FROM win JOIN q ON win.n = q.n AND win.s = q.s),
+cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cov USING (r) LEFT JOIN it USING (r)"""
+
+_RENDER = "array_to_string(list_transform({}, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '')"
+_MASK = ("array_to_string(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i].role = 'assistant' THEN "
+         "CAST(coalesce(list_sum(list_transform({0}[1:i - 1], lambda y: length(y.role) + length(y.text) + 13)), 0) + 14 AS VARCHAR) || ':' || "
+         "CAST(coalesce(list_sum(list_transform({0}[1:i - 1], lambda y: length(y.role) + length(y.text) + 13)), 0) + 14 + length({0}[i].text) AS VARCHAR) "
+         "END), lambda s: s IS NOT NULL), ',')")
+
+OP10 = f"""
+WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said FROM u GROUP BY conv_id),
+g AS (SELECT *, row_number() OVER o AS k, first_value(conv_id) OVER o AS best FROM c
+  WINDOW o AS (PARTITION BY turns[1].role, turns[1].text ORDER BY said DESC, conv_id)),
+sib AS (SELECT 'sibling' AS kind, g.best AS chosen_id, g.conv_id AS rejected_id, b.turns AS ct, g.turns AS rt
+  FROM g JOIN c b ON b.conv_id = g.best WHERE g.k > 1),
+last AS (SELECT conv_id, turns, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS z,
+  list_filter(turns, lambda x: x.role = 'assistant') AS a FROM c),
+stale AS (SELECT 'stale' AS kind, conv_id AS chosen_id, conv_id AS rejected_id, turns[1:z] AS ct,
+  list_append(turns[1:z - 1], {{'turn': turns[z].turn, 'role': 'assistant', 'text': a[-2].text}}) AS rt FROM last WHERE len(a) >= 2),
+p AS (SELECT * FROM sib UNION ALL SELECT * FROM stale),
+s AS (SELECT *, CAST(coalesce(list_min(list_filter(range(1, least(len(ct), len(rt)) + 1), lambda i: ct[i].role <> rt[i].role OR ct[i].text <> rt[i].text)) - 1,
+  least(len(ct), len(rt))) AS INTEGER) AS n_shared FROM p),
+x AS (SELECT *, ct[1:n_shared] AS pt, ct[n_shared + 1:] AS c2, rt[n_shared + 1:] AS r2 FROM s)
+SELECT kind, chosen_id, rejected_id, n_shared, {_RENDER.format("pt")} AS prompt, {_RENDER.format("c2")} AS chosen,
+  {_MASK.format("c2")} AS chosen_mask, {_RENDER.format("r2")} AS rejected, {_MASK.format("r2")} AS rejected_mask FROM x"""
+
+ORACLE: dict[str, str] = {"op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
