@@ -35,6 +35,13 @@ def total(values: Column, kind: str = "bigint") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name the frame does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def share(spark: SparkSession, value: Any) -> Broadcast:
     """Broadcast an object of this package; its class travels along, as executors may lack the package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
