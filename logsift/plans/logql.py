@@ -89,7 +89,7 @@ def plan_anchor(template: Column) -> Column:
     ranked = F.array_sort(lit, lambda a, b: F.when(F.length(a) > F.length(b), -1)
                           .when(F.length(a) < F.length(b), 1)
                           .when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.element_at(ranked, 1)
+    return F.get(ranked, F.lit(0))
 
 
 def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
