@@ -41,7 +41,9 @@ LOG_PAGES = """log_pages AS (
          'fetch ' || url || ' status=200 bytes=' || CAST(octet_length(encode(html)) AS VARCHAR) AS payload
   FROM pages)"""
 
-VIEWS = {"log_events": LOG_EVENTS, "log_docs": LOG_DOCS, "log_pages": LOG_PAGES}
+LOG_BODIES = "log_bodies AS (SELECT page_id AS log_id, html AS payload FROM pages)"
+
+VIEWS = {"log_events": LOG_EVENTS, "log_docs": LOG_DOCS, "log_pages": LOG_PAGES, "log_bodies": LOG_BODIES}
 
 
 def with_(*ctes: str) -> str:

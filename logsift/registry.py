@@ -471,9 +471,14 @@ def q_stream_keys(spark, sf):
 @register
 def q_push_chunks(spark, sf):
     c = K.push_payloads(K.push_chunks(kept_entries(spark, sf)))
-    return c.select("stream_key", F.col("minute").cast("bigint").alias("minute"),
-                    F.col("entry_chunk").cast("bigint").alias("entry_chunk"),
-                    F.col("byte_chunk").cast("bigint").alias("byte_chunk"), "entries", "bytes")
+    return c.select("stream_key", F.col("minute").cast("bigint").alias("minute"), "chunk", "entries", "bytes")
+
+
+@register
+def q_push_chunks_cut(spark, sf):
+    """Small limits over a day's entries, so that both cuts occur."""
+    c = K.push_payloads(K.push_chunks(kept_entries(spark, sf), max_entries=5, max_bytes=900, minutes=1440))
+    return c.select("stream_key", F.col("minute").cast("bigint").alias("minute"), "chunk", "entries", "bytes")
 
 
 @register
@@ -826,3 +831,12 @@ def q_vector_upsert(spark, sf):
     v = S.template_vectors(C.to_candidates(mined_events(spark, sf))).withColumn("origin", F.lit("old"))
     new = v.filter(F.col("template_id").startswith("0")).withColumn("last_seen", F.expr("last_seen + INTERVAL 1 DAY")).withColumn("origin", F.lit("new"))
     return S.upsert_vectors(v, new).select("tenant", "template_id", "last_seen", "origin")
+
+
+@register
+def q_redact_page_bodies(spark, sf):
+    """The whole source of every page, redacted."""
+    bodies = read_table(spark, sf, "pages").select(F.col("page_id").alias("log_id"), F.col("html").alias("payload"))
+    n = normalize(bodies, max_message_bytes=1 << 30)
+    return n.select("log_id", "message", F.array_join("redaction.rules", ",").alias("rules"),
+                    F.col("redaction.count").cast("bigint").alias("redaction_count"))

@@ -1,17 +1,18 @@
 """Job 5: decided_logs -> enriched lines, streams, push payloads, files
 (K1-K8, N12, W22).
 
-Push batching is per (stream, minute): a row number and a running byte sum
-inside each (stream, minute) group cut it into chunks of at most
-``max_entries`` entries and at most ``max_bytes`` + one entry, so no group
-larger than one stream-minute is ever sorted in one task and every payload
-row is bounded.
+Push batching is per (stream, minute): a streaming fold over sorted partitions
+ends a chunk with the entry that fills it, so every payload row is bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import default_labels, keep_labels
@@ -83,22 +84,36 @@ def to_sink_entries(kept: DataFrame, static: dict | None = None) -> DataFrame:
     return e.withColumn("stream_key", stream_key(F.col("sink_labels"), static))
 
 
+def _greedy_cut(max_entries: int, max_bytes: int):
+    """Chunk numbers of entries that come stream by stream, in order: a chunk ends
+    with the entry that fills it (entries or bytes), and both counts begin anew.
+    Only the counts of the stream at hand are kept between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, chunk, n, total = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for key, minute, size in zip(*(batch.column(c).to_pylist() for c in ("stream_key", "minute", "entry_bytes")), strict=True):
+                if (key, minute) != stream:
+                    stream, chunk, n, total = (key, minute), 0, 0, 0
+                elif n >= max_entries or total >= max_bytes:
+                    chunk, n, total = chunk + 1, 0, 0
+                n, total = n + 1, total + (size or 0)
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
+    return run
+
+
 def push_chunks(entries: DataFrame, max_entries: int = P.SINK_MAX_ENTRIES,
-                max_bytes: int = P.SINK_MAX_BYTES, overhead: int = P.SINK_ENTRY_OVERHEAD) -> DataFrame:
-    """K3: chunk ids per (stream, minute): entry_chunk = (rn-1) / max_entries,
-    byte_chunk = running bytes before the entry / max_bytes (bytes = len(line)
-    + overhead)."""
+                max_bytes: int = P.SINK_MAX_BYTES, overhead: int = P.SINK_ENTRY_OVERHEAD, minutes: int = 1) -> DataFrame:
+    """K3: ``chunk`` numbers per (stream, minute): at most ``max_entries``, cut
+    after reaching ``max_bytes`` (bytes = len(line) + overhead). The fold needs a
+    stream's order; it streams over sorted partitions and holds no group."""
     from ..operators.sampling import epoch_us
-    e = entries.withColumn("minute", F.floor(epoch_us() / 60_000_000)) \
-        .withColumn("entry_bytes", F.octet_length("line") + overhead)
-    # A (stream, minute) group is bounded by one stream's ingest rate for one
-    # minute, so plain windows are used here (global groups use
-    # operators.ordered.running_sum instead).
-    w = Window.partitionBy("stream_key", "minute").orderBy("ts", "log_id")
-    e = e.withColumn("entry_chunk", F.floor((F.row_number().over(w) - 1) / max_entries))
-    wb = Window.partitionBy("stream_key", "minute", "entry_chunk").orderBy("ts", "log_id") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    return e.withColumn("byte_chunk", F.floor(F.coalesce(F.sum("entry_bytes").over(wb), F.lit(0)) / max_bytes))
+    e = entries.withColumn("minute", (F.floor(epoch_us() / (60_000_000 * minutes)) * minutes).cast("bigint")) \
+        .withColumn("entry_bytes", (F.octet_length("line") + overhead).cast("bigint"))
+    e = e.repartition("stream_key", "minute").sortWithinPartitions("stream_key", "minute", "ts", "log_id")
+    return e.mapInArrow(_greedy_cut(max_entries, max_bytes), T.StructType([*e.schema.fields, T.StructField("chunk", T.LongType())]))
 
 
 def push_payloads(chunked: DataFrame, fmt: str = "values") -> DataFrame:
@@ -106,7 +121,7 @@ def push_payloads(chunked: DataFrame, fmt: str = "values") -> DataFrame:
     ``{"streams":[{"stream":{...},"values":[[ns, line],...]}]}``; ``entries`` =
     the push input format ``{"streams":[{"labels":"{k=\\"v\\"}","entries":[{"ts","line"}]}]}``."""
     from ..operators.sampling import epoch_us
-    key = ["stream_key", "minute", "entry_chunk", "byte_chunk"]
+    key = ["stream_key", "minute", "chunk"]
     if fmt == "values":
         item = F.struct("ts", "log_id", F.array((epoch_us() * 1000).cast("string"), F.col("line")).alias("v"))
     else:

@@ -457,13 +457,35 @@ def _():
     return _sink("SELECT count(DISTINCT stream_key) AS active_streams FROM ent")
 
 
+def _greedy(minutes: int, max_entries: int, max_bytes: int) -> str:
+    """Entry by entry, as the sink does it: the count and the bytes begin anew after each cut."""
+    sql = _sink("SELECT 1")
+    ctes = sql[:sql.rindex("SELECT 1")].rstrip()
+    ctes = ctes if ctes.startswith("WITH RECURSIVE") else "WITH RECURSIVE" + ctes[4:]
+    return ctes + f""",
+o AS (SELECT stream_key, period, strlen(line) + 32 AS b, row_number() OVER (PARTITION BY stream_key, period ORDER BY ts, log_id) AS i
+  FROM (SELECT *, CAST(epoch_us(ts) // CAST({60000000 * minutes} AS BIGINT) * {minutes} AS BIGINT) AS period FROM ent)),
+f AS (SELECT stream_key, period, i, b, 0 AS chunk, 1 AS n, b AS total FROM o WHERE i = 1
+  UNION ALL SELECT o.stream_key, o.period, o.i, o.b, CASE WHEN n >= {max_entries} OR total >= {max_bytes} THEN chunk + 1 ELSE chunk END,
+    CASE WHEN n >= {max_entries} OR total >= {max_bytes} THEN 1 ELSE n + 1 END,
+    CASE WHEN n >= {max_entries} OR total >= {max_bytes} THEN o.b ELSE total + o.b END
+  FROM f JOIN o ON o.stream_key = f.stream_key AND o.period = f.period AND o.i = f.i + 1)
+SELECT stream_key, period AS minute, CAST(chunk AS BIGINT) AS chunk, count(*) AS entries, sum(b) AS bytes FROM f GROUP BY ALL"""
+
+
 @oracle("push_chunks")
 def _():
-    return _sink("""SELECT stream_key, minute, entry_chunk, byte_chunk, count(*) AS entries, sum(b) AS bytes FROM (
-  SELECT *, CAST(floor(coalesce(sum(b) OVER (PARTITION BY stream_key, minute, entry_chunk ORDER BY ts, log_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000000) AS BIGINT) AS byte_chunk FROM (
-    SELECT *, (row_number() OVER (PARTITION BY stream_key, minute ORDER BY ts, log_id) - 1) // 5000 AS entry_chunk,
-      strlen(line) + 32 AS b FROM ent)) GROUP BY ALL""")
+    return _greedy(1, 5000, 1000000)
+
+
+@oracle("push_chunks_cut")
+def _():
+    return _greedy(1440, 5, 900)
+
+
+@oracle("redact_page_bodies")
+def _():
+    return with_(*normalized_ctes("log_bodies")) + "SELECT log_id, message, rules, redaction_count FROM norm"
 
 
 @oracle("load_shed")
