@@ -42,10 +42,11 @@ def truncate_bytes(c, max_bytes: int) -> Column:
     """Keep the first ``max_bytes`` UTF-8 bytes; a code point cut in half is
     dropped instead of producing invalid UTF-8."""
     s = col_(c)
-    b = F.substring(s.cast("binary"), 1, max_bytes)
-    cut = F.make_valid_utf8(b.cast("string"))
-    # make_valid_utf8 turns a cut sequence into U+FFFD; remove only such trailing marks.
-    cut = F.regexp_replace(cut, "�+$", "")
+    at = lambda n: F.substring(s.cast("binary"), 1, max(n, 0)).cast("string")
+    # A code point has at most four bytes: one of these lengths ends on a boundary.
+    cut = F.make_valid_utf8(at(max_bytes))
+    for back in (3, 2, 1, 0):
+        cut = F.when(F.is_valid_utf8(at(max_bytes - back)), at(max_bytes - back)).otherwise(cut)
     return F.when(F.octet_length(s) > max_bytes, cut).otherwise(s)
 
 

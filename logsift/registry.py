@@ -840,3 +840,60 @@ def q_redact_page_bodies(spark, sf):
     n = normalize(bodies, max_message_bytes=1 << 30)
     return n.select("log_id", "message", F.array_join("redaction.rules", ",").alias("rules"),
                     F.col("redaction.count").cast("bigint").alias("redaction_count"))
+
+
+@register
+def q_truncate_docs(spark, sf):
+    """Byte limits never cut a code point, and keep a replacement mark the text itself holds."""
+    from .functions.text import truncate_bytes
+    d = log_docs(spark, sf).select("log_id", F.concat(F.col("payload"), F.lit("\uFFFD")).alias("p"))
+    return d.select("log_id", truncate_bytes(F.col("p"), 40).alias("cut"), truncate_bytes(F.substring("p", -9, 9), 11).alias("tail"))
+
+
+@register
+def q_label_defaults(spark, sf):
+    """Severity and tenant from labels: which label, any case, blanks, unknown names."""
+    from .functions.text import severity_label, tenant_of
+    k = F.pmod("log_id", F.lit(4))
+    key = F.when(k == 0, "severity").when(k == 1, "severity_text").when(k == 2, "level").otherwise("other")
+    value = F.when(F.pmod("log_id", F.lit(3)) == 0, F.lit("Loud")).otherwise(F.concat(F.lit(" "), F.initcap(F.lower("severity"))))
+    tenant_key = F.when(F.pmod("log_id", F.lit(2)) == 0, "tenant").otherwise("tenant_id")
+    labels = F.create_map(key, value, tenant_key, F.when(F.pmod("log_id", F.lit(5)) == 0, F.lit("  ")).otherwise(F.col("tenant")))
+    e = log_events(spark, sf)
+    return e.groupBy(severity_label(labels).alias("severity"), tenant_of(labels).alias("tenant")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_stack_traces(spark, sf):
+    from .operators.normalize import collapse_stack
+    e = log_events(spark, sf)
+    frames = F.array_join(F.transform(F.sequence(F.lit(1), F.pmod("log_id", F.lit(3)).cast("int") + 1), lambda i: F.concat(F.lit("\n\tat call"), i.cast("string"))), "")
+    p = F.when(F.pmod("log_id", F.lit(2)) == 0, F.concat(F.col("payload"), frames, F.lit("\nCaused by: x"))).otherwise(F.col("payload"))
+    c = collapse_stack(e.withColumn("payload", p))
+    return c.select("log_id", "stack_head", F.col("stack_frames").cast("bigint").alias("stack_frames"), "stack_hash")
+
+
+@register
+def q_aligned_results(spark, sf):
+    """Results joined to their inputs: the last of repeated results, a default where there is none."""
+    e = log_events(spark, sf).select("log_id", "service")
+    res = e.filter(F.pmod("log_id", F.lit(3)) != 0).select("log_id", F.explode(F.sequence(F.lit(1), F.pmod("log_id", F.lit(3)).cast("int") + 1)).alias("seq"))
+    res = res.withColumn("template_id", F.format_string("t%d", "seq"))
+    return T.align(e, res, fallback={"template_id": "missing"}).groupBy("service", "template_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+@register
+def q_catalog_filtered(spark, sf):
+    c = S.filter_catalog(events_catalog(spark, sf), {"service": ["click", "error"], "env": "prod"}, start="2024-01-05 00:00:00", end="2024-01-20 00:00:00")
+    return c.select("tenant", "template_id", "first_seen", "last_seen")
+
+
+@register
+def q_sink_files(spark, sf):
+    """Kept lines in compressed files by tenant and date, read back."""
+    from .session import scratch_path
+    path = scratch_path(spark, "sink")
+    k = K.kept_table(log_events(spark, sf).select("log_id", "ts", "tenant", F.col("payload").alias("line")))
+    K.write_logs(k, path, "json", ["tenant", "date"], "gzip")
+    back = spark.read.schema("log_id long, ts timestamp_ntz, line string, tenant string, date date").json(path)
+    return back.groupBy("tenant", "date").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("line")).alias("chars"))

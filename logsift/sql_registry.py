@@ -800,3 +800,44 @@ def _():
 def _():
     return with_(*mined_ctes("log_events"), _cand("TRUE", "c")) + """SELECT tenant, template_id, last_seen + CASE WHEN starts_with(template_id, '0') THEN
   INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS last_seen, CASE WHEN starts_with(template_id, '0') THEN 'new' ELSE 'old' END AS origin FROM c"""
+
+
+@oracle("truncate_docs")
+def _():
+    fits = lambda x, n: (f"left({x}, list_max(list_filter(range(0, least(length({x}), {n}) + 1), "
+                         f"lambda i: strlen(left({x}, i)) <= {n})))")
+    return with_(LOG_DOCS, "x AS (SELECT log_id, payload || chr(65533) AS p FROM log_docs)") + \
+        f"SELECT log_id, {fits('p', 40)} AS cut, {fits('right(p, 9)', 11)} AS tail FROM x"
+
+
+@oracle("label_defaults")
+def _():
+    return with_(LOG_EVENTS) + """SELECT CASE WHEN log_id % 4 = 3 OR log_id % 3 = 0 THEN 'UNSPECIFIED' ELSE severity END AS severity,
+  CASE WHEN log_id % 5 = 0 THEN 'default' ELSE tenant END AS tenant, count(*) AS records FROM log_events GROUP BY ALL"""
+
+
+@oracle("stack_traces")
+def _():
+    return with_(LOG_EVENTS, """x AS (SELECT log_id, payload, CASE WHEN log_id % 2 = 0 THEN payload || chr(10) || chr(9) || 'at call1'
+  || CASE WHEN log_id % 3 >= 1 THEN chr(10) || chr(9) || 'at call2' ELSE '' END || CASE WHEN log_id % 3 >= 2 THEN chr(10) || chr(9) || 'at call3' ELSE '' END
+  || chr(10) || 'Caused by: x' ELSE payload END AS p FROM log_events)""") + """SELECT log_id, payload AS stack_head,
+  CAST(CASE WHEN log_id % 2 = 0 THEN log_id % 3 + 2 ELSE 0 END AS BIGINT) AS stack_frames,
+  CASE WHEN log_id % 2 = 0 THEN sha1(p) END AS stack_hash FROM x"""
+
+
+@oracle("aligned_results")
+def _():
+    return """SELECT event_type AS service, CASE event_id % 3 WHEN 0 THEN 'missing' WHEN 1 THEN 't2' ELSE 't3' END AS template_id,
+  count(*) AS records FROM events GROUP BY ALL"""
+
+
+@oracle("catalog_filtered")
+def _():
+    return with_(*_catalog_ctes()) + """SELECT tenant, template_id, first_seen, last_seen FROM cat
+WHERE label_service IN ('click', 'error') AND label_env = 'prod' AND last_seen >= TIMESTAMP '2024-01-05' AND first_seen <= TIMESTAMP '2024-01-20'"""
+
+
+@oracle("sink_files")
+def _():
+    return with_(LOG_EVENTS) + """SELECT tenant, CAST(ts AS DATE) AS date, count(*) AS records, CAST(sum(length(payload)) AS BIGINT) AS chars
+FROM log_events GROUP BY ALL"""
