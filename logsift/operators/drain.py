@@ -11,22 +11,32 @@ leaves. So the leaves are independent and the job is:
    match runs per leaf over distinct messages in first-occurrence order;
 4. join the per-message result back to the rows.
 
-Work per leaf scales with *distinct* messages, not rows. Approximations
-(stated, not hidden): the global child limit is not modelled (routing uses
-the true leading tokens), and the cluster limit with LRU eviction applies
-per leaf instead of globally.
+``drain`` keeps the sequential order of a leaf and so reads a whole leaf in one
+task; ``drain_parallel`` is the one for large inputs: it clusters masked texts
+(so numbers and ids do not multiply them), deals each leaf into parts of bounded
+size, clusters the parts on their own, then the clusters' templates again, and
+so on until a leaf is one part. No cluster is ever evicted. Its clusters are
+those of Drain run on the parts; they can differ from the sequential ones where
+the order of arrival decides between two templates of equal similarity.
+
+Approximations of ``drain`` (stated, not hidden): the global child limit is not
+modelled (routing uses the true leading tokens), and the cluster limit with LRU
+eviction applies per leaf instead of globally.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.templates import template_id, template_regex
+from ..functions.templates import mask, template_id, template_regex
+from .ordered import null_safe_join
 
 WILDCARD = "<*>"
 
@@ -49,7 +59,7 @@ def _similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
     return (same / len(template) if template else 1.0), params
 
 
-def drain_leaf(messages: list[str], sim: float = P.DRAIN_SIM, max_clusters: int = P.DRAIN_MAX_CLUSTERS):
+def drain_leaf(messages: list[str], sim: float = P.DRAIN_SIM, max_clusters: int | None = P.DRAIN_MAX_CLUSTERS):
     """Sequential Drain over one leaf. Returns per message (cluster_no, online
     template, matched) and the final template per cluster."""
     clusters: OrderedDict[int, list[str]] = OrderedDict()
@@ -71,7 +81,7 @@ def drain_leaf(messages: list[str], sim: float = P.DRAIN_SIM, max_clusters: int
             cid = next_id
             next_id += 1
             clusters[cid] = list(toks)
-            if len(clusters) > max_clusters:
+            if max_clusters and len(clusters) > max_clusters:
                 clusters.popitem(last=False)
             out.append((cid, " ".join(toks), False))
     final = {}
@@ -109,15 +119,13 @@ def drain(df: DataFrame, sim: float = P.DRAIN_SIM, depth: int = P.DRAIN_DEPTH,
         out["__online"] = [t for _, t, _ in res]
         out["__final"] = [final[c] for c, _, _ in res]
         out["__matched"] = [b for _, _, b in res]
-        for k in keys:
-            out[k] = out[k].astype(str)
         return out
 
     flat = distinct.select(*[F.col(k).cast("string").alias(k) for k in keys], "__msg", "__leaf",
                            F.col("__first.ts").alias("__first_ts"), F.col("__first.log_id").alias("__first_id"))
     mined = flat.groupBy(*keys, "__leaf").applyInPandas(run, schema)
     tcol = "__online" if mode == "online" else "__final"
-    j = df.withColumn("__msg", m).join(mined, [*keys, "__msg"], "left")
+    j = null_safe_join(df.withColumn("__msg", m), mined, [*keys, "__msg"], "left")
     # The first row of a distinct message carries its online match flag; later
     # duplicates of the same message always match their cluster.
     j = j.withColumn("__is_first", (F.col("ts") == F.col("__first_ts")) & (F.col("log_id") == F.col("__first_id")))
@@ -129,3 +137,78 @@ def drain(df: DataFrame, sim: float = P.DRAIN_SIM, depth: int = P.DRAIN_DEPTH,
                           .when(matched, F.lit(P.CONFIDENCE_MATCH)).otherwise(F.lit(P.CONFIDENCE_NEW)).cast("float"))
               .withColumnRenamed("__cluster", "drain_cluster")
               .drop("__msg", "__online", "__final", "__matched", "__is_first", "__first_ts", "__first_id"))
+
+
+def _cluster_parts(group: list[str], sim: float):
+    """Cluster rows that come group by group, in order; one part is held at a time."""
+
+    def flush(rows: list[dict]) -> list[tuple]:
+        res, final = drain_leaf([r["text"] for r in rows], sim, None)
+        return [(*[r[c] for c in group], r["text"], final[c]) for r, (c, _, _) in zip(rows, res, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        names = [*group, "text", "template"]
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if n == "part" else pa.string()) for i, n in enumerate(names)], names)
+
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = tuple(row[c] for c in group)
+                if held and own != key:
+                    out += flush(held)
+                    held = []
+                key = own
+                held.append(row)
+            yield table(out)
+        if held:
+            yield table(flush(held))
+    return run
+
+
+def drain_parallel(df: DataFrame, sim: float = P.DRAIN_SIM, depth: int = P.DRAIN_DEPTH, context: list[str] = (),
+                   message_col: str = "message", tenant_col: str = "tenant", part_rows: int = 2000) -> DataFrame:
+    """Adds template, template_id, regex, confidence and drain_cluster (the
+    template within its leaf) per row; blank messages get nulls and 0. No task
+    holds more than about ``part_rows`` texts of a leaf."""
+    from ..session import cut_lineage, forget
+    from .templates import materialize
+    keys = [tenant_col, *context]
+    m = F.trim(F.col(message_col))
+    df = materialize(df.withColumn("__text", F.when(F.length(m) > 0, mask(m))))
+    texts = df.filter(F.col("__text").isNotNull()).groupBy(*keys, F.col("__text").alias("text")).agg(
+        F.min("ts").alias("at"), F.min("log_id").alias("id"))
+    texts = texts.withColumn("leaf", leaf_key(F.col("text"), depth))
+    level = cut_lineage(texts.select(*[F.col(k).cast("string").alias(k) for k in keys], "leaf", "text", "at", "id"), "texts")
+    found, group = None, [*keys, "leaf", "part"]
+    kinds = ", ".join(f"`{c}` {'bigint' if c == 'part' else 'string'}" for c in group) + ", text string, template string"
+    while True:
+        sizes = level.groupBy(*keys, "leaf").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
+        dealt = null_safe_join(level, sizes, [*keys, "leaf"]).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")))
+        dealt = dealt.repartition(*group).sortWithinPartitions(*group, "at", "id", "text").select(*group, "text")
+        step = cut_lineage(dealt.mapInArrow(_cluster_parts(group, sim), kinds).drop("part"), "clusters")
+        if found is None:
+            found = step
+        else:
+            old, found = found, cut_lineage(null_safe_join(found.withColumnRenamed("template", "via"), step.withColumnsRenamed(
+                {"text": "via"}), [*keys, "leaf", "via"]).drop("via"), "clusters")
+            forget(old)
+        split = not sizes.filter("parts > 1").isEmpty()
+        above = null_safe_join(level, step, [*keys, "leaf", "text"]).groupBy(*keys, "leaf", F.col("template").alias("text")).agg(
+            F.min("at").alias("at"), F.min("id").alias("id"))
+        before, level = level, cut_lineage(above, "texts")
+        done = not split or level.count() == before.count()  # nothing is left to merge
+        forget(before)
+        if done:
+            break
+    found = found.withColumnRenamed("text", "__text").withColumnRenamed("leaf", "__leaf")
+    firsts = null_safe_join(df, found, [*keys, "__text"], "left").withColumn(
+        "drain_cluster", F.when(F.col("template").isNotNull(), F.concat_ws("#", "__leaf", "template")))
+    born = firsts.filter(F.col("template").isNotNull()).groupBy(*keys, "drain_cluster").agg(F.min(F.struct("ts", "log_id")).alias("f"))
+    born = born.select(*keys, "drain_cluster", F.col("f.ts").alias("ts"), F.col("f.log_id").alias("log_id"), F.lit(True).alias("__new"))
+    out = null_safe_join(firsts, born, [*keys, "drain_cluster", "ts", "log_id"], "left")
+    return (out.withColumn("template_id", template_id(F.col("template"))).withColumn("regex", template_regex(F.col("template"), "full"))
+               .withColumn("confidence", F.when(F.col("template").isNull(), F.lit(0.0)).when(F.col("__new"), F.lit(P.CONFIDENCE_NEW))
+                           .otherwise(F.lit(P.CONFIDENCE_MATCH)).cast("float")).drop("__text", "__leaf", "__new"))

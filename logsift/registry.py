@@ -571,23 +571,35 @@ def q_incident_keep(spark, sf):
 
 
 # ------------------------------------------------------------ M1 Drain (rows-only check)
-from .operators.drain import drain  # noqa: E402
+from .operators.drain import drain_parallel  # noqa: E402
 
 
 @register
 def q_drain_templates(spark, sf):
-    d = drain(normalized_events(spark, sf), context=["service"])
+    d = drain_parallel(normalized_events(spark, sf), context=["service"])
     return d.select("log_id", "template_id", "template", F.round(F.col("confidence").cast("double"), 6).alias("confidence"),
                     "drain_cluster")
 
 
 @register
 def q_drain_docs(spark, sf):
-    d = drain(normalized_docs(spark, sf))
+    d = drain_parallel(normalized_docs(spark, sf))
     return d.groupBy("tenant", "template_id").agg(F.first("template").alias("template"),
                                                   F.count(F.lit(1)).alias("lines"))
 
 
+@register
+def q_drain_fits(spark, sf):
+    """Every line fits its cluster's template, token by token, and every cluster has one new line."""
+    d = drain_parallel(normalized_events(spark, sf), context=["service"])
+    a, b = F.split(T.mask(F.trim("message")), "[\\t\\n\\f\\r \\x0B]+"), F.split("template", " ")
+    fits = (F.size(a) == F.size(b)) & F.forall(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: (z["a"] == z["b"]) | (z["b"] == "<*>"))
+    new = F.abs(F.col("confidence") - 0.5) < 1e-6
+    return d.groupBy("tenant", "service").agg(
+        F.count(F.lit(1)).alias("records"), F.count(F.when(~fits, 1)).alias("misfits"),
+        (F.countDistinct("drain_cluster") - F.count(F.when(new, 1))).alias("clusters_without_first"))
+
+
 # ------------------------------------------------------------ remaining operators
 
 

@@ -841,3 +841,9 @@ WHERE label_service IN ('click', 'error') AND label_env = 'prod' AND last_seen >
 def _():
     return with_(LOG_EVENTS) + """SELECT tenant, CAST(ts AS DATE) AS date, count(*) AS records, CAST(sum(length(payload)) AS BIGINT) AS chars
 FROM log_events GROUP BY ALL"""
+
+
+@oracle("drain_fits")
+def _():
+    return with_(LOG_EVENTS) + """SELECT tenant, service, count(*) AS records, CAST(0 AS BIGINT) AS misfits, CAST(0 AS BIGINT) AS clusters_without_first
+FROM log_events GROUP BY ALL"""

@@ -122,3 +122,14 @@ def test_cluster_session_needs_a_shared_folder():
         ensure_checkpoint_dir(Session())
     Session.conf["spark.checkpoint.dir"] = "file:///shared"
     assert ensure_checkpoint_dir(Session()) == "file:///shared"
+
+
+def test_parallel_drain_merges_parts_and_keeps_null_contexts(spark):
+    from logsift.operators.drain import drain_parallel
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]
+    rows = [(i, dt.datetime(2024, 1, 1), None if i % 2 else "t", f"job started on host {words[i % 7]} by {words[(i * 3) % 7]} ok") for i in range(90)]
+    rows += [(100, None, "t", "  "), (101, None, "t", "another kind of line")]
+    d = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, tenant string, message string")
+    got = {r["log_id"]: r["template"] for r in drain_parallel(d, part_rows=3).collect()}
+    assert len(got) == 92 and got[100] is None and got[101] == "another kind of line"
+    assert {got[i] for i in range(90)} == {"job started on host <*> by <*> ok"}
