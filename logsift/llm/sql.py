@@ -72,4 +72,33 @@ x AS (SELECT *, ct[1:n_shared] AS pt, ct[n_shared + 1:] AS c2, rt[n_shared + 1:]
 SELECT kind, chosen_id, rejected_id, n_shared, {_RENDER.format("pt")} AS prompt, {_RENDER.format("c2")} AS chosen,
   {_MASK.format("c2")} AS chosen_mask, {_RENDER.format("r2")} AS rejected, {_MASK.format("r2")} AS rejected_mask FROM x"""
 
-ORACLE: dict[str, str] = {"op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
+_HOST = LOWER.format("coalesce(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), '')")
+
+OP1 = f"""
+WITH p AS (SELECT page_id, html, {_HOST.format("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS rv FROM r),
+l AS (SELECT host, unnest(regexp_extract_all(html, '(?i)\\shref\\s*=\\s*["'']?((?:https?:)?//[^\\s"''<>]+)', 1)) AS u, page_id, row_number() OVER () AS k FROM v),
+d AS (SELECT DISTINCT host, page_id, {_HOST.format("CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END")} AS dst FROM l),
+pe AS (SELECT host AS src, dst, 1 + log2(count(*)) AS w FROM d GROUP BY ALL),
+h AS (SELECT host FROM v UNION SELECT dst FROM pe),
+t AS (SELECT host, substring(host, instr(host, '.') + 1) AS up FROM h WHERE host <> ''),
+e AS (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, w FROM pe UNION ALL SELECT host, up, 1.0 FROM t WHERE instr(up, '.') > 0 AND up <> host
+  UNION ALL SELECT up, host, 1.0 FROM t WHERE instr(up, '.') > 0 AND up <> host) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+w AS (SELECT walk, src, dst, w / sum(w) OVER (PARTITION BY walk, src) AS q FROM (
+  SELECT 'trust' AS walk, src, dst, w FROM e UNION ALL SELECT 'distrust', dst, src, w FROM e)),
+c AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE rv = 'allow') AS a, count(*) FILTER (WHERE rv = 'block') AS b FROM v WHERE host <> '' GROUP BY host),
+s0 AS (SELECT 'trust' AS walk, host, a AS x FROM c WHERE 2 * a > n UNION ALL SELECT 'distrust', host, b FROM c WHERE 2 * b > n),
+s AS (SELECT walk, host, 0.5::DOUBLE * x / sum(x) OVER (PARTITION BY walk) AS r FROM s0),
+r0 AS (SELECT * FROM s),
+""" + ",\n".join(f"""r{i + 1} AS (SELECT walk, host, sum(r) AS r FROM (SELECT * FROM s UNION ALL
+  SELECT w.walk, w.dst, r{i}.r * w.q * 0.5 FROM r{i} JOIN w ON w.walk = r{i}.walk AND w.src = r{i}.host) GROUP BY ALL)""" for i in range(10)) + """,
+f AS (SELECT host, round(sum(CASE WHEN walk = 'trust' THEN r ELSE 0 END), 9) AS trust,
+  round(sum(CASE WHEN walk = 'distrust' THEN r ELSE 0 END), 9) AS distrust FROM r10 GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN distrust > 0.75 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM v LEFT JOIN f USING (host)"""
+
+ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}

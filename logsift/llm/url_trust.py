@@ -98,7 +98,7 @@ def propagate(edges: DataFrame, seed: DataFrame, damping: float = DAMPING, toler
         moved = (rank.join(walk.withColumnRenamed("src", "host"), ["walk", "host"])
                      .select("walk", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r")))
         rank = moved.union(start).groupBy("walk", "host").agg(F.sum("r").alias("r"))
-    of = lambda k: F.round(F.sum(F.when(F.col("walk") == k, F.col("r")).otherwise(0.0)), 12).alias(k)
+    of = lambda k: F.round(F.sum(F.when(F.col("walk") == k, F.col("r")).otherwise(0.0)), 9).alias(k)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
