@@ -21,12 +21,15 @@ per key); the per-record value is then a column expression.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from .ordered import null_safe_join
@@ -59,6 +62,11 @@ class Policy:
     half_life: float = P.EMA_HALF_LIFE_MIN
     budget_10m: int = P.BUDGET_10M
     version: str = P.POLICY_VERSION
+    novelty_hours: float = 0.0  # above 0: a key stays novel for so long after its first record
+
+
+#: Thresholds a table of policies may set per tenant, as columns ``pol_<name>``.
+TENANT_THRESHOLDS = ("warmup_n", "min_spike", "spike_factor", "budget_10m")
 
 
 def with_key(df: DataFrame) -> DataFrame:
@@ -77,6 +85,27 @@ def minute_rollup(df: DataFrame, key: list[str] = KEY) -> DataFrame:
               .groupBy(*key, "minute").agg(F.count(F.lit(1)).alias("n")))
 
 
+def ema_per_minute(df: DataFrame, alpha: float = 0.2, key: list[str] = KEY) -> DataFrame:
+    """Per key and minute with records, the moving average of records per
+    minute before it; minutes without records count as 0. Streams over sorted
+    partitions of the minute rollup, and holds one key's average."""
+    roll = minute_rollup(with_key(df), key).filter(F.col("minute").isNotNull())
+    roll = roll.repartition(*key).sortWithinPartitions(*key, "minute")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, e = None, 0, 0.0
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*key, "minute", "n")), strict=True):
+                own, minute, n = row[:-2], row[-2], row[-1]
+                before = e * (1 - alpha) ** (minute - at - 1) if own == last else 0.0
+                out.append(before)
+                last, at, e = own, minute, alpha * n + (1 - alpha) * before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "baseline"])
+
+    return roll.mapInArrow(run, T.StructType([*roll.schema.fields, T.StructField("baseline", T.DoubleType())]))
+
+
 def _ema_minutes_fn(alpha: float, key: list[str]):
     r = 1.0 - alpha
 
@@ -155,8 +184,12 @@ def steady_k(policy: Policy, sev: Column) -> Column:
     return e.otherwise(F.lit(policy.steady_k_other)).cast("bigint")
 
 
-def ladder(policy: Policy = Policy()) -> Column:
-    """First matching rung wins -> struct(action, keep_reason, sample_rate, note)."""
+def ladder(policy: Policy = Policy(), per_tenant: tuple[str, ...] = ()) -> Column:
+    """First matching rung wins -> struct(action, keep_reason, sample_rate, note).
+    Thresholds named in ``per_tenant`` come from their ``pol_`` columns where
+    those are set (W20)."""
+    limit = {n: F.coalesce(F.col(f"pol_{n}"), F.lit(getattr(policy, n))) if n in per_tenant else F.lit(getattr(policy, n))
+             for n in TENANT_THRESHOLDS}
     sev, total, cur, ema = F.col("severity"), F.col("seq"), F.col("cur_min"), F.col("ema")
     k = steady_k(policy, sev)
 
@@ -169,16 +202,18 @@ def ladder(policy: Policy = Policy()) -> Column:
     e = F.when(sev.isin(*policy.severity_keep), d("KEEP", "SEVERITY", 1, ""))
     if policy.novelty:
         e = e.when(total <= 1, d("KEEP", "NOVEL", 1, "first-occurrence"))
-    e = e.when((ema > 0) & (cur >= F.lit(policy.spike_factor) * ema) & (cur >= policy.min_spike),
+    if policy.novelty_hours > 0:
+        age = epoch_us("ts") - epoch_us("key_first_seen")
+        e = e.when(age < policy.novelty_hours * 3.6e9, d("KEEP", "NOVEL", 1, "recent"))
+    e = e.when((ema > 0) & (cur >= limit["spike_factor"] * ema) & (cur >= limit["min_spike"]),
                d("KEEP", "SPIKE", 1, F.format_string("cur=%d ema=%.2f", cur, ema)))
-    e = e.when(total <= policy.warmup_n, d("KEEP", "WARMUP", 1,
-                                           F.format_string(f"n=%d/{policy.warmup_n}", total)))
+    e = e.when(total <= limit["warmup_n"], d("KEEP", "WARMUP", 1, F.format_string("n=%d/%d", total, limit["warmup_n"])))
     if policy.log2:
         e = e.when((total > 0) & (F.expr("seq & (seq - 1)") == 0),
                    d("KEEP", "LOG2", 1, F.format_string("n=%d", total)))
-    if policy.budget_10m > 0:
-        over = (F.col("count_10m") > policy.budget_10m) & sev.isin("DEBUG", "INFO")
-        note = F.format_string(f"budget>10m: %d>{policy.budget_10m}", F.col("count_10m"))
+    if policy.budget_10m > 0 or "budget_10m" in per_tenant:
+        over = (limit["budget_10m"] > 0) & (F.col("count_10m") > limit["budget_10m"]) & sev.isin("DEBUG", "INFO")
+        note = F.format_string("budget>10m: %d>%d", F.col("count_10m"), limit["budget_10m"])
         e = e.when(over & (F.pmod(total, k) == 0), d("KEEP", "BUDGET", k, note))
         e = e.when(over, d("SUPPRESS", "BUDGET", k, note))
     e = e.when(F.pmod(total, k) == 0, d("KEEP", "STEADYK", k, ""))
@@ -186,10 +221,16 @@ def ladder(policy: Policy = Policy()) -> Column:
     return F.when(total.isNull(), d("KEEP", "WARMUP", 1, "")).otherwise(e.otherwise(d("SUPPRESS", "STEADYK", k, "")))
 
 
-def decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True) -> DataFrame:
-    """Counters + ladder; one decision per record (flat columns + struct)."""
+def decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True,
+           policies: DataFrame | None = None) -> DataFrame:
+    """Counters + ladder; one decision per record (flat columns + struct).
+    ``policies`` (key_tenant and any of ``TENANT_THRESHOLDS``) sets thresholds per tenant."""
     df = with_counters(with_key(mined), policy, inclusive)
-    df = df.withColumn("__d", ladder(policy))
+    own: tuple[str, ...] = ()
+    if policies is not None:
+        own = tuple(n for n in TENANT_THRESHOLDS if n in policies.columns)
+        df = join_policies(df, policies.select("key_tenant", *[F.col(n).alias(f"pol_{n}") for n in own]))
+    df = df.withColumn("__d", ladder(policy, own)).drop(*[f"pol_{n}" for n in own])
     df = (df.withColumn("action", F.col("__d.action")).withColumn("keep_reason", F.col("__d.keep_reason"))
             .withColumn("sample_rate", F.col("__d.sample_rate")).withColumn("note", F.col("__d.note"))
             .withColumn("policy_version", F.when(F.col("seq").isNull(), F.lit(P.FALLBACK_POLICY_VERSION))

@@ -41,9 +41,11 @@ LOG_PAGES = """log_pages AS (
          'fetch ' || url || ' status=200 bytes=' || CAST(octet_length(encode(html)) AS VARCHAR) AS payload
   FROM pages)"""
 
+LOG_BURST = """log_burst AS (SELECT event_id AS log_id, ts, 't' AS tenant, 's' AS service, 'e' AS env, 'DEBUG' AS severity, 'tick' AS payload FROM events)"""
+
 LOG_BODIES = "log_bodies AS (SELECT page_id AS log_id, html AS payload FROM pages)"
 
-VIEWS = {"log_events": LOG_EVENTS, "log_docs": LOG_DOCS, "log_pages": LOG_PAGES, "log_bodies": LOG_BODIES}
+VIEWS = {"log_events": LOG_EVENTS, "log_docs": LOG_DOCS, "log_pages": LOG_PAGES, "log_bodies": LOG_BODIES, "log_burst": LOG_BURST}
 
 
 def with_(*ctes: str) -> str:
@@ -208,6 +210,7 @@ def ladder_sql(policy) -> str:
     return f"""rung AS (SELECT *, {k} AS k, CASE
          WHEN severity IN ({keep}) THEN 1
          WHEN {nov} THEN 2
+         WHEN epoch_us(ts) - epoch_us(key_first_seen) < {policy.novelty_hours * 3.6e9!r} THEN 10
          WHEN ema > 0 AND cur_min >= {policy.spike_factor!r} * ema AND cur_min >= {policy.min_spike} THEN 3
          WHEN seq <= {policy.warmup_n} THEN 4
          WHEN {log2} THEN 5
@@ -217,10 +220,10 @@ def ladder_sql(policy) -> str:
          ELSE 9 END AS rung FROM em),
 decided AS (SELECT *,
   CASE WHEN rung IN (7, 9) THEN 'SUPPRESS' ELSE 'KEEP' END AS action,
-  CASE rung WHEN 1 THEN 'SEVERITY' WHEN 2 THEN 'NOVEL' WHEN 3 THEN 'SPIKE' WHEN 4 THEN 'WARMUP'
+  CASE rung WHEN 1 THEN 'SEVERITY' WHEN 10 THEN 'NOVEL' WHEN 2 THEN 'NOVEL' WHEN 3 THEN 'SPIKE' WHEN 4 THEN 'WARMUP'
             WHEN 5 THEN 'LOG2' WHEN 6 THEN 'BUDGET' WHEN 7 THEN 'BUDGET' ELSE 'STEADYK' END AS keep_reason,
-  CAST(CASE WHEN rung >= 6 THEN k ELSE 1 END AS BIGINT) AS sample_rate,
-  CASE rung WHEN 2 THEN 'first-occurrence'
+  CAST(CASE WHEN rung BETWEEN 6 AND 9 THEN k ELSE 1 END AS BIGINT) AS sample_rate,
+  CASE rung WHEN 2 THEN 'first-occurrence' WHEN 10 THEN 'recent'
             WHEN 3 THEN printf('cur=%d ema=%.2f', cur_min, ema)
             WHEN 4 THEN printf('n=%d/{policy.warmup_n}', seq)
             WHEN 5 THEN printf('n=%d', seq)

@@ -909,3 +909,34 @@ def q_sink_files(spark, sf):
     K.write_logs(k, path, "json", ["tenant", "date"], "gzip")
     back = spark.read.schema("log_id long, ts timestamp_ntz, line string, tenant string, date date").json(path)
     return back.groupBy("tenant", "date").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("line")).alias("chars"))
+
+
+BUDGETED = Policy(novelty=False, log2=False, warmup_n=3, min_spike=1000, budget_10m=2, steady_k={"DEBUG": 2})
+TENANT_POLICIES = {"t0": Policy(warmup_n=1), "t1": Policy(warmup_n=3)}
+
+
+@register
+def q_ladder_budget(spark, sf):
+    """All events under one key, so that ten minutes hold more than the budget."""
+    e = log_events(spark, sf).select("log_id", "ts", *[F.lit(v).alias(k) for k, v in (
+        ("tenant", "t"), ("service", "s"), ("env", "e"), ("severity", "DEBUG"), ("payload", "tick"))])
+    return _decisions(decide(with_templates(normalize(e)), BUDGETED))
+
+
+@register
+def q_ladder_novelty_window(spark, sf):
+    return _decisions(decide(sampler_rows(spark, sf), Policy(novelty_hours=24.0)))
+
+
+@register
+def q_ladder_by_tenant(spark, sf):
+    """Two tenants with thresholds of their own, the third with the defaults."""
+    rows = [(t, p.warmup_n) for t, p in TENANT_POLICIES.items()]
+    return _decisions(decide(sampler_rows(spark, sf), policies=spark.createDataFrame(rows, "key_tenant string, warmup_n bigint")))
+
+
+@register
+def q_ema_per_minute(spark, sf):
+    from .operators.sampling import KEY, ema_per_minute
+    r = ema_per_minute(sampler_rows(spark, sf))
+    return r.select(*KEY, F.col("minute").cast("bigint").alias("minute"), "n", F.round("baseline", 6).alias("baseline"))

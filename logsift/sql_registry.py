@@ -847,3 +847,36 @@ FROM log_events GROUP BY ALL"""
 def _():
     return with_(LOG_EVENTS) + """SELECT tenant, service, count(*) AS records, CAST(0 AS BIGINT) AS misfits, CAST(0 AS BIGINT) AS clusters_without_first
 FROM log_events GROUP BY ALL"""
+
+
+def _decisions_of(view: str, policy, where: str = "TRUE") -> str:
+    return "WITH RECURSIVE " + with_(*decided_ctes(view, policy))[5:] + \
+        f"SELECT log_id, action, keep_reason, sample_rate, note, policy_version FROM decided WHERE {where}"
+
+
+@oracle("ladder_budget")
+def _():
+    from .registry import BUDGETED
+    return _decisions_of("log_burst", BUDGETED)
+
+
+@oracle("ladder_novelty_window")
+def _():
+    return _decisions_of("log_events", Policy(novelty_hours=24.0))
+
+
+@oracle("ladder_by_tenant")
+def _():
+    from .registry import TENANT_POLICIES
+    parts = [_decisions_of("log_events", p, f"key_tenant = '{t}'") for t, p in TENANT_POLICIES.items()]
+    named = ", ".join(f"'{t}'" for t in TENANT_POLICIES)
+    parts.append(_decisions_of("log_events", Policy(), f"key_tenant NOT IN ({named})"))
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+@oracle("ema_per_minute")
+def _():
+    same = " AND ".join(f"a.{k} = b.{k}" for k in KEYS.split(", "))
+    return with_(*counter_ctes("log_events"), f"pm AS (SELECT {KEYS}, cur_minute AS minute, count(*) AS n FROM sk GROUP BY ALL)") + f"""
+SELECT a.*, round(coalesce(sum(0.2::DOUBLE * b.n * pow(0.8::DOUBLE, a.minute - b.minute - 1)), 0), 6) AS baseline
+FROM pm a LEFT JOIN pm b ON {same} AND b.minute < a.minute GROUP BY ALL"""
