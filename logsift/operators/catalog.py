@@ -83,9 +83,10 @@ def publish_ack(ok: DataFrame, rejects: DataFrame) -> DataFrame:
 def fold_catalog(candidates: DataFrame, prior: DataFrame | None = None, faithful: bool = False) -> DataFrame:
     """Union prior catalog and candidates, fold per (tenant, template):
     first_seen = least, last_seen = greatest, text/regex/labels/version from the
-    row with the latest last_seen. ``faithful=True`` keeps the reference's
-    rule that a candidate with unchanged version and no newer last_seen does
-    not lower first_seen."""
+    row with the latest last_seen. ``faithful=True`` keeps two rules of the
+    upsert: a candidate whose version differs from the stored one brings its
+    text whatever its last_seen, and one with an unchanged version and no newer
+    last_seen does not lower first_seen."""
     cols = ["tenant", "template_id", "template_text", "regex", "labels", "first_seen", "last_seen",
             "template_version"]
     new = candidates.select(*cols, F.lit(1).alias("__src"))
@@ -93,7 +94,12 @@ def fold_catalog(candidates: DataFrame, prior: DataFrame | None = None, faithful
         u = new
     else:
         u = prior.select(*cols, F.lit(0).alias("__src")).unionByName(new)
-    latest = F.struct("last_seen", "__src")
+    changed = F.lit(0)
+    if faithful and prior is not None:
+        known = prior.select(*CATALOG_KEY, F.col("template_version").alias("__known"))
+        u = u.join(known, CATALOG_KEY, "left")
+        changed = F.when((F.col("__src") == 1) & (F.col("template_version") != F.col("__known")), 1).otherwise(0)
+    latest = F.struct(changed.alias("changed"), "last_seen", "__src")
     g = u.groupBy(*CATALOG_KEY).agg(
         F.max_by("template_text", latest).alias("template_text"),
         F.max_by("regex", latest).alias("regex"),
@@ -237,17 +243,18 @@ def rate_delta(mined: DataFrame, split) -> DataFrame:
                     F.when(F.col("n_before") > 0, F.col("n_after") / F.col("n_before")).alias("ratio"))
 
 
-def template_events(mined: DataFrame, split, spike_ratio: float = 2.0) -> DataFrame:
+def template_events(mined: DataFrame, split, spike_ratio: float = 2.0, spans: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Events for the batch after ``split`` against the catalog folded from
     the rows before it: NEW (no earlier row), UPDATE (version changed), SPIKE
-    (after/before count ratio >= spike_ratio). Partition key tenant:template."""
+    (rate after / rate before >= spike_ratio, rates over the lengths ``spans`` of
+    the two periods, in any unit). Partition key tenant:template."""
     s = F.lit(split) if not isinstance(split, Column) else split
     prior = to_candidates(mined.filter(F.col("ts") < s))
     cur = to_candidates(mined.filter(F.col("ts") >= s))
     j = cur.alias("c").join(prior.alias("p"), CATALOG_KEY, "left")
     et = (F.when(F.col("p.template_version").isNull(), "NEW")
           .when(F.col("p.template_version") != F.col("c.template_version"), "UPDATE")
-          .when(F.col("c.n") >= F.lit(spike_ratio) * F.col("p.n"), "SPIKE"))
+          .when(F.col("c.n") * F.lit(float(spans[0])) >= F.lit(spike_ratio) * F.col("p.n") * F.lit(float(spans[1])), "SPIKE"))
     return j.select(*CATALOG_KEY, et.alias("event_type"), F.col("c.n").alias("n_after"),
                     F.col("p.n").alias("n_before"),
                     F.concat_ws(":", "tenant", "template_id").alias("partition_key")) \

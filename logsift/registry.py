@@ -940,3 +940,19 @@ def q_ema_per_minute(spark, sf):
     from .operators.sampling import KEY, ema_per_minute
     r = ema_per_minute(sampler_rows(spark, sf))
     return r.select(*KEY, F.col("minute").cast("bigint").alias("minute"), "n", F.round("baseline", 6).alias("baseline"))
+
+
+@register
+def q_template_spikes(spark, sf):
+    """Events of the last 20 days against the 10 before them: rates, not counts."""
+    return C.template_events(mined_events(spark, sf, several=True), _ntz("2024-01-11 00:00:00"), 1.5, (10, 20))
+
+
+@register
+def q_catalog_upsert_text(spark, sf):
+    """An older candidate with another version replaces the text, but not the times."""
+    stored = C.to_candidates(mined_events(spark, sf, several=True))
+    late = stored.withColumn("last_seen", F.expr("last_seen - INTERVAL 40 DAYS")).withColumn("first_seen", F.col("last_seen"))
+    late = late.withColumn("template_version", F.when(F.col("template_id") < "8", F.lit("other")).otherwise(F.col("template_version")))
+    late = late.withColumn("template_text", F.when(F.col("template_id") < "8", F.lit("new text")).otherwise(F.lit("ignored")))
+    return C.fold_catalog(late, stored, faithful=True).select("tenant", "template_id", "template_text", "first_seen", "last_seen")

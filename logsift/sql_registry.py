@@ -880,3 +880,24 @@ def _():
     return with_(*counter_ctes("log_events"), f"pm AS (SELECT {KEYS}, cur_minute AS minute, count(*) AS n FROM sk GROUP BY ALL)") + f"""
 SELECT a.*, round(coalesce(sum(0.2::DOUBLE * b.n * pow(0.8::DOUBLE, a.minute - b.minute - 1)), 0), 6) AS baseline
 FROM pm a LEFT JOIN pm b ON {same} AND b.minute < a.minute GROUP BY ALL"""
+
+
+@oracle("template_spikes")
+def _():
+    cut = "TIMESTAMP '2024-01-11 00:00:00'"
+    return with_(*mined_ctes("log_events"), _cand(f"ts < {cut}", "p"), _cand(f"ts >= {cut}", "c")) + """,
+j AS (SELECT c.tenant, c.template_id, c.n AS n_after, p.n AS n_before,
+  CASE WHEN p.template_id IS NULL THEN 'NEW'
+       WHEN substr(sha1(p.template_text || chr(10) || p.regex), 1, 16)
+            <> substr(sha1(c.template_text || chr(10) || c.regex), 1, 16) THEN 'UPDATE'
+       WHEN c.n / 20.0 >= 1.5 * p.n / 10.0 THEN 'SPIKE' END AS event_type
+  FROM c LEFT JOIN p USING (tenant, template_id))
+SELECT tenant, template_id, event_type, n_after, n_before, tenant || ':' || template_id AS partition_key
+FROM j WHERE event_type IS NOT NULL"""
+
+
+@oracle("catalog_upsert_text")
+def _():
+    return with_(*mined_ctes("log_events"), _cand("TRUE", "c")) + """SELECT tenant, template_id,
+  CASE WHEN template_id < '8' THEN 'new text' ELSE template_text END AS template_text,
+  CASE WHEN template_id < '8' THEN least(first_seen, last_seen - INTERVAL 40 DAYS) ELSE first_seen END AS first_seen, last_seen FROM c"""
