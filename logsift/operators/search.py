@@ -133,7 +133,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vec_col: st
         sent = ([r["query_id"] for r in rows], qmat, [{c: v for c, v in f.items() if v} for f in qf])
         try:
             bq = spark.sparkContext.broadcast(sent)
-        except Exception:  # noqa: BLE001 - no SparkContext: ship the bounded query set with the task
+        except (AttributeError, NotImplementedError):  # no SparkContext (Spark Connect): ship the bounded query set with the task
             bq = sent
         part = vec_side.mapInPandas(_topk_partition(bq, k, id_col, vec_col, list(filter_cols)), HIT_SCHEMA)
         out = part if out is None else out.unionByName(part)

@@ -19,7 +19,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate (from file sizes and projections), if known."""
     try:
         return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
+    except (AttributeError, NotImplementedError):  # a session without the JVM classes (Spark Connect): counted instead
         return None
 
 

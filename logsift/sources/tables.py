@@ -36,7 +36,7 @@ def balanced(df: DataFrame) -> DataFrame:
         target = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= target:
             return df
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session)
+    except (AttributeError, NotImplementedError):  # no RDD API (Spark Connect)
         return df
     return df.repartition(target)
 
