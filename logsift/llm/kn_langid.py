@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.session import cut_lineage
+from logsift.session import cut_lineage, forget
 
 from .common import share, shared
 from .words import text_slices
@@ -182,6 +182,7 @@ def train(docs: DataFrame, lang: Column, text: str = "text") -> Model:
             F.sum("n").alias("n"), F.count(F.lit(1)).alias("followers"))
         once = level.groupBy("lang").agg(F.count(F.when(F.col("n") == 1, 1)).alias("n1"), F.count(F.when(F.col("n") == 2, 1)).alias("n2"))
         collected[n] = tuple(x.toPandas() for x in (gram, context, once))
+    forget(counts)
     for name in sorted(collected[1][2]["lang"]):
         orders = []
         for n in range(1, ORDER + 1):
@@ -241,6 +242,7 @@ def calibrate(model: Model, docs: DataFrame, lang: Column, text: str = "text") -
     for r in d.join(F.broadcast(mean), "lang_pred").groupBy("lang_pred").agg(
             F.first("mean").alias("mean"), F.percentile_approx(z, QUANTILE, 10000).alias("z")).collect():
         model.limits[r["lang_pred"]] = (float(r["mean"]), MARGIN * max(float(r["z"]), 1.0))
+    forget(d)
     return model
 
 

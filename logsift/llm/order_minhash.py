@@ -17,12 +17,14 @@ are linked; classes are the connected components of links.
    sample and its order are candidates. Two texts of similarity 0.8 agree in a
    bin with a chance of at least 0.8^3 = 0.51, so 12 bins miss at most one in
    5,000 of such pairs, fewer of the more similar.
-3. A bucket (bin, sample) is searched by leaders, so it emits at most its own
-   size a round: every member against a leader drawn at random per bucket and
-   round. Members that are in the leader's class already are not tested again.
-   Small buckets test every member against each other one this way. A larger
-   bucket gets new leaders until a whole round links nothing new. Neither drops
-   a member: all of a bucket meets every leader.
+3. A bucket (bin, sample) is searched by leaders, so it emits a few times its own
+   size a round: every member against leaders drawn at random per bucket and
+   round. Members of the leader's class are not tested again. After the first
+   round, a bucket of up to ``SMALL`` members tests all members of different
+   classes against each other; a larger one has new leaders, for ``ROUNDS`` rounds
+   in all. No member is dropped: all of a bucket meets every leader. So a pair can
+   only be missed if none of the buckets it shares is small, or of one class, or
+   led by a text that links both.
 4. Verification: since labelled shingles are unique, the alignment is the
    longest increasing subsequence of matched positions; a band discards matches
    too far off the diagonal to be part of a sufficient alignment.
@@ -44,13 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.components import components
-from logsift.session import cut_lineage
+from logsift.session import cut_lineage, forget
 
+from .common import fresh
 from .words import Words, mix, occurrences, shingles, text_slices
 
 K, SIMILARITY, BINS, LENGTH = 5, 0.8, 12, 3
-#: A bucket of up to this many members tests all of them against each other.
-SMALL = 8
+#: A bucket of up to this many members tests all of them against each other;
+#: a larger one has this many leaders a round after the first, for so many rounds.
+SMALL, LEADERS, ROUNDS = 64, 4, 3
 
 
 def sketches(texts: pa.Array, k: int = K, bins: int = BINS, length: int = LENGTH) -> tuple[list, list, np.ndarray]:
@@ -149,17 +153,18 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose similarity reaches the bound."""
-    p = (pairs.join(words.select(F.col("node").alias("v"), F.col("words").alias("words_v")), "v")
-              .join(words.select(F.col("node").alias("u"), F.col("words").alias("words_u")), "u"))
+    """The pairs (u, v) whose similarity reaches the bound. Both sides grow with the input, so neither is broadcast."""
+    p = (pairs.join(words.select(F.col("node").alias("v"), F.col("words").alias("words_v")).hint("merge"), "v")
+              .join(words.select(F.col("node").alias("u"), F.col("words").alias("words_u")).hint("merge"), "u"))
     return p.select("u", "v", "words_u", "words_v").mapInArrow(_verify_batches, "u long, v long")
 
 
-def _by_leader(members: DataFrame, number: int) -> DataFrame:
-    """Candidates (u, v): each bucket's members against its leader of this round."""
-    b = members.withColumn("draw", F.xxhash64("bin", "sample", "node", F.lit(number)))
-    lead = b.groupBy("bin", "sample").agg(F.min(F.struct("draw", "node", "n", "component")).alias("lead"))
-    b = b.join(lead, ["bin", "sample"])
+def _by_leader(members: DataFrame, number: int, leaders: int) -> DataFrame:
+    """Candidates (u, v): each bucket's members against its leaders of this round."""
+    draws = F.explode(F.array(*[F.lit(number * LEADERS + i) for i in range(leaders)])).alias("turn")
+    b = members.select("bin", "sample", "node", "n", "component", draws).withColumn("draw", F.xxhash64("bin", "sample", "node", "turn"))
+    lead = b.groupBy("bin", "sample", "turn").agg(F.min(F.struct("draw", "node", "n", "component")).alias("lead"))
+    b = b.join(lead, ["bin", "sample", "turn"])
     return _fitting(b.select("node", "n", "component", *[F.col(f"lead.{c}").alias(f"{c}_2") for c in ("node", "n", "component")]))
 
 
@@ -175,30 +180,37 @@ def _fitting(pairs: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
 
 
-def links(buckets: DataFrame, words: DataFrame) -> DataFrame:
-    """Verified links (u, v) between nodes; see the module's steps 3 and 4.
+def linked(buckets: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with a verified link; see the module's steps 3 and 4.
 
     ``buckets`` has bin, sample, node, n, size; ``words`` has node, words; both are written tables.
     """
     members = buckets.withColumn("component", F.col("node"))
-    tested = found = None
-    number = 0
+    pairs = _by_leader(members, 0, 1)
+    tested, classes, number = [], None, 0
     while True:
-        pairs = _by_leader(members, number)
-        if number == 1:
-            pairs = pairs.union(_among(members)).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        for earlier in tested:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
         new = cut_lineage(verify(pairs, words), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = new if found is None else found.union(new)
+        tested.append(pairs)
         if number > 0 and new.isEmpty():
-            return found
+            forget(new, members, *tested)
+            return classes
+        # Classes so far and what is new; one table instead of all links.
+        known = new if classes is None else new.union(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        before, classes = classes, cut_lineage(components(known), "classes")
+        forget(new, before, members if number else None)
         number += 1
-        members = buckets.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if number == ROUNDS:
+            forget(*tested)
+            return classes
+        members = buckets.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = members.groupBy("bin", "sample").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
         members = cut_lineage(members.join(mixed.select("bin", "sample"), ["bin", "sample"], "left_semi"), "members")
+        pairs = _by_leader(members.where(F.col("size") > SMALL), number, LEADERS)
+        if number == 1:
+            pairs = pairs.union(_among(members)).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,21 +226,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     exploded = texts.select("node", "n", F.posexplode("sample").alias("bin", "sample")).where("sample != 0")
     sizes = exploded.groupBy("bin", "sample").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut_lineage(exploded.join(sizes, ["bin", "sample"]), "buckets")
-    words = cut_lineage(rows.select(F.col("row").alias("node"), "words").join(buckets.select("node").distinct(), "node", "left_semi"), "words")
-    classes = components(links(buckets, words))
+    ids = cut_lineage(rows.select("doc_id", "digest"), "ids")
+    words = cut_lineage(rows.select(F.col("row").alias("node"), "words").join(buckets.select("node").distinct().hint("merge"), "node", "left_semi"), "words")
+    forget(rows)
+    classes = linked(buckets, words)
+    forget(buckets, words)
     of = texts.select("digest", "node", "least_id").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("least_id").alias("class_id"))
     named = of.join(least, "component").select("digest", F.coalesce("class_id", -1 - F.col("component")).alias("class_id"))
-    return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id")
+    return ids.join(named, "digest").select("doc_id", "digest", "class_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near-duplicates: one row of each class stays, the smallest by (id, digest)."""
-    best = near_duplicates(docs, doc_id, text).groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("b")).select(
-        F.col("b.doc_id").alias("_id"), F.col("b.digest").alias("_digest"))
-    d = docs.withColumn("_at", F.struct(F.col(doc_id).cast("long").alias("i"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("d")))
-    kept = d.join(best, F.col("_at.i").eqNullSafe(F.col("_id")) & (F.col("_at.d") == F.col("_digest")), "left_semi")
-    return kept.dropDuplicates(["_at"]).drop("_at")
+    at = fresh(docs, "_at")
+    # The same key for the join and for repeated rows, so the texts are shuffled once.
+    key = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), d)
+    kept = near_duplicates(docs, doc_id, text).groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("b"))
+    kept = kept.select(key(F.col("b.doc_id"), F.col("b.digest")).alias(at))
+    d = docs.withColumn(at, key(F.col(doc_id).cast("long"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    # Equal texts of equal ids are told apart by nothing: one of them stays.
+    return d.join(kept, at, "left_semi").dropDuplicates([at]).select(docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:
