@@ -40,7 +40,7 @@ def _unit(h: Column) -> Column:
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dims: dict[str, Column] | None = None) -> DataFrame:
-    """Sizes, checksums, dimensions and row keys of the documents, as a written table without texts."""
+    """Sizes, checksums, dimensions and row keys of the documents, as a written table without texts; all in cell 0."""
     t = F.coalesce(F.col(text), F.lit(""))
     dims = dims or {"lang": _unit(F.xxhash64("lang")), "source": _unit(F.xxhash64("source")), "length": F.log2(F.octet_length(t) + 1) / 40}
     d = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
@@ -50,7 +50,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dims:
     # One place per group of equal texts: the smallest value of each dimension.
     names = [f"dim_{k}" for k in dims]
     place = rows.groupBy("text_key").agg(*[F.min(c).alias(c) for c in names])
-    return cut_lineage(rows.drop(*names).join(place, "text_key"), "placed")
+    return cut_lineage(rows.drop(*names).join(place, "text_key").withColumn("cell", F.lit(0)), "placed")
 
 
 def _bin(key: Column) -> Column:
@@ -72,7 +72,7 @@ def split(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds ``shard`` to measured rows."""
     spark = rows.sparkSession
     dims = [c for c in rows.columns if c.startswith("dim_")]
-    cells = rows.withColumn("cell", F.lit(0))
+    cells = rows
     plan = {0: (0, shards)}  # cell -> (first shard, number of shards)
     while any(k > 1 for _, k in plan.values()):
         ranges = {r["cell"]: r for r in cells.groupBy("cell").agg(
