@@ -160,11 +160,17 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _by_leader(members: DataFrame, number: int, leaders: int) -> DataFrame:
-    """Candidates (u, v): each bucket's members against its leaders of this round."""
-    draws = F.explode(F.array(*[F.lit(number * LEADERS + i) for i in range(leaders)])).alias("turn")
-    b = members.select("bin", "sample", "node", "n", "component", draws).withColumn("draw", F.xxhash64("bin", "sample", "node", "turn"))
-    lead = b.groupBy("bin", "sample", "turn").agg(F.min(F.struct("draw", "node", "n", "component")).alias("lead"))
-    b = b.join(lead, ["bin", "sample", "turn"])
+    """Candidates (u, v): each bucket's members against its leaders of this round.
+
+    Leaders come as an array per bucket, so a member is a row for each leader it is
+    to be compared with, not for each leader there is."""
+    own = [F.struct(F.xxhash64("bin", "sample", "node", F.lit(number * LEADERS + i)).alias("draw"), "node", "n", "component") for i in range(leaders)]
+    lead = members.groupBy("bin", "sample").agg(*[F.min(o).alias(f"l{i}") for i, o in enumerate(own)])
+    lead = lead.select("bin", "sample", F.array(*[f"l{i}" for i in range(leaders)]).alias("leads"))
+    b = members.select("bin", "sample", "node", "n", "component").join(lead, ["bin", "sample"])
+    others = F.filter("leads", lambda x: (x["component"] != F.col("component")) & (
+        F.least(F.col("n"), x["n"]) >= SIMILARITY * F.greatest(F.col("n"), x["n"]) - 1e-9))
+    b = b.where(F.size(others) > 0).select("node", "n", "component", F.explode(others).alias("lead"))
     return _fitting(b.select("node", "n", "component", *[F.col(f"lead.{c}").alias(f"{c}_2") for c in ("node", "n", "component")]))
 
 
