@@ -48,7 +48,7 @@ from logsift.session import cut_lineage
 from .common import share, shared
 from .words import text_slices
 
-CAPACITY, END, CACHE = 2048, 0, 400_000
+CAPACITY, END, CACHE = 2048, 0, 100_000
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 # Characters whose classes every Unicode version agrees on; words of others go to the library itself.
 OTHER = re.compile("[^\n\r\t -~À-ɏ]|<\\|")

@@ -43,6 +43,8 @@ from .common import share, shared
 from .words import text_slices
 
 ORDER, MODEL_BYTES, MARGIN, QUANTILE, GAP = 4, 256 << 20, 1.5, 0.999, 1.0
+#: Bytes of text handled at once; a text's arrays take some 60 times its size.
+SLICE = 1 << 20
 RESULT = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64()), ("entropy", "double", pa.float64()),
           ("n_letters", "long", pa.int64()), ("rejected", "boolean", pa.bool_())]
 
@@ -90,7 +92,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial 4-gram counts of a task's texts, per language."""
     for batch in batches:
         held: dict[str, list] = {}
-        for part in text_slices(batch, "text"):
+        for part in text_slices(batch, "text", SLICE):
             code, bounds = grams(part.column("text").to_pylist())
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -202,7 +204,7 @@ def _identify(sent, columns: list[str]):
         names = sorted(model.languages)
         letter = regex.compile(r"\p{L}")
         for batch in batches:
-            for part in text_slices(batch, "_text"):
+            for part in text_slices(batch, "_text", SLICE):
                 texts = part.column("_text").to_pylist()
                 rows = len(texts)
                 spoken = np.array([bool(t and letter.search(t)) for t in texts]) & bool(names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 SEGMENT = 1 << 20
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with at most ``max_bytes`` of text each, or one row."""
     n = batch.num_rows
     sizes = np.array([0 if s is None else s for s in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
