@@ -22,10 +22,17 @@ are linked; classes are the connected components of links.
    round. Members of the leader's class are not tested again. After the first
    round, a bucket of up to ``SMALL`` members tests all members of different
    classes against each other; a larger one has new leaders, for ``ROUNDS`` rounds
-   in all. No member is dropped: all of a bucket meets every leader. So a pair can
-   only be missed if none of the buckets it shares is small, or of one class, or
-   led by a text that links both.
-4. Verification: since labelled shingles are unique, the alignment is the
+   in all. Leaders only save work; what they leave is searched exactly.
+4. The larger buckets that still have several classes: two texts of similarity 0.8
+   share 0.8 of their labelled shingles, so with shingles in one order for all texts,
+   the rarest first, they share one among the first ``n - ceil(0.8 n) + 1`` of each,
+   and from the first one they share on, each has as many left as they must have in
+   common. Texts are joined on these shingles; pairs of different classes that also
+   share a bucket are verified. So every pair that shares a bucket is decided: it is
+   in one class already, or it is compared, or it cannot be similar. A key's largest class is not joined
+   with itself. The order is by counts in ``SLOTS`` hash slots, the same for all
+   texts; collisions cost comparisons only.
+5. Verification: since labelled shingles are unique, the alignment is the
    longest increasing subsequence of matched positions; a band discards matches
    too far off the diagonal to be part of a sufficient alignment.
 
@@ -48,13 +55,15 @@ from pyspark.sql import functions as F
 from logsift.operators.components import components
 from logsift.session import cut_lineage, forget
 
-from .common import fresh
+from .common import fresh, share, shared
 from .words import Words, mix, occurrences, shingles, text_slices
 
 K, SIMILARITY, BINS, LENGTH = 5, 0.8, 12, 3
 #: A bucket of up to this many members tests all of them against each other;
 #: a larger one has this many leaders a round after the first, for so many rounds.
 SMALL, LEADERS, ROUNDS = 64, 4, 3
+#: Shingle counts that order prefixes are kept by the hash's first 20 bits, and summed in chunks.
+SLOTS, CHUNK = 1 << 20, 1 << 14
 
 
 def sketches(texts: pa.Array, k: int = K, bins: int = BINS, length: int = LENGTH) -> tuple[list, list, np.ndarray]:
@@ -186,8 +195,86 @@ def _fitting(pairs: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
 
 
+def _slots(v: np.ndarray) -> np.ndarray:
+    return (v >> np.uint64(44)).astype(np.int64)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for w in batch.column("words"):
+            np.add.at(counts, _slots(_labelled(np.frombuffer(w.as_py(), "<u4"))[0]), 1)
+    parts = counts.reshape(-1, CHUNK)
+    some = [i for i in range(len(parts)) if parts[i].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
+
+
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, c in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(c.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
+
+
+def _prefix_batches(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: np.ndarray = shared(sent)
+        for batch in batches:
+            for part in text_slices(batch, "words"):
+                keys, places, lengths = [], [], []
+                for w in part.column("words"):
+                    v = _labelled(np.frombuffer(w.as_py(), "<u4"))[0]
+                    often = counts[_slots(v)]
+                    first = np.lexsort((v, often))[:len(v) - int(np.ceil(SIMILARITY * len(v) - 1e-9)) + 1]
+                    at = np.flatnonzero(often[first] > 1)  # a shingle counted once is in no other text
+                    keys.append(v[first[at]])
+                    places.append(at)
+                    lengths.append(len(at))
+                of = np.repeat(np.arange(part.num_rows), lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), *[part.column(c).take(pa.array(of)) for c in ("node", "n", "component")],
+                     pa.array(np.concatenate(places).astype(np.int64))], ["key", "node", "n", "component", "pos"])
+    return run
+
+
+def _by_prefix(members: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates (u, v): all pairs of different classes that share a bucket and may be similar; see the module's step 4."""
+    who = members.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("component").alias("component"),
+                                      F.collect_set(F.xxhash64("bin", "sample")).alias("shared"))
+    who = cut_lineage(who, "open")
+    texts = words.join(who.select("node", "n", "component").hint("merge"), "node").select("node", "n", "component", "words")
+    counts = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
+    kinds = "chunk int, counts binary"
+    for r in texts.select("words").mapInArrow(_count_batches, kinds).repartition("chunk").mapInArrow(_sum_batches, kinds).collect():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    rows = texts.mapInArrow(_prefix_batches(share(words.sparkSession, counts.reshape(-1))), "key long, node long, n long, component long, pos long")
+    rows = cut_lineage(rows, "prefixes")
+    keys = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
+        F.max(F.struct("size", "component"))["component"].alias("big"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    mixed = cut_lineage(rows.join(keys.select("key", "big"), "key"), "mixed")
+    forget(rows)
+    a = mixed.where("component != big")
+    b = mixed.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "component", "pos")])
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n_2")) - 1e-9)
+    once = (F.col("component_2") == F.col("big")) | (F.col("node") < F.col("node_2"))
+    pairs = cut_lineage(_fitting(a.join(b, "key").where(once & (F.least(F.col("n") - F.col("pos"), F.col("n_2") - F.col("pos_2")) >= need))), "pairs")
+    forget(mixed)
+    of = lambda end: who.select(F.col("node").alias(end), F.col("shared").alias(f"shared_{end}"))
+    out = cut_lineage(pairs.join(of("u"), "u").join(of("v"), "v").where(F.arrays_overlap("shared_u", "shared_v")).select("u", "v"), "pairs")
+    forget(pairs, who)
+    return out
+
+
+def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members, with their class, of the buckets that have several classes."""
+    members = buckets.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("bin", "sample").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
+    return cut_lineage(members.join(mixed.select("bin", "sample"), ["bin", "sample"], "left_semi"), "members")
+
+
 def linked(buckets: DataFrame, words: DataFrame) -> DataFrame:
-    """(node, component) of all nodes with a verified link; see the module's steps 3 and 4.
+    """(node, component) of all nodes with a verified link; see the module's steps 3 to 5.
 
     ``buckets`` has bin, sample, node, n, size; ``words`` has node, words; both are written tables.
     """
@@ -201,22 +288,30 @@ def linked(buckets: DataFrame, words: DataFrame) -> DataFrame:
         new = cut_lineage(verify(pairs, words), "links")
         tested.append(pairs)
         if number > 0 and new.isEmpty():
-            forget(new, members, *tested)
-            return classes
+            forget(new)
+            break
         # Classes so far and what is new; one table instead of all links.
         known = new if classes is None else new.union(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))
         before, classes = classes, cut_lineage(components(known), "classes")
         forget(new, before, members if number else None)
         number += 1
+        members = _mixed(buckets, classes)
         if number == ROUNDS:
-            forget(*tested)
-            return classes
-        members = buckets.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = members.groupBy("bin", "sample").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-        members = cut_lineage(members.join(mixed.select("bin", "sample"), ["bin", "sample"], "left_semi"), "members")
+            break
         pairs = _by_leader(members.where(F.col("size") > SMALL), number, LEADERS)
         if number == 1:
             pairs = pairs.union(_among(members)).distinct()
+    left = members.where(F.col("size") > SMALL)
+    if not left.isEmpty():
+        pairs = _by_prefix(left, words)
+        fresh_pairs = pairs
+        for earlier in tested:
+            fresh_pairs = fresh_pairs.join(earlier, ["u", "v"], "left_anti")
+        new = verify(fresh_pairs, words)
+        before, classes = classes, cut_lineage(components(new.union(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))), "classes")
+        forget(before, pairs)
+    forget(members, *tested)
+    return classes
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

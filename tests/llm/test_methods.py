@@ -171,6 +171,25 @@ def test_near_duplicate_classes(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_large_bucket_of_one_dominant_class(spark):
+    r = np.random.default_rng(5)
+    texts = []
+    template = r.integers(0, 1 << 31, 200)
+    for _ in range(400):  # one class that every random leader is likely to come from
+        t = template.copy()
+        t[int(r.integers(200))] = int(r.integers(1 << 31))
+        texts.append(t)
+    for _ in range(40):  # pairs of near copies, and one text near to neither
+        t = r.integers(0, 1 << 31, 200)
+        texts += [t, np.concatenate([t[:199], [7]]), np.concatenate([t[:120], r.integers(0, 1 << 31, 80)])]
+    rows = [(i, t.astype("<u4").tobytes()) for i, t in enumerate(texts)]
+    tables = [cut_lineage(spark.createDataFrame(rows, "node long, words binary"), "words"),
+              cut_lineage(spark.createDataFrame([(0, 1, i, 196, len(texts)) for i in range(len(texts))], "bin int, sample long, node long, n long, size long"), "b")]
+    got = {x["node"]: x["component"] for x in order_minhash.linked(tables[1], tables[0]).collect()}
+    want = dict.fromkeys(range(400), 0) | {400 + 3 * i + k: 400 + 3 * i for i in range(40) for k in (0, 1)}
+    assert got == want
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
