@@ -15,7 +15,10 @@ leaves. So the leaves are independent and the job is:
 task; ``drain_parallel`` is the one for large inputs: it clusters masked texts
 (so numbers and ids do not multiply them), deals each leaf into parts of bounded
 size, clusters the parts on their own, then the clusters' templates again, and
-so on until a leaf is one part. No cluster is ever evicted. Its clusters are
+so on until a leaf is one part. When such a level merges nothing, every two parts
+of a leaf meet in a task of bounded size: each template finds its best earlier one,
+and templates join the one they found if that found none itself. So the end is a leaf
+of one part, or one without two templates that Drain would merge. No cluster is ever evicted. Its clusters are
 those of Drain run on the parts; they can differ from the sequential ones where
 the order of arrival decides between two templates of equal similarity.
 
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -168,6 +172,79 @@ def _cluster_parts(group: list[str], sim: float):
     return run
 
 
+def _partner_parts(group: list[str], kinds: pa.Schema, sim: float):
+    """The best earlier template of each template, for rows that come group by group, in order; one group is held at a time."""
+    names = kinds.names
+
+    def flush(rows: list[dict]) -> list[dict]:
+        number: dict[str, int] = {WILDCARD: 0}
+        tokens = np.array([[number.setdefault(t, len(number)) for t in r["text"].split()] for r in rows])
+        fixed, out = tokens != 0, []
+        params = (~fixed).sum(axis=1)
+        for i in range(1, len(rows)):
+            same = ((tokens[:i] == tokens[i]) & fixed[:i]).sum(axis=1)
+            most = same.max()
+            if most / tokens.shape[1] >= sim:
+                best = np.flatnonzero(same == most)
+                r = rows[best[np.argmax(params[best])]]
+                out.append({**rows[i], "same": int(most), "params": int(params[best].max()), "root_at": r["at"], "root_id": r["id"], "root": r["text"]})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = tuple(row[c] for c in group)
+                if held and own != key:
+                    out += flush(held)
+                    held = []
+                key = own
+                held.append(row)
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in out], kinds)
+        if held:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in flush(held)], kinds)
+    return run
+
+
+def _stars(level: DataFrame, keys: list[str], sim: float, part_rows: int) -> DataFrame:
+    """Templates (with root and part) of leaves of several parts that merge: each with the best earlier one of its whole leaf."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    leaf = [*keys, "leaf"]
+    sizes = level.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
+    # Blocks of half a part, so a task of two blocks is as large as a part.
+    blocks = F.ceil(2 * F.col("n") / part_rows)
+    d = null_safe_join(level, sizes, leaf).withColumn("own", F.pmod(F.xxhash64("text"), blocks))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    d = d.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    group = [*leaf, "lo", "hi"]
+    d = d.repartition(*group).sortWithinPartitions(*group, "at", "id", "text").select(*group, "at", "id", "text")
+    kinds = d.select(*leaf, "text", "at", "id", F.lit(0).cast("long").alias("same"), F.lit(0).cast("long").alias("params"),
+                     F.col("at").alias("root_at"), F.col("id").alias("root_id"), F.col("text").alias("root")).schema
+    for f in kinds.fields:
+        f.nullable = True
+    met = d.mapInArrow(_partner_parts(group, to_arrow_schema(kinds), sim), kinds)
+    best = F.min(F.struct(-F.col("same"), -F.col("params"), "root_at", "root_id", "root"))["root"]
+    return met.groupBy(*leaf, "text").agg(best.alias("root"), F.min("at").alias("at"), F.min("id").alias("id"))
+
+
+def _merge_stars(mates: DataFrame, level: DataFrame, keys: list[str], sim: float, part_rows: int) -> DataFrame:
+    """(text, template) of templates and the roots they found; a root that has found one itself waits for the next time."""
+    leaf = [*keys, "leaf"]
+    ends = null_safe_join(mates, mates.select(*leaf, F.col("text").alias("root")), [*leaf, "root"], "left_anti")
+    # The earliest child is in its root's part, so every star merges something.
+    sizes = ends.groupBy(*leaf, "root").agg(F.ceil((F.count(F.lit(1)) + 1) / part_rows).alias("parts"),
+                                            F.min(F.struct("at", "id", "text"))["text"].alias("first"))
+    parts = F.when(F.col("text") == F.col("first"), F.lit(0)).otherwise(F.pmod(F.xxhash64("text"), F.col("parts")))
+    children = null_safe_join(ends, sizes, [*leaf, "root"]).select(*leaf, "root", parts.cast("long").alias("part"), "at", "id", "text")
+    roots = null_safe_join(level, sizes.select(*leaf, F.col("root").alias("text")), [*leaf, "text"]).select(
+        *leaf, F.col("text").alias("root"), F.lit(0).cast("long").alias("part"), "at", "id", "text")
+    group = [*leaf, "root", "part"]
+    kinds = ", ".join(f"`{c}` {'bigint' if c == 'part' else 'string'}" for c in group) + ", text string, template string"
+    d = children.union(roots).repartition(*group).sortWithinPartitions(*group, "at", "id", "text").select(*group, "text")
+    return d.mapInArrow(_cluster_parts(group, sim), kinds).drop("root", "part")
+
+
 def drain_parallel(df: DataFrame, sim: float = P.DRAIN_SIM, depth: int = P.DRAIN_DEPTH, context: list[str] = (),
                    message_col: str = "message", tenant_col: str = "tenant", part_rows: int = 2000) -> DataFrame:
     """Adds template, template_id, regex, confidence and drain_cluster (the
@@ -199,10 +276,22 @@ def drain_parallel(df: DataFrame, sim: float = P.DRAIN_SIM, depth: int = P.DRAIN
         above = null_safe_join(level, step, [*keys, "leaf", "text"]).groupBy(*keys, "leaf", F.col("template").alias("text")).agg(
             F.min("at").alias("at"), F.min("id").alias("id"))
         before, level = level, cut_lineage(above, "texts")
-        done = not split or level.count() == before.count()  # nothing is left to merge
+        merged = level.count() != before.count()
         forget(before)
-        if done:
+        if not split:
             break
+        if not merged:  # by this deal; now every two parts of a leaf meet
+            mates = cut_lineage(_stars(level, keys, sim, part_rows), "mates")
+            if mates.isEmpty():
+                forget(mates)
+                break
+            step = cut_lineage(_merge_stars(mates, level, keys, sim, part_rows), "clusters")
+            new = F.coalesce("template", "via").alias("template")
+            old, found = found, cut_lineage(null_safe_join(found.withColumnRenamed("template", "via"), step.withColumnsRenamed(
+                {"text": "via"}), [*keys, "leaf", "via"], "left").select(*keys, "leaf", "text", new), "clusters")
+            before, level = level, cut_lineage(null_safe_join(level, step, [*keys, "leaf", "text"], "left").groupBy(
+                *keys, "leaf", F.coalesce("template", "text").alias("text")).agg(F.min("at").alias("at"), F.min("id").alias("id")), "texts")
+            forget(old, before, mates, step)
     found = found.withColumnRenamed("text", "__text").withColumnRenamed("leaf", "__leaf")
     firsts = null_safe_join(df, found, [*keys, "__text"], "left").withColumn(
         "drain_cluster", F.when(F.col("template").isNotNull(), F.concat_ws("#", "__leaf", "template")))

@@ -133,3 +133,17 @@ def test_parallel_drain_merges_parts_and_keeps_null_contexts(spark):
     got = {r["log_id"]: r["template"] for r in drain_parallel(d, part_rows=3).collect()}
     assert len(got) == 92 and got[100] is None and got[101] == "another kind of line"
     assert {got[i] for i in range(90)} == {"job started on host <*> by <*> ok"}
+
+
+def test_parallel_drain_compares_all_parts_of_a_leaf(spark):
+    from logsift.operators.drain import _similarity, drain_parallel
+    name = lambda i, k: "".join("bcdfghjklm"[int(c)] for c in f"{i:03d}{k:02d}")
+    rows = []
+    for i in range(60):  # 30 pairs of 0.5 in one leaf, 0.2 to each other
+        shared = " ".join(name(i % 30, k) for k in range(3))
+        rows.append((i, dt.datetime(2024, 1, 1), "t", f"job run {shared} " + " ".join(name(100 + i, k) for k in range(5))))
+    d = spark.createDataFrame(rows, "log_id long, ts timestamp_ntz, tenant string, message string")
+    got = {r["log_id"]: r["template"] for r in drain_parallel(d, part_rows=4).collect()}
+    assert all(got[i] == got[i + 30] for i in range(30)) and len(set(got.values())) == 30
+    found = [t.split() for t in set(got.values())]
+    assert all(_similarity(a, b)[0] < 0.4 for a in found for b in found if a is not b)
