@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import best_fit, kd_shards, kn_langid, license_scan, order_minhash, position_index, preference_format, rule_ledger, secret_cnn, url_trust
+from . import (best_fit, kd_shards, kn_langid, license_scan, order_minhash, position_index, preference_format, rule_ledger, secret_cnn,
+               source_divergence, url_trust)
 from .common import read
 from .sql import ORACLE as LLM_ORACLE  # noqa: F401
 
@@ -17,4 +18,5 @@ LLM_QUERIES = {
     "op8_position_index": lambda spark, sf: position_index.op8(read(spark, sf, "documents"), read(spark, sf, "benchmark")),
     "op9_kn_langid": lambda spark, sf: kn_langid.op9(read(spark, sf, "documents")),
     "op10_preference_format": lambda spark, sf: preference_format.op10(read(spark, sf, "conversations")),
+    "op11_source_divergence": lambda spark, sf: source_divergence.op11(read(spark, sf, "documents")),
 }

@@ -101,4 +101,22 @@ f AS (SELECT host, round(sum(CASE WHEN walk = 'trust' THEN r ELSE 0 END), 9) AS
 SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN distrust > 0.75 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM v LEFT JOIN f USING (host)"""
 
-ORACLE: dict[str, str] = {"op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS nl FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+tl AS (SELECT lang, count(*) AS v, sum(nl) AS nt FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(nt, 0) AS nt, coalesce(sum(n), 0) AS ns FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN tl USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.ns + 5 * g.v) AS p,
+  1 + (1000000000::HUGEINT * (nl + 5)) // (g.nt + 5 * g.v) AS q
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 50"""
+
+ORACLE: dict[str, str] = {"op11_source_divergence": OP11, "op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
