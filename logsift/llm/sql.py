@@ -119,4 +119,12 @@ x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
 y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM y WHERE part = 'pair' OR rank <= 50"""
 
-ORACLE: dict[str, str] = {"op11_source_divergence": OP11, "op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.r AS o, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.r <> q.r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, o) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
+
+ORACLE: dict[str, str] = {"op12_pivot_search": OP12, "op11_source_divergence": OP11, "op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
