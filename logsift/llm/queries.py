@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (best_fit, kd_shards, kn_langid, license_scan, order_minhash, pivot_search, position_index, preference_format, rule_ledger, secret_cnn,
+from . import (best_fit, kd_shards, kn_langid, license_scan, order_minhash, pivot_search, position_index, preference_format, prefix_trie, rule_ledger, secret_cnn,
                source_divergence, url_trust)
 from .common import read
 from .sql import ORACLE as LLM_ORACLE  # noqa: F401
@@ -20,4 +20,5 @@ LLM_QUERIES = {
     "op10_preference_format": lambda spark, sf: preference_format.op10(read(spark, sf, "conversations")),
     "op11_source_divergence": lambda spark, sf: source_divergence.op11(read(spark, sf, "documents")),
     "op12_pivot_search": lambda spark, sf: pivot_search.op12(read(spark, sf, "embeddings")),
+    "op13_prefix_trie": lambda spark, sf: prefix_trie.op13(read(spark, sf, "conversations")),
 }

@@ -127,4 +127,21 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.r AS o, c.vec_id, CAST(list_dot_produc
 SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, o) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10"""
 
-ORACLE: dict[str, str] = {"op12_pivot_search": OP12, "op11_source_divergence": OP11, "op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
+OP13 = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, substring(sha256(length(role)::VARCHAR || ':' || role || text), 1, 32) AS id, length(text) AS chars FROM t),
+c AS (SELECT conv_id, list({'id': id, 'chars': chars} ORDER BY turn NULLS FIRST, id) AS turns FROM k GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, sha256(array_to_string(list_transform(turns[1:d], lambda x: x.id), '')) AS key, CASE WHEN d = 0 THEN 0 ELSE turns[d].chars END AS chars,
+  len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars, bool_and(ends) AS leaf,
+  sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY d, key),
+u AS (SELECT n.d, n.key, a.d AS ad, a.key AS akey, n.n, n.chars, n.leaf FROM n JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.d),
+s AS (SELECT ad AS d, akey AS key, count(*) FILTER (WHERE leaf) AS n_leaves, count(*) FILTER (WHERE d = ad + 1) AS n_children,
+  CAST(sum((n - 1) * chars) AS BIGINT) AS saved FROM u GROUP BY ad, akey)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, s.n_children, s.n_leaves, s.saved AS saved_tokens, n.ends_sha256
+FROM n JOIN s USING (d, key) LEFT JOIN p pp ON pp.conv_id = n.conv_id AND pp.d = n.d - 1 LEFT JOIN n up ON up.d = pp.d AND up.key = pp.key"""
+
+ORACLE: dict[str, str] = {"op13_prefix_trie": OP13, "op12_pivot_search": OP12, "op11_source_divergence": OP11, "op1_url_trust": OP1, "op5_rule_ledger": OP5, "op8_position_index": OP8, "op10_preference_format": OP10}
