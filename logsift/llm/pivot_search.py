@@ -4,7 +4,7 @@ Largest inner product is made nearest neighbour: with M the largest norm, a
 stored vector v gets one more component sqrt(M^2 - |v|^2) and a query one of 0;
 then distance^2 = |q|^2 + M^2 - 2 q.v, so smaller distance is larger score.
 
-Index: ``PIVOTS`` vectors, those with the smallest hash of the id, are pivots. Every
+Index: ``PIVOTS`` vectors, those with the smallest hash of the id, are pivots, in an order of neighbours. Every
 vector is keyed by its nearest pivot and its distance from it, and the table is
 range-partitioned on that key into shards of at most ``SHARD_BYTES`` of
 vectors, so a pivot with any share of all rows just has more shards. The vectors of one
@@ -85,6 +85,14 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray, norm2: float, stored: bo
     return np.sqrt(np.maximum(d2, 0))
 
 
+def _chained(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which each is the nearest to the one before, so that shards hold neighbouring pivots."""
+    v, order, left = pivots.astype(np.float64), [0][:len(pivots)], list(range(1, len(pivots)))
+    while left:
+        order.append(left.pop(int(((v[left] - v[order[-1]]) ** 2).sum(axis=1).argmin())))
+    return pivots[order]
+
+
 class Index:
     """The written table of keyed vectors, and what searching it needs."""
 
@@ -95,7 +103,7 @@ class Index:
         n, width, most = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.max(norm2)).first()
         self.width, self.norm2 = max(1, width or 0), most or 0.0
         chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(pivots).select("vec").toArrow()
-        self.pivots = _matrix(chosen["vec"], self.width)
+        self.pivots = _chained(_matrix(chosen["vec"], self.width))
         self.margin = 1e-6 * max(1.0, self.norm2) ** 0.5
         rows = max(1, SHARD_BYTES // (8 * self.width))
         self.shards = max(1, -(-n // rows), min(4 * spark.sparkContext.defaultParallelism, -(-n // SMALL_ROWS)))

@@ -212,13 +212,13 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _out(1, shard, rest)
 
 
-def _recombine(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _recombine(last: bool, fan_in: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The open nodes of neighbouring shards, as those of one shard and closed ones (shard -1)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         blocks = [g[OPEN] for _, g in group.sort_values("shard", kind="stable").groupby("shard")]
         closed, still = _merge(blocks, last)
-        out = pd.concat([closed.assign(shard=-1), still.assign(shard=int(group["shard"].min()) // FAN_IN)], ignore_index=True)
+        out = pd.concat([closed.assign(shard=-1), still.assign(shard=int(group["shard"].min()) // fan_in)], ignore_index=True)
         return out[["shard", *OPEN]]
 
     return run
@@ -252,7 +252,7 @@ def _hash_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.string()), pa.array([h.hexdigest()], pa.string())], ["key", "ends"])
 
 
-def trie(convs: DataFrame) -> DataFrame:
+def trie(convs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """One row per node of the trie of ``convs`` (conv_id, turns array of (id, chars))."""
     spark = convs.sparkSession
     rows = convs.repartitionByRange("turns", "conv_id").sortWithinPartitions("turns", "conv_id")
@@ -263,9 +263,9 @@ def trie(convs: DataFrame) -> DataFrame:
     closed, still = opened.where("shard < 0"), opened.where("shard >= 0")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while True:
-        last = shards <= FAN_IN
-        shards = -(-shards // FAN_IN)
-        got = still.groupBy(F.floor(F.col("shard") / FAN_IN).alias("neighbours")).applyInPandas(_recombine(last), kind)
+        last = shards <= fan_in
+        shards = -(-shards // fan_in)
+        got = still.groupBy(F.floor(F.col("shard") / fan_in).alias("neighbours")).applyInPandas(_recombine(last, fan_in), kind)
         got = cut_lineage(got, "trie_edges")
         closed, still = closed.unionByName(got.where("shard < 0")), got.where("shard >= 0")
         if last:
