@@ -3,21 +3,20 @@
 
 All catalog work is a fold by (tenant, template_id): hash aggregation with
 map-side partial aggregation, so per-template volume does not matter. Upserts
-are expressed as ``union(prior, new) -> fold`` and written atomically as a new
-table version (``upsert_*``); no external store is involved.
+are expressed as ``union(prior, new) -> fold`` over the buckets a batch touches and
+committed as a new table version (``upsert_*``, ``sinks.commits``); no external
+store is involved.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.templates import template_version
 from ..functions.text import catalog_labels
+from ..sinks.commits import Table
 
 CATALOG_KEY = ["tenant", "template_id"]
 
@@ -135,50 +134,24 @@ def fold_stats(stats: DataFrame, prior: DataFrame | None = None) -> DataFrame:
         F.max_by("count", "updated_at").alias("count"), F.max("updated_at").alias("updated_at"))
 
 
-def _versioned_write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a new immutable version, numbered after the newest complete one.
-
-    A version is complete once Spark's committer has written its ``_SUCCESS``
-    file, and nothing is ever deleted or renamed: a reader sees the newest
-    complete version at any moment. Two writers that fold into the same version
-    want the same number, and the second fails instead of losing the first's rows.
-    """
-    last = _versions(df.sparkSession, path)
-    target = f"{path.rstrip('/')}/v-{(last[-1] + 1 if last else 1):012d}"
-    w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(target)
-    return target
-
-
-def _versions(spark, path: str) -> list[int]:
-    """Numbers of the complete versions of a table."""
-    jvm = spark._jvm
-    found = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/v-*/_SUCCESS")
-    marks = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found) or []
-    return sorted(int(m.getPath().getParent().getName()[2:]) for m in marks)
-
-
 def read_current(spark, path: str) -> DataFrame | None:
-    """Read the newest complete version of a table written by ``upsert_*``."""
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path.rstrip('/')}/v-{done[-1]:012d}") if done else None
+    """The newest version of a table written by ``upsert_*``; None if there is none."""
+    return Table(spark, path, CATALOG_KEY).read()
 
 
-def upsert_catalog(path: str, candidates: DataFrame) -> DataFrame:
-    """U1 sink: fold candidates into the current catalog, write a new version
-    partitioned by tenant (pruned by tenant filters in search), repoint."""
-    prior = read_current(candidates.sparkSession, path)
-    folded = fold_catalog(candidates, prior)
-    _versioned_write(folded.sortWithinPartitions("tenant", "last_seen"), path, ["tenant"])
-    return read_current(candidates.sparkSession, path)
+def upsert_catalog(path: str, candidates: DataFrame, writer: str | None = None, batch: int | None = None) -> DataFrame | None:
+    """U1 sink: fold candidates into the stored catalog and commit the buckets they
+    touch. A batch of a named writer is folded once, however often it is sent."""
+    spark = candidates.sparkSession
+    Table(spark, path, CATALOG_KEY).merge(candidates, lambda old, new: fold_catalog(new, old), writer, batch)
+    return read_current(spark, path)
 
 
-def upsert_stats(path: str, stats: DataFrame) -> DataFrame:
-    prior = read_current(stats.sparkSession, path)
-    _versioned_write(fold_stats(stats, prior), path)
-    return read_current(stats.sparkSession, path)
+def upsert_stats(path: str, stats: DataFrame, writer: str | None = None, batch: int | None = None) -> DataFrame | None:
+    """U2 sink: the last write per (tenant, template, window) wins."""
+    spark = stats.sparkSession
+    Table(spark, path, CATALOG_KEY).merge(stats, lambda old, new: fold_stats(new, old), writer, batch)
+    return read_current(spark, path)
 
 
 # ---------------------------------------------------------------- reports

@@ -63,12 +63,13 @@ def _similarity(template: list[str], tokens: list[str]) -> tuple[float, int]:
     return (same / len(template) if template else 1.0), params
 
 
-def drain_leaf(messages: list[str], sim: float = P.DRAIN_SIM, max_clusters: int | None = P.DRAIN_MAX_CLUSTERS):
+def drain_leaf(messages: list[str], sim: float = P.DRAIN_SIM, max_clusters: int | None = P.DRAIN_MAX_CLUSTERS,
+               clusters: OrderedDict[int, list[str]] | None = None, next_id: int = 0):
     """Sequential Drain over one leaf. Returns per message (cluster_no, online
-    template, matched) and the final template per cluster."""
-    clusters: OrderedDict[int, list[str]] = OrderedDict()
+    template, matched) and the final template per cluster. ``clusters`` (least recently
+    used first) are those of earlier messages, and are brought up to date."""
+    clusters = OrderedDict() if clusters is None else clusters
     out = []
-    next_id = 0
     for msg in messages:
         toks = msg.split()
         best, best_sim, best_params = None, -1.0, -1

@@ -60,8 +60,8 @@ def default_ts(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def drop_blank(df: DataFrame, col: str = "message") -> DataFrame:
-    """Drop rows whose message is empty after trimming."""
-    return df.filter(F.length(unicode_trim(F.col(col))) > 0)
+    """Drop rows whose message is null or empty after trimming."""
+    return df.filter(F.length(unicode_trim(F.coalesce(F.col(col), F.lit("")))) > 0)
 
 
 def promote_fields(df: DataFrame, max_fields: int = P.MAX_FIELDS, src: str = "payload") -> DataFrame:
@@ -95,22 +95,23 @@ def collapse_stack(df: DataFrame, src: str = "payload") -> DataFrame:
 
 
 def utf8_policy(df: DataFrame, mode: str = "drop", src: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """Validate on -> invalid rows rejected; off -> invalid bytes stripped."""
+    """Validate on -> invalid rows rejected; off -> invalid bytes stripped. A null payload has no invalid bytes."""
     p = F.col(src)
+    valid = F.coalesce(F.is_valid_utf8(p), F.lit(True))
     if mode == "drop":
-        ok = df.filter(F.is_valid_utf8(p))
-        bad = df.filter(~F.is_valid_utf8(p)).select(
+        ok = df.filter(valid)
+        bad = df.filter(~valid).select(
             F.to_json(F.struct(*df.columns)).alias("source_row"), F.lit("invalid_utf8").alias("reason"))
         return ok, bad
-    fixed = df.withColumn("utf8_fixed", ~F.is_valid_utf8(p)).withColumn(
-        src, F.when(F.is_valid_utf8(p), p).otherwise(F.replace(F.make_valid_utf8(p), F.lit("�"), F.lit(""))))
+    fixed = df.withColumn("utf8_fixed", ~valid).withColumn(
+        src, F.when(valid, p).otherwise(F.replace(F.make_valid_utf8(p), F.lit("�"), F.lit(""))))
     return fixed, df.sparkSession.createDataFrame([], "source_row string, reason string")
 
 
 def reject_oversize(df: DataFrame, max_log_size: int = P.MAX_LOG_SIZE,
                     src: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """Payload over max_log_size bytes -> rejects(reason='too_large')."""
-    big = F.octet_length(F.col(src)) > max_log_size
+    """Payload over max_log_size bytes -> rejects(reason='too_large'); a null payload has no size."""
+    big = F.coalesce(F.octet_length(F.col(src)), F.lit(0)) > max_log_size
     bad = df.filter(big).select(F.to_json(F.struct(*[c for c in df.columns if c != "labels"])).alias("source_row"),
                                 F.lit("too_large").alias("reason"))
     return df.filter(~big), bad

@@ -225,7 +225,11 @@ def decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True,
            policies: DataFrame | None = None) -> DataFrame:
     """Counters + ladder; one decision per record (flat columns + struct).
     ``policies`` (key_tenant and any of ``TENANT_THRESHOLDS``) sets thresholds per tenant."""
-    df = with_counters(with_key(mined), policy, inclusive)
+    return with_decision(with_counters(with_key(mined), policy, inclusive), policy, policies)
+
+
+def with_decision(df: DataFrame, policy: Policy = Policy(), policies: DataFrame | None = None) -> DataFrame:
+    """The ladder over rows that have counters, whether a batch or a stream counted them."""
     own: tuple[str, ...] = ()
     if policies is not None:
         own = tuple(n for n in TENANT_THRESHOLDS if n in policies.columns)
@@ -317,7 +321,7 @@ def budget_k(df: DataFrame, max_qps: float, policy: Policy = Policy(), key: str
     for DEBUG/INFO."""
     sec = F.floor(epoch_us() / 1_000_000)
     qps = df.groupBy(key, sec.alias("__s")).agg(F.count(F.lit(1)).alias("qps"))
-    out = df.withColumn("__s", sec).join(qps, [key, "__s"], "left").drop("__s")
+    out = null_safe_join(df.withColumn("__s", sec), qps, [key, "__s"], "left").drop("__s")
     k = steady_k(policy, F.col("severity"))
     mult = F.greatest(F.lit(1), F.ceil(F.col("qps") / F.lit(max_qps)))
     return out.withColumn("k_eff", F.when(F.col("severity").isin("DEBUG", "INFO"), k * mult).otherwise(k))

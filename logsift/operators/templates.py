@@ -23,9 +23,9 @@ FALLBACK_MISSING = "missing"
 
 def with_templates(df: DataFrame, preset: str = "basic", regex_profile: str = "code",
                    message_col: str = "message") -> DataFrame:
-    """M2 + M5 + M6 + M8 (+ M9) on each row; blank messages get the J1 fallback."""
+    """M2 + M5 + M6 + M8 (+ M9) on each row; null and blank messages get the J1 fallback."""
     m = F.col(message_col)
-    blank = F.length(unicode_trim(m)) == 0
+    blank = F.length(unicode_trim(F.coalesce(m, F.lit("")))) == 0
     tmpl = mask(m, preset)
     df = df.withColumn("__blank", blank).withColumn("template", F.when(~blank, tmpl))
     return (df.withColumn("template_id", F.when(F.col("__blank"), F.lit(FALLBACK_MISSING))
@@ -92,13 +92,13 @@ def exemplars(df: DataFrame, n: int = P.EXEMPLARS_MAX, key: str = "template_id",
                     lambda s: s[message_col]).alias("examples"))
 
 
-def template_memory(df: DataFrame, prior: DataFrame | None = None, n_examples: int = P.EXEMPLARS_MAX) -> DataFrame:
+def template_memory(df: DataFrame, prior: DataFrame | None = None, n_examples: int = P.EXEMPLARS_MAX, persist: bool = True) -> DataFrame:
     """M12 + M13: per template text, regex, first/last seen, count, exemplars.
     With ``prior`` memory the fold keeps the earliest first_seen, latest
     last_seen, summed counts and the newest exemplars of both."""
     # Persist first, then filter: a filter on a column derived from the
     # redaction output placed below the persist doubled the stage's cost.
-    mined = materialize(df).filter(~F.col("from_fallback"))  # aggregate + exemplar branches
+    mined = (materialize(df) if persist else df).filter(~F.col("from_fallback"))  # aggregate + exemplar branches
     agg = mined.groupBy("template_id").agg(
         F.first("template", ignorenulls=True).alias("template"),
         F.first("regex", ignorenulls=True).alias("regex"),
@@ -138,7 +138,8 @@ def mine_distinct(df: DataFrame, miner, key: list[str] = ("tenant",), message_co
     reps = keyed.groupBy(*key, "__sig").agg(F.min(F.struct("ts", "log_id", message_col)).alias("__rep"))
     reps = reps.select(*key, "__sig", F.col(f"__rep.{message_col}").alias(message_col))
     mined = miner(reps).drop(message_col)
-    return keyed.join(mined, [*key, "__sig"], "left").drop("__sig")
+    from .ordered import null_safe_join
+    return null_safe_join(keyed, mined, [*key, "__sig"], "left").drop("__sig")
 
 
 def grouping_buckets(df: DataFrame, ttl: str = "5 minutes", key: str = "tenant",
@@ -162,13 +163,14 @@ def grouping_buckets(df: DataFrame, ttl: str = "5 minutes", key: str = "tenant",
         w.rowsBetween(Window.unboundedPreceding, 0)))
     buckets = roll.groupBy(key, "masked", "bucket").agg(
         F.sum("__n").alias("size"), F.min("__begin").alias("first_seen"), F.max("__last").alias("last_seen"))
-    rows = s.join(roll.select(key, "masked", "__sec", "bucket"), [key, "masked", "__sec"])
+    from .ordered import null_safe_join
+    rows = null_safe_join(s, roll.select(key, "masked", "__sec", "bucket"), [key, "masked", "__sec"])
     wr = Window.partitionBy(key, "masked", "bucket").orderBy("ts", "log_id")
     ex = (rows.withColumn("__rn", F.row_number().over(wr)).filter(F.col("__rn") <= n_examples)
               .groupBy(key, "masked", "bucket")
               .agg(F.transform(F.sort_array(F.collect_list(F.struct("__rn", "message"))),
                                lambda x: x["message"]).alias("exemplars")))
-    return buckets.join(ex, [key, "masked", "bucket"], "left")
+    return null_safe_join(buckets, ex, [key, "masked", "bucket"], "left")
 
 
 def refine_budget(df: DataFrame, qpm: int = 60, key: str = "tenant") -> DataFrame:
@@ -213,7 +215,7 @@ def hamming_neighbors(templates: DataFrame, context: list[str] = ("tenant",), ma
                                     F.slice(F.col("__toks"), i + 2, 1 << 20)), " "))).alias("__pos", "__key"))
     a = blanked.alias("a")
     b = blanked.alias("b")
-    cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in context] + [
+    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in context] + [
         F.col("a.__n") == F.col("b.__n"), F.col("a.__pos") == F.col("b.__pos"),
         F.col("a.__key") == F.col("b.__key"), F.col("a.template_id") < F.col("b.template_id")]
     pairs = a.join(b, cond).select(*[F.col(f"a.{c}") for c in context],

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from .guards import checked_broadcast
 
 GO_QUOTE_META = "[\\\\.+*?()|\\[\\]{}^$]"
 
@@ -92,45 +91,98 @@ def plan_anchor(template: Column) -> Column:
     return F.get(ranked, F.lit(0))
 
 
-def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
-                 keys: list[str] | None = None) -> DataFrame:
-    """J5 + P5: log lines that satisfy a plan: selector labels equal and the
-    message matches the plan regex (``|~`` = partial match).
+#: Up to so many distinct anchors are looked up inside a line's row, in so many slots.
+MAX_ANCHORS, ANCHOR_SLOTS = 50_000, 4096
+#: Plans with neither an anchor nor a label are tested so many at a time.
+LOOSE_PLANS = 500
 
-    A label a plan does not name matches anything. Plans are written once
-    (they are bounded: max_templates per query) and broadcast behind a size
-    check, else the same joins run as shuffle joins. Plans with an anchor token
-    (see ``plan_anchor``) meet the lines that hold it; the others meet lines on
-    the labels they name, one join per set of named labels."""
+
+def tokens(message: Column) -> Column:
+    """The distinct space-delimited tokens of a message."""
+    return F.array_distinct(F.split(message, " "))
+
+
+def with_anchors(lines: DataFrame, anchored: DataFrame) -> DataFrame:
+    """Lines with ``__hits``, those of their tokens that are some plan's anchor. The anchors come as one
+    array of hash slots (a scalar subquery, evaluated once), so a token is compared with the few of its slot."""
+    slot = F.pmod(F.xxhash64("__anchor"), F.lit(ANCHOR_SLOTS)).cast("int")
+    by = anchored.select("__anchor").distinct().groupBy(slot.alias("slot")).agg(F.collect_list("__anchor").alias("anchors"))
+    by = by.agg(F.map_from_entries(F.collect_list(F.struct("slot", "anchors"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(ANCHOR_SLOTS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast("array<string>")))
+    hits = F.filter(tokens(F.col("message")), lambda t: F.array_contains(F.get("__slots", F.pmod(F.xxhash64(t), F.lit(ANCHOR_SLOTS)).cast("int")), t))
+    return lines.withColumn("__slots", by.select(every.alias("slots")).scalar()).withColumn("__hits", hits).drop("__slots")
+
+
+def prepared_plans(plans: DataFrame, keys: list[str]) -> DataFrame:
+    """A written table of plans with their anchor, which labels they name, and those labels."""
     from ..session import cut_lineage
-    keys = keys or P.SELECTOR_LABELS
-    lg = logs
+    named = F.concat(*[F.when(F.length(F.trim(F.coalesce(F.col("labels")[k], F.lit("")))) > 0, "1").otherwise("0") for k in keys])
+    return cut_lineage(plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"), named.alias("__named"),
+                                    *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}") for k in keys]), "plans")
+
+
+def lines_of(logs: DataFrame, keys: list[str], start=None, end=None) -> DataFrame:
+    """(log_id, ts, message, labels as ``__l_`` columns) of the lines of a time range."""
     if start is not None:
-        lg = lg.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        logs = logs.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
-        lg = lg.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
-    lg = lg.select("log_id", "ts", "message", *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__l_{k}")
-                                                 for k in keys])
-    named = F.concat(*[F.when(F.length(F.trim(F.coalesce(F.col("labels")[k], F.lit("")))) > 0, "1").otherwise("0") for k in keys])
-    plans = cut_lineage(plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"), named.alias("__named"),
-                                     *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}") for k in keys]), "plans")
+        logs = logs.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+    return logs.select("log_id", "ts", "message", *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__l_{k}") for k in keys])
 
-    def small(p: DataFrame) -> DataFrame:
-        b = checked_broadcast(p, "plans")
-        return b if b is not None else p
 
-    fits = F.rlike(F.col("message"), F.col("regex"))
+def labels_fit(keys: list[str]) -> Column:
+    """A label that a plan does not name matches anything."""
+    fits = F.lit(True)
     for i, k in enumerate(keys):
         fits = fits & ((F.substring("__named", i + 1, 1) == "0") | (F.col(f"__l_{k}") == F.col(f"__p_{k}")))
+    return fits
+
+
+def execute_loose(lines: DataFrame, loose: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines that satisfy plans without an anchor: an equi-join per set of named labels; plans
+    that name none must be tested on every line, and travel with it as an array of
+    ``LOOSE_PLANS`` plans at a time, not as a join."""
     cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in keys]]
-    toks = lg.select("*", F.explode(F.array_distinct(F.split("message", " "))).alias("__tok"))
-    out = toks.join(small(plans.filter(F.col("__anchor").isNotNull())), F.col("__tok") == F.col("__anchor")).filter(fits).select(*cols)
-    loose = plans.filter(F.col("__anchor").isNull())
-    for row in loose.select("__named").distinct().collect():  # at most 2^labels rows
-        p = small(loose.filter(F.col("__named") == row["__named"]))
+    fits = F.rlike(F.col("message"), F.col("regex"))
+    out = None
+    for row in loose.groupBy("__named").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2^labels rows
+        own, parts = loose.filter(F.col("__named") == row["__named"]), []
         on = [F.col(f"__l_{k}") == F.col(f"__p_{k}") for i, k in enumerate(keys) if row["__named"][i] == "1"]
-        out = out.unionByName(lg.join(p, on or F.lit(True)).filter(fits).select(*cols))
-    return out
+        if on:
+            parts.append(lines.join(own, on).filter(fits))
+        else:
+            blocks = -(-row["n"] // LOOSE_PLANS)
+            for n in range(blocks):
+                some = own.where(F.pmod(F.xxhash64("plan_id"), F.lit(blocks)) == n)
+                plans = some.agg(F.collect_list(F.struct("plan_id", "regex")).alias("plans")).scalar()
+                hit = F.transform(F.filter("__plans", lambda p: F.rlike(F.col("message"), p["regex"])), lambda p: p["plan_id"])
+                parts.append(lines.withColumn("__plans", plans).withColumn("__hits", hit).drop("__plans").withColumn("plan_id", F.explode("__hits")))
+        for p in parts:
+            out = p.select(*cols) if out is None else out.unionByName(p.select(*cols))
+    return out if out is not None else lines.limit(0).withColumn("plan_id", F.lit(None).cast("string")).select(*cols)
+
+
+def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
+                 keys: list[str] | None = None) -> DataFrame:
+    """J5 + P5: log lines that satisfy a plan: selector labels equal and the
+    message matches the plan regex (``|~`` = partial match).
+
+    A label a plan does not name matches anything. Plans are written once
+    (they are bounded: max_templates per query). Plans with an anchor token
+    (see ``plan_anchor``) meet the lines that hold it: a line is repeated for those of its tokens that
+    are an anchor, mostly none, and joined on the token. The others meet lines on
+    the labels they name (``execute_loose``). ``plans.token_index`` answers the same from an index."""
+    keys = keys or P.SELECTOR_LABELS
+    lines, plans = lines_of(logs, keys, start, end), prepared_plans(plans, keys)
+    anchored = plans.filter(F.col("__anchor").isNotNull())
+    cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in keys]]
+    if anchored.select("__anchor").distinct().limit(MAX_ANCHORS + 1).count() <= MAX_ANCHORS:
+        hits = with_anchors(lines, anchored)
+    else:
+        hits = lines.withColumn("__hits", tokens(F.col("message")))
+    toks = hits.withColumn("__tok", F.explode("__hits")).drop("__hits")
+    out = toks.join(anchored, F.col("__tok") == F.col("__anchor")).filter(labels_fit(keys) & F.rlike(F.col("message"), F.col("regex"))).select(*cols)
+    return out.unionByName(execute_loose(lines, plans.filter(F.col("__anchor").isNull()), keys))
 
 
 def rate(df: DataFrame, by: list[str], window: str = "5 minutes", seconds: int = 300) -> DataFrame:

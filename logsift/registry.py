@@ -956,3 +956,127 @@ def q_catalog_upsert_text(spark, sf):
     late = late.withColumn("template_version", F.when(F.col("template_id") < "8", F.lit("other")).otherwise(F.col("template_version")))
     late = late.withColumn("template_text", F.when(F.col("template_id") < "8", F.lit("new text")).otherwise(F.lit("ignored")))
     return C.fold_catalog(late, stored, faithful=True).select("tenant", "template_id", "template_text", "first_seen", "last_seen")
+
+
+# ------------------------------------------------------------ committed tables, indexes, time ranges
+@register
+def q_catalog_commits(spark, sf):
+    """Ten days at a time into a committed catalog table, the second batch sent twice."""
+    from .session import scratch_path
+    m, path = mined_events(spark, sf, several=True), scratch_path(spark, "catalog")
+    edges = [None, "2024-01-11 00:00:00", "2024-01-21 00:00:00", None]
+    for n in (0, 1, 1, 2):
+        lo, hi = edges[n], edges[n + 1]
+        part = m.filter((F.col("ts") >= _ntz(lo)) if lo else F.lit(True)).filter((F.col("ts") < _ntz(hi)) if hi else F.lit(True))
+        cat = C.upsert_catalog(path, C.to_candidates(part), "events", n)
+    return _catalog_out(cat)
+
+
+@register
+def q_stats_commits(spark, sf):
+    """Rolling counts as of two times in one committed table: the last write per window wins."""
+    from .session import scratch_path
+    m, path = mined_events(spark, sf, several=True), scratch_path(spark, "stats")
+    for n, as_of in enumerate(("2024-01-30 00:00:00", AS_OF)):
+        stats = C.upsert_stats(path, C.rolling_stats(m, _ntz(as_of)), "events", n)
+    return stats.select("tenant", "template_id", "window", "count", "updated_at")
+
+
+@register
+def q_knn_ann(spark, sf):
+    """Search through inverted lists, all of them probed."""
+    from .operators.vector_index import VectorIndex
+    from .session import scratch_path
+    e = read_table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    index = VectorIndex.build(e, scratch_path(spark, "vectors"))
+    hits = index.search(label_centroids(spark, sf), 10, len(index.centroids))
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+RANGE = ("2024-01-01 00:30:00", "2024-01-01 06:00:00")
+
+
+@register
+def q_knn_time_range(spark, sf):
+    """Templates seen within a time range, with one of several services; every third query is blank."""
+    q = benchmark_queries(spark, sf)
+    q = q.withColumn("query", F.when(F.pmod(F.col("query_id").cast("int"), F.lit(3)) == 0, F.lit(" ")).otherwise(F.col("query")))
+    q = q.withColumn("label_filter", F.create_map(F.lit("service"), F.array(F.lit("en"), F.lit("fr"))))
+    q = q.withColumn("start", _ntz(RANGE[0])).withColumn("end", _ntz(RANGE[1]))
+    return _hits_out(S.search(q, docs_vectors(spark, sf), k=5))
+
+
+@register
+def q_hits_with_counts(spark, sf):
+    """Hits with what the stats table counted in the last 24 hours, 0 where it has nothing."""
+    m = mined_docs(spark, sf)
+    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
+    h = S.attach_catalog(hits, C.to_candidates(m), C.rolling_stats(m, _ntz("2024-01-01 20:00:00")))
+    return h.select("query_id", "tenant", "template_id", F.col("rank").cast("bigint").alias("rank"), F.col("count_24h").cast("bigint").alias("count_24h"))
+
+
+def _executed(m):
+    return m.groupBy(F.split("plan_id", ":")[0].alias("query_id"), "service") \
+        .agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("plan_id").alias("plans"))
+
+
+@register
+def q_plan_execute_range(spark, sf):
+    """Plans over the lines of a time range."""
+    logs = T.materialize(normalized_docs(spark, sf))
+    return _executed(L.execute_plan(logs, docs_plans(spark, sf, logs), *RANGE))
+
+
+@register
+def q_plan_indexed(spark, sf):
+    """The same from stored lines and an index of their tokens."""
+    from .plans.token_index import TokenIndex
+    from .session import scratch_path
+    logs = T.materialize(normalized_docs(spark, sf))
+    index = TokenIndex.build(logs, scratch_path(spark, "token_index"))
+    return _executed(index.execute(docs_plans(spark, sf, logs), *RANGE))
+
+
+@register
+def q_null_rows_everywhere(spark, sf):
+    """Events without a payload, a time or a tenant through every operator that splits, joins or drops rows."""
+    from .operators.normalize import drop_blank, reject_oversize, utf8_policy
+    from .operators.sampling import budget_k
+    e = log_events(spark, sf)
+    null = lambda c, n: F.when(F.pmod("log_id", F.lit(n)) != 0, F.col(c))
+    e = T.materialize(e.withColumns({"payload": null("payload", 3), "ts": null("ts", 7), "tenant": null("tenant", 5)}))
+
+    def out(name, rows, marked):
+        return rows.agg(F.lit(name).alias("operator"), F.count(F.lit(1)).alias("records"), F.count(F.when(marked, 1)).alias("marked"))
+
+    def two(name, parts):
+        ok, bad = parts
+        return out(name, ok.select(F.lit(False).alias("bad")).unionByName(bad.select(F.lit(True).alias("bad"))), F.col("bad"))
+
+    rows = e.withColumn("message", F.col("payload"))
+    policy = spark.createDataFrame([("t0", 7)], "tenant string, retention_days int")
+    mined = T.mine_distinct(rows, lambda d: d.withColumn("found", F.lit(True)))
+    buckets = T.grouping_buckets(rows)
+    sums = buckets.agg(F.lit("buckets").alias("operator"), F.sum("size").alias("records"), F.count(F.when(F.col("exemplars").isNull(), 1)).alias("marked"))
+    parts = [two("utf8", utf8_policy(e)), two("size", reject_oversize(e, 50)), out("templates", with_templates(rows), F.col("from_fallback")),
+             out("not_blank", drop_blank(rows), F.col("tenant").isNull()), out("retained", K.retain(e, policy, "2024-01-31 00:00:00"), F.col("ts").isNull()),
+             out("mined_once", mined, F.col("found")), sums, out("budget", budget_k(with_key(e), 0.5), F.col("k_eff").isNotNull())]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+@register
+def q_publish_ack_rejects(spark, sf):
+    """Candidates of which some have no id, text or regex: counted, with the least of their errors."""
+    c = C.candidate_defaults(C.to_candidates(mined_events(spark, sf)), _ntz(AS_OF))
+    first = F.substring("template_id", 1, 1)
+    c = c.withColumn("template_text", F.when(first.isin("0", "1"), F.lit("")).otherwise(F.col("template_text")))
+    c = c.withColumn("regex", F.when(first.isin("1", "2"), F.lit(None)).otherwise(F.col("regex")))
+    c = c.withColumn("template_id", F.when(first == "3", F.lit("")).otherwise(F.col("template_id")))
+    ok, bad = C.validate_candidates(c)
+    by = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    ack = C.publish_ack(ok, bad)
+    return ack.select(F.lit("ack").alias("kind"), "accepted", "rejected", "note").unionByName(
+        by.select(F.lit("reason").alias("kind"), F.lit(0).cast("bigint").alias("accepted"), F.col("n").alias("rejected"), F.col("reason").alias("note")))

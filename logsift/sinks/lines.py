@@ -173,11 +173,12 @@ def kept_table(df: DataFrame) -> DataFrame:
 
 def retain(df: DataFrame, policies: DataFrame, now, key: str = "tenant") -> DataFrame:
     """K8: keep rows younger than the tenant's retention (days); tenants without
-    a policy keep everything. The policy table is small and broadcast."""
-    from ..plans.guards import checked_broadcast
-    b = checked_broadcast(policies.select(key, "retention_days"), "retention policies")
-    j = df.join(b if b is not None else policies.select(key, "retention_days"), key, "left")
+    a policy keep everything, and so does a record without a time, whose age nobody
+    knows. A cutoff on the column ``date`` of a partitioned table prunes its partitions first."""
+    j = df.join(policies.select(key, "retention_days"), key, "left")
     n = F.lit(now).cast("timestamp_ntz") if not isinstance(now, Column) else now
     cutoff = F.expr("timestampadd(DAY, -retention_days, __now)")
-    return j.withColumn("__now", n).filter(F.col("retention_days").isNull() | (F.col("ts") >= cutoff)) \
-        .drop("__now", "retention_days")
+    keep = F.col("retention_days").isNull() | F.col("ts").isNull() | (F.col("ts") >= cutoff)
+    if "date" in df.columns:
+        keep = keep & (F.col("retention_days").isNull() | F.col("date").isNull() | (F.col("date") >= F.to_date(cutoff)))
+    return j.withColumn("__now", n).filter(keep).drop("__now", "retention_days")

@@ -901,3 +901,70 @@ def _():
     return with_(*mined_ctes("log_events"), _cand("TRUE", "c")) + """SELECT tenant, template_id,
   CASE WHEN template_id < '8' THEN 'new text' ELSE template_text END AS template_text,
   CASE WHEN template_id < '8' THEN least(first_seen, last_seen - INTERVAL 40 DAYS) ELSE first_seen END AS first_seen, last_seen FROM c"""
+
+
+# ------------------------------------------------------------ committed tables, indexes, time ranges
+@oracle("catalog_commits")
+def _():
+    return with_(*mined_ctes("log_events"), _cand("TRUE", "cat")) + """SELECT tenant, template_id, template_text, regex, label_service,
+  label_env, label_severity, first_seen, last_seen,
+  substr(sha1(template_text || chr(10) || regex), 1, 16) AS template_version FROM cat"""
+
+
+@oracle("stats_commits")
+def _():
+    each = " UNION ALL ".join(f"""SELECT tenant, template_id, '{w}' AS window, count(*) AS n, {at} AS as_of FROM mined
+  WHERE NOT from_fallback AND ts > {at} - INTERVAL {m} MINUTES AND ts <= {at} GROUP BY tenant, template_id"""
+                             for at in ("TIMESTAMP '2024-01-30 00:00:00'", AS_OF) for w, m in (("10m", 10), ("1h", 60), ("24h", 1440)))
+    return with_(*mined_ctes("log_events"), f"s AS ({each})") + """SELECT tenant, template_id, window,
+  arg_max(n, as_of) AS count, max(as_of) AS updated_at FROM s GROUP BY tenant, template_id, window"""
+
+
+ORACLE["knn_ann"] = ORACLE["knn_cosine"]
+_RANGE = ("TIMESTAMP '2024-01-01 00:30:00'", "TIMESTAMP '2024-01-01 06:00:00'")
+
+
+@oracle("knn_time_range")
+def _():
+    inside = f"dcs.label_service IN ('en', 'fr') AND dcs.last_seen >= {_RANGE[0]} AND dcs.first_seen <= {_RANGE[1]} AND CAST(qv.id AS INTEGER) % 3 <> 0"
+    return with_(*_search_ctes(5, inside)) + "SELECT query_id, tenant, template_id, round(score, 6) AS score, rank FROM hits"
+
+
+@oracle("hits_with_counts")
+def _():
+    at = "TIMESTAMP '2024-01-01 20:00:00'"
+    return with_(*_search_ctes(10), f"""c AS (SELECT tenant, template_id, count(*) AS n FROM mined
+  WHERE NOT from_fallback AND ts > {at} - INTERVAL 24 HOURS AND ts <= {at} GROUP BY tenant, template_id)""") + """SELECT query_id, h.tenant, h.template_id,
+  rank, coalesce(n, 0) AS count_24h FROM hits h JOIN dc USING (tenant, template_id) LEFT JOIN c ON c.tenant = h.tenant AND c.template_id = h.template_id"""
+
+
+@oracle("plan_execute_range")
+def _():
+    return with_(*_plan_ctes()) + f"""SELECT pl.query_id, norm.service, count(*) AS lines, count(DISTINCT plan_id) AS plans
+FROM norm JOIN pl ON norm.service = pl.label_service AND norm.env = pl.label_env
+WHERE regexp_matches(norm.message, pl.regex) AND norm.ts >= {_RANGE[0]} AND norm.ts <= {_RANGE[1]} GROUP BY ALL"""
+
+
+ORACLE["plan_indexed"] = ORACLE["plan_execute_range"]
+
+
+@oracle("null_rows_everywhere")
+def _():
+    return with_(LOG_EVENTS, """e AS (SELECT log_id, CASE WHEN log_id % 3 <> 0 THEN payload END AS payload, CASE WHEN log_id % 7 <> 0 THEN ts END AS ts,
+  CASE WHEN log_id % 5 <> 0 THEN tenant END AS tenant FROM log_events)""") + """
+SELECT 'utf8' AS operator, count(*) AS records, 0 AS marked FROM e
+UNION ALL SELECT 'size', count(*), count(*) FILTER (WHERE strlen(payload) > 50) FROM e
+UNION ALL SELECT 'templates', count(*), count(*) FILTER (WHERE payload IS NULL) FROM e
+UNION ALL SELECT 'not_blank', count(*), count(*) FILTER (WHERE tenant IS NULL) FROM e WHERE payload IS NOT NULL
+UNION ALL SELECT 'retained', count(*), count(*) FILTER (WHERE ts IS NULL) FROM e WHERE tenant IS DISTINCT FROM 't0' OR ts IS NULL OR ts >= TIMESTAMP '2024-01-24 00:00:00'
+UNION ALL SELECT 'mined_once', count(*), count(*) FROM e
+UNION ALL SELECT 'buckets', count(*), 0 FROM e
+UNION ALL SELECT 'budget', count(*), count(*) FROM e"""
+
+
+@oracle("publish_ack_rejects")
+def _():
+    return with_(*mined_ctes("log_events"), _cand("TRUE", "c"), """r AS (SELECT CASE WHEN substr(template_id, 1, 1) = '3' THEN 'missing template_id'
+  WHEN substr(template_id, 1, 1) IN ('0', '1') THEN 'missing template_text' WHEN substr(template_id, 1, 1) = '2' THEN 'missing regex' END AS reason FROM c)""") + """
+SELECT 'ack' AS kind, count(*) FILTER (WHERE reason IS NULL) AS accepted, count(reason) AS rejected, min(reason) AS note FROM r
+UNION ALL SELECT 'reason', 0, count(*), reason FROM r WHERE reason IS NOT NULL GROUP BY reason"""

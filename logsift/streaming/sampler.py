@@ -2,32 +2,36 @@
 
 * ``stream_mined``: stateless normalize + redact + mask templates on a
   ``readStream`` frame (identical column code to the batch path).
+* ``deduplicated``: records seen before within a time are dropped.
 * ``windowed_rollup``: A8/A11 as watermarked tumbling windows (append mode).
-* ``stateful_decide``: the sampler ladder with per-key state kept by
-  ``applyInPandasWithState``: total, EMA, first/last seen and minute buckets
-  (26 h event-time TTL). Records of a key inside a micro-batch are processed
-  in (ts, log_id) order, exactly like the batch path.
-* ``catalog_sink``: ``foreachBatch`` upsert of the template catalog with the
-  batch id recorded for idempotent replays.
+* ``stream_counters``: the sampler's counters as keyed state, kept by
+  ``transformWithState``: total, first occurrence and EMA for good, counts per minute
+  for 26 hours. ``stateful_decide`` puts the ladder of the batch path on top, so there
+  is one ladder. Records of a key inside a micro-batch are counted in (ts, log_id)
+  order, exactly like the batch path.
+* ``catalog_sink``: ``foreachBatch`` upsert of the template catalog whose commit
+  carries the batch number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.normalize import normalize
-from ..operators.sampling import KEY, Policy, ema_alpha, epoch_us, with_key
+from ..operators.sampling import KEY, WINDOWS, Policy, ema_alpha, epoch_us, with_decision, with_key
 from ..operators.templates import with_templates
 
 BUCKET_TTL_MIN = 26 * 60
-
-DECIDED_SCHEMA = ("log_id bigint, ts timestamp_ntz, key_tenant string, template_id string, key_service string, "
-                  "key_env string, severity string, seq bigint, cur_min bigint, count_10m bigint, count_1h bigint, "
-                  "count_24h bigint, ema double, action string, keep_reason string, sample_rate bigint, note string")
-STATE_SCHEMA = "total long, ema double, first_us long, last_us long, minutes array<long>, counts array<long>"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COUNTED = ["seq", "cur_min", "count_10m", "count_1h", "count_24h"]
 
 
 def stream_mined(raw: DataFrame) -> DataFrame:
@@ -50,98 +54,144 @@ def windowed_rollup(df: DataFrame, window: str = "1 minute", watermark: str = "2
               .select(F.col("w.start").alias("window_start"), *by, "n"))
 
 
-def ladder_py(policy: Policy, sev: str, total: int, cur: int, ema: float, c10: int):
-    """The sampling ladder for one record (same rungs as operators.sampling)."""
-    k = policy.steady_k.get(sev) or policy.steady_k_other
-    if sev in policy.severity_keep:
-        return "KEEP", "SEVERITY", 1, ""
-    if policy.novelty and total <= 1:
-        return "KEEP", "NOVEL", 1, "first-occurrence"
-    if ema > 0 and cur >= policy.spike_factor * ema and cur >= policy.min_spike:
-        return "KEEP", "SPIKE", 1, f"cur={cur} ema={ema:.2f}"
-    if total <= policy.warmup_n:
-        return "KEEP", "WARMUP", 1, f"n={total}/{policy.warmup_n}"
-    if policy.log2 and total > 0 and total & (total - 1) == 0:
-        return "KEEP", "LOG2", 1, f"n={total}"
-    if policy.budget_10m > 0 and c10 > policy.budget_10m and sev in ("DEBUG", "INFO"):
-        note = f"budget>10m: {c10}>{policy.budget_10m}"
-        return ("KEEP" if total % k == 0 else "SUPPRESS"), "BUDGET", k, note
-    return ("KEEP" if total % k == 0 else "SUPPRESS"), "STEADYK", k, ""
-
-
-def _state_fn(policy: Policy, inclusive: bool = True):
-    alpha = ema_alpha(policy.half_life)
-    spans = [(10, "count_10m"), (60, "count_1h"), (1440, "count_24h")]
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            total, ema, first_us, last_us, mins, cnts = state.get
-            buckets = dict(zip(mins, cnts))
-        else:
-            total, ema, first_us, last_us, buckets = 0, 0.0, None, None, {}
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "log_id"])
-        out = {c: [] for c in ["log_id", "ts", "seq", "cur_min", "count_10m", "count_1h", "count_24h", "ema",
-                               "action", "keep_reason", "sample_rate", "note"]}
-        for row in pdf.itertuples(index=False):
-            us = int(pd.Timestamp(row.ts).value // 1000)
-            minute = us // 60_000_000
-            buckets[minute] = buckets.get(minute, 0) + 1
-            total += 1
-            first_us = us if first_us is None else first_us
-            last_us = us
-            cur = buckets[minute]
-            ema = alpha * cur + (1.0 - alpha) * ema
-            wins = {}
-            for n, name in spans:
-                lo = minute - (n if inclusive else n - 1)
-                wins[name] = sum(c for m, c in buckets.items() if lo <= m <= minute)
-            act, reason, rate, note = ladder_py(policy, row.severity, total, cur, ema, wins["count_10m"])
-            for c, v in (("log_id", row.log_id), ("ts", row.ts), ("seq", total), ("cur_min", cur), ("ema", ema),
-                         ("action", act), ("keep_reason", reason), ("sample_rate", rate), ("note", note)):
-                out[c].append(v)
-            for _, name in spans:
-                out[name].append(wins[name])
-            if len(buckets) > BUCKET_TTL_MIN + 1:
-                for m in [m for m in buckets if m < minute - BUCKET_TTL_MIN]:
-                    del buckets[m]
-        mins = sorted(buckets)
-        state.update((total, ema, first_us, last_us, mins, [buckets[m] for m in mins]))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(wm, last_us // 1000) + BUCKET_TTL_MIN * 60_000)
-        res = pd.DataFrame(out)
+def deduplicated(df: DataFrame, within: str = "26 hours", key: tuple[str, ...] = ("log_id",)) -> DataFrame:
+    """One record per key: repeats that come within that event time are dropped, and the
+    state of a key goes once the watermark has passed it. Records that are late by more
+    than that are dropped as well, as Spark does with late rows; records without a time have no place in that
+    order and all pass."""
+    timed = event_time(df.where(F.col("ts").isNotNull())).withWatermark("event_time", within)
+    return timed.dropDuplicatesWithinWatermark(list(key)).drop("event_time").unionByName(df.where(F.col("ts").isNull()))
+
+
+def keep_map_state(spark: SparkSession) -> None:
+    """Use the one state store that has map state and timers, where another one is set."""
+    if spark.conf.get(STATE_STORE, "").rsplit(".", 1)[-1] != ROCKSDB.rsplit(".", 1)[-1]:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+
+
+class MinuteCounts:
+    """Counters of one key's records in order, from its state (pure numpy, used by the processor)."""
+
+    def __init__(self, total: int, ema: float, first_us: int | None, minutes: dict[int, int], alpha: float, inclusive: bool):
+        self.total, self.ema, self.first_us, self.minutes = total, ema, first_us, minutes
+        self.alpha, self.inclusive = alpha, inclusive
+
+    def count(self, us: np.ndarray) -> dict[str, np.ndarray]:
+        """Counters of records at sorted times ``us`` (microseconds); the state moves on."""
+        minute, n = us // 60_000_000, len(us)
+        known = np.array(sorted(self.minutes), dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum([self.minutes[m] for m in known.tolist()])]).astype(np.int64)
+
+        def earlier(at: np.ndarray, side: str) -> np.ndarray:
+            return upto[np.searchsorted(known, at, side)]
+
+        place = np.arange(n)
+        out = {"seq": self.total + place + 1,
+               "cur_min": earlier(minute, "right") - earlier(minute, "left") + place + 1 - np.searchsorted(minute, minute)}
+        for span, name in WINDOWS:
+            lowest = minute - (span if self.inclusive else span - 1)
+            out[name] = earlier(minute, "right") - earlier(lowest, "left") + place + 1 - np.searchsorted(minute, lowest)
+        ema = np.empty(n)
+        for i, c in enumerate(out["cur_min"].tolist()):
+            ema[i] = self.ema = self.alpha * c + (1.0 - self.alpha) * self.ema
+        out["ema"] = ema
+        self.first_us = int(us[0]) if self.first_us is None else min(self.first_us, int(us[0]))
+        out["first_us"] = np.full(n, self.first_us)
+        self.total += n
+        for m, c in zip(*np.unique(minute, return_counts=True), strict=True):
+            self.minutes[int(m)] = self.minutes.get(int(m), 0) + int(c)
+        return out
+
+
+class SamplerCounters(StatefulProcessor):
+    """State of a sampler key. ``totals`` (records so far, EMA, first occurrence, the timer) never
+    expires; ``minutes`` holds the counts of the last 26 hours: older minutes go when the key is
+    seen, all of them by a timer when nothing of it has arrived for so long."""
+
+    def __init__(self, alpha: float, inclusive: bool, ttl_minutes: int, columns: list[str]):
+        self.alpha, self.inclusive, self.ttl, self.columns = alpha, inclusive, ttl_minutes, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "total bigint, ema double, first_us bigint, timer bigint")
+        self.minutes = handle.getMapState("minutes", "minute bigint", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        timed = pdf[pdf["ts_us"].notna()].sort_values(["ts_us", "log_id"], kind="stable").reset_index(drop=True)
+        out = [pdf[pdf["ts_us"].isna()]]
+        if len(timed):
+            total, ema, first_us, timer = self.totals.get() if self.totals.exists() else (0, 0.0, None, None)
+            stored = {int(k[0]): int(v[0]) for k, v in self.minutes.iterator()} if total else {}
+            state = MinuteCounts(total, ema, first_us, dict(stored), self.alpha, self.inclusive)
+            counted = state.count(timed["ts_us"].to_numpy().astype(np.int64))
+            out.append(timed.assign(**counted))
+            lowest = max(state.minutes) - self.ttl
+            for m, n in state.minutes.items():
+                if m >= lowest and stored.get(m) != n:
+                    self.minutes.updateValue((m,), (n,))
+                elif m < lowest and m in stored:
+                    self.minutes.removeKey((m,))
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = int(pdf["arrived_ms"].max()) + self.ttl * 60_000
+            self.handle.registerTimer(timer)
+            self.totals.update((state.total, float(state.ema), state.first_us, timer))
+        res = pd.concat([f for f in out if len(f)], ignore_index=True)
         for i, k in enumerate(KEY):
             res[k] = key[i]
-        yield res[[c.split(" ")[0] for c in DECIDED_SCHEMA.split(", ")]]
-
-    return fn
-
-
-def stateful_decide(mined: DataFrame, policy: Policy = Policy(), watermark: str = "26 hours",
-                    inclusive: bool = True) -> DataFrame:
-    """W1-W14 on a stream: per-key state instead of batch windows."""
-    k = event_time(with_key(mined).select("log_id", "ts", *KEY))
-    return (k.withWatermark("event_time", watermark).groupBy(*KEY)
-             .applyInPandasWithState(_state_fn(policy, inclusive), DECIDED_SCHEMA, STATE_SCHEMA, "append",
-                                     GroupStateTimeout.EventTimeTimeout))
-
-
-def catalog_sink(path: str):
-    """foreachBatch writer: fold each micro-batch's candidates into the
-    versioned catalog table (U1). Replays of the same batch id are skipped."""
+        for c in (*COUNTED, "first_us", "ema"):
+            if c not in res:
+                res[c] = None
+            if c != "ema":
+                res[c] = res[c].astype("Int64")
+        yield res[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.minutes.clear()
+        total, ema, first_us, _ = self.totals.get()
+        self.totals.update((total, ema, first_us, None))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_counters(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True, carry: tuple[str, ...] = (),
+                    ttl_minutes: int = BUCKET_TTL_MIN) -> DataFrame:
+    """W1-W6 on a stream: the counters of ``with_counters`` for each record, as state per key.
+
+    A record without a time gets null counters and changes no state. Counts of a record
+    more than two hours behind its key's newest one miss minutes that have expired. A key's records of one micro-batch
+    are handled in one task, with their ids, times and the columns to ``carry``."""
+    keep_map_state(mined.sparkSession)
+    # Timers follow the time of arrival, as the expiry of a key-value store does. It is the same for all
+    # rows of a micro-batch and never late, so no row is dropped, whatever its own time.
+    k = with_key(mined).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", "1 hour")
+    k = k.select("log_id", epoch_us().alias("ts_us"), *KEY, *carry, "arrived", F.unix_millis("arrived").alias("arrived_ms"))
+    plain = T.StructType([k.schema[c] for c in ("log_id", "ts_us", *KEY, *carry)]
+                         + [T.StructField(c, T.LongType()) for c in (*COUNTED, "first_us")] + [T.StructField("ema", T.DoubleType())])
+    counted = k.groupBy(*KEY).transformWithStateInPandas(
+        SamplerCounters(ema_alpha(policy.half_life), inclusive, ttl_minutes, plain.names), plain, "Append", "EventTime")
+    # Wall-clock times again, whatever the session's time zone.
+    for us, ts in (("ts_us", "ts"), ("first_us", "key_first_seen")):
+        counted = counted.withColumn(ts, F.expr(f"timestampadd(MICROSECOND, {us}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"))
+    return counted.withColumn("cur_minute", F.floor(F.col("ts_us") / 60_000_000)).drop("ts_us", "first_us")
+
+
+def stateful_decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True, policies: DataFrame | None = None,
+                    carry: tuple[str, ...] = (), ttl_minutes: int = BUCKET_TTL_MIN) -> DataFrame:
+    """W1-W14, W20 on a stream: counters from keyed state, then the ladder of the batch path."""
+    return with_decision(stream_counters(mined, policy, inclusive, carry, ttl_minutes), policy, policies)
+
+
+def catalog_sink(path: str, writer: str = "catalog"):
+    """foreachBatch writer: fold each micro-batch's candidates into the committed
+    catalog table (U1). The commit carries the batch number of ``writer``, so a batch
+    that is sent again after a failure changes nothing."""
     from ..operators.catalog import to_candidates, upsert_catalog
+    from ..operators.templates import with_provenance
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        marker = f"{path}/_batches/{batch_id}"
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(marker)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            return
-        from ..operators.templates import with_provenance
-        upsert_catalog(path, to_candidates(with_provenance(batch)))
-        fs.create(p, True).close()
+        upsert_catalog(path, to_candidates(with_provenance(batch)), writer, batch_id)
     return write

@@ -25,7 +25,7 @@ def test_knn_without_any_hit_and_with_blocks(spark, monkeypatch):
     v = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.0, 1.0], "y")], "id string, embedding array<double>, tenant string").repartition(8)
     q = spark.createDataFrame([(f"q{i}", [1.0, float(i)], {"tenant": ["nobody" if i % 2 else "x"]}) for i in range(6)],
                               "query_id string, qvec array<double>, f map<string,array<string>>")
-    monkeypatch.setattr(S, "MAX_QUERIES_PER_BROADCAST", 2)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 32)
     got = S.knn(q, v, 3, "id", filter_cols=("tenant",), query_filters="f").collect()
     assert sorted((r["query_id"], r["id"]) for r in got) == [("q0", "a"), ("q2", "a"), ("q4", "a")]
     assert S.knn(q.limit(0), v, 3, "id").count() == 0
@@ -104,7 +104,7 @@ def test_readers_see_whole_versions_during_a_write(spark, tmp_path):
     C.upsert_stats(path, one)
     reader = C.read_current(spark, path)
     C.upsert_stats(path, one.withColumn("count", F.lit(5).cast("long")).withColumn("updated_at", F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")))
-    (tmp_path / "stats" / "v-000000000003").mkdir()  # a write that has not ended
+    (tmp_path / "stats" / "data" / "later" / "__bucket=0").mkdir(parents=True)  # a write that has not ended
     assert reader.first()["count"] == 1 and C.read_current(spark, path).first()["count"] == 5
 
 

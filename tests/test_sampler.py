@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from logsift.operators.sampling import Policy, decide, ema_alpha, with_counters, with_key
-from logsift.streaming.sampler import ladder_py
 
 
 def _frame(spark, rows):
@@ -44,6 +43,23 @@ def test_ema_closed_form(spark):
     assert [round(r.ema, 7) for r in c] == [0.066967, 0.1964164, 0.384164]
 
 
+def ladder_py(policy, sev, total, cur, ema, c10):
+    """The ladder for one record, written out."""
+    k = policy.steady_k.get(sev) or policy.steady_k_other
+    if sev in policy.severity_keep:
+        return "KEEP", "SEVERITY"
+    if policy.novelty and total <= 1:
+        return "KEEP", "NOVEL"
+    if ema > 0 and cur >= policy.spike_factor * ema and cur >= policy.min_spike:
+        return "KEEP", "SPIKE"
+    if total <= policy.warmup_n:
+        return "KEEP", "WARMUP"
+    if policy.log2 and total > 0 and total & (total - 1) == 0:
+        return "KEEP", "LOG2"
+    over = policy.budget_10m > 0 and c10 > policy.budget_10m and sev in ("DEBUG", "INFO")
+    return ("KEEP" if total % k == 0 else "SUPPRESS"), "BUDGET" if over else "STEADYK"
+
+
 def _sequential(rows, policy):
     alpha = ema_alpha(policy.half_life)
     state = {}
@@ -59,7 +75,7 @@ def _sequential(rows, policy):
         c10 = sum(v for k, v in st["b"].items() if m - 10 <= k <= m)
         c24 = sum(v for k, v in st["b"].items() if m - 1440 <= k <= m)
         out[r[0]] = (st["total"], cur, c10, c24, st["ema"],
-                     ladder_py(policy, r[6], st["total"], cur, st["ema"], c10)[:2])
+                     ladder_py(policy, r[6], st["total"], cur, st["ema"], c10))
     return out
 
 
