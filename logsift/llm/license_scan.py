@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_SEPARATORS, ascii_lower, let
-from .license_rules import GATES, signatures
+from .license_rules import gates, signatures
 
 #: Phrase (words) -> label, as the contract lists them.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -71,7 +71,7 @@ def suppress(spans: Column) -> Column:
 def detections(text: Column) -> Column:
     """Kept detections of a lower-cased text: array of (start, end, priority, rule, label), code points."""
     gate = F.lit(False)
-    for g in GATES:
+    for g in gates():
         gate = gate | (text.contains(g) if g != "cc" else text.contains(g) & text.rlike(CREATIVE))
 
     def tried(rules: Column) -> Column:

@@ -342,7 +342,8 @@ def test_license_detections(spark):
         spans = sorted((m.start(), -m.end(), -p, i, label) for i, (label, p, word, pattern) in enumerate(sigs) if word in t for m in re.finditer(pattern, t))
         kept = [s for k, s in enumerate(spans) if not any(o[1] <= s[1] and o[2] <= s[2] for o in spans[:k])]
         assert [(d["start"], d["end"], d["priority"], d["rule"], d["label"]) for d in x["detections"]] == [(a, -b, -p, i, n) for a, b, p, i, n in kept]
-    assert all(any(g in s[2] for g in license_rules.GATES) for s in sigs) and len(sigs) >= 200
+    keywords = [line.split(" | ")[2].strip() for line in license_rules.SIGNATURES.strip().splitlines()]
+    assert all(any(g in k for g in license_rules.gates()) for k in keywords) and len(sigs) >= 200
 
 
 # ---- 8
@@ -457,3 +458,30 @@ def test_pipeline_stages(spark, tmp_path):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert packed.where("piece = 0").count() == before.count()
+
+
+def test_secrets_beside_a_rule_span_are_candidates():
+    hexes, other = "0123456789abcdef" * 2 + "01234567", "ghp_" + "aB3" * 12
+    text = f"see commit/{hexes}/{other} and password={'x1' * 12}/{other} {other}"
+    spans = secret_cnn.rule_spans(text)
+    runs = [text[a:b] for a, b in secret_cnn.open_runs(text, spans)]
+    assert runs == ["/" + other, other] and [s[0] for s in spans] == ["hex", "assign"]
+    inside = secret_cnn.rule_spans("token: AKIA" + "A" * 40 + "a1" * 20)
+    assert secret_cnn.open_runs("token: AKIA" + "A" * 40 + "a1" * 20, inside) == []
+
+
+def test_many_findings_take_linear_time():
+    import time
+    took = []
+    for n in (8000, 32000):
+        text = " ".join("0123456789abcdef" * 2 + f" id{i}abcdefghijklmnop" for i in range(n))
+        start = time.perf_counter()
+        assert len(secret_cnn.open_runs(text, secret_cnn.rule_spans(text))) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def test_license_names_wrapped_over_deep_indents(spark):
+    text = "apache\n *                        license, version 2.0 and GNU \n#\n#\n#\n#\n#      general public license"
+    row = license_scan.op7(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert "apache-2.0" in row["labels"].split(",") and row["n_detections"] >= 2
