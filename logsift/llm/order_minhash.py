@@ -23,12 +23,15 @@ are linked; classes are the connected components of links.
    round, a bucket of up to ``SMALL`` members tests all members of different
    classes against each other; a larger one has new leaders, for ``ROUNDS`` rounds
    in all. Leaders only save work; what they leave is searched exactly.
+   A pair is only made if the texts' lengths and profiles allow the similarity (``_can_be``): a
+   profile counts the labelled shingles in hash slots, and similar texts cannot differ in many.
 4. The larger buckets that still have several classes: two texts of similarity 0.8
    share 0.8 of their labelled shingles, so with shingles in one order for all texts,
    the rarest first, they share one among the first ``n - ceil(0.8 n) + 1`` of each,
    and from the first one they share on, each has as many left as they must have in
    common. Texts are joined on these shingles; pairs of different classes that also
-   share a bucket are verified. So every pair that shares a bucket is decided: it is
+   share a bucket are looked up in the one table of pairs compared so far, and the new ones
+   verified. So every pair that shares a bucket is decided: it is
    in one class already, or it is compared, or it cannot be similar. A key's largest class is not joined
    with itself. The order is by counts in ``SLOTS`` hash slots, the same for all
    texts; collisions cost comparisons only.
@@ -49,7 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.operators.components import components
@@ -59,6 +62,7 @@ from .common import fresh, share, shared
 from .words import Words, mix, occurrences, shingles, text_slices
 
 K, SIMILARITY, BINS, LENGTH = 5, 0.8, 12, 3
+PROFILE = 64  # slots of a text's profile
 #: A bucket of up to this many members tests all of them against each other;
 #: a larger one has this many leaders a round after the first, for so many rounds.
 SMALL, LEADERS, ROUNDS = 64, 4, 3
@@ -66,13 +70,16 @@ SMALL, LEADERS, ROUNDS = 64, 4, 3
 SLOTS, CHUNK = 1 << 20, 1 << 14
 
 
-def sketches(texts: pa.Array, k: int = K, bins: int = BINS, length: int = LENGTH) -> tuple[list, list, np.ndarray]:
-    """Per text: the word hashes (uint32 bytes), the sample per bin (0: empty bin), the number of shingles."""
+def sketches(texts: pa.Array, k: int = K, bins: int = BINS, length: int = LENGTH) -> tuple[list, list, np.ndarray, list]:
+    """Per text: the word hashes (uint32 bytes), the sample per bin (0: empty bin), the number of
+    shingles, and its profile: the labelled shingles in each of ``PROFILE`` hash slots."""
     words = Words(texts)
     short = (words.hash >> np.uint64(32)).astype(np.uint32)
     doc, pos, h = shingles(short, words.first, k)
     n = np.bincount(doc, minlength=len(texts))
     v = mix(h + occurrences(doc, h).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    slot = doc.astype(np.int64) * PROFILE + (v & np.uint64(PROFILE - 1)).astype(np.int64)
+    profile = np.minimum(np.bincount(slot, minlength=len(texts) * PROFILE), 32767).astype(np.int16).reshape(len(texts), PROFILE)
     # Sorting by (text, hash) sorts by (text, bin, hash), as the bin is the top of the hash.
     order = np.lexsort((v, doc))
     d, s = doc[order], v[order]
@@ -95,16 +102,16 @@ def sketches(texts: pa.Array, k: int = K, bins: int = BINS, length: int = LENGTH
         out[group[begin]] = np.add.reduceat(mix(s + step * np.uint64(0xC2B2AE3D27D4EB4F)), begin) | np.uint64(1)
     raw = short.astype("<u4").tobytes()
     cuts = (words.first * 4).tolist()
-    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], out.view(np.int64).reshape(len(texts), bins).tolist(), n
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], out.view(np.int64).reshape(len(texts), bins).tolist(), n, profile.tolist()
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "text"):
-            words, sample, n = sketches(part.column("text"))
+            words, sample, n, profile = sketches(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("digest"), pa.array(words, pa.binary()), pa.array(sample, pa.list_(pa.int64())),
-                 pa.array(n, pa.int64())], ["doc_id", "digest", "words", "sample", "n"])
+                 pa.array(n, pa.int64()), pa.array(profile, pa.list_(pa.int16()))], ["doc_id", "digest", "words", "sample", "n", "profile"])
 
 
 def _labelled(words: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -173,20 +180,35 @@ def _by_leader(members: DataFrame, number: int, leaders: int) -> DataFrame:
 
     Leaders come as an array per bucket, so a member is a row for each leader it is
     to be compared with, not for each leader there is."""
-    own = [F.struct(F.xxhash64("bin", "sample", "node", F.lit(number * LEADERS + i)).alias("draw"), "node", "n", "component") for i in range(leaders)]
+    own = [F.struct(F.xxhash64("bin", "sample", "node", F.lit(number * LEADERS + i)).alias("draw"), "node", "n", "component", "profile") for i in range(leaders)]
     lead = members.groupBy("bin", "sample").agg(*[F.min(o).alias(f"l{i}") for i, o in enumerate(own)])
     lead = lead.select("bin", "sample", F.array(*[f"l{i}" for i in range(leaders)]).alias("leads"))
-    b = members.select("bin", "sample", "node", "n", "component").join(lead, ["bin", "sample"])
-    others = F.filter("leads", lambda x: (x["component"] != F.col("component")) & (
-        F.least(F.col("n"), x["n"]) >= SIMILARITY * F.greatest(F.col("n"), x["n"]) - 1e-9))
-    b = b.where(F.size(others) > 0).select("node", "n", "component", F.explode(others).alias("lead"))
-    return _fitting(b.select("node", "n", "component", *[F.col(f"lead.{c}").alias(f"{c}_2") for c in ("node", "n", "component")]))
+    b = members.select("bin", "sample", "node", "n", "component", "profile").join(lead, ["bin", "sample"])
+    others = F.filter("leads", lambda x: (x["component"] != F.col("component")) & _can_be(
+        F.col("n"), x["n"], F.col("profile"), x["profile"]))
+    return _ordered(b.select("node", F.explode(F.transform(others, lambda x: x["node"])).alias("node_2")))
 
 
 def _among(members: DataFrame) -> DataFrame:
     """Candidates (u, v): all members of small buckets against each other, at most SMALL - 1 a row."""
-    a = members.where(F.col("size") <= SMALL).select("bin", "sample", "node", "n", "component")
-    return _fitting(a.join(a.select("bin", "sample", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "component")]), ["bin", "sample"]))
+    own = ("node", "n", "component", "profile")
+    a = members.where(F.col("size") <= SMALL).select("bin", "sample", *own)
+    pairs = a.join(a.select("bin", "sample", *[F.col(c).alias(f"{c}_2") for c in own]), ["bin", "sample"])
+    return _ordered(pairs.where((F.col("component") != F.col("component_2")) & _can_be(F.col("n"), F.col("n_2"), F.col("profile"), F.col("profile_2"))))
+
+
+def _can_be(n: Column, m: Column, a: Column, b: Column) -> Column:
+    """Whether texts of n and m labelled shingles with these profiles can be similar enough.
+
+    A similarity s leaves at most (1 - s) / (1 + s) of both texts' shingles unmatched, and
+    each of these changes the profiles' difference by one at most; so no similar pair is refused."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, x: t + x)
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9) & (apart <= (1 - SIMILARITY) / (1 + SIMILARITY) * (n + m) + 1e-6)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (u, v) with u < v, each once."""
+    return pairs.select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
 
 
 def _fitting(pairs: DataFrame) -> DataFrame:
@@ -280,13 +302,18 @@ def linked(buckets: DataFrame, words: DataFrame) -> DataFrame:
     """
     members = buckets.withColumn("component", F.col("node"))
     pairs = _by_leader(members, 0, 1)
-    tested, classes, number = [], None, 0
+    tested, classes, number = None, None, 0
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        """What has not been compared yet: one lookup in one table, however many rounds there were."""
+        return pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti")
+
     while True:
-        for earlier in tested:
-            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
+        pairs = cut_lineage(untested(pairs), "pairs")
         new = cut_lineage(verify(pairs, words), "links")
-        tested.append(pairs)
+        before, tested = tested, pairs if tested is None else cut_lineage(tested.union(pairs), "tested")
+        if before is not None:
+            forget(before, pairs)
         if number > 0 and new.isEmpty():
             forget(new)
             break
@@ -304,13 +331,10 @@ def linked(buckets: DataFrame, words: DataFrame) -> DataFrame:
     left = members.where(F.col("size") > SMALL)
     if not left.isEmpty():
         pairs = _by_prefix(left, words)
-        fresh_pairs = pairs
-        for earlier in tested:
-            fresh_pairs = fresh_pairs.join(earlier, ["u", "v"], "left_anti")
-        new = verify(fresh_pairs, words)
+        new = verify(untested(pairs), words)
         before, classes = classes, cut_lineage(components(new.union(classes.select(F.col("node").alias("u"), F.col("component").alias("v")))), "classes")
         forget(before, pairs)
-    forget(members, *tested)
+    forget(members, tested)
     return classes
 
 
@@ -318,13 +342,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per document: doc_id, digest (MD5 of the text), class_id (the smallest doc_id of its class)."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(t).alias("digest"), t.alias("text"))
-    d = d.mapInArrow(_sketch_batches, "doc_id long, digest string, words binary, sample array<long>, n long")
+    d = d.mapInArrow(_sketch_batches, "doc_id long, digest string, words binary, sample array<long>, n long, profile array<short>")
     rows = cut_lineage(d.withColumn("row", F.monotonically_increasing_id()), "sketches")
     # One node per distinct text, named by one of its rows; copies combine before the shuffle.
     texts = rows.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"),
-                                       F.any_value("sample").alias("sample"))
+                                       F.any_value("sample").alias("sample"), F.any_value("profile").alias("profile"))
     texts = cut_lineage(texts, "texts")
-    exploded = texts.select("node", "n", F.posexplode("sample").alias("bin", "sample")).where("sample != 0")
+    exploded = texts.select("node", "n", "profile", F.posexplode("sample").alias("bin", "sample")).where("sample != 0")
     sizes = exploded.groupBy("bin", "sample").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut_lineage(exploded.join(sizes, ["bin", "sample"]), "buckets")
     ids = cut_lineage(rows.select("doc_id", "digest"), "ids")
