@@ -20,8 +20,7 @@ per key); the per-record value is then a column expression.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -184,14 +183,14 @@ def steady_k(policy: Policy, sev: Column) -> Column:
     return e.otherwise(F.lit(policy.steady_k_other)).cast("bigint")
 
 
-def ladder(policy: Policy = Policy(), per_tenant: tuple[str, ...] = ()) -> Column:
+def ladder(policy: Policy = Policy(), per_tenant: tuple[str, ...] = (), k: Column | None = None) -> Column:
     """First matching rung wins -> struct(action, keep_reason, sample_rate, note).
     Thresholds named in ``per_tenant`` come from their ``pol_`` columns where
-    those are set (W20)."""
+    those are set (W20); ``k`` is the steady rate, by default that of the policy."""
     limit = {n: F.coalesce(F.col(f"pol_{n}"), F.lit(getattr(policy, n))) if n in per_tenant else F.lit(getattr(policy, n))
              for n in TENANT_THRESHOLDS}
     sev, total, cur, ema = F.col("severity"), F.col("seq"), F.col("cur_min"), F.col("ema")
-    k = steady_k(policy, sev)
+    k = steady_k(policy, sev) if k is None else k
 
     def d(action, reason, rate, note):
         return F.struct(F.lit(action).alias("action"), F.lit(reason).alias("keep_reason"),
@@ -222,19 +221,24 @@ def ladder(policy: Policy = Policy(), per_tenant: tuple[str, ...] = ()) -> Colum
 
 
 def decide(mined: DataFrame, policy: Policy = Policy(), inclusive: bool = True,
-           policies: DataFrame | None = None) -> DataFrame:
+           policies: DataFrame | None = None, max_qps: float | None = None) -> DataFrame:
     """Counters + ladder; one decision per record (flat columns + struct).
-    ``policies`` (key_tenant and any of ``TENANT_THRESHOLDS``) sets thresholds per tenant."""
+    ``policies`` (key_tenant and any of ``TENANT_THRESHOLDS``) sets thresholds per tenant; with
+    ``max_qps``, DEBUG and INFO records of a tenant over its budget in a second are kept at the raised rate of ``budget_k`` (W18)."""
+    if max_qps is not None:
+        mined = budget_k(with_key(mined), max_qps, policy)
     return with_decision(with_counters(with_key(mined), policy, inclusive), policy, policies)
 
 
 def with_decision(df: DataFrame, policy: Policy = Policy(), policies: DataFrame | None = None) -> DataFrame:
-    """The ladder over rows that have counters, whether a batch or a stream counted them."""
+    """The ladder over rows that have counters, whether a batch or a stream counted them; a
+    column ``k_eff`` is the steady rate where there is one."""
     own: tuple[str, ...] = ()
     if policies is not None:
         own = tuple(n for n in TENANT_THRESHOLDS if n in policies.columns)
         df = join_policies(df, policies.select("key_tenant", *[F.col(n).alias(f"pol_{n}") for n in own]))
-    df = df.withColumn("__d", ladder(policy, own)).drop(*[f"pol_{n}" for n in own])
+    k = F.col("k_eff").cast("bigint") if "k_eff" in df.columns else None
+    df = df.withColumn("__d", ladder(policy, own, k)).drop(*[f"pol_{n}" for n in own])
     df = (df.withColumn("action", F.col("__d.action")).withColumn("keep_reason", F.col("__d.keep_reason"))
             .withColumn("sample_rate", F.col("__d.sample_rate")).withColumn("note", F.col("__d.note"))
             .withColumn("policy_version", F.when(F.col("seq").isNull(), F.lit(P.FALLBACK_POLICY_VERSION))
@@ -327,93 +331,40 @@ def budget_k(df: DataFrame, max_qps: float, policy: Policy = Policy(), key: str
     return out.withColumn("k_eff", F.when(F.col("severity").isin("DEBUG", "INFO"), k * mult).otherwise(k))
 
 
-_TOKEN = re.compile(r"\s*(?:(?P<number>-?\d+(?:\.\d+)?)|'(?P<text>[^']*)'|(?P<name>[A-Za-z_][A-Za-z0-9_.]*)"
-                    r"|(?P<op><=|>=|!=|<>|==|=|<|>)|(?P<mark>[(),]))")
-
-
-def parse_condition(text: str) -> Column:
-    """A rule condition as a column. The grammar has comparisons of a column with
-    a literal, ``in`` lists, ``is [not] null``, ``and``, ``or``, ``not`` and brackets;
-    there are no calls, so nothing but columns can be reached."""
-    tokens, at = [], 0
-    while text[at:].strip():
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(f"rule condition {text!r}: unexpected text at {at}")
-        tokens.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-    tokens.append(("end", ""))
-    place = [0]
-
-    def word() -> str:
-        kind, value = tokens[place[0]]
-        return value.lower() if kind == "name" else value if kind in ("op", "mark") else ""
-
-    def take(kind: str | None = None, value: str | None = None) -> str:
-        k, v = tokens[place[0]]
-        if (kind and k != kind) or (value and v.lower() != value):
-            raise ValueError(f"rule condition {text!r}: {value or kind} expected, not {v or 'the end'!r}")
-        place[0] += 1
-        return v
-
-    def literal() -> Column:
-        kind, value = tokens[place[0]]
-        if kind not in ("number", "text"):
-            raise ValueError(f"rule condition {text!r}: a literal expected, not {value or 'the end'!r}")
-        place[0] += 1
-        return F.lit(value if kind == "text" else float(value) if "." in value else int(value))
-
-    def test() -> Column:
-        if word() == "not":
-            take()
-            return ~test()
-        if word() == "(":
-            take()
-            inner = either()
-            take("mark", ")")
-            return inner
-        column = F.col(take("name"))
-        if word() == "is":
-            take()
-            negated = word() == "not" and bool(take())
-            take("name", "null")
-            return column.isNotNull() if negated else column.isNull()
-        if word() == "in":
-            take()
-            take("mark", "(")
-            values = [literal()]
-            while word() == ",":
-                take()
-                values.append(literal())
-            take("mark", ")")
-            return column.isin(*values)
-        op, value = take("op"), literal()
-        return {"=": column == value, "==": column == value, "!=": column != value, "<>": column != value, "<": column < value,
-                "<=": column <= value, ">": column > value, ">=": column >= value}[op]
-
-    def both() -> Column:
-        c = test()
-        while word() == "and":
-            take()
-            c = c & test()
-        return c
-
-    def either() -> Column:
-        c = both()
-        while word() == "or":
-            take()
-            c = c | both()
-        return c
-
-    out = either()
-    take("end")
+#: What a rule's test may ask of a column, given the values.
+TESTS: dict[str, Callable[[Column, list], Column]] = {
+    "=": lambda c, v: c == v[0], "!=": lambda c, v: c != v[0], "<": lambda c, v: c < v[0], "<=": lambda c, v: c <= v[0],
+    ">": lambda c, v: c > v[0], ">=": lambda c, v: c >= v[0], "in": lambda c, v: c.isin(*v), "not in": lambda c, v: ~c.isin(*v),
+    "null": lambda c, v: c.isNull(), "not null": lambda c, v: c.isNotNull()}
+
+
+def rule_condition(tests: list[dict]) -> Column:
+    """The conjunction of tests as a column: ``{column, op, values}``, ``{any: [tests, ...]}``
+    for one list of tests out of several, ``{none: tests}`` for their negation. Rules are data, so nothing but
+    columns and literals can be reached. A rule without tests fits all rows."""
+    out = F.lit(True)
+    for t in tests:
+        if set(t) == {"any"}:
+            own = F.lit(False)
+            for other in t["any"]:
+                own = own | rule_condition(other)
+        elif set(t) == {"none"}:
+            own = ~rule_condition(t["none"])
+        else:
+            values = t.get("values", [])
+            if t.get("op") not in TESTS or not set(t) <= {"column", "op", "values"} or not isinstance(t.get("column"), str):
+                raise ValueError(f"rule test {t!r}: a column and one of {', '.join(TESTS)} expected")
+            if ("null" in t["op"]) != (not values) or ("in" not in t["op"].split() and len(values) > 1):
+                raise ValueError(f"rule test {t!r}: wrong number of values")
+            own = TESTS[t["op"]](F.col(t["column"]), values)
+        out = out & own
     return out
 
 
 def rules_policy(rules: list[dict]) -> Column:
-    """Ordered rules ``{condition, action, priority, sample_rate}`` -> the
-    first matching rule by priority as a nested CASE. Conditions follow
-    ``parse_condition``; ``sample_rate`` keeps a deterministic fraction via
+    """Ordered rules ``{tests, action, priority, sample_rate}`` -> the
+    first matching rule by priority as a nested CASE. Tests follow
+    ``rule_condition``; ``sample_rate`` keeps a deterministic fraction via
     xxhash64(log_id)."""
     e = F.when(F.lit(False), F.lit(None))
     for r in sorted(rules, key=lambda r: -r.get("priority", 0)):
@@ -422,7 +373,7 @@ def rules_policy(rules: list[dict]) -> Column:
         if rate is not None:
             keep = F.pmod(F.xxhash64("log_id"), F.lit(1000)) < int(rate * 1000)
             act = F.when(keep, F.lit("KEEP")).otherwise(F.lit("SUPPRESS"))
-        e = e.when(parse_condition(r["condition"]), act)
+        e = e.when(rule_condition(r["tests"]), act)
     return e
 
 

@@ -11,8 +11,14 @@ task cross the network).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.templates import group_signature, mask, template_id, template_regex, token_seq
@@ -142,6 +148,50 @@ def mine_distinct(df: DataFrame, miner, key: list[str] = ("tenant",), message_co
     return null_safe_join(keyed, mined, [*key, "__sig"], "left").drop("__sig")
 
 
+def _entries(keys: list[str], ttl_us: int):
+    """Start of the cache entry that serves each time, for times that come signature by signature, in order:
+    an entry serves ``ttl_us`` from the time that made it, and the first time after that makes the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, start = None, 0
+        for batch in batches:
+            us = batch.column("__us").to_numpy()
+            ids = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            out = np.empty(len(us), dtype=np.int64)
+            cuts = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1]], len(ids)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi and ids[lo] != own:
+                    own, start = ids[lo], int(us[lo])
+                while lo < hi:
+                    if us[lo] >= start + ttl_us:
+                        start = int(us[lo])
+                    end = lo + int(np.searchsorted(us[lo:hi], start + ttl_us))
+                    out[lo:end] = start
+                    lo = end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "__entry"])
+    return run
+
+
+def mine_cached(df: DataFrame, miner, ttl: str = "1 hour", key: list[str] = ("tenant",), message_col: str = "message") -> DataFrame:
+    """Like ``mine_distinct``, with a cache that forgets: a masked signature is mined for its
+    first record, the result serves records of the next ``ttl``, and the first one after that
+    mines again. Adds the miner's columns and ``cached`` (false for the record that was mined).
+
+    Times of a signature are reduced to distinct ones first and streamed in order,
+    so no signature is gathered. Records without a time share one entry per signature."""
+    from .ordered import null_safe_join
+    from .sampling import epoch_us
+    keys = [*key, "__sig"]
+    keyed = materialize(df.withColumn("__sig", F.sha1(mask(F.coalesce(F.col(message_col), F.lit(""))))).withColumn("__us", epoch_us()))
+    times = keyed.where(F.col("ts").isNotNull()).select(*keys, "__us").distinct().repartition(*keys).sortWithinPartitions(*keys, "__us")
+    kinds = T.StructType([*times.schema.fields, T.StructField("__entry", T.LongType())])
+    rows = null_safe_join(keyed, times.mapInArrow(_entries(keys, pd.Timedelta(ttl).value // 1000), kinds), [*keys, "__us"], "left").drop("__us")
+    reps = rows.groupBy(*keys, "__entry").agg(F.min(F.struct("ts", "log_id", message_col)).alias("__rep"))
+    mined = miner(reps.select(*keys, "__entry", F.col("__rep.log_id").alias("__call"), F.col(f"__rep.{message_col}").alias(message_col))).drop(message_col)
+    out = null_safe_join(rows, mined, [*keys, "__entry"], "left")
+    return out.withColumn("cached", ~F.col("log_id").eqNullSafe(F.col("__call"))).drop("__sig", "__entry", "__call")
+
+
 def grouping_buckets(df: DataFrame, ttl: str = "5 minutes", key: str = "tenant",
                      n_examples: int = 3) -> DataFrame:
     """Per tenant + masked text, session buckets with a ``ttl`` gap: size,

@@ -830,9 +830,11 @@ def q_otlp_edge(spark, sf):
 @register
 def q_rules_policy(spark, sf):
     from .operators.sampling import rules_policy
-    rules = [{"condition": "severity in ('ERROR', 'FATAL')", "action": "KEEP", "priority": 9},
-             {"condition": "service = 'click' and not env = 'prod'", "action": "SUPPRESS", "priority": 5},
-             {"condition": "tenant >= 't1' and (service = 'view' or service = 'signup')", "action": "KEEP", "priority": 1}]
+    def test(column, op, *values):
+        return {"column": column, "op": op, "values": list(values)}
+    rules = [{"tests": [test("severity", "in", "ERROR", "FATAL")], "action": "KEEP", "priority": 9},
+             {"tests": [test("service", "=", "click"), test("env", "!=", "prod")], "action": "SUPPRESS", "priority": 5},
+             {"tests": [test("tenant", ">=", "t1"), test("service", "in", "view", "signup")], "action": "KEEP", "priority": 1}]
     a = F.coalesce(rules_policy(rules), F.lit("none"))
     return log_events(spark, sf).groupBy(a.alias("action")).agg(F.count(F.lit(1)).alias("records"))
 
@@ -1080,3 +1082,17 @@ def q_publish_ack_rejects(spark, sf):
     ack = C.publish_ack(ok, bad)
     return ack.select(F.lit("ack").alias("kind"), "accepted", "rejected", "note").unionByName(
         by.select(F.lit("reason").alias("kind"), F.lit(0).cast("bigint").alias("accepted"), F.col("n").alias("rejected"), F.col("reason").alias("note")))
+
+
+@register
+def q_signature_cache(spark, sf):
+    """Mining calls and cached records per tenant, with a cache that forgets after two days."""
+    rows = log_events(spark, sf).select("log_id", "ts", "tenant", F.concat_ws(" ", F.lit("user"), "service", "env").alias("message"))
+    c = T.mine_cached(rows, lambda d: d.withColumn("template", T.mask(F.col("message"))), "2 days")
+    return c.groupBy("tenant", "template").agg(F.count(F.when(~F.col("cached"), 1)).alias("calls"), F.count(F.when(F.col("cached"), 1)).alias("cached"))
+
+
+@register
+def q_ladder_qps(spark, sf):
+    """Tenants over half a record a second: their DEBUG and INFO records are kept at a raised rate."""
+    return _decisions(decide(sampler_rows(spark, sf), TUNED, max_qps=0.5))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,20 +88,33 @@ def to_sink_entries(kept: DataFrame, static: dict | None = None) -> DataFrame:
 def _greedy_cut(max_entries: int, max_bytes: int):
     """Chunk numbers of entries that come stream by stream, in order: a chunk ends
     with the entry that fills it (entries or bytes), and both counts begin anew.
-    Only the counts of the stream at hand are kept between batches."""
+    Only the counts of the stream at hand are kept between batches; inside a batch
+    the end of a chunk is looked up in running sums, so the work is a step per chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, chunk, n, total = None, 0, 0, 0
         for batch in batches:
-            out = []
-            for key, minute, size in zip(*(batch.column(c).to_pylist() for c in ("stream_key", "minute", "entry_bytes")), strict=True):
-                if (key, minute) != stream:
-                    stream, chunk, n, total = (key, minute), 0, 0, 0
-                elif n >= max_entries or total >= max_bytes:
-                    chunk, n, total = chunk + 1, 0, 0
-                n, total = n + 1, total + (size or 0)
-                out.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
+            key, minute = batch.column("stream_key"), batch.column("minute")
+            codes = key.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            times = minute.fill_null(-1).to_numpy()
+            sizes = batch.column("entry_bytes").fill_null(0).to_numpy()
+            out = np.empty(len(sizes), dtype=np.int64)
+            cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(times) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+                if lo == hi:
+                    continue
+                own = (key[int(lo)].as_py(), minute[int(lo)].as_py())
+                if own != stream:
+                    stream, chunk, n, total = own, 0, 0, 0
+                upto = np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+                i, m = 0, int(hi - lo)
+                while i < m:
+                    if n >= max_entries or total >= max_bytes:
+                        chunk, n, total = chunk + 1, 0, 0
+                    j = min(i + max_entries - n, int(np.searchsorted(upto, upto[i] + max_bytes - total)), m)
+                    out[lo + i:lo + j] = chunk
+                    n, total, i = n + j - i, total + int(upto[j] - upto[i]), j
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "chunk"])
     return run
 
 

@@ -913,11 +913,11 @@ def _():
 
 @oracle("stats_commits")
 def _():
-    each = " UNION ALL ".join(f"""SELECT tenant, template_id, '{w}' AS window, count(*) AS n, {at} AS as_of FROM mined
+    each = " UNION ALL ".join(f"""SELECT tenant, template_id, '{w}' AS w, count(*) AS n, {at} AS as_of FROM mined
   WHERE NOT from_fallback AND ts > {at} - INTERVAL {m} MINUTES AND ts <= {at} GROUP BY tenant, template_id"""
                              for at in ("TIMESTAMP '2024-01-30 00:00:00'", AS_OF) for w, m in (("10m", 10), ("1h", 60), ("24h", 1440)))
-    return with_(*mined_ctes("log_events"), f"s AS ({each})") + """SELECT tenant, template_id, window,
-  arg_max(n, as_of) AS count, max(as_of) AS updated_at FROM s GROUP BY tenant, template_id, window"""
+    return with_(*mined_ctes("log_events"), f"s AS ({each})") + """SELECT tenant, template_id, w AS "window",
+  arg_max(n, as_of) AS count, max(as_of) AS updated_at FROM s GROUP BY tenant, template_id, w"""
 
 
 ORACLE["knn_ann"] = ORACLE["knn_cosine"]
@@ -935,7 +935,7 @@ def _():
     at = "TIMESTAMP '2024-01-01 20:00:00'"
     return with_(*_search_ctes(10), f"""c AS (SELECT tenant, template_id, count(*) AS n FROM mined
   WHERE NOT from_fallback AND ts > {at} - INTERVAL 24 HOURS AND ts <= {at} GROUP BY tenant, template_id)""") + """SELECT query_id, h.tenant, h.template_id,
-  rank, coalesce(n, 0) AS count_24h FROM hits h JOIN dc USING (tenant, template_id) LEFT JOIN c ON c.tenant = h.tenant AND c.template_id = h.template_id"""
+  rank, coalesce(c.n, 0) AS count_24h FROM hits h JOIN dc USING (tenant, template_id) LEFT JOIN c ON c.tenant = h.tenant AND c.template_id = h.template_id"""
 
 
 @oracle("plan_execute_range")
@@ -968,3 +968,21 @@ def _():
   WHEN substr(template_id, 1, 1) IN ('0', '1') THEN 'missing template_text' WHEN substr(template_id, 1, 1) = '2' THEN 'missing regex' END AS reason FROM c)""") + """
 SELECT 'ack' AS kind, count(*) FILTER (WHERE reason IS NULL) AS accepted, count(reason) AS rejected, min(reason) AS note FROM r
 UNION ALL SELECT 'reason', 0, count(*), reason FROM r WHERE reason IS NOT NULL GROUP BY reason"""
+
+
+@oracle("signature_cache")
+def _():
+    return "WITH RECURSIVE " + with_(LOG_EVENTS, """r AS (SELECT tenant, 'user ' || service || ' ' || env AS template, ts FROM log_events)""",
+                                     """e AS (SELECT tenant, template, min(ts) AS start FROM r GROUP BY ALL
+  UNION ALL SELECT e.tenant, e.template, (SELECT min(ts) FROM r WHERE r.tenant = e.tenant AND r.template = e.template
+    AND r.ts >= e.start + INTERVAL 2 DAY) FROM e WHERE e.start IS NOT NULL)""")[5:] + """
+SELECT r.tenant, r.template, any_value(c.calls) AS calls, count(*) - any_value(c.calls) AS cached
+FROM r JOIN (SELECT tenant, template, count(start) AS calls FROM e GROUP BY ALL) c USING (tenant, template) GROUP BY r.tenant, r.template"""
+
+
+@oracle("ladder_qps")
+def _():
+    return _decided(TUNED) + """, q AS (SELECT *, CASE WHEN severity IN ('DEBUG', 'INFO') AND keep_reason IN ('STEADYK', 'BUDGET')
+  THEN CAST(sample_rate * greatest(1, ceil(count(*) OVER (PARTITION BY key_tenant, epoch_us(ts) // 1000000) / 0.5)) AS BIGINT) ELSE sample_rate END AS k_eff FROM decided)
+SELECT log_id, CASE WHEN keep_reason IN ('STEADYK', 'BUDGET') THEN CASE WHEN seq % k_eff = 0 THEN 'KEEP' ELSE 'SUPPRESS' END ELSE action END AS action,
+  keep_reason, k_eff AS sample_rate, note, policy_version FROM q"""
