@@ -16,6 +16,7 @@ each other together, so a block reads few lists.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +55,8 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.vectors = spark.read.parquet(f"{self.path}/vectors")
         t = spark.read.parquet(f"{self.path}/centroids").orderBy("list").toArrow()
+        self.vectors = spark.read.schema(T.StructType.fromJson(json.loads(t["kind"][0].as_py()))).parquet(f"{self.path}/vectors")
         self.centroids = np.array(t["centroid"].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
 
     @classmethod
@@ -71,9 +72,11 @@ class VectorIndex:
         v = S.unit(S.matrix(some["v"], width)[1]) if some.num_rows else np.ones((1, width))
         v = v if len(v) else np.ones((1, width))
         c = centroids(v, min(lists or max(1, round(n ** 0.5)), MAX_LISTS))
-        own = spark.createDataFrame(pa.table({"list": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(c.tolist(), pa.list_(pa.float64()))}))
+        kinds = T.StructType([*fine.schema.fields, T.StructField("list", T.IntegerType())])
+        own = spark.createDataFrame(pa.table({"list": pa.array(range(len(c)), pa.int32()), "centroid": pa.array(c.tolist(), pa.list_(pa.float64())),
+                                              "kind": pa.array([kinds.json()] * len(c))}))
         own.write.mode("overwrite").parquet(f"{path.rstrip('/')}/centroids")
-        assigned = fine.mapInArrow(_assign(c, vec_col, width), T.StructType([*fine.schema.fields, T.StructField("list", T.IntegerType())]))
+        assigned = fine.mapInArrow(_assign(c, vec_col, width), kinds)
         # A list is spread over as many tasks as it has files; the sizes are at most MAX_LISTS rows.
         counts = {r["list"]: -(-r["n"] // FILE_ROWS) for r in assigned.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
         files = F.element_at(F.create_map(*[F.lit(x) for p in counts.items() for x in p]), F.col("list")) if counts else F.lit(1)
