@@ -90,7 +90,10 @@ class TokenIndex:
         cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in self.keys]]
         rare = lines.join(found.where("c_row IS NOT NULL"), place & (F.col("row") == F.col("c_row")))
         often = lines.join(found.where("c_row IS NULL").drop("c_row").distinct(), place)
-        out = rare.filter(fits).select(*cols).unionByName(often.filter(fits).select(*cols))
+        # A token can be rare with one set of labels of a block and not with another, so a line may be named twice.
+        at = ["date", "block", "row"]
+        out = rare.filter(fits).select(*cols, *at).unionByName(often.filter(fits).select(*cols, *at))
+        out = out.dropDuplicates(["plan_id", *at]).select(*cols)
         return out.unionByName(L.execute_loose(lines, plans.filter(F.col("__anchor").isNull()), self.keys))
 
     def drop_before(self, date: str) -> None:
