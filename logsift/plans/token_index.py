@@ -93,7 +93,7 @@ class TokenIndex:
         # A token can be rare with one set of labels of a block and not with another, so a line may be named twice.
         at = ["date", "block", "row"]
         out = rare.filter(fits).select(*cols, *at).unionByName(often.filter(fits).select(*cols, *at))
-        out = out.dropDuplicates(["plan_id", *at]).select(*cols)
+        out = out.dropDuplicates(["plan_id", *at]).drop(*at)
         return out.unionByName(L.execute_loose(lines, plans.filter(F.col("__anchor").isNull()), self.keys))
 
     def drop_before(self, date: str) -> None:
