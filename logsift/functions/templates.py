@@ -59,7 +59,8 @@ def template_regex(c, profile: str = "code") -> Column:
     ``(?:<name>|typed)`` so the regex matches both raw lines and lines whose
     values were already replaced by placeholders (redacted/masked text).
     """
-    out = escape_template(c)
+    # Spaces end up unescaped, so they are not escaped.
+    out = F.regexp_replace(col_(c), ESCAPE_CLASS.replace(" ", ""), "\\\\$0")
     if profile == "code":
         for ph, rx in P.TEMPLATE_REGEX_CODE:
             out = F.replace(out, F.lit(_escaped(ph)), F.lit(rx))
@@ -70,7 +71,7 @@ def template_regex(c, profile: str = "code") -> Column:
         for ph, rx in table.items():
             alt = rx if ph == "<*>" else f"(?:{ph}|{rx})"
             out = F.replace(out, F.lit(_escaped(ph)), F.lit(alt))
-    return F.replace(F.replace(out, F.lit("\\ "), F.lit(" ")), F.lit("\\="), F.lit("="))
+    return F.replace(out, F.lit("\\="), F.lit("="))
 
 
 def group_signature(c) -> Column:

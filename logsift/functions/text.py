@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import patterns as P
 
-_WS = "[\\t\\n\\f\\r ]+"
+# Runs of white space other than one space, which stays as it is.
+_WS_RUN = "[\\t\\n\\f\\r][\\t\\n\\f\\r ]*| [\\t\\n\\f\\r ]+"
 # White space that is trimmed from texts, as a class both regex engines know.
 UNI_WS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
+UNI_WS_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+LOGFMT_MIDDLE = "\\w[\\t\\n\\f\\r ]*=[\\t\\n\\f\\r ]*[^\\t\\n\\f\\r =]"
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,18 +29,19 @@ def detect_schema(payload) -> Column:
     """JSON if trimmed payload starts with '{' and parses, else LOGFMT when it
     has a ``key = value`` pair and does not start with '{', else TEXT."""
     p = col_(payload)
-    t = F.regexp_replace(p, f"^{UNI_WS}+|{UNI_WS}+$", "")
+    t = F.btrim(p, F.lit(UNI_WS_CHARS))
     is_obj = t.startswith("{")
     # As the one element of an array of raw texts: repeated keys are allowed, anything behind the object is not.
     one = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
     return (F.when(is_obj & (F.size(one) == 1), F.lit("JSON"))
-            .when(~is_obj & p.rlike(P.to_java(P.LOGFMT_PAIR)), F.lit("LOGFMT"))
+            # A pair is found by its last key character and its first value character, in texts that have the sign.
+            .when(~is_obj & p.contains("=") & p.rlike(LOGFMT_MIDDLE), F.lit("LOGFMT"))
             .otherwise(F.lit("TEXT")))
 
 
 def canonical_ws(c) -> Column:
     """Runs of [\\t\\n\\f\\r ] become one space, then trim."""
-    return F.trim(F.regexp_replace(col_(c), _WS, " "))
+    return F.trim(F.regexp_replace(col_(c), _WS_RUN, " "))
 
 
 def truncate_bytes(c, max_bytes: int) -> Column:
@@ -54,17 +60,19 @@ def is_truncated(c, max_bytes: int) -> Column:
     return F.octet_length(col_(c)) > max_bytes
 
 
-@F.pandas_udf(T.StringType())
-def _nfc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+@F.arrow_udf(T.StringType())
+def _nfc_udf(s: pa.Array) -> pa.Array:
+    if s.null_count == len(s):
+        return s
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in s.to_pylist()], pa.string())
 
 
 def nfc(c) -> Column:
-    """NFC normalization. Only non-ASCII rows carry data into the Arrow UDF;
-    ASCII rows pass null and are restored by ``coalesce``."""
+    """NFC normalization. Only rows with a character from U+0300 on carry data into the
+    Arrow UDF, as texts without one are in NFC; the others pass null and are restored by ``coalesce``."""
     s = col_(c)
-    non_ascii = s.rlike("[^\\x00-\\x7F]")
-    return F.coalesce(_nfc_udf(F.when(non_ascii, s)), s)
+    open_ = s.rlike("[^\\x{0}-\\x{2FF}]")
+    return F.coalesce(_nfc_udf(F.when(open_, s)), s)
 
 
 def normalize_severity(c) -> Column:

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.redact import Rule, default_rules, redact_steps
-from ..functions.text import (UNI_WS, canonical_ws, detect_schema, nfc, severity_label, tenant_of,
+from ..functions.text import (UNI_WS, UNI_WS_CHARS, canonical_ws, detect_schema, nfc, severity_label, tenant_of,
                               truncate_bytes)
 
 
 
 def unicode_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{UNI_WS}+|{UNI_WS}+$", "")
+    return F.btrim(c, F.lit(UNI_WS_CHARS))
 
 
 def normalize_message(payload: Column, max_message_bytes: int = P.MAX_MESSAGE_BYTES,
