@@ -1,4 +1,4 @@
-"""Deterministic text embedding as native Spark expressions.
+"""Deterministic text embedding: words by Spark, hashes and sums by numpy on Arrow batches.
 
 The vector has four quarters of ``dim/4`` values:
 
@@ -9,29 +9,30 @@ The vector has four quarters of ``dim/4`` values:
 4. a ramp ``h * (i+1) / (dim/4)`` from the hash of the whole text;
 
 then L2-normalized in float32 arithmetic. Hash-to-[0,1] is the first 8 bytes
-of SHA-256 (big endian) divided by 2^64. Word counts come from run lengths of
-the sorted token array (O(n log n) per text).
+of SHA-256 (big endian) divided by 2^64.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..operators.normalize import unicode_trim
-from .redact import let
 from .text import col_
 
 TWO64 = 18446744073709551616.0
+ROWS = 1024  # texts that are embedded at a time
 WORD_RE = "[\\p{L}\\p{Nd}_-]+"
 
 
-def hash_unit(b: Column) -> Column:
-    """First 8 bytes of SHA-256 as an unsigned integer / 2^64 (double)."""
-    return F.conv(F.substring(F.sha2(b, 256), 1, 16), 16, 10).cast("double") / F.lit(TWO64)
-
-
 def tokens(text) -> Column:
     """Runs of letters, digits, '_' and '-' of the lower-cased, trimmed text."""
     return F.regexp_extract_all(col_(text), F.lit(WORD_RE), 0)
@@ -41,77 +42,66 @@ def prepared(text) -> Column:
     return F.lower(unicode_trim(col_(text)))
 
 
-def _pad(arr: Column, n: int) -> Column:
-    return F.concat(F.slice(arr, 1, n), F.array_repeat(F.lit(0.0).cast("float"), F.greatest(F.lit(0), n - F.size(arr))))
+@cache
+def _pair_hashes() -> np.ndarray:
+    """E3 of every 2-gram."""
+    return np.array([_unit(bytes((i >> 8, i & 255))) for i in range(1 << 16)], np.float32)
 
 
-def word_counts(words: Column) -> Column:
-    """Counts of distinct words, descending (run lengths of the sorted array)."""
-    def runs(s):
-        n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                          lambda i: (i == 1) | (F.element_at(s, F.greatest(i, F.lit(2))) !=
-                                                F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-        return let(starts, lambda st: F.when(n > 0, F.sort_array(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(st), F.lit(1))),
-            lambda j: F.when(j == F.size(st), n + 1).otherwise(F.element_at(st, F.least(j + 1, F.size(st))))
-            - F.element_at(st, j)), asc=False)).otherwise(F.array().cast("array<int>")))
-    return let(F.array_sort(words), runs)
+def _unit(b: bytes) -> float:
+    return int.from_bytes(hashlib.sha256(b).digest()[:8], "big") / TWO64
 
 
-def ngram_part(t: Column, q: int) -> Column:
+def _gram_hashes(b: bytes, q: int) -> np.ndarray:
     """E2 + E3: hashes of the first q byte n-grams (n = 2, then 3, then 4)."""
-    def body(b):
-        L = F.octet_length(b)
-        c2 = F.greatest(L - 1, F.lit(0))
-        c3 = F.greatest(L - 2, F.lit(0))
-        c4 = F.greatest(L - 3, F.lit(0))
-        return let(F.array(c2, c3, c4), lambda c: grams(b, c[0], c[1], c[2]))
+    codes = np.frombuffer(b[:q + 1], np.uint8).astype(np.int64)
+    out = _pair_hashes()[(codes[:-1] << 8) | codes[1:]]
+    more = [_unit(b[i:i + n]) for n in (3, 4) for i in range(len(b) - n + 1)] if len(out) < q else []
+    return np.concatenate([out, np.array(more[:q - len(out)], np.float32)])
 
-    def grams(b, c2, c3, c4):
-        total = F.least(c2 + c3 + c4, F.lit(q))
 
-        def gram(k):
-            n = F.when(k < c2, 2).when(k < c2 + c3, 3).otherwise(4)
-            i = F.when(k < c2, k).when(k < c2 + c3, k - c2).otherwise(k - c2 - c3)
-            return hash_unit(F.substring(b, i + 1, n)).cast("float")
-        return F.when(total > 0, F.transform(F.sequence(F.lit(0), total - 1), gram)) \
-            .otherwise(F.array().cast("array<float>"))
-
-    return let(t.cast("binary"), body)
+def _vectors(texts: pa.Array, words: pa.Array, logs: pa.Array, dim: int) -> np.ndarray:
+    """E1-E8 of texts, their words and ln(number of words + 1)."""
+    q = dim // 4
+    out, h = np.zeros((len(texts), dim), np.float32), np.zeros((len(texts), 1))
+    for v, b, ws, log, row in zip(out, texts.to_pylist(), words.to_pylist(), logs.to_pylist(), range(len(texts)), strict=True):
+        grams, n = _gram_hashes(b, q), len(ws)
+        v[:len(grams)] = grams
+        tf = np.array(sorted(Counter(ws).values(), reverse=True), np.float64) / max(n, 1)
+        if n:
+            p2 = [float(sum(map(len, ws))) / n / 20.0, *tf[:10]]
+            v[q:q + len(p2)] = p2[:q]
+        p3 = np.append(tf, log / 10.0)[:q]
+        v[2 * q:2 * q + len(p3)] = p3
+        h[row] = _unit(b)
+    out[:, 3 * q:] = h * np.arange(1, q + 1) / float(q)
+    return _normalized(out)
+
+
+def _normalized(v: np.ndarray) -> np.ndarray:
+    """L2 normalization with float32 products and a float64 running sum."""
+    ss = np.add.accumulate((v * v).astype(np.float64), axis=1)[:, -1]
+    scale = (1.0 / np.sqrt(np.where(ss > 0, ss, 1.0))).astype(np.float32)
+    return np.where((ss > 0)[:, None], v * scale[:, None], v)
 
 
 def embed(text, dim: int = P.VECTOR_DIM) -> Column:
-    """``ARRAY<FLOAT>`` of length ``dim``. Intermediate values are bound
-    once with ``let`` so the expression stays linear in size."""
+    """``ARRAY<FLOAT>`` of length ``dim``. Spark lower-cases and cuts the words; hashes and
+    sums are made by numpy, for a batch of texts at a time."""
     q = dim // 4
 
-    def with_text(t):
-        return let(tokens(t), lambda words: with_words(t, words))
-
-    def with_words(t, words):
-        return let(word_counts(words), lambda counts: with_counts(t, words, counts))
-
-    def with_counts(t, words, counts):
-        n = F.size(words)
-        rel = F.transform(counts, lambda c: (c / n).cast("float"))
-        avg_len = F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.octet_length(w)) / n
-        p2 = F.when(n > 0, F.concat(F.array((avg_len / 20.0).cast("float")), F.slice(rel, 1, 10))) \
-            .otherwise(F.array().cast("array<float>"))
-        p3 = F.concat(rel, F.array((F.log(n + 1.0) / 10.0).cast("float")))
-        h = hash_unit(t.cast("binary"))
-        p4 = let(h, lambda hv: F.transform(F.sequence(F.lit(0), F.lit(q - 1)),
-                                           lambda i: (hv * (i + 1) / float(q)).cast("float")))
-        return F.concat(_pad(ngram_part(t, q), q), _pad(p2, q), _pad(p3, q), p4)
-
-    return let(let(prepared(text), with_text), normalize_f32)
-
-
-def normalize_f32(vec: Column) -> Column:
-    """L2 normalization with float32 products and a float64 running sum."""
-    ss = F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + (v * v).cast("double"))
-    return let(ss, lambda s: F.when(s > 0, F.transform(
-        vec, lambda v: v * (F.lit(1.0) / F.sqrt(s)).cast("float"))).otherwise(vec))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(t: pa.Array, words: pa.Array, logs: pa.Array) -> pa.Array:
+        parts = [_vectors(t[i:i + ROWS], words[i:i + ROWS], logs[i:i + ROWS], dim) for i in range(0, len(t), ROWS)]
+        flat = np.concatenate(parts).reshape(-1) if parts else np.empty(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * dim), pa.array(flat))
+
+    t = prepared(text)
+    words = tokens(t)
+    made = vectors(F.coalesce(t, F.lit("")).cast("binary"), F.coalesce(words, F.array().cast("array<string>")).cast("array<binary>"),
+                   F.coalesce(F.log(F.size(words) + 1.0), F.lit(0.0)))
+    none = lambda n, v: F.array_repeat(F.lit(v).cast("float"), n)
+    return F.when(col_(text).isNull(), F.concat(none(2 * q, 0.0), none(1, None), none(q - 1, 0.0), none(q, None))).otherwise(made)
 
 
 def shared_tokens(a, b) -> Column:
