@@ -78,15 +78,23 @@ def mined_docs(spark, sf):
     return with_templates(normalized_docs(spark, sf))
 
 
-def mined_events(spark, sf, several: bool = False):
-    """``several``: the caller reads the rows in more than one branch."""
+def mined_events(spark, sf, several: bool = False, columns: list[str] | None = None):
+    """``several``: the caller reads the rows (of ``columns``) in more than one branch."""
     m = with_templates(normalized_events(spark, sf))
+    m = m.select(*columns) if columns else m
     return T.materialize(m) if several else m
 
 
+#: What catalogs, statistics and changes read of a record. Rows that are kept for several branches
+#: are cut to what these read, as a kept row holds all its columns, read or not.
+CATALOG_ROWS = ["log_id", "ts", "labels", "template_id", "template", "regex", "from_fallback"]
+#: What the sampler reads of a record.
+SAMPLER_ROWS = ["log_id", "ts", "tenant", "service", "env", "severity", "template_id", "labels"]
+
+
 def sampler_rows(spark, sf):
     """What the sampler reads of a record, without payload and message."""
-    return mined_events(spark, sf).select("log_id", "ts", "tenant", "service", "env", "severity", "template_id", "labels")
+    return mined_events(spark, sf).select(*SAMPLER_ROWS)
 
 
 @register
@@ -97,13 +105,13 @@ def q_mask_templates(spark, sf):
 
 @register
 def q_template_regex(spark, sf):
-    m = T.materialize(with_templates(normalized_docs(spark, sf))).filter(~F.col("from_fallback"))
+    m = with_templates(normalized_docs(spark, sf)).filter(~F.col("from_fallback"))
     return m.select("template_id", "template", "regex").distinct()
 
 
 @register
 def q_template_memory(spark, sf):
-    mem = template_memory(with_templates(normalized_docs(spark, sf)))
+    mem = template_memory(mined_docs(spark, sf).select(*CATALOG_ROWS, "message"))
     return mem.select("template_id", "template", "first_seen", "last_seen", "n",
                       F.array_join("examples", "\n").alias("examples"))
 
@@ -192,7 +200,7 @@ def _catalog_out(cat):
 
 
 def events_catalog(spark, sf):
-    m = mined_events(spark, sf, several=True)
+    m = mined_events(spark, sf, several=True, columns=CATALOG_ROWS)
     prior = C.fold_catalog(C.to_candidates(m.filter(F.col("ts") < _ntz(SPLIT))))
     return C.fold_catalog(C.to_candidates(m.filter(F.col("ts") >= _ntz(SPLIT))), prior)
 
@@ -226,7 +234,7 @@ def q_template_detail(spark, sf):
 
 @register
 def q_new_templates(spark, sf):
-    return C.template_changes(mined_events(spark, sf, several=True), _ntz(SPLIT))
+    return C.template_changes(mined_events(spark, sf, several=True, columns=CATALOG_ROWS), _ntz(SPLIT))
 
 
 @register
@@ -268,6 +276,13 @@ def docs_catalog(spark, sf):
     return to_candidates(mined_docs(spark, sf))
 
 
+def stored_catalog(spark, sf, mined=None):
+    """The catalog of the documents, written once for the search and for what is read of its hits."""
+    from .operators.catalog import to_candidates
+    from .session import cut_lineage
+    return cut_lineage(docs_catalog(spark, sf) if mined is None else to_candidates(mined), "catalog")
+
+
 def docs_vectors(spark, sf):
     return S.template_vectors(docs_catalog(spark, sf))
 
@@ -305,8 +320,8 @@ def q_knn_filtered(spark, sf):
 
 @register
 def q_recency_rerank(spark, sf):
-    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
-    cat = docs_catalog(spark, sf)
+    cat = stored_catalog(spark, sf)
+    hits = S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=10)
     r = S.rerank_recent(S.attach_catalog(hits, cat), _ntz(DOCS_END))
     return r.select("query_id", "tenant", "template_id", F.col("rank").cast("bigint"),
                     F.col("rerank").cast("bigint"), F.round("boosted", 6).alias("boosted"))
@@ -314,8 +329,9 @@ def q_recency_rerank(spark, sf):
 
 @register
 def q_matched_tokens(spark, sf):
-    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
-    h = S.attach_catalog(hits, docs_catalog(spark, sf)).join(benchmark_queries(spark, sf), "query_id")
+    cat = stored_catalog(spark, sf)
+    hits = S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=10)
+    h = S.attach_catalog(hits, cat).join(benchmark_queries(spark, sf), "query_id")
     e = S.explain_hits(h)
     return e.select("query_id", "tenant", "template_id", F.array_join("matched_tokens", " ").alias("matched_tokens"))
 
@@ -325,11 +341,7 @@ from .plans import logql as L  # noqa: E402
 
 
 def docs_plans(spark, sf, normalized=None):
-    if normalized is None:
-        cat = docs_catalog(spark, sf)
-    else:
-        from .operators.catalog import to_candidates
-        cat = to_candidates(with_templates(normalized))
+    cat = stored_catalog(spark, sf, None if normalized is None else with_templates(normalized))
     hits = S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=10)
     sel = S.attach_catalog(hits, cat)
     return L.plan(sel).withColumn("plan_id", F.concat_ws(":", "query_id", F.col("rank").cast("string")))
@@ -340,10 +352,14 @@ def q_logql_strings(spark, sf):
     return docs_plans(spark, sf).select("query_id", F.col("rank").cast("bigint").alias("rank"), "logql")
 
 
+def plan_lines(spark, sf):
+    """What plans and the catalog they come from read of a line; kept, as it feeds both."""
+    return T.materialize(normalized_docs(spark, sf).select("log_id", "ts", "labels", "message"))
+
+
 @register
 def q_plan_execute(spark, sf):
-    from .operators.templates import materialize
-    logs = materialize(normalized_docs(spark, sf))  # feeds the catalog and the scan
+    logs = plan_lines(spark, sf)
     plans = docs_plans(spark, sf, logs)
     m = L.execute_plan(logs, plans)
     return m.groupBy(F.split("plan_id", ":")[0].alias("query_id"), "service") \
@@ -358,8 +374,8 @@ def q_rate_by_service(spark, sf):
 
 @register
 def q_logql_forms(spark, sf):
-    sel = S.attach_catalog(S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=3),
-                           docs_catalog(spark, sf))
+    cat = stored_catalog(spark, sf)
+    sel = S.attach_catalog(S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=3), cat)
     lit = F.element_at(F.split("template_text", " "), 1)
     return sel.select("query_id", F.col("rank").cast("bigint").alias("rank"),
                       L.line_filter_query(F.col("labels"), lit).alias("line_filter"),
@@ -453,7 +469,7 @@ def q_json_batch_rejects(spark, sf):
 
 
 def kept_entries(spark, sf):
-    d = enforce(decide(mined_events(spark, sf)))
+    d = decided_events(spark, sf, "message", "schema", "redaction", "sanitized", "truncated")
     kept, _ = route(d)
     return K.to_sink_entries(kept)
 
@@ -488,8 +504,9 @@ def q_load_shed(spark, sf):
         .agg(F.count(F.lit(1)).alias("dropped"))
 
 
-def decided_events(spark, sf):
-    return enforce(decide(mined_events(spark, sf)))
+def decided_events(spark, sf, *more: str):
+    """Decided records with what the sampler reads of them, and ``more`` columns."""
+    return enforce(decide(mined_events(spark, sf).select(*SAMPLER_ROWS, *more)))
 
 
 @register
@@ -500,13 +517,13 @@ def q_sampling_metrics(spark, sf):
 
 @register
 def q_suppressed_rollup(spark, sf):
-    _, sup = route(decided_events(spark, sf))
+    _, sup = route(decided_events(spark, sf, "message"))
     return MX.suppressed_rollup(sup, "1 day")
 
 
 @register
 def q_tenant_volume(spark, sf):
-    return MX.tenant_volume(decided_events(spark, sf)).withColumn("kept_ratio", F.round("kept_ratio", 6))
+    return MX.tenant_volume(decided_events(spark, sf, "payload")).withColumn("kept_ratio", F.round("kept_ratio", 6))
 
 
 @register
@@ -576,14 +593,14 @@ from .operators.drain import drain_parallel  # noqa: E402
 
 @register
 def q_drain_templates(spark, sf):
-    d = drain_parallel(normalized_events(spark, sf), context=["service"])
+    d = drain_parallel(normalized_events(spark, sf).select("log_id", "ts", "tenant", "service", "message"), context=["service"])
     return d.select("log_id", "template_id", "template", F.round(F.col("confidence").cast("double"), 6).alias("confidence"),
                     "drain_cluster")
 
 
 @register
 def q_drain_docs(spark, sf):
-    d = drain_parallel(normalized_docs(spark, sf))
+    d = drain_parallel(normalized_docs(spark, sf).select("log_id", "ts", "tenant", "message"))
     return d.groupBy("tenant", "template_id").agg(F.first("template").alias("template"),
                                                   F.count(F.lit(1)).alias("lines"))
 
@@ -771,7 +788,7 @@ def q_null_keys_decided(spark, sf):
 @register
 def q_plan_wildcard(spark, sf):
     """Plans that name no service match lines of every service."""
-    logs = T.materialize(normalized_docs(spark, sf))
+    logs = plan_lines(spark, sf)
     plans = docs_plans(spark, sf, logs).withColumn("labels", F.map_filter("labels", lambda k, v: k != "service"))
     m = L.execute_plan(logs, plans)
     return m.groupBy(F.split("plan_id", ":")[0].alias("query_id"), "service") \
@@ -1011,9 +1028,10 @@ def q_knn_time_range(spark, sf):
 @register
 def q_hits_with_counts(spark, sf):
     """Hits with what the stats table counted in the last 24 hours, 0 where it has nothing."""
-    m = mined_docs(spark, sf)
-    hits = S.search(benchmark_queries(spark, sf), docs_vectors(spark, sf), k=10)
-    h = S.attach_catalog(hits, C.to_candidates(m), C.rolling_stats(m, _ntz("2024-01-01 20:00:00")))
+    m = T.materialize(mined_docs(spark, sf).select(*CATALOG_ROWS))  # feeds the catalog and the statistics
+    cat = stored_catalog(spark, sf, m)
+    hits = S.search(benchmark_queries(spark, sf), S.template_vectors(cat), k=10)
+    h = S.attach_catalog(hits, cat, C.rolling_stats(m, _ntz("2024-01-01 20:00:00")))
     return h.select("query_id", "tenant", "template_id", F.col("rank").cast("bigint").alias("rank"), F.col("count_24h").cast("bigint").alias("count_24h"))
 
 
@@ -1025,7 +1043,7 @@ def _executed(m):
 @register
 def q_plan_execute_range(spark, sf):
     """Plans over the lines of a time range."""
-    logs = T.materialize(normalized_docs(spark, sf))
+    logs = plan_lines(spark, sf)
     return _executed(L.execute_plan(logs, docs_plans(spark, sf, logs), *RANGE))
 
 
@@ -1034,7 +1052,7 @@ def q_plan_indexed(spark, sf):
     """The same from stored lines and an index of their tokens."""
     from .plans.token_index import TokenIndex
     from .session import scratch_path
-    logs = T.materialize(normalized_docs(spark, sf))
+    logs = plan_lines(spark, sf)
     index = TokenIndex.build(logs, scratch_path(spark, "token_index"))
     return _executed(index.execute(docs_plans(spark, sf, logs), *RANGE))
 
