@@ -298,8 +298,11 @@ def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
 def linked(buckets: DataFrame, words: DataFrame) -> DataFrame:
     """(node, component) of all nodes with a verified link; see the module's steps 3 to 5.
 
-    ``buckets`` has bin, sample, node, n, size; ``words`` has node, words; both are written tables.
+    ``buckets`` has bin, sample, node, n, size and profile; ``words`` has node, words; both are written tables.
+    Without profiles, no pair is refused for them.
     """
+    if "profile" not in buckets.columns:
+        buckets = buckets.withColumn("profile", F.array().cast("array<smallint>"))
     members = buckets.withColumn("component", F.col("node"))
     pairs = _by_leader(members, 0, 1)
     tested, classes, number = None, None, 0
