@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 from logsift.functions import patterns as P
 from logsift.functions.text import UNI_WS, canonical_ws, detect_schema, nfc
 from logsift.operators.normalize import unicode_trim
-from tests.conftest import SF_SMALL
 
 
 def _texts(n=3000, seed=5):
@@ -43,6 +43,18 @@ def test_plain_steps_equal_their_patterns(texts):
         assert b == (None if a is None else unicodedata.normalize("NFC", a))
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("tables"))
+    docs = [(i, f"job {i} has {i % 7} parts\nan error of disk{i % 5} at 10.0.0.{i}\nanother line, key = {i}", "en", "web", 60) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, f"error of disk{i} at") for i in range(5)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    kinds = ["error", "purchase", "signup", "view"]
+    events = [(i, datetime(2024, 1, 1) + timedelta(hours=11 * i), i % 9, kinds[i % 4], i / 8, '{"k":%d}' % i) for i in range(80)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+    return d
+
+
 def _plan(df):
     return df._jdf.queryExecution().analyzed().toString(), df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -53,22 +65,22 @@ def test_embedding_has_no_interpreted_lambdas(spark):
 
 
 @pytest.mark.parametrize("name", ["matched_tokens", "recency_rerank", "logql_strings", "logql_forms", "hits_with_counts", "plan_execute"])
-def test_catalog_is_made_once(spark, name, monkeypatch):
+def test_catalog_is_made_once(spark, name, tables, monkeypatch):
     from logsift import registry as R
     from logsift.operators import catalog as C
     calls, real = [], C.to_candidates
     for place in (C, R.C):
         monkeypatch.setattr(place, "to_candidates", lambda m: calls.append(1) or real(m))
-    R.QUERIES[name](spark, SF_SMALL)
+    R.QUERIES[name](spark, tables)
     assert len(calls) == 1
 
 
 @pytest.mark.parametrize("name", ["template_regex", "template_memory", "enriched_lines", "stream_keys", "active_streams", "suppressed_rollup", "catalog_by_dimension",
                                   "new_templates", "plan_execute", "drain_templates", "drain_docs"])
-def test_kept_rows_hold_only_what_is_read(spark, name):
+def test_kept_rows_hold_only_what_is_read(spark, name, tables):
     from logsift import registry as R
     spark.catalog.clearCache()
-    df = R.QUERIES[name](spark, SF_SMALL)
+    df = R.QUERIES[name](spark, tables)
     kept = [p for p in df._jdf.queryExecution().withCachedData().toString().split("\n") if "InMemoryRelation" in p]
     for p in kept:
         assert "payload" not in p and "token_seq" not in p and "group_signature" not in p, p
