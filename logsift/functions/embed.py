@@ -15,11 +15,11 @@ of SHA-256 (big endian) divided by 2^64.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,28 +52,51 @@ def _unit(b: bytes) -> float:
     return int.from_bytes(hashlib.sha256(b).digest()[:8], "big") / TWO64
 
 
-def _gram_hashes(b: bytes, q: int) -> np.ndarray:
-    """E2 + E3: hashes of the first q byte n-grams (n = 2, then 3, then 4)."""
-    codes = np.frombuffer(b[:q + 1], np.uint8).astype(np.int64)
-    out = _pair_hashes()[(codes[:-1] << 8) | codes[1:]]
-    more = [_unit(b[i:i + n]) for n in (3, 4) for i in range(len(b) - n + 1)] if len(out) < q else []
-    return np.concatenate([out, np.array(more[:q - len(out)], np.float32)])
+@lru_cache(1 << 18)
+def _gram(b: bytes) -> float:
+    return _unit(b)
+
+
+def _grams(out: np.ndarray, texts: pa.Array) -> None:
+    """E2 + E3: hashes of the first byte n-grams (n = 2, then 3, then 4), as many as ``out`` has columns."""
+    q = out.shape[1]
+    edges, data = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:][:len(texts) + 1], np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    size = np.diff(edges)
+    if len(data):
+        codes = data[np.minimum(edges[:-1, None] + np.arange(q + 1), len(data) - 1)].astype(np.int64)
+        out[:] = np.where(np.arange(q) < size[:, None] - 1, _pair_hashes()[(codes[:, :-1] << 8) | codes[:, 1:]], 0)
+    for row in np.flatnonzero((size <= q) & (size > 2)).tolist():
+        b, at = data[edges[row]:edges[row + 1]].tobytes(), int(size[row]) - 1
+        more = [_gram(b[i:i + n]) for n in (3, 4) for i in range(min(q, len(b) - n + 1))][:q - at]
+        out[row, at:at + len(more)] = more
 
 
 def _vectors(texts: pa.Array, words: pa.Array, logs: pa.Array, dim: int) -> np.ndarray:
     """E1-E8 of texts, their words and ln(number of words + 1)."""
-    q = dim // 4
-    out, h = np.zeros((len(texts), dim), np.float32), np.zeros((len(texts), 1))
-    for v, b, ws, log, row in zip(out, texts.to_pylist(), words.to_pylist(), logs.to_pylist(), range(len(texts)), strict=True):
-        grams, n = _gram_hashes(b, q), len(ws)
-        v[:len(grams)] = grams
-        tf = np.array(sorted(Counter(ws).values(), reverse=True), np.float64) / max(n, 1)
-        if n:
-            p2 = [float(sum(map(len, ws))) / n / 20.0, *tf[:10]]
-            v[q:q + len(p2)] = p2[:q]
-        p3 = np.append(tf, log / 10.0)[:q]
-        v[2 * q:2 * q + len(p3)] = p3
-        h[row] = _unit(b)
+    q, rows = dim // 4, len(texts)
+    out, texts, logs = np.zeros((rows, dim), np.float32), texts.cast(pa.large_binary()), logs.to_numpy(zero_copy_only=False)
+    _grams(out[:, :q], texts)
+    n, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
+    own = np.repeat(np.arange(rows), n)
+    # Occurrences of each distinct word of a text, most frequent first.
+    codes = flat.dictionary_encode()
+    kinds = max(1, len(codes.dictionary))
+    pairs, counts = np.unique(own * kinds + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    of = pairs // kinds
+    order = np.lexsort((-counts, of))
+    counts, distinct = counts[order], np.bincount(of, minlength=rows)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+    tf = counts / n[of]
+    size = np.bincount(own, pc.binary_length(flat).to_numpy(zero_copy_only=False), rows)
+    some = n > 0
+    out[some, q] = size[some] / n[some] / 20.0
+    top = place < min(10, q - 1)
+    out[of[top], q + 1 + place[top]] = tf[top]
+    fits = place < q
+    out[of[fits], 2 * q + place[fits]] = tf[fits]
+    fits = distinct < q
+    out[fits, 2 * q + distinct[fits]] = logs[fits] / 10.0
+    h = np.array([_unit(b) for b in texts.to_pylist()]).reshape(-1, 1)
     out[:, 3 * q:] = h * np.arange(1, q + 1) / float(q)
     return _normalized(out)
 

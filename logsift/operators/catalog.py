@@ -32,18 +32,17 @@ def to_candidates(mined: DataFrame) -> DataFrame:
     sanitized to the allow list; version = sha1(template + '\\n' + regex)."""
     m = mined.filter(~F.col("from_fallback"))
     m = m.withColumn("__tenant", catalog_tenant(F.col("labels")))
-    m = m.withColumn("__labels", catalog_labels(F.map_concat(
-        F.map_filter(F.col("labels"), lambda k, v: k != "tenant"),
-        F.create_map(F.lit("tenant"), F.col("__tenant")))))
-    latest = F.struct("ts", "log_id")
-    return (m.groupBy(F.col("__tenant").alias("tenant"), "template_id").agg(
-        F.max_by("template", latest).alias("template_text"),
-        F.max_by("regex", latest).alias("regex"),
-        F.max_by("__labels", latest).alias("labels"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-        F.count(F.lit(1)).alias("n"),
-        *([F.max_by("provenance", latest).alias("provenance")] if "provenance" in m.columns else []))
-        .withColumn("template_version", template_version(F.col("template_text"), F.col("regex"))))
+    # The latest record's values travel once, and its labels are sanitized after the fold: their tenant is the group's.
+    more = ["provenance"] if "provenance" in m.columns else []
+    latest = F.max_by(F.struct("template", "regex", "labels", *more), F.struct("ts", "log_id"))
+    g = m.groupBy(F.col("__tenant").alias("tenant"), "template_id").agg(
+        latest.alias("__latest"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+    labels = catalog_labels(F.map_concat(
+        F.map_filter(F.col("__latest.labels"), lambda k, v: k != "tenant"), F.create_map(F.lit("tenant"), F.col("tenant"))))
+    return g.select(
+        "tenant", "template_id", F.col("__latest.template").alias("template_text"), F.col("__latest.regex").alias("regex"),
+        labels.alias("labels"), "first_seen", "last_seen", "n", *[F.col(f"__latest.{c}").alias(c) for c in more]) \
+        .withColumn("template_version", template_version(F.col("template_text"), F.col("regex")))
 
 
 def candidate_defaults(c: DataFrame, now: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.redact import Rule, default_rules, redact_steps
+from ..functions.redact import Rule, barrier, default_rules, redact_steps
 from ..functions.text import (UNI_WS, UNI_WS_CHARS, canonical_ws, detect_schema, nfc, severity_label, tenant_of,
                               truncate_bytes)
 
@@ -39,7 +39,9 @@ def normalize(df: DataFrame, max_message_bytes: int = P.MAX_MESSAGE_BYTES, profi
     df = df.withColumn("schema", detect_schema(p))
     df = df.withColumn("original_length", F.octet_length(p).cast("int"))
     df = df.withColumn("truncated", F.octet_length(p) > max_message_bytes)
-    df = df.withColumn("__norm", normalize_message(p, max_message_bytes, use_nfc))
+    # NFC reads its text several times, so the text is made once, behind a barrier.
+    df = df.withColumn("__norm", barrier(normalize_message(p, max_message_bytes, use_nfc=False)))
+    df = df.withColumn("__norm", nfc(F.col("__norm")) if use_nfc else F.col("__norm"))
     df = redact_steps(df, "__norm", rules, out_col="message").drop("__norm")
     df = df.withColumn("sanitized", F.col("redaction.applied"))
     if "ts" in df.columns and now is not None:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.templates import template_regex
 
 GO_QUOTE_META = "[\\\\.+*?()|\\[\\]{}^$]"
 
@@ -91,6 +92,14 @@ def plan_anchor(template: Column) -> Column:
     return F.get(ranked, F.lit(0))
 
 
+def plan_literal(template: Column, regex: Column) -> Column:
+    """Longest piece of a template between placeholders. Every line that the template's own regex
+    matches holds it, so it is looked for before the regex runs; with another regex it is empty, which any line holds."""
+    pieces = F.split(template, "<[^<>]+>")
+    longest = F.array_max(F.transform(pieces, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    return F.when((regex == template_regex(template)) & ~template.contains("\\="), longest).otherwise("")
+
+
 #: Up to so many distinct anchors are looked up inside a line's row, in so many slots.
 MAX_ANCHORS, ANCHOR_SLOTS = 50_000, 4096
 #: Plans with neither an anchor nor a label are tested so many at a time.
@@ -117,7 +126,8 @@ def prepared_plans(plans: DataFrame, keys: list[str]) -> DataFrame:
     """A written table of plans with their anchor, which labels they name, and those labels."""
     from ..session import cut_lineage
     named = F.concat(*[F.when(F.length(F.trim(F.coalesce(F.col("labels")[k], F.lit("")))) > 0, "1").otherwise("0") for k in keys])
-    return cut_lineage(plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"), named.alias("__named"),
+    return cut_lineage(plans.select("plan_id", "regex", plan_anchor(F.col("template_text")).alias("__anchor"),
+                                    F.coalesce(plan_literal(F.col("template_text"), F.col("regex")), F.lit("")).alias("__literal"), named.alias("__named"),
                                     *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__p_{k}") for k in keys]), "plans")
 
 
@@ -130,6 +140,11 @@ def lines_of(logs: DataFrame, keys: list[str], start=None, end=None) -> DataFram
     return logs.select("log_id", "ts", "message", *[F.coalesce(F.col("labels")[k], F.lit("")).alias(f"__l_{k}") for k in keys])
 
 
+def message_fits(message: Column, literal: Column, regex: Column) -> Column:
+    """The regex, on messages that hold its literal: a regex of a row is compiled again for every plan it meets."""
+    return F.when(F.contains(message, literal), F.rlike(message, regex)).otherwise(False)
+
+
 def labels_fit(keys: list[str]) -> Column:
     """A label that a plan does not name matches anything."""
     fits = F.lit(True)
@@ -143,7 +158,7 @@ def execute_loose(lines: DataFrame, loose: DataFrame, keys: list[str]) -> DataFr
     that name none must be tested on every line, and travel with it as an array of
     ``LOOSE_PLANS`` plans at a time, not as a join."""
     cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in keys]]
-    fits = F.rlike(F.col("message"), F.col("regex"))
+    fits = message_fits(F.col("message"), F.col("__literal"), F.col("regex"))
     out = None
     for row in loose.groupBy("__named").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2^labels rows
         own, parts = loose.filter(F.col("__named") == row["__named"]), []
@@ -154,8 +169,8 @@ def execute_loose(lines: DataFrame, loose: DataFrame, keys: list[str]) -> DataFr
             blocks = -(-row["n"] // LOOSE_PLANS)
             for n in range(blocks):
                 some = own.where(F.pmod(F.xxhash64("plan_id"), F.lit(blocks)) == n)
-                plans = some.agg(F.collect_list(F.struct("plan_id", "regex")).alias("plans")).scalar()
-                hit = F.transform(F.filter("__plans", lambda p: F.rlike(F.col("message"), p["regex"])), lambda p: p["plan_id"])
+                plans = some.agg(F.collect_list(F.struct("plan_id", "__literal", "regex")).alias("plans")).scalar()
+                hit = F.transform(F.filter("__plans", lambda p: message_fits(F.col("message"), p["__literal"], p["regex"])), lambda p: p["plan_id"])
                 parts.append(lines.withColumn("__plans", plans).withColumn("__hits", hit).drop("__plans").withColumn("plan_id", F.explode("__hits")))
         for p in parts:
             out = p.select(*cols) if out is None else out.unionByName(p.select(*cols))
@@ -181,7 +196,7 @@ def execute_plan(logs: DataFrame, plans: DataFrame, start=None, end=None,
     else:
         hits = lines.withColumn("__hits", tokens(F.col("message")))
     toks = hits.withColumn("__tok", F.explode("__hits")).drop("__hits")
-    out = toks.join(anchored, F.col("__tok") == F.col("__anchor")).filter(labels_fit(keys) & F.rlike(F.col("message"), F.col("regex"))).select(*cols)
+    out = toks.join(anchored, F.col("__tok") == F.col("__anchor")).filter(labels_fit(keys) & message_fits(F.col("message"), F.col("__literal"), F.col("regex"))).select(*cols)
     return out.unionByName(execute_loose(lines, plans.filter(F.col("__anchor").isNull()), keys))
 
 

@@ -17,10 +17,16 @@ only. Plans without an anchor meet the lines of the time range (``logql.execute_
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..session import cut_lineage, forget
 from . import logql as L
 
 BLOCK_BITS = 13
@@ -28,6 +34,44 @@ BLOCK_ROWS = 1 << BLOCK_BITS
 RARE = 1 / 16
 
 
+def _postings(group: list[str], rare: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow body over lines (group, row, words) that come group by group: the rows of each of a group's
+    tokens, or null where it is in too many of them. A group is part of a block, so it is bounded."""
+
+    def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lines = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        n, words = lines["words"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False), lines["words"].flatten().to_numpy(zero_copy_only=False)
+        rows = np.repeat(lines["row"].to_numpy(), n)
+        order = np.lexsort((rows, words))
+        words, rows = words[order], rows[order]
+        new = np.flatnonzero(np.diff(words, prepend=words[:1]) | np.diff(rows, prepend=rows[:1]))
+        kept = np.union1d(new, [0])[:len(words)].astype(np.int64) if len(words) else new  # equal hashes in a line are one
+        words, rows = words[kept], rows[kept]
+        tokens, at, n = np.unique(words, return_index=True, return_counts=True)
+        few = n <= max(1, int(np.floor(rare * len(lines))))
+        held = rows[np.repeat(few, n)].astype(np.int32)
+        edges = np.append(0, np.cumsum(np.where(few, n, 0))).astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(edges), pa.array(held), mask=pa.array(~few))
+        same = pa.array(np.zeros(len(tokens), np.int64))
+        return pa.RecordBatch.from_arrays([*[lines[c].take(same) for c in group], pa.array(tokens, pa.int64()), out], [*group, "token", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = None, []
+        for batch in batches:
+            keys = list(zip(*(batch[c].to_pylist() for c in group), strict=True))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi:
+                    if parts and keys[lo] != own:
+                        yield made(parts)
+                        parts = []
+                    own = keys[lo]
+                    parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield made(parts)
+    return run
+
+
 class TokenIndex:
     """Stored lines and postings in a folder that ``build`` has written."""
 
@@ -49,17 +93,14 @@ class TokenIndex:
         lines = lines.withColumn("at", at).withColumn("block", F.shiftright("at", BLOCK_BITS)).withColumn("row", F.col("at").bitwiseAND(BLOCK_ROWS - 1).cast("int"))
         lines.drop("at").write.mode("overwrite").partitionBy("date").parquet(f"{path}/lines")
         stored = logs.sparkSession.read.parquet(f"{path}/lines")
-        size = stored.groupBy("date", "block", *own).agg(F.count(F.lit(1)).alias("size"))
-        # Only row numbers and hashes are exploded, no texts.
+        # A block's lines meet in one task, as their hashes only; postings are made there, a group of equal date and labels at a time.
         words = F.transform(F.filter(L.tokens(F.col("message")), lambda t: t != ""), lambda t: F.xxhash64(t))
-        rows = stored.select("date", "block", *own, "row", F.explode(words).alias("token"))
-        found = rows.groupBy("date", "block", *own, "token").agg(F.count(F.lit(1)).alias("n"), F.collect_set("row").alias("rows"))
-        on = F.lit(True)
-        for c in ("date", "block", *own):
-            on = on & found[c].eqNullSafe(size[c])
-        found = found.join(size, on).select(*[found[c] for c in ("date", "block", *own, "token")],
-                                            F.when(F.col("n") <= F.greatest(F.lit(1), F.floor(F.lit(rare) * F.col("size"))), F.col("rows")).alias("rows"))
+        group = ["date", "block", *own]
+        rows = stored.select(*group, "row", words.alias("words")).repartition("block").sortWithinPartitions(*group, "row")
+        kinds = T.StructType([*rows.schema.fields[:-2], T.StructField("token", T.LongType()), T.StructField("rows", T.ArrayType(T.IntegerType()))])
+        found = cut_lineage(rows.mapInArrow(_postings(group, rare), kinds), "postings")
         found.repartitionByRange("date", "token", "block").sortWithinPartitions("date", "token", "block").write.mode("overwrite").partitionBy("date").parquet(f"{path}/postings")
+        forget(found)
         return cls(logs.sparkSession, path, keys)
 
     def _days(self, start, end) -> Column:
@@ -86,7 +127,7 @@ class TokenIndex:
                 lines = lines.where(test(F.lit(edge).cast("timestamp_ntz")))
         found = self.candidates(plans, start, end).withColumnsRenamed({"date": "c_date", "block": "c_block", "row": "c_row"})
         place = F.col("date").eqNullSafe(F.col("c_date")) & (F.col("block") == F.col("c_block"))
-        fits = L.labels_fit(self.keys) & F.rlike(F.col("message"), F.col("regex"))
+        fits = L.labels_fit(self.keys) & L.message_fits(F.col("message"), F.col("__literal"), F.col("regex"))
         cols = ["plan_id", "log_id", "ts", "message", *[F.col(f"__l_{k}").alias(k) for k in self.keys]]
         rare = lines.join(found.where("c_row IS NOT NULL"), place & (F.col("row") == F.col("c_row")))
         often = lines.join(found.where("c_row IS NULL").drop("c_row").distinct(), place)
