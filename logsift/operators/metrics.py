@@ -41,11 +41,13 @@ def sampling_metrics(decided: DataFrame, by: list[str] = ("key_tenant",)) -> Dat
         .withColumn("sample_rate", F.col("kept") / F.col("processed"))
 
 
-def suppressed_rollup(suppressed: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Suppressed lines become metrics-only counts per window x key."""
+def suppressed_rollup(suppressed: DataFrame, window: str = "1 minute", size: Column | None = None) -> DataFrame:
+    """Suppressed lines become metrics-only counts per window x key; ``size`` is a
+    line's bytes, by default those of its ``message``."""
+    size = F.octet_length("message") if size is None else size
     return suppressed.groupBy(F.window("ts", window)["start"].alias("window_start"),
                               "key_tenant", "template_id", "key_service", "key_env", "severity") \
-        .agg(F.count(F.lit(1)).alias("suppressed"), F.sum(F.octet_length("message")).alias("bytes"))
+        .agg(F.count(F.lit(1)).alias("suppressed"), F.sum(size).alias("bytes"))
 
 
 def tenant_volume(decided: DataFrame, tenant: str = "key_tenant") -> DataFrame:

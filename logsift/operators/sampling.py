@@ -4,8 +4,8 @@ Counters (batch). Order within a sampler key is (ts, log_id). Instead of one
 window over the whole key (a hot key would land in one task), we:
 
 1. roll up rows per (key, second) with partial aggregation;
-2. compute prefix sums and range-window counts on that small rollup
-   (partitioned by key: one row per occupied second);
+2. compute prefix sums, range-window counts and the EMA on that small rollup
+   (partitioned by key, sorted once: one row per occupied second);
 3. join the rollup back on (key, second) and add the rank inside the second.
 
 The big side is shuffled once, by (key, second), and both the join and the
@@ -14,8 +14,8 @@ in-second rank reuse that partitioning.
 EMA. The per-record recursion ``ema = a*cur_min + (1-a)*ema`` has a closed
 form inside a minute: with r = 1-a, E0 the value entering the minute and j
 the in-minute count, ``E_j = r^j*E0 + j - (r/a)*(1 - r^j)``. E0 per minute is
-a short sequential scan over the per-(key, minute) rollup (Arrow grouped map
-per key); the per-record value is then a column expression.
+a sequential scan of the sorted rollup that holds one key's average; the
+per-record value is then a column expression.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,29 +104,33 @@ def ema_per_minute(df: DataFrame, alpha: float = 0.2, key: list[str] = KEY) -> D
     return roll.mapInArrow(run, T.StructType([*roll.schema.fields, T.StructField("baseline", T.DoubleType())]))
 
 
-def _ema_minutes_fn(alpha: float, key: list[str]):
+def entering_average(alpha: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """E0 of each second of a rollup that comes key by key, in order: the EMA value before the first
+    record of its minute. ``__before`` is 0 at a key's first second, and ``__before_minute`` counts
+    the key's records before the minute, so only the average at hand is kept between batches."""
     r = 1.0 - alpha
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("minute")
-        ks = pdf["k"].to_numpy(dtype=np.float64)
-        rk = np.power(r, ks)
-        add = ks - (r / alpha) * (1.0 - rk)
-        e0 = np.empty(len(ks))
-        e = 0.0
-        for i in range(len(ks)):
-            e0[i] = e
-            e = rk[i] * e + add[i]
-        out = pdf[[*key, "minute"]].copy()
-        out["e0"] = e0
-        return out
-    return fn
-
-
-def ema_entering_minute(roll_min: DataFrame, alpha: float, key: list[str] = KEY) -> DataFrame:
-    """E0 per (key, minute): EMA value before the minute's first record."""
-    schema = ", ".join(f"{c} string" for c in key) + ", minute bigint, e0 double"
-    return roll_min.groupBy(*key).applyInPandas(_ema_minutes_fn(alpha, key), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, counted, at = 0.0, 0, -1
+        for batch in batches:
+            out = np.empty(0)
+            if batch.num_rows:
+                before, upto, minute = (batch.column(c).to_numpy() for c in ("__before", "__before_minute", "cur_minute"))
+                opens = before == 0
+                new = opens | (minute != np.concatenate(([at], minute[:-1])))
+                first, upto = opens[new], upto[new]
+                # Records of the minute before; a key's first minute has none.
+                ks = np.where(first, 0, upto - np.concatenate(([counted], upto[:-1]))).astype(np.float64)
+                rk = np.power(r, ks)
+                add = ks - (r / alpha) * (1.0 - rk)
+                own = [e]
+                for is_first, x, y in zip(first.tolist(), rk.tolist(), add.tolist(), strict=True):
+                    e = 0.0 if is_first else x * e + y
+                    own.append(e)
+                out = np.array(own)[np.cumsum(new)]
+                counted, at = int(upto[-1]) if len(upto) else counted, int(minute[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "e0"])
+    return run
 
 
 def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = True,
@@ -137,30 +140,34 @@ def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = Tr
     df = materialize(df.withColumn("__sec", F.floor(us / 1_000_000)).withColumn("cur_minute", F.floor(us / 60_000_000)))
     # A row without a time has no place in the order: it keeps null counters.
     untimed, df = df.filter(F.col("ts").isNull()).drop("__sec"), df.filter(F.col("ts").isNotNull())
+    # One column that is never null and equal where all key columns are equal or both null,
+    # so that the rollup, its windows, the join and the rank share their partitioning.
+    df = df.withColumn("__key", F.struct(*key))
     # The rollup is combined before its shuffle; the rows themselves are
     # shuffled once, by (key, second), for the join-back and the in-second rank.
-    roll = df.groupBy(*key, "__sec").agg(F.count(F.lit(1)).alias("__c"), F.min("ts").alias("__mints"))
+    roll = df.groupBy("__key", "__sec").agg(F.count(F.lit(1)).alias("__c"), F.min("ts").alias("__mints"))
     roll = roll.withColumn("cur_minute", F.floor(F.col("__sec") / 60))
-    wk = Window.partitionBy(*key).orderBy("__sec")
-    prev = wk.rowsBetween(Window.unboundedPreceding, -1)
-    wmin = Window.partitionBy(*key).orderBy("cur_minute")
-    roll = (roll.withColumn("__before", F.coalesce(F.sum("__c").over(prev), F.lit(0)))
+    # Sorted by minute and second, the rollup is in order for the windows over minutes, too.
+    wk = Window.partitionBy("__key").orderBy("cur_minute", "__sec")
+    wmin = Window.partitionBy("__key").orderBy("cur_minute")
+    roll = (roll.withColumn("__before", F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                .withColumn("key_first_seen", F.min("__mints").over(wk.rowsBetween(Window.unboundedPreceding, 0)))
                 .withColumn("__before_minute", F.coalesce(F.sum("__c").over(
-                    wmin.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                .withColumn("key_first_seen", F.min("__mints").over(wk.rowsBetween(Window.unboundedPreceding, 0))))
+                    wmin.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     for n, name in WINDOWS:
         span = n + 1 if inclusive else n
         roll = roll.withColumn(f"__out_{name}", F.coalesce(F.sum("__c").over(
             wmin.rangeBetween(Window.unboundedPreceding, -span)), F.lit(0)))
+    roll = roll.drop("__mints", "__c")
     alpha = ema_alpha(policy.half_life)
     if ema:
-        per_min = roll.groupBy(*key, "cur_minute").agg(F.sum("__c").alias("k")) \
-            .withColumnRenamed("cur_minute", "minute")
-        e0 = ema_entering_minute(per_min, alpha, key).withColumnRenamed("minute", "cur_minute")
-        roll = null_safe_join(roll, e0, [*key, "cur_minute"], "left")
-    roll = roll.drop("__mints", "__c", "cur_minute")
-    rows = null_safe_join(df, roll, [*key, "__sec"])
-    ws = Window.partitionBy(*key, "__sec").orderBy("ts", "log_id")
+        # The windows leave each key in one partition.
+        roll = roll.sortWithinPartitions("__key", "cur_minute", "__sec").mapInArrow(
+            entering_average(alpha), T.StructType([*roll.schema.fields, T.StructField("e0", T.DoubleType())]))
+    # Merged, as by the size of its files a table may pass for one to broadcast when its rows are many times that.
+    rows = df.join(roll.drop("cur_minute").hint("merge"), ["__key", "__sec"])
+    # The key columns are named, too, so that a filter on them is applied before the join.
+    ws = Window.partitionBy("__key", "__sec", *key).orderBy("ts", "log_id")
     rows = rows.withColumn("__rank", F.row_number().over(ws))
     rows = (rows.withColumn("seq", (F.col("__before") + F.col("__rank")).cast("bigint"))
                 .withColumn("cur_min", (F.col("__before") - F.col("__before_minute") + F.col("__rank")).cast("bigint")))
@@ -171,7 +178,7 @@ def with_counters(df: DataFrame, policy: Policy = Policy(), inclusive: bool = Tr
         j = F.col("cur_min").cast("double")
         rj = F.pow(F.lit(r), j)
         rows = rows.withColumn("ema", rj * F.col("e0") + j - F.lit(r / alpha) * (F.lit(1.0) - rj))
-    rows = rows.drop("__sec", "__rank", "__before", "__before_minute", "e0",
+    rows = rows.drop("__key", "__sec", "__rank", "__before", "__before_minute", "e0",
                      *[f"__out_{n}" for _, n in WINDOWS])
     return rows.unionByName(untimed, allowMissingColumns=True)
 
@@ -269,13 +276,12 @@ def enforce(df: DataFrame, flags: Enforcement = Enforcement()) -> DataFrame:
     """Enforced flag by severity (fatal always), else namespace override
     (``k8s_namespace`` or ``namespace`` label), else off."""
     sev = F.col("severity")
-    ns = F.coalesce(F.col("labels")["k8s_namespace"], F.col("labels")["namespace"])
     e = F.when(sev == "FATAL", True)
     for s, on in (("DEBUG", flags.debug), ("INFO", flags.info), ("WARN", flags.warn), ("ERROR", flags.error)):
         if on:
             e = e.when(sev == s, True)
-    for k, v in flags.by_namespace.items():
-        e = e.when(ns == k, bool(v))
+    for k, v in flags.by_namespace.items():  # without any, labels are not read
+        e = e.when(F.coalesce(F.col("labels")["k8s_namespace"], F.col("labels")["namespace"]) == k, bool(v))
     return df.withColumn("enforced", e.otherwise(False))
 
 

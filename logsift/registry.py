@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
@@ -89,7 +89,7 @@ def mined_events(spark, sf, several: bool = False, columns: list[str] | None = N
 #: are cut to what these read, as a kept row holds all its columns, read or not.
 CATALOG_ROWS = ["log_id", "ts", "labels", "template_id", "template", "regex", "from_fallback"]
 #: What the sampler reads of a record.
-SAMPLER_ROWS = ["log_id", "ts", "tenant", "service", "env", "severity", "template_id", "labels"]
+SAMPLER_ROWS = ["log_id", "ts", "tenant", "service", "env", "severity", "template_id"]
 
 
 def sampler_rows(spark, sf):
@@ -469,7 +469,7 @@ def q_json_batch_rejects(spark, sf):
 
 
 def kept_entries(spark, sf):
-    d = decided_events(spark, sf, "message", "schema", "redaction", "sanitized", "truncated")
+    d = decided_events(spark, sf, "labels", "message", "schema", "redaction", "sanitized", "truncated")
     kept, _ = route(d)
     return K.to_sink_entries(kept)
 
@@ -504,7 +504,7 @@ def q_load_shed(spark, sf):
         .agg(F.count(F.lit(1)).alias("dropped"))
 
 
-def decided_events(spark, sf, *more: str):
+def decided_events(spark, sf, *more: str | Column):
     """Decided records with what the sampler reads of them, and ``more`` columns."""
     return enforce(decide(mined_events(spark, sf).select(*SAMPLER_ROWS, *more)))
 
@@ -517,8 +517,8 @@ def q_sampling_metrics(spark, sf):
 
 @register
 def q_suppressed_rollup(spark, sf):
-    _, sup = route(decided_events(spark, sf, "message"))
-    return MX.suppressed_rollup(sup, "1 day")
+    _, sup = route(decided_events(spark, sf, F.octet_length("message").alias("message_bytes")))
+    return MX.suppressed_rollup(sup, "1 day", F.col("message_bytes"))
 
 
 @register
