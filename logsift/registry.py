@@ -600,9 +600,9 @@ def q_drain_templates(spark, sf):
 
 @register
 def q_drain_docs(spark, sf):
-    d = drain_parallel(normalized_docs(spark, sf).select("log_id", "ts", "tenant", "message"))
+    d = drain_parallel(normalized_docs(spark, sf).select("log_id", "ts", "tenant", "message"), count_as="lines")
     return d.groupBy("tenant", "template_id").agg(F.first("template").alias("template"),
-                                                  F.count(F.lit(1)).alias("lines"))
+                                                  F.sum("lines").alias("lines"))
 
 
 @register
